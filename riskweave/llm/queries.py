@@ -6,14 +6,17 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import mixing, packing, simhash
+from . import mixing, mpeg, packing, simhash, urlfilter
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_mixing": mixing.op2_mixing,
+    "op3_media": mpeg.op3_media,
+    "op5_urlfilter": urlfilter.op5_urlfilter,
     "op8_simhash": simhash.op8_simhash,
     "op10_packing": packing.op10_packing,
 }
 
 ORACLES: dict[str, str] = {
     "op2_mixing": mixing.OP2_SQL,
+    "op5_urlfilter": urlfilter.OP5_SQL,
 }
