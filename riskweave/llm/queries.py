@@ -6,12 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import mixing, mpeg, packing, simhash, urlfilter
+from . import langid, mixing, mpeg, packing, quality, simhash, urlfilter
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_mixing": mixing.op2_mixing,
     "op3_media": mpeg.op3_media,
+    "op4_langid": langid.op4_langid,
     "op5_urlfilter": urlfilter.op5_urlfilter,
+    "op6_quality": quality.op6_quality,
     "op8_simhash": simhash.op8_simhash,
     "op10_packing": packing.op10_packing,
 }
