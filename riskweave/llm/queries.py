@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import langid, mixing, mpeg, packing, quality, simhash, urlfilter
+from . import langid, mixing, mpeg, packing, quality, simhash, toxicity, urlfilter
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_mixing": mixing.op2_mixing,
@@ -14,6 +14,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_langid": langid.op4_langid,
     "op5_urlfilter": urlfilter.op5_urlfilter,
     "op6_quality": quality.op6_quality,
+    "op7_toxicity": toxicity.op7_toxicity,
     "op8_simhash": simhash.op8_simhash,
     "op10_packing": packing.op10_packing,
 }
