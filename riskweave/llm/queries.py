@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import langid, mixing, mpeg, packing, quality, simhash, toxicity, urlfilter
+from . import langid, mixing, mpeg, packing, quality, simhash, topk, toxicity, urlfilter
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_mixing": mixing.op2_mixing,
@@ -16,10 +16,12 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_quality": quality.op6_quality,
     "op7_toxicity": toxicity.op7_toxicity,
     "op8_simhash": simhash.op8_simhash,
+    "op9_topk": topk.op9_topk,
     "op10_packing": packing.op10_packing,
 }
 
 ORACLES: dict[str, str] = {
     "op2_mixing": mixing.OP2_SQL,
     "op5_urlfilter": urlfilter.OP5_SQL,
+    "op9_topk": topk.OP9_SQL,
 }
