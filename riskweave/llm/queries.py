@@ -6,9 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import langid, mixing, mpeg, packing, quality, simhash, topk, toxicity, urlfilter
+from . import extract, langid, mixing, mpeg, packing, quality, simhash, topk, toxicity, urlfilter
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_extract": extract.op1_extract,
     "op2_mixing": mixing.op2_mixing,
     "op3_media": mpeg.op3_media,
     "op4_langid": langid.op4_langid,
