@@ -149,6 +149,8 @@ class _Writer:
             inner = f"<div{self.names(_PLAIN_NAMES + _MAIN_NAMES)}>{inner}</div>"
         if r.random() < 0.1:
             inner = f"<section>{inner}</section>"
+        if r.random() < 0.08:
+            return inner  # right in the body
         t = r.choice(("article", "article", "main", "section")) if self.semantic else "div"
         name = self.names(_MAIN_NAMES) if r.random() < (0.4 if t != "div" else 0.9) else ""
         return f"<{t}{name}>{inner}</{t}>"

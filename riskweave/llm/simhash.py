@@ -347,3 +347,164 @@ def near_duplicates(docs: DataFrame, radius: int = RADIUS, width: int = SHINGLE)
 def op8_simhash(spark, sf_dir: str) -> DataFrame:
     found = near_duplicates(table(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+# --- the pipeline's stage ------------------------------------------------------------------------
+
+#: Five-word shingles, and eight fingerprints of 64 bits, so that similarity can be told from the distance.
+STAGE_SHINGLE = 5
+STAGE_WORDS = 8
+STAGE_SIMILARITY = 0.8
+_GOLDEN = 0x9E3779B97F4A7C15
+
+
+def spread(h: np.ndarray, k: int) -> np.ndarray:
+    """The k-th of independent 64-bit hashes made from one (the splitmix64 finaliser; fixed constants)."""
+    x = h + np.uint64((k + 1) * _GOLDEN & (1 << 64) - 1)
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
+def wide_fingerprint(text: str | None, width: int = STAGE_SHINGLE, words: int = STAGE_WORDS) -> tuple[list[int], int]:
+    """The fingerprints of a text's distinct shingles, and a hash of its words."""
+    found = (text or "").encode("utf-8", "surrogatepass").lower().split()
+    joined = b" ".join(found)
+    name = xxhash.xxh3_64_intdigest(joined)
+    if not found:
+        return [0] * words, name
+    if len(found) <= width:
+        hashes = np.array([xxhash.xxh64_intdigest(joined, SEED)], np.uint64)
+    else:
+        ends = np.cumsum(np.fromiter(map(len, found), np.int64, len(found)) + 1)
+        starts = np.concatenate(([0], ends[:-1])).tolist()
+        digest = xxhash.xxh64_intdigest
+        hashes = np.unique(np.array([digest(joined[a:b], SEED) for a, b in zip(starts, (ends[width - 1 :] - 1).tolist())], np.uint64))
+    counts = np.zeros(64 * words, np.int64)
+    for at in range(0, len(hashes), 255):
+        block = np.stack([spread(hashes[at : at + 255], k) for k in range(words)], axis=1)
+        counts += np.unpackbits(block.astype(">u8").view(np.uint8).reshape(len(block), -1), axis=1).sum(axis=0, dtype=np.uint8)
+    bits = np.packbits(2 * counts > len(hashes)).view(">u8")
+    return [int(b) for b in bits], name
+
+
+def stage_radius(similarity: float = STAGE_SIMILARITY, bits: int = 64 * STAGE_WORDS) -> int:
+    """The distance that texts of this Jaccard similarity have on average, and a standard deviation more."""
+    share = np.arccos(2 * similarity / (1 + similarity)) / np.pi
+    return int(bits * share + np.sqrt(bits * share * (1 - share)))
+
+
+def close_pairs(entries: DataFrame, radius: int, words: int = STAGE_WORDS) -> DataFrame:
+    """(a, b): pairs that span the components of the links within each bucket. Small buckets are compared
+    many at a time, large ones block by block."""
+    names = [f"w{k}" for k in range(words)]
+    keyed = entries.select(F.xxhash64("part", "value").alias("k"), "cls", *names)
+    rows = keyed.repartition("k").sortWithinPartitions("k")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def out(a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
+
+        left: np.ndarray | None = None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            now = np.stack([batch.column(i).to_numpy() for i in range(2 + words)], axis=1)
+            if left is not None:
+                now = np.concatenate((left, now))
+            # the last bucket may go on in the next batch
+            cut = int(np.searchsorted(now[:, 0], now[-1, 0], side="left"))
+            left = now[cut:]
+            if cut and len(found := spanning(now[:cut], radius)):
+                yield out(found[:, 0], found[:, 1])
+        if left is not None and len(found := spanning(left, radius)):
+            yield out(found[:, 0], found[:, 1])
+
+    return rows.mapInArrow(run, "a long, b long")
+
+
+def spanning(rows: np.ndarray, radius: int, small: int = 64, block: int = 512) -> np.ndarray:
+    """`rows` (key, id, words...) sorted by key -> pairs of ids that span the links within keys."""
+    key, ids, fp = rows[:, 0], rows[:, 1], np.ascontiguousarray(rows[:, 2:]).view(np.uint64)
+    n = len(rows)
+    head = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
+    size = np.diff(np.concatenate((head, [n])))
+    label = np.arange(n)
+    pairs = []
+
+    def link(x: np.ndarray, y: np.ndarray) -> None:
+        new = label[x] != label[y]
+        if new.any():
+            pairs.append(merge(label, x[new], y[new]))
+
+    tail = np.repeat(head + size, size)
+    in_small = np.repeat(size <= small, size)
+    for shift in range(1, int(min(small, size.max()))):
+        x = np.flatnonzero(in_small & (np.arange(n) + shift < tail))
+        near = np.bitwise_count(fp[x] ^ fp[x + shift]).sum(axis=1) <= radius
+        link(x[near], x[near] + shift)
+    for s, m in zip(head[size > small].tolist(), size[size > small].tolist()):
+        for i in range(s, s + m, block):
+            for j in range(i, s + m, block):
+                a, b = fp[i : min(i + block, s + m)], fp[j : min(j + block, s + m)]
+                d = np.zeros((len(a), len(b)), np.uint16)
+                for w in range(fp.shape[1]):
+                    d += np.bitwise_count(a[:, w, None] ^ b[None, :, w])
+                x, y = np.nonzero(d <= radius)
+                link(x + i, y + j)
+    return ids[np.concatenate(pairs)] if pairs else np.zeros((0, 2), np.int64)
+
+
+def copies_to_drop(docs: DataFrame, radius: int | None = None, words: int = STAGE_WORDS) -> tuple[DataFrame, DataFrame]:
+    """(ids of documents that are near copies of a kept one, ids on which equal rows repeat)."""
+    radius = stage_radius() if radius is None else radius
+    names = [f"w{k}" for k in range(words)]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in text_slices(batch, "text", 1 << 23):
+                got = [wide_fingerprint(x.as_py()) for x in part.column(1)]
+                values = np.array([[name, *fp] for fp, name in got], np.uint64).view(np.int64)
+                yield pa.RecordBatch.from_arrays([part.column(0), *(pa.array(c) for c in values.T)], ["doc_id", "cls", *names])
+
+    narrow = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    fps = materialize(narrow.mapInArrow(run, "doc_id long, cls long, " + ", ".join(f"{n} long" for n in names)))
+    classes = materialize(fps.groupBy("cls").agg(F.min("doc_id").alias("first_id"), *(F.first(n).alias(n) for n in names)))
+    rows = classes.count()
+    seen = classes.groupBy(F.pmod(F.xxhash64("cls"), F.lit(SAMPLE)).alias("b")).agg(F.min(F.struct("cls", *names)).alias("s")).collect()
+    structs = []
+    for k, name in enumerate(names):
+        # the pigeonhole search of each fingerprint finds all pairs within RADIUS bits on it for certain, and
+        # many beyond: a pair is compared as soon as one partition agrees
+        bits = to_bits(np.array([r.s[name] for r in seen], np.int64).view(np.uint64)) if seen else np.zeros((0, 64), np.uint8)
+        groups = bit_groups(bits, list(range(64)), RADIUS + 1)
+        for j, (mask, flips) in enumerate(masks(groups, thresholds(bits, groups, RADIUS, rows))):
+            own = F.col(name).bitwiseAND(F.lit(signed(mask)))
+            structs += [F.struct(F.lit(100 * k + j).alias("part"), own.bitwiseXOR(F.lit(signed(f))).alias("value")) for f in flips]
+    entries = classes.select("cls", *names, F.explode(F.array(*structs)).alias("e")).select("cls", *names, "e.part", "e.value")
+    roots = components(close_pairs(entries, radius))
+    named = classes.select("cls", "first_id").join(roots, F.col("cls") == F.col("node"), "left").select("cls", "first_id", F.coalesce("root", "cls").alias("root"))
+    least = named.groupBy("root").agg(F.min("first_id").alias("kept_id"))
+    # only classes whose kept document is another one, or that have more documents
+    of_class = materialize(named.join(least, "root").select(F.col("cls").alias("c"), "kept_id"))
+    drop = fps.join(of_class, F.col("cls") == F.col("c")).where(~F.col("doc_id").eqNullSafe(F.col("kept_id"))).select("doc_id")
+    kept = fps.join(of_class, F.col("cls") == F.col("c")).where(F.col("doc_id").eqNullSafe(F.col("kept_id"))).select("doc_id")
+    repeats = fps.groupBy("doc_id", "cls").agg(F.count("*").alias("n")).where(F.col("n") > 1).select("doc_id")
+    return drop.join(kept, "doc_id", "left_anti").distinct(), repeats.distinct()
+
+
+def stage_simhash(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pipeline stage: of each group of near copies the document with the least id stays.
+
+    Five-word shingles; similarity is told from the distance of 512 fingerprint bits, 0.8 within a
+    standard deviation of that estimate (0.02). Rows that repeat a doc_id stand or fall together, and of
+    equal ones among them one stays; rows without an id are copies of the least id of their group, if any.
+    """
+    drop, repeats = copies_to_drop(docs)
+    drop = materialize(drop.select(F.col("doc_id").alias("__rw_drop")))
+    kept = docs.join(drop, F.col("doc_id").eqNullSafe(F.col("__rw_drop")), "left_anti")
+    repeats = materialize(repeats.select(F.col("doc_id").alias("__rw_again")))
+    if repeats.isEmpty():
+        return kept
+    again = F.col("doc_id").eqNullSafe(F.col("__rw_again"))
+    return kept.join(repeats, again, "left_anti").union(kept.join(repeats, again, "left_semi").dropDuplicates(["doc_id", "text"]))
