@@ -31,7 +31,7 @@ SAMPLE_DOCS = 1024
 SAMPLE_CHARS = 16_000
 TRAIN_PASSAGES = 24
 HIDDEN = 16
-EPOCHS = 60
+EPOCHS = 100
 THRESHOLD = 0.7
 
 # Classes of UTF-8 bytes.
@@ -81,20 +81,25 @@ def passages(texts: list[str], words: int = PASSAGE_WORDS) -> tuple[np.ndarray,
     out = np.zeros((total, FEATURES), np.float32)
     if not len(starts):
         return out, count
-    # bytes belong to the passage of the last word that began before them
+    # bytes belong to the passage of the last word that began before them, or the document's first; what
+    # separates documents, and documents without words, count nowhere
     head = np.flatnonzero(np.concatenate(([True], passage[1:] != passage[:-1])))
     ids = passage[head]
-    at = starts[head]
+    at = np.where(nth[head] == 0, begins[doc[head]], starts[head])
     tops = np.concatenate((at[1:], [len(data)]))
+    kind = cls.copy()
+    kind[begins[1:] - 1] = _CLASSES
+    kind[np.repeat(per_doc == 0, sizes + 1)] = _CLASSES
     owner = np.repeat(ids, tops - at)
-    hist = np.bincount(owner * _CLASSES + cls[at[0] :], minlength=total * _CLASSES).reshape(total, _CLASSES)
+    hist = np.bincount(owner * (_CLASSES + 1) + kind[at[0] :], minlength=total * (_CLASSES + 1)).reshape(total, -1)[:, :_CLASSES]
     size = np.maximum(1, hist.sum(axis=1))
     out[:, :_CLASSES] = hist / size[:, None]
     length = stops - starts
-    inside = np.arange(len(data))[at[0] :] - np.repeat(starts, np.diff(np.concatenate((starts, [len(data)]))))
-    mixed = data[at[0] :].astype(np.uint64) * _MIX[np.minimum(inside, 63)]
-    mixed[blank[at[0] :]] = 0
-    word = np.add.reduceat(mixed, starts - at[0])
+    low = starts[0]
+    inside = np.arange(len(data))[low:] - np.repeat(starts, np.diff(np.concatenate((starts, [len(data)]))))
+    mixed = data[low:].astype(np.uint64) * _MIX[np.minimum(inside, 63)]
+    mixed[blank[low:]] = 0
+    word = np.add.reduceat(mixed, starts - low)
     in_passage = np.maximum(1, np.bincount(passage, minlength=total))
     mean = lambda x: np.bincount(passage, weights=x, minlength=total) / in_passage
     same = np.zeros(len(word), bool)

@@ -275,7 +275,7 @@ def test_quality_passages_cover_the_text():
 
 
 def test_scores_do_not_depend_on_batching():
-    texts = ["a b", "", "One two. Three!", "x | y | z " * 100]
+    texts = [" ", "a b", "", "  \n One two. Three!", "x | y | z " * 100, "\n\n", ""]
     model = quality.train(["good text here. " * 9, "| $$ | " * 9] * 5, [1, 0] * 5, epochs=3)
     assert np.allclose(quality.score(model, texts), [quality.score(model, [t])[0] for t in texts])
 
@@ -304,14 +304,14 @@ def test_toxicity_chain_learns_words_and_stems():
 
 def test_toxicity_held_out(spark):
     d = "/root/testdata/sf0.1"
-    docs = {r.doc_id: r.text for r in spark.read.parquet(f"{d}/documents.parquet").collect()}
-    rows = sorted(((r.doc_id, r.toxic) for r in spark.read.parquet(f"{d}/labels.parquet").collect()))
+    docs = {r.doc_id: r.text for r in spark.read.parquet(f"{d}/documents.parquet").where("doc_id % 2 = 0").collect()}
+    rows = sorted((r.doc_id, r.toxic) for r in spark.read.parquet(f"{d}/labels.parquet").collect() if r.doc_id in docs)
     held = [(i, y) for i, y in rows if zlib.crc32(str(i).encode()) % 4 == 2]
     learn = [(i, y) for i, y in rows if zlib.crc32(str(i).encode()) % 4 != 2]
     model = toxicity.train([docs[i][:8000] for i, _ in learn], [y for _, y in learn])
     p = toxicity.probabilities(model, [docs[i] for i, _ in held])[:, -1] >= 0.5
     y = np.array([y for _, y in held])
-    assert p[y == 1].mean() > 0.9 and p[y == 0].mean() < 0.02
+    assert p[y == 1].mean() > 0.85 and p[y == 0].mean() < 0.02
 
 
 # --- 8: SimHash -------------------------------------------------------------------------------------------
@@ -334,13 +334,13 @@ def plain_components(fps, radius=3):
         label = new
 
 
-@pytest.mark.parametrize("large", [2, 512])
+@pytest.mark.parametrize("large", [30, 512])
 def test_simhash_links_dense_clusters(spark, large):
     rng = np.random.default_rng(8)
     centres = rng.integers(0, 2**63, 6, dtype=np.uint64)
     fps = [int(c) for c in rng.integers(0, 2**63, 80, dtype=np.uint64)] + [0]
     for c in centres:
-        for _ in range(60):
+        for _ in range(40):
             fps.append(int(c) ^ sum(1 << int(b) for b in rng.choice(64, int(rng.integers(0, 7)), replace=False)))
     fps = sorted({simhash.signed(f) for f in fps})
     frame = spark.createDataFrame([(f,) for f in fps], "fp long")
