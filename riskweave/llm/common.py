@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import contextlib
 import tempfile
 from collections.abc import Iterator
 
@@ -35,6 +36,19 @@ def materialize(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+@contextlib.contextmanager
+def plain_planning(spark: SparkSession) -> Iterator[None]:
+    """Plan without constraint propagation: checkpoints of loops carry their constraints along, which would
+    grow with every round and take longer to plan than the rounds take to run."""
+    key = "spark.sql.constraintPropagation.enabled"
+    before = spark.conf.get(key, "true")
+    spark.conf.set(key, "false")
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 def held_out(id_col: str = "doc_id") -> Column:
     """True for held-out rows; a null id counts as the empty text."""
     return F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary")) % 4 == HELD_OUT_REMAINDER

@@ -11,7 +11,7 @@ fingerprints only, so a group of any number of copies is one entry:
    within the partition's threshold. Values that hold many fingerprints are partitioned again on the
    remaining bits, so no task compares a large bucket with itself.
 4. Candidates that share a value are verified. A bucket yields the edges of a spanning forest, not pairs.
-5. Components are found by repeated contraction of that edge table (minimum neighbour, pointer jumping).
+5. Components are found by repeated contraction of that edge table (hooking in random order, pointer jumps).
 
 Defined cases: a null text is empty; a text without words has fingerprint zero, linked like any other;
 rows that repeat a doc_id are each returned; a null doc_id takes part, but is never a component's name
@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, table, text_slices
+from .common import materialize, plain_planning, table, text_slices
 
 RADIUS = 3
 SHINGLE = 3
@@ -295,20 +295,27 @@ def links(distinct: DataFrame, radius: int = RADIUS, sample: int = SAMPLE, large
 
 
 def components(edges: DataFrame, most_rounds: int = 64) -> DataFrame:
-    """(a, b) links -> (node, root), root the least node of the component, for all nodes with a link.
+    """(a, b) links -> (node, root), root the least node of the component, for all nodes with a link."""
+    with plain_planning(edges.sparkSession):
+        return contracted(edges, most_rounds)
 
-    Each round hooks every node to its least neighbour, shortens the paths by pointer jumping, and
-    contracts the edges; the edge table shrinks to nothing in a logarithmic number of rounds. Rounds are
-    cut off by checkpoints; nothing but counts reaches the driver.
+
+def contracted(edges: DataFrame, most_rounds: int) -> DataFrame:
+    """Each round orders the nodes anew by a hash, hooks every node to the first one within two links in that
+    order, shortens the paths by a pointer jump, and contracts the edges. As the order is random, descending
+    chains are short and a constant share of the nodes goes each round, on paths; stars go at once. Rounds are cut off by checkpoints; nothing but counts reaches the driver.
     """
     live = materialize(edges.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
     parents = []
-    for _ in range(most_rounds):
+    for turn in range(most_rounds):
         if live.isEmpty():
             break
         both = live.select(F.col("a").alias("v"), F.col("b").alias("n")).union(live.select(F.col("b").alias("v"), F.col("a").alias("n")))
-        hook = both.groupBy("v").agg(F.least(F.col("v"), F.min("n")).alias("p"))
-        # two jumps: a node's parent is its least neighbour's least neighbour's least neighbour
+        place = lambda c: F.struct(F.xxhash64(F.lit(turn), c).alias("h"), F.col(c).alias("id"))  # noqa: E731, B023
+        near = both.groupBy("v").agg(F.least(F.min(place("n")), F.min(place("v"))).alias("m"))
+        near = near.select(F.col("v").alias("nv"), "m")
+        hook = both.join(near, F.col("n") == F.col("nv")).groupBy("v").agg(F.min("m").alias("m")).select("v", F.col("m.id").alias("p"))
+        hook = materialize(hook)
         up = hook.select(F.col("v").alias("uv"), F.col("p").alias("up"))
         hook = hook.join(up, F.col("p") == F.col("uv")).select("v", F.col("up").alias("p"))
         hook = materialize(hook)
@@ -327,7 +334,9 @@ def components(edges: DataFrame, most_rounds: int = 64) -> DataFrame:
     for hook in reversed(parents[:-1]):
         later = roots.select(F.col("node").alias("ln"), F.col("root").alias("lr"))
         roots = hook.join(later, F.col("p") == F.col("ln"), "left").select(F.col("v").alias("node"), F.coalesce("lr", "p").alias("root"))
-    return roots
+    roots = materialize(roots)
+    least = roots.groupBy(F.col("root").alias("r")).agg(F.least(F.min("node"), F.col("r")).alias("least"))
+    return roots.join(least, F.col("root") == F.col("r")).select("node", F.col("least").alias("root"))
 
 
 def near_duplicates(docs: DataFrame, radius: int = RADIUS, width: int = SHINGLE) -> DataFrame:
