@@ -39,8 +39,7 @@ def markov_regime_fit(spark, d):
 @query("chow_lin_daily")
 def chow_lin_daily(spark, d):
     daily = src.orders_levels(spark, d).join(src.ship_counts(spark, d).select("date", F.ln("value").alias("ln_vix")), "date")
-    first = daily.where("date < DATE '1997-01-01'")
-    return models.chow_lin_daily(first, src.monthly_levels(spark, d), ["ln_vix"])
+    return models.chow_lin_daily(daily, src.monthly_levels(spark, d), ["ln_vix"])
 
 
 @query("block_bootstrap_ci")
