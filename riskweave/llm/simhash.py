@@ -360,10 +360,15 @@ def op8_simhash(spark, sf_dir: str) -> DataFrame:
 
 # --- the pipeline's stage ------------------------------------------------------------------------
 
-#: Five-word shingles, and eight fingerprints of 64 bits, so that similarity can be told from the distance.
+#: Five-word shingles, and eight fingerprints of 64 bits, so that similarity can be estimated from the distance.
 STAGE_SHINGLE = 5
 STAGE_WORDS = 8
 STAGE_SIMILARITY = 0.8
+#: Candidates agree on all least hashes of a band: at a similarity of 0.8 with probability 1 - (1 - 0.8^5)^24 = 0.9999.
+STAGE_BANDS = 24
+STAGE_BAND_ROWS = 5
+#: How many deviations beyond the mean at the threshold a candidate's distance may lie.
+STAGE_DEVIATIONS = 4
 _GOLDEN = 0x9E3779B97F4A7C15
 
 
@@ -375,123 +380,212 @@ def spread(h: np.ndarray, k: int) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def wide_fingerprint(text: str | None, width: int = STAGE_SHINGLE, words: int = STAGE_WORDS) -> tuple[list[int], int]:
-    """The fingerprints of a text's distinct shingles, and a hash of its words."""
+def shingle_hashes(text: str | None, width: int = STAGE_SHINGLE) -> tuple[np.ndarray, int]:
+    """The sorted hashes of a text's distinct shingles, and a hash of its words."""
     found = (text or "").encode("utf-8", "surrogatepass").lower().split()
     joined = b" ".join(found)
     name = xxhash.xxh3_64_intdigest(joined)
     if not found:
-        return [0] * words, name
+        return np.zeros(0, np.uint64), name
     if len(found) <= width:
-        hashes = np.array([xxhash.xxh64_intdigest(joined, SEED)], np.uint64)
-    else:
-        ends = np.cumsum(np.fromiter(map(len, found), np.int64, len(found)) + 1)
-        starts = np.concatenate(([0], ends[:-1])).tolist()
-        digest = xxhash.xxh64_intdigest
-        hashes = np.unique(np.array([digest(joined[a:b], SEED) for a, b in zip(starts, (ends[width - 1 :] - 1).tolist())], np.uint64))
+        return np.array([xxhash.xxh64_intdigest(joined, SEED)], np.uint64), name
+    ends = np.cumsum(np.fromiter(map(len, found), np.int64, len(found)) + 1)
+    starts = np.concatenate(([0], ends[:-1])).tolist()
+    digest = xxhash.xxh64_intdigest
+    return np.unique(np.array([digest(joined[a:b], SEED) for a, b in zip(starts, (ends[width - 1 :] - 1).tolist())], np.uint64)), name
+
+
+def wide_bits(hashes: np.ndarray, words: int = STAGE_WORDS) -> list[int]:
+    """The fingerprints of a set of shingle hashes."""
+    if not len(hashes):
+        return [0] * words
     counts = np.zeros(64 * words, np.int64)
     for at in range(0, len(hashes), 255):
         block = np.stack([spread(hashes[at : at + 255], k) for k in range(words)], axis=1)
         counts += np.unpackbits(block.astype(">u8").view(np.uint8).reshape(len(block), -1), axis=1).sum(axis=0, dtype=np.uint8)
     bits = np.packbits(2 * counts > len(hashes)).view(">u8")
-    return [int(b) for b in bits], name
+    return [int(b) for b in bits]
+
+
+_TIMES = spread(np.arange(STAGE_BANDS * STAGE_BAND_ROWS, dtype=np.uint64), 0) | np.uint64(1)
+_PLUS = spread(np.arange(STAGE_BANDS * STAGE_BAND_ROWS, dtype=np.uint64), 1)
+
+
+def band_keys(hashes: np.ndarray) -> list[int]:
+    """One key a band: a hash of the least values that the band's hash functions take on the shingles."""
+    least = np.full(len(_TIMES), np.iinfo(np.uint64).max, np.uint64)
+    for at in range(0, len(hashes), 1024):
+        np.minimum(least, (hashes[at : at + 1024, None] * _TIMES + _PLUS).min(axis=0), out=least)
+    return [xxhash.xxh3_64_intdigest(row.tobytes(), k) for k, row in enumerate(least.reshape(STAGE_BANDS, -1))]
 
 
 def stage_radius(similarity: float = STAGE_SIMILARITY, bits: int = 64 * STAGE_WORDS) -> int:
-    """The distance that texts of this Jaccard similarity have on average, and a standard deviation more."""
+    """The distance that texts of this Jaccard similarity have on average, and some standard deviations more."""
     share = np.arccos(2 * similarity / (1 + similarity)) / np.pi
-    return int(bits * share + np.sqrt(bits * share * (1 - share)))
+    return int(bits * share + STAGE_DEVIATIONS * np.sqrt(bits * share * (1 - share)))
+
+
+def nearest_forest(fp: np.ndarray, radius: int) -> list[tuple[int, int]]:
+    """Pairs of rows within `radius` bits that span the components of all such pairs, the closest first
+    (Prim's algorithm; memory is linear in the rows)."""
+    n = len(fp)
+    near, parent, left = np.full(n, 1 << 30), np.zeros(n, np.int64), np.ones(n, bool)
+    found, at = [], 0
+    for _ in range(n):
+        left[at] = False
+        d = np.bitwise_count(fp ^ fp[at]).sum(axis=1, dtype=np.int64)
+        closer = left & (d < near)
+        near[closer], parent[closer] = d[closer], at
+        near[at] = 1 << 31
+        at = int(near.argmin())
+        if left[at] and near[at] <= radius:
+            found.append((int(parent[at]), at))
+        if not left[at]:
+            break
+    return found
 
 
-def close_pairs(entries: DataFrame, radius: int, words: int = STAGE_WORDS) -> DataFrame:
-    """(a, b): pairs that span the components of the links within each bucket. Small buckets are compared
-    many at a time, large ones block by block."""
+def bucket_pairs(entries: DataFrame, radius: int, words: int = STAGE_WORDS) -> DataFrame:
+    """(k, a, b) with a < b: pairs within `radius` bits in each bucket k. Where `entries` (k, cls, w0...) has
+    no column `root`, those of a forest of the closest pairs; otherwise all pairs whose roots differ."""
     names = [f"w{k}" for k in range(words)]
-    keyed = entries.select(F.xxhash64("part", "value").alias("k"), "cls", *names)
-    rows = keyed.repartition("k").sortWithinPartitions("k")
+    rooted = "root" in entries.columns
+    rows = entries.select("k", "cls", *(["root"] if rooted else []), *names).repartition("k").sortWithinPartitions("k", "cls")
+    lead = 3 if rooted else 2
+
+    def within(rows: np.ndarray) -> Iterator[np.ndarray]:
+        key, ids, fp = rows[:, 0], rows[:, 1], np.ascontiguousarray(rows[:, lead:]).view(np.uint64)
+        head = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
+        size = np.diff(np.concatenate((head, [len(rows)])))
+        if not rooted:
+            x = head[size == 2]
+            x = x[np.bitwise_count(fp[x] ^ fp[x + 1]).sum(axis=1) <= radius]
+            yield np.stack([key[x], ids[x], ids[x + 1]], axis=1)
+        several = size > (1 if rooted else 2)
+        for s, m in zip(head[several].tolist(), size[several].tolist()):
+            if not rooted:
+                pairs = np.array(nearest_forest(fp[s : s + m], radius), np.int64).reshape(-1, 2) + s
+                yield np.stack([key[pairs[:, 0]], ids[pairs].min(axis=1), ids[pairs].max(axis=1)], axis=1)
+                continue
+            for i in range(s, s + m - 1):
+                near = np.bitwise_count(fp[i + 1 : s + m] ^ fp[i]).sum(axis=1) <= radius
+                y = i + 1 + np.flatnonzero(near & (rows[i + 1 : s + m, 2] != rows[i, 2]))
+                if len(y):
+                    yield np.stack([key[y], np.full(len(y), ids[i]), ids[y]], axis=1)
+
+    def out(rows: np.ndarray) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
+        for found in within(rows):
+            held.append(found)
+            size += len(found)
+            if size > 1 << 16:
+                yield batch_of(held)
+                held, size = [], 0
+        if size:
+            yield batch_of(held)
+
+    def batch_of(held: list[np.ndarray]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(c) for c in np.concatenate(held).T], ["k", "a", "b"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def out(a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
-
         left: np.ndarray | None = None
         for batch in batches:
             if not batch.num_rows:
                 continue
-            now = np.stack([batch.column(i).to_numpy() for i in range(2 + words)], axis=1)
+            now = np.stack([batch.column(i).to_numpy() for i in range(lead + words)], axis=1)
             if left is not None:
                 now = np.concatenate((left, now))
             # the last bucket may go on in the next batch
             cut = int(np.searchsorted(now[:, 0], now[-1, 0], side="left"))
             left = now[cut:]
-            if cut and len(found := spanning(now[:cut], radius)):
-                yield out(found[:, 0], found[:, 1])
-        if left is not None and len(found := spanning(left, radius)):
-            yield out(found[:, 0], found[:, 1])
+            if cut:
+                yield from out(now[:cut])
+        if left is not None:
+            yield from out(left)
+
+    return rows.mapInArrow(run, "k long, a long, b long")
 
-    return rows.mapInArrow(run, "a long, b long")
 
+def shingle_sets(docs: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(node, s): the sorted shingle hashes of each class in `nodes` (column `node`), from one of its texts."""
 
-def spanning(rows: np.ndarray, radius: int, small: int = 64, block: int = 512) -> np.ndarray:
-    """`rows` (key, id, words...) sorted by key -> pairs of ids that span the links within keys."""
-    key, ids, fp = rows[:, 0], rows[:, 1], np.ascontiguousarray(rows[:, 2:]).view(np.uint64)
-    n = len(rows)
-    head = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
-    size = np.diff(np.concatenate((head, [n])))
-    label = np.arange(n)
-    pairs = []
-
-    def link(x: np.ndarray, y: np.ndarray) -> None:
-        new = label[x] != label[y]
-        if new.any():
-            pairs.append(merge(label, x[new], y[new]))
-
-    tail = np.repeat(head + size, size)
-    in_small = np.repeat(size <= small, size)
-    for shift in range(1, int(min(small, size.max()))):
-        x = np.flatnonzero(in_small & (np.arange(n) + shift < tail))
-        near = np.bitwise_count(fp[x] ^ fp[x + shift]).sum(axis=1) <= radius
-        link(x[near], x[near] + shift)
-    for s, m in zip(head[size > small].tolist(), size[size > small].tolist()):
-        for i in range(s, s + m, block):
-            for j in range(i, s + m, block):
-                a, b = fp[i : min(i + block, s + m)], fp[j : min(j + block, s + m)]
-                d = np.zeros((len(a), len(b)), np.uint16)
-                for w in range(fp.shape[1]):
-                    d += np.bitwise_count(a[:, w, None] ^ b[None, :, w])
-                x, y = np.nonzero(d <= radius)
-                link(x + i, y + j)
-    return ids[np.concatenate(pairs)] if pairs else np.zeros((0, 2), np.int64)
+    def name(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in text_slices(batch, "text", 1 << 23):
+                names = [xxhash.xxh3_64_intdigest(b" ".join((x.as_py() or "").encode("utf-8", "surrogatepass").lower().split())) for x in part.column(0)]
+                yield pa.RecordBatch.from_arrays([pa.array(np.array(names, np.uint64).view(np.int64)), part.column(0)], ["cls", "text"])
+
+    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in text_slices(batch, "text", 1 << 21):
+                found = [shingle_hashes(x.as_py())[0].tobytes() for x in part.column(1)]
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(found, pa.binary())], ["node", "s"])
+
+    texts = docs.select("text").mapInArrow(name, "cls long, text string").join(nodes, F.col("cls") == F.col("node"), "left_semi")
+    return texts.groupBy("cls").agg(F.first("text").alias("text")).mapInArrow(sets, "node long, s binary")
+
+
+def with_similarity(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """(a, b, alike): whether the shingle sets of a and b have a Jaccard similarity of STAGE_SIMILARITY or more."""
+    left, right = (sets.select(F.col("node").alias(f"n{c}"), F.col("s").alias(f"s{c}")) for c in "ab")
+    both = pairs.join(left, F.col("a") == F.col("na")).join(right, F.col("b") == F.col("nb")).select("a", "b", "sa", "sb")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            alike = []
+            for x, y in zip(batch.column(2), batch.column(3)):
+                u, v = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
+                alike.append(jaccard(u, v) >= STAGE_SIMILARITY)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(alike, pa.bool_())], ["a", "b", "alike"])
+
+    return both.mapInArrow(run, "a long, b long, alike boolean")
+
+
+def jaccard(u: np.ndarray, v: np.ndarray) -> float:
+    """Similarity of two sorted arrays without repeats."""
+    common = len(np.intersect1d(u, v, assume_unique=True))
+    union = len(u) + len(v) - common
+    return common / union if union else 1.0
 
 
 def copies_to_drop(docs: DataFrame, radius: int | None = None, words: int = STAGE_WORDS) -> tuple[DataFrame, DataFrame]:
     """(ids of documents that are near copies of a kept one, ids on which equal rows repeat)."""
     radius = stage_radius() if radius is None else radius
     names = [f"w{k}" for k in range(words)]
+    bands = [f"b{k}" for k in range(STAGE_BANDS)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in text_slices(batch, "text", 1 << 23):
-                got = [wide_fingerprint(x.as_py()) for x in part.column(1)]
-                values = np.array([[name, *fp] for fp, name in got], np.uint64).view(np.int64)
-                yield pa.RecordBatch.from_arrays([part.column(0), *(pa.array(c) for c in values.T)], ["doc_id", "cls", *names])
+                got = [shingle_hashes(x.as_py()) for x in part.column(1)]
+                values = np.array([[name, *wide_bits(h, words), *band_keys(h)] for h, name in got], np.uint64).view(np.int64)
+                yield pa.RecordBatch.from_arrays([part.column(0), *(pa.array(c) for c in values.T)], ["doc_id", "cls", *names, *bands])
 
     narrow = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    fps = materialize(narrow.mapInArrow(run, "doc_id long, cls long, " + ", ".join(f"{n} long" for n in names)))
-    classes = materialize(fps.groupBy("cls").agg(F.min("doc_id").alias("first_id"), *(F.first(n).alias(n) for n in names)))
-    rows = classes.count()
-    seen = classes.groupBy(F.pmod(F.xxhash64("cls"), F.lit(SAMPLE)).alias("b")).agg(F.min(F.struct("cls", *names)).alias("s")).collect()
-    structs = []
-    for k, name in enumerate(names):
-        # the pigeonhole search of each fingerprint finds all pairs within RADIUS bits on it for certain, and
-        # many beyond: a pair is compared as soon as one partition agrees
-        bits = to_bits(np.array([r.s[name] for r in seen], np.int64).view(np.uint64)) if seen else np.zeros((0, 64), np.uint8)
-        groups = bit_groups(bits, list(range(64)), RADIUS + 1)
-        for j, (mask, flips) in enumerate(masks(groups, thresholds(bits, groups, RADIUS, rows))):
-            own = F.col(name).bitwiseAND(F.lit(signed(mask)))
-            structs += [F.struct(F.lit(100 * k + j).alias("part"), own.bitwiseXOR(F.lit(signed(f))).alias("value")) for f in flips]
-    entries = classes.select("cls", *names, F.explode(F.array(*structs)).alias("e")).select("cls", *names, "e.part", "e.value")
-    roots = components(close_pairs(entries, radius))
+    fps = materialize(narrow.mapInArrow(run, "doc_id long, cls long, " + ", ".join(f"{n} long" for n in names + bands)))
+    classes = materialize(fps.groupBy("cls").agg(F.min("doc_id").alias("first_id"), *(F.first(n).alias(n) for n in names + bands)))
+    entries = classes.select("cls", *names, F.explode(F.array(*bands)).alias("k"))
+    # The closest pairs that span each bucket are compared first. Where all of a bucket's are alike, the rest
+    # of its pairs are linked anyway; in other buckets all pairs that aren't linked by then are compared.
+    forest_ = materialize(bucket_pairs(entries, radius, words))
+    nodes = forest_.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    sets = materialize(shingle_sets(docs, nodes))
+    judged = materialize(with_similarity(forest_.select("a", "b").distinct(), sets))
+    edges = judged.where("alike").select("a", "b")
+    roots = components(edges)
+    unlike = judged.where("NOT alike").select(F.col("a").alias("ua"), F.col("b").alias("ub"))
+    if not unlike.isEmpty():
+        roots = materialize(roots)
+        open_ = forest_.join(unlike, (F.col("a") == F.col("ua")) & (F.col("b") == F.col("ub")), "left_semi")
+        open_ = materialize(open_.select(F.col("k").alias("open")).distinct())
+        again = entries.join(open_, F.col("k") == F.col("open"), "left_semi").join(roots, F.col("cls") == F.col("node"), "left")
+        again = again.select("k", "cls", F.coalesce("root", "cls").alias("root"), *names)
+        rest = bucket_pairs(again, radius, words).select("a", "b").distinct()
+        rest = rest.join(unlike, (F.col("a") == F.col("ua")) & (F.col("b") == F.col("ub")), "left_anti")
+        # both ends of a pair within the radius are in its bucket's forest, so their sets are at hand
+        more = materialize(with_similarity(rest, sets).where("alike").select("a", "b"))
+        if not more.isEmpty():
+            roots = components(edges.union(more))
     named = classes.select("cls", "first_id").join(roots, F.col("cls") == F.col("node"), "left").select("cls", "first_id", F.coalesce("root", "cls").alias("root"))
     least = named.groupBy("root").agg(F.min("first_id").alias("kept_id"))
     # only classes whose kept document is another one, or that have more documents
@@ -505,8 +599,8 @@ def copies_to_drop(docs: DataFrame, radius: int | None = None, words: int = STAG
 def stage_simhash(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: of each group of near copies the document with the least id stays.
 
-    Five-word shingles; similarity is told from the distance of 512 fingerprint bits, 0.8 within a
-    standard deviation of that estimate (0.02). Rows that repeat a doc_id stand or fall together, and of
+    Near copies have a Jaccard similarity of 0.8 or more on their sets of five-word shingles, or are linked
+    by such. Candidates come from bands of least hashes and the distance of 512 fingerprint bits. Rows that repeat a doc_id stand or fall together, and of
     equal ones among them one stays; rows without an id are copies of the least id of their group, if any.
     """
     drop, repeats = copies_to_drop(docs)

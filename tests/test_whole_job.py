@@ -3,6 +3,7 @@
 import numpy as np
 from pyspark.sql import functions as F
 
+from riskweave.llm import simhash
 from riskweave.operators import models
 from riskweave.plans import catalogue
 from riskweave.sources import series as src
@@ -29,3 +30,29 @@ def test_omega_ct_is_the_dense_product():
     lag = np.abs(np.subtract.outer(np.arange(22), np.arange(22)))
     for rho in (-0.9, 0.0, 0.4, 0.99):
         assert np.allclose(models.omega_ct(c, rho), (rho**lag) @ c.T)
+
+
+def changed(words, spots, tag):
+    """`words` with new words at isolated spots: each changes five shingles."""
+    own = list(words)
+    for i in spots:
+        own[i] = f"{tag}{i}"
+    return own
+
+
+def test_near_duplicates_are_those_of_the_exact_shingle_sets(spark):
+    rng = np.random.default_rng(8)
+    rows, expected = [], []
+    for k in range(120):
+        base = [f"v{i}" for i in rng.integers(0, 10**6, 404)]
+        # 400 shingles; 8 changes leave 360/440 = 0.818, 9 leave 355/445 = 0.798
+        n = 8 if k % 2 else 9
+        rows += [(2 * k, " ".join(base)), (2 * k + 1, " ".join(changed(base, range(10, 10 + 20 * n, 20), "x")))]
+        expected += [2 * k] if n == 8 else [2 * k, 2 * k + 1]
+    # copies of one text that are alike only through it: pairwise about 0.68
+    base = [f"u{i}" for i in range(404)]
+    rows.append((1000, " ".join(base)))
+    rows += [(1000 + c, " ".join(changed(base, range(10 + 2 * c, 170, 20), f"y{c}"))) for c in range(1, 9)]
+    expected.append(1000)
+    docs = spark.createDataFrame([(i, t, "en", "a") for i, t in rows], "doc_id long, text string, lang string, source string")
+    assert sorted(r.doc_id for r in simhash.stage_simhash(spark, docs, "").collect()) == expected
