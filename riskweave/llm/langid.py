@@ -5,7 +5,9 @@ parsed greedily into the longest phrases that occur in a language's text; the fe
 needs, the closer the language. The language with the fewest phrases per character wins.
 
 The automata of all languages are laid out as transition tables over a small alphabet: the most frequent
-letters of the labelled text, one symbol for other letters, one for runs of anything else. A transition
+letters of the labelled text, one symbol for other letters, one for runs of anything else. Scripts above
+U+3000 have too many letters for that: where the labelled text has such letters, the less frequent ones of
+kana, Hangul, and Han with all others are dealt by hash over a few symbols of their own. A transition
 that would leave the automaton goes where the broken character leads from the root and carries a bit that
 counts a phrase, so a parse is one table look-up a character. Texts are parsed in blocks of `BLOCK`
 characters, many side by side; a phrase ends at a block's end. Whole texts are parsed.
@@ -41,7 +43,10 @@ SHARPNESS = 24.0
 #: In the pipeline, a text goes if its best language leads chance by less than this.
 LEAST_LEAD = 0.01
 _GAP, _OTHER = 0, 1
-_POINTS = 0x3000
+_POINTS = 0x110000
+#: Letters from here on that aren't frequent are dealt over symbols by script: (ranges, symbols) each, the last for the rest.
+_WIDE = 0x3000
+_SCRIPTS = [([(0x3040, 0x3100), (0x31F0, 0x3200), (0xFF66, 0xFF9E)], 6), ([(0x3130, 0x3190), (0xAC00, 0xD7A4)], 12), ([], 24)]
 
 
 def suffix_automaton(text: list[int], width: int) -> np.ndarray:
@@ -107,23 +112,37 @@ def points(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(joined, np.uint32), np.fromiter(map(len, texts), np.int64, len(texts))
 
 
+def deal_wide(symbol: np.ndarray, width: int) -> int:
+    """Deal the other letters above U+3000 over new symbols from `width` on (in place); returns the new width."""
+    c = _WIDE + np.flatnonzero(symbol[_WIDE:] == _OTHER)
+    left = np.ones(len(c), bool)
+    for ranges, share in _SCRIPTS:
+        own = left & (np.any([(c >= a) & (c < b) for a, b in ranges], axis=0) if ranges else True)
+        symbol[c[own]] = width + (c[own] * 0x9E3779B1 >> 16) % share
+        left &= ~own
+        width += share
+    return width
+
+
 def train(samples: dict[str, list[str]], alphabet: int = ALPHABET, chars: int = SAMPLE_CHARS) -> Model:
     letter = _letters()
     texts = {}
     for lang in sorted(samples):
         share = max(1, chars // max(1, len(samples[lang])))
         texts[lang] = "\n".join(t[:share] for t in samples[lang])[:chars].lower()
-    counts = Counter(c for t in texts.values() for c in t if ord(c) < _POINTS and letter[ord(c)])
+    counts = Counter(c for t in texts.values() for c in t if letter[ord(c)])
     common = [c for c, _ in sorted(counts.items(), key=lambda x: (-x[1], x[0]))[: alphabet - 2]]
     symbol = np.full(_POINTS, _GAP, np.uint8)
     symbol[letter] = _OTHER
     for k, c in enumerate(common):
         symbol[ord(c)] = k + 2
-    for c in range(_POINTS):
-        low = chr(c).lower() if letter[c] else ""
-        if len(low) == 1 and ord(low) < _POINTS:
-            symbol[c] = symbol[ord(low)]
     width = len(common) + 2
+    if any(ord(c) >= _WIDE for c in counts.keys() - set(common)):
+        width = deal_wide(symbol, width)
+    for c in np.flatnonzero(letter).tolist():
+        low = chr(c).lower()
+        if len(low) == 1:
+            symbol[c] = symbol[ord(low)]
     model = Model(sorted(samples), symbol, letter, width, np.zeros(0, np.int32), np.zeros(0, np.int32), np.zeros(0))
     parts, roots, at, bits = [], [], 0, []
     for lang in model.languages:
@@ -143,7 +162,7 @@ def train(samples: dict[str, list[str]], alphabet: int = ALPHABET, chars: int =
 
 def symbols(model: Model, cps: np.ndarray) -> np.ndarray:
     """Symbols of a text's code points; a run of gaps counts once."""
-    out = model.symbol[np.minimum(cps, _POINTS - 1)]
+    out = model.symbol[cps]
     keep = np.ones(len(out), bool)
     keep[1:] = (out[1:] != _GAP) | (out[:-1] != _GAP)
     return out[keep]
@@ -153,10 +172,9 @@ def phrases(model: Model, texts: list[str], block: int = BLOCK) -> tuple[np.ndar
     """Phrases (text x language), symbols a text, and whether it has a letter."""
     cps, sizes = points(texts)
     n, ends = len(texts), np.cumsum(sizes)
-    low = np.minimum(cps, _POINTS - 1)
-    sym = model.symbol[low]
+    sym = model.symbol[cps]
     owner = np.repeat(np.arange(n, dtype=np.int32), sizes)
-    has = np.bincount(owner, weights=model.letter[low] | (cps >= _POINTS), minlength=n) > 0
+    has = np.bincount(owner, weights=model.letter[cps], minlength=n) > 0
     keep = np.ones(len(sym), bool)
     keep[1:] = (sym[1:] != _GAP) | (sym[:-1] != _GAP) | (owner[1:] != owner[:-1])
     sym, owner = sym[keep], owner[keep]
