@@ -92,7 +92,7 @@ def dynamic_quantile(spark, d):
 
 @query("acerbi_null")
 def acerbi_null(spark, d):
-    return risk.acerbi_null(250, P, 5000, 7, spark).agg(F.avg("z1").alias("z1"), F.avg("z2").alias("z2"), F.count("*").alias("n"))
+    return risk.acerbi_null(250, P, 10_000, 7, spark).agg(F.avg("z1").alias("z1"), F.avg("z2").alias("z2"), F.count("*").alias("n"))
 
 
 # --- signal, costs, performance -------------------------------------------------------------------------

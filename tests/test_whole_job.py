@@ -76,3 +76,7 @@ def test_emoji_and_wide_punctuation_have_no_language():
     model = langid.train({"en": ["the river and the sea"], "fr": ["la mer et la rive"]})
     assert langid.predict(model, ["\U0001f600\U0001f680", "\u3001\u3002\uff01", "\U00020000"])[0][:2] == ["und", "und"]
     assert langid.phrases(model, ["\U0001f600", "\uff01", "\U00020000", "\u65e5"])[2].tolist() == [False, False, True, True]
+
+
+def test_acerbi_null_has_all_draws(spark):
+    assert catalogue.QUERIES["acerbi_null"](spark, SF).first().n == 10_000
