@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import contextlib
+import re
 import tempfile
 from collections.abc import Iterator
 
@@ -15,6 +16,7 @@ from pyspark.sql import types as T
 
 #: Rows whose crc32(id as text) mod 4 is this are held out of every training set.
 HELD_OUT_REMAINDER = 2
+_SPACE = re.compile(r"\s")
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -22,10 +24,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Use the folder of spark.checkpoint.dir; where the session names none (tests), set a temporary one."""
+    """Use the shared folder of spark.checkpoint.dir. Where the session names none, a temporary one serves on
+    a local master, whose threads all see it; on a cluster that is an error."""
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
         named = spark.conf.get("spark.checkpoint.dir", None)
+        if named is None and not sc.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="riskweave-checkpoint-"))
 
 
@@ -77,16 +82,34 @@ def with_schema(df: DataFrame, drop: tuple[str, ...] = (), **fields: T.DataType)
     return T.StructType(kept + [T.StructField(k, v) for k, v in fields.items()])
 
 
-def sampled_ids(df: DataFrame, group: Column, order: Column, id_col: str, buckets: int, keep: Column) -> list[tuple]:
-    """Up to `buckets` ids for each value of `group`, chosen by hash: the least id by `order` in each
-    hash bucket. One partial aggregation over two narrow columns; the result is bounded by the number of
-    groups times `buckets`."""
-    rows = (
-        df.where(keep & F.col(id_col).isNotNull())
-        .select(group.alias("g"), F.col(id_col).alias("i"), order.alias("o"))
-        .groupBy("g", F.pmod(F.xxhash64("i"), F.lit(buckets)).alias("b"))
-        .agg(F.min(F.struct("o", "i")).alias("m"))
-        .select("g", "m.i", "m.o")
-        .collect()
-    )
-    return sorted(((r.g, r.o, r.i) for r in rows), key=lambda r: (str(r[0]), r[1], r[2]))
+def sampled_ids(df: DataFrame, group: Column, id_col: str, most: int | dict, keep: Column, seed: int) -> tuple[dict, dict]:
+    """({group: ids}, {group: eligible rows}): all ids of a group that has up to `most` eligible rows, else the
+    `most` with the least hash. Two narrow scans: counts by group, then the rows whose hash lies below the
+    share that the count asks for, with a margin; so about `most` ids a group reach the driver."""
+    rows = df.where(keep & F.col(id_col).isNotNull()).select(group.alias("g"), F.col(id_col).alias("i"), F.xxhash64(F.lit(seed), F.col(id_col)).alias("h"))
+    rows = rows.where(F.col("g").isNotNull())
+    counts = {r.g: r.n for r in rows.groupBy("g").agg(F.count("*").alias("n")).collect()}  # one row a group
+    if not counts:
+        return {}, {}
+    bound = {g: most[g] if isinstance(most, dict) else most for g in counts}
+    share = {g: min(1.0, (1.5 * bound[g] + 64) / n) for g, n in counts.items()}
+    limit = F.create_map(*[F.lit(x) for g in counts for x in (g, int(share[g] * (1 << 40)))])
+    near = rows.where(F.pmod("h", F.lit(1 << 40)) < F.element_at(limit, F.col("g"))).groupBy("g", "i", "h").agg(F.lit(1))
+    found: dict = {g: [] for g in counts}
+    for r in near.collect():
+        found[r.g].append((r.h % (1 << 40), r.i))
+    return {g: [i for _, i in sorted(ids)[: bound[g]]] for g, ids in found.items()}, counts
+
+
+def text_chunks(text: str, size: int = 1 << 20) -> Iterator[str]:
+    """A long text in pieces of about `size` characters that end before white space, to bound the memory of
+    what is derived from a piece; a word is never cut."""
+    if len(text) <= size:
+        yield text
+        return
+    at = 0
+    while at < len(text):
+        m = _SPACE.search(text, at + size)
+        end = m.start() if m else len(text)
+        yield text[at:end]
+        at = end

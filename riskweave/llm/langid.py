@@ -4,24 +4,30 @@ For each language a suffix automaton of labelled text gives the longest match fr
 parsed greedily into the longest phrases that occur in a language's text; the fewer phrases a character
 needs, the closer the language. The language with the fewest phrases per character wins.
 
-The automata of all languages are laid out as transition tables over a small alphabet: the most frequent
-letters of the labelled text, one symbol for other letters, one for runs of anything else. Scripts above
-U+3000 have too many letters for that: where the labelled text has such letters, the less frequent ones of
-kana, Hangul, and Han with all others are dealt by hash over a few symbols of their own. A transition
-that would leave the automaton goes where the broken character leads from the root and carries a bit that
-counts a phrase, so a parse is one table look-up a character. Texts are parsed in blocks of `BLOCK`
-characters, many side by side; a phrase ends at a block's end. Whole texts are parsed.
-
-Bounds: the labelled sample has up to `SAMPLE_DOCS` documents and `SAMPLE_CHARS` characters a language,
-chosen by hash of the id among rows that are not held out; everything else covers all rows.
-
-Defined cases: a text that is null, empty or has no letter is `und` with score 0; where no row is labelled
-all are `und`; equal phrase counts go to the first language by code point; rows that repeat a doc_id are
-each judged; an empty table gives an empty result; other columns are ignored.
+Symbols are the letters and marks of all of Unicode, folded to lower case, and one symbol for runs of anything
+else. A letter that no labelled text has can't be in a match, so all such letters share a symbol without
+changing any parse. Transitions on the most frequent symbols are a dense table, on the others a sorted list of
+edges. An entry also says how many phrases end: one where the character begins the next phrase, two where it
+is in no labelled text and so a phrase of its own.
+
+Long texts are parsed in blocks side by side, each first as if a phrase began with it. Then every block is
+parsed again from the state in which the one before it really ends, until it falls in with its first parse,
+which is mostly after a few phrases; this is repeated until no block's beginning changes. The result is the
+parse of the whole text.
+
+Bound: the labelled sample has up to `SAMPLE_DOCS` whole documents a language, chosen by hash of the id among
+rows that are not held out and have at most `SAMPLE_LENGTH` characters; a language that has only longer ones
+is learned from the shortest of them. Everything else covers all rows.
+
+Defined cases: a text that is null, empty or has no letter (emoji, punctuation, digits) is `und` with score 0;
+where no row is labelled all are `und`; equal phrase counts go to the first language by code point; rows that
+repeat a doc_id are each judged; very long texts are parsed whole; an empty table gives an empty result; other
+columns are ignored.
 """
 
 from __future__ import annotations
 
+import unicodedata
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -33,77 +39,76 @@ from pyspark.sql import functions as F
 
 from .common import held_out, sampled_ids, table, text_slices
 
-SAMPLE_DOCS = 64
-SAMPLE_CHARS = 24_000
-ALPHABET = 48
+SAMPLE_DOCS = 32
+SAMPLE_LENGTH = 4_000
+#: Symbols with a column in the dense table.
+DENSE = 48
 BLOCK = 2048
+#: Steps into a block at which a second parse is compared with the first one.
+MARKS = (32, 64, 128, 256, 512, 1024)
 UND = "und"
 #: How fast the score falls as languages come closer; it doesn't change who wins.
 SHARPNESS = 24.0
 #: In the pipeline, a text goes if its best language leads chance by less than this.
 LEAST_LEAD = 0.01
-_GAP, _OTHER = 0, 1
+_GAP, _UNSEEN = 0, 1
 _POINTS = 0x110000
-#: Letters from here on that aren't frequent are dealt over symbols by script: (ranges, symbols) each, the last for the rest.
-_WIDE = 0x3000
-_SCRIPTS = [([(0x3040, 0x3100), (0x31F0, 0x3200), (0xFF66, 0xFF9E)], 6), ([(0x3130, 0x3190), (0xAC00, 0xD7A4)], 12), ([], 24)]
 
 
-def suffix_automaton(text: list[int], width: int) -> np.ndarray:
-    """Transitions (state, symbol) -> state, -1 where there is none; state 0 is the root."""
-    most = 2 * len(text) + 2
-    nxt = np.full((most, width), -1, np.int32)
-    link, length = [-1] * most, [0] * most
+def suffix_automaton(text: list[int]) -> list[dict[int, int]]:
+    """Transitions of each state, symbol -> state; state 0 is the root."""
+    link, length = [-1], [0]
     rows: list[dict[int, int]] = [{}]
-    size, last = 1, 0
+    last = 0
     for c in text:
-        cur = size
-        size += 1
+        cur = len(rows)
         rows.append({})
-        length[cur] = length[last] + 1
+        length.append(length[last] + 1)
+        link.append(0)
         p = last
         while p >= 0 and c not in rows[p]:
             rows[p][c] = cur
             p = link[p]
-        if p < 0:
-            link[cur] = 0
-        else:
+        if p >= 0:
             q = rows[p][c]
             if length[q] == length[p] + 1:
                 link[cur] = q
             else:
-                clone = size
-                size += 1
+                clone = len(rows)
                 rows.append(dict(rows[q]))
-                length[clone], link[clone] = length[p] + 1, link[q]
+                length.append(length[p] + 1)
+                link.append(link[q])
                 while p >= 0 and rows[p].get(c) == q:
                     rows[p][c] = clone
                     p = link[p]
                 link[q] = link[cur] = clone
         last = cur
-    for s, row in enumerate(rows):
-        for c, t in row.items():
-            nxt[s, c] = t
-    return nxt[:size]
+    return rows
 
 
 @dataclass
 class Model:
     languages: list[str]
-    #: code point -> symbol
+    #: code point -> symbol, and whether it is a letter
     symbol: np.ndarray
     letter: np.ndarray
+    #: dense columns
     width: int
-    #: all languages' tables, one after another; entries are (row start << 1) | phrase break
+    #: all languages' rows, one after another; an entry is (row start << 2) | phrases that end
     table: np.ndarray
     #: where each language's root row starts
     roots: np.ndarray
+    #: transitions on symbols beyond the dense ones: sorted (row start << 16 | symbol), and the row start they lead to
+    edges: np.ndarray
+    targets: np.ndarray
     #: log2 of each sample's length, the cost of a phrase in bits
     phrase_bits: np.ndarray
 
 
-def _letters() -> np.ndarray:
-    return np.fromiter((chr(c).isalpha() if not 0xD800 <= c < 0xE000 else False for c in range(_POINTS)), bool, _POINTS)
+def _kinds() -> tuple[np.ndarray, np.ndarray]:
+    """Which code points are letters, and which are letters or marks."""
+    first = np.array([ord(unicodedata.category(chr(c))[0]) for c in range(_POINTS)], np.uint8)
+    return first == ord("L"), (first == ord("L")) | (first == ord("M"))
 
 
 def points(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -112,51 +117,50 @@ def points(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(joined, np.uint32), np.fromiter(map(len, texts), np.int64, len(texts))
 
 
-def deal_wide(symbol: np.ndarray, width: int) -> int:
-    """Deal the other letters above U+3000 over new symbols from `width` on (in place); returns the new width."""
-    c = _WIDE + np.flatnonzero(symbol[_WIDE:] == _OTHER)
-    left = np.ones(len(c), bool)
-    for ranges, share in _SCRIPTS:
-        own = left & (np.any([(c >= a) & (c < b) for a, b in ranges], axis=0) if ranges else True)
-        symbol[c[own]] = width + (c[own] * 0x9E3779B1 >> 16) % share
-        left &= ~own
-        width += share
-    return width
-
-
-def train(samples: dict[str, list[str]], alphabet: int = ALPHABET, chars: int = SAMPLE_CHARS) -> Model:
-    letter = _letters()
-    texts = {}
-    for lang in sorted(samples):
-        share = max(1, chars // max(1, len(samples[lang])))
-        texts[lang] = "\n".join(t[:share] for t in samples[lang])[:chars].lower()
-    counts = Counter(c for t in texts.values() for c in t if letter[ord(c)])
-    common = [c for c, _ in sorted(counts.items(), key=lambda x: (-x[1], x[0]))[: alphabet - 2]]
-    symbol = np.full(_POINTS, _GAP, np.uint8)
-    symbol[letter] = _OTHER
-    for k, c in enumerate(common):
-        symbol[ord(c)] = k + 2
-    width = len(common) + 2
-    if any(ord(c) >= _WIDE for c in counts.keys() - set(common)):
-        width = deal_wide(symbol, width)
+def train(samples: dict[str, list[str]], dense: int = DENSE) -> Model:
+    letter, kept = _kinds()
+    fold = np.arange(_POINTS, dtype=np.uint32)
     for c in np.flatnonzero(letter).tolist():
         low = chr(c).lower()
         if len(low) == 1:
-            symbol[c] = symbol[ord(low)]
-    model = Model(sorted(samples), symbol, letter, width, np.zeros(0, np.int32), np.zeros(0, np.int32), np.zeros(0))
-    parts, roots, at, bits = [], [], 0, []
+            fold[c] = ord(low)
+    texts = {lang: fold[points(["\n".join(samples[lang])])[0]] for lang in sorted(samples)}
+    counts: Counter = Counter()
+    for cps in texts.values():
+        counts.update(dict(zip(*(a.tolist() for a in np.unique(cps[kept[cps]], return_counts=True)))))
+    symbol = np.where(kept, _UNSEEN, _GAP).astype(np.uint16)
+    # the most frequent ones first; the symbols of a bounded sample are fewer than 2^16
+    for k, (c, _) in enumerate(sorted(counts.items(), key=lambda x: (-x[1], x[0]))):
+        symbol[c] = k + 2
+    symbol = symbol[fold]
+    width = min(dense, len(counts) + 2)
+    none = np.zeros(0, np.int64)
+    model = Model(sorted(samples), symbol, letter, width, none.astype(np.int32), none, none, none.astype(np.int32), np.zeros(0))
+    parts, roots, bits, edges, targets, at = [], [], [], [], [], 0
     for lang in model.languages:
-        seq = symbols(model, points([texts[lang]])[0])
-        auto = suffix_automaton(seq.tolist(), width)
-        to = (auto.astype(np.int64) * width + at) << 1
-        # where there is no transition: a phrase ends, and the next one begins with this symbol
-        root = np.where(auto[0] >= 0, to[0], at << 1)
-        parts.append(np.where(auto >= 0, to, root[None, :] | 1).astype(np.int32).ravel())
+        seq = symbols(model, texts[lang])
+        rows = suffix_automaton(seq.tolist())
+        to = np.full((len(rows), width), -1, np.int64)
+        for s, row in enumerate(rows):
+            for c, t in row.items():
+                if c < width:
+                    to[s, c] = at + t * width
+                else:
+                    edges.append(at + s * width << 16 | c)
+                    targets.append(at + t * width)
+        # without a transition the phrase ends; the next one begins with this symbol, or is this symbol alone
+        begins = to[0] >= 0
+        restart = np.where(begins, to[0] << 2 | 1, at << 2 | 2)
+        entries = np.where(to >= 0, to << 2, restart[None, :])
+        entries[0] = np.where(begins, to[0] << 2, at << 2 | 1)
+        parts.append(entries.astype(np.int32).ravel())
         roots.append(at)
         bits.append(np.log2(max(2, len(seq))))
-        at += auto.size
+        at += entries.size
     if parts:
-        model.table, model.roots, model.phrase_bits = np.concatenate(parts), np.array(roots, np.int32), np.array(bits)
+        order = np.argsort(np.array(edges, np.int64))
+        model.table, model.roots, model.phrase_bits = np.concatenate(parts), np.array(roots), np.array(bits)
+        model.edges, model.targets = np.array(edges, np.int64)[order], np.array(targets, np.int32)[order]
     return model
 
 
@@ -168,10 +172,38 @@ def symbols(model: Model, cps: np.ndarray) -> np.ndarray:
     return out[keep]
 
 
+class Parse:
+    """The blocks of some texts: symbol sequences that are read by all languages' automata at once."""
+
+    def __init__(self, model: Model, sym: np.ndarray):
+        self.model, self.sym = model, sym
+        self.rare = bool(len(sym)) and int(sym.max()) >= model.width
+        self.dense = np.where(sym < model.width, sym, _UNSEEN) if self.rare else sym
+
+    def step(self, state: np.ndarray, root: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Row starts after the symbols at `at`, and the phrases that ended. `at` is the last axis of `state`."""
+        got = self.model.table[state + self.dense[at]]
+        state_, ended = got >> 2, got & 3
+        if self.rare:
+            x = self.sym[at].astype(np.int64)
+            rare = np.broadcast_to(x >= self.model.width, state.shape)
+            if rare.any():
+                x, own, begin = np.broadcast_to(x, state.shape)[rare], state[rare].astype(np.int64), np.broadcast_to(root, state.shape)[rare].astype(np.int64)
+                next_, fresh = self.edge(own, x), self.edge(begin, x)
+                state_[rare] = np.where(next_ >= 0, next_, np.where(fresh >= 0, fresh, begin))
+                ended[rare] = np.where(next_ >= 0, 0, np.where(fresh >= 0, 1, 1 + (own != begin)))
+        return state_, ended
+
+    def edge(self, state: np.ndarray, x: np.ndarray) -> np.ndarray:
+        key = state << 16 | x
+        k = np.minimum(np.searchsorted(self.model.edges, key), len(self.model.edges) - 1)
+        return np.where(self.model.edges[k] == key, self.model.targets[k], -1)
+
+
 def phrases(model: Model, texts: list[str], block: int = BLOCK) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Phrases (text x language), symbols a text, and whether it has a letter."""
     cps, sizes = points(texts)
-    n, ends = len(texts), np.cumsum(sizes)
+    n = len(texts)
     sym = model.symbol[cps]
     owner = np.repeat(np.arange(n, dtype=np.int32), sizes)
     has = np.bincount(owner, weights=model.letter[cps], minlength=n) > 0
@@ -180,32 +212,82 @@ def phrases(model: Model, texts: list[str], block: int = BLOCK) -> tuple[np.ndar
     sym, owner = sym[keep], owner[keep]
     length = np.bincount(owner, minlength=n)
     begin = np.concatenate(([0], np.cumsum(length)[:-1]))
-    # blocks, the longest first, so that those still running are a prefix
     per = -(-length // block)
     text_of = np.repeat(np.arange(n), per)
     k = np.arange(len(text_of)) - np.repeat(np.cumsum(per) - per, per)
-    start = begin[text_of] + k * block
-    size = np.minimum(block, length[text_of] - k * block)
+    start, size = begin[text_of] + k * block, np.minimum(block, length[text_of] - k * block)
+    langs, root = len(model.languages), model.roots.astype(np.int32)
+    parse, marks = Parse(model, sym), [m for m in MARKS if m < block]
+
+    # all blocks as if a phrase began with each, the longest first, so that those still running are a prefix
     order = np.argsort(-size, kind="stable")
-    start, size, text_of = start[order], size[order], text_of[order]
-    langs = len(model.languages)
-    state = np.repeat(model.roots.astype(np.int64)[:, None] << 1, len(start), axis=1)
-    count = np.zeros((langs, len(start)), np.int32)
-    running = len(start)
-    alive = np.searchsorted(-size, -np.arange(1, (int(size[0]) if len(size) else 0) + 1), side="right")
-    for step, running in enumerate(alive.tolist()):
-        s = state[:, :running]
-        x = sym[start[:running] + step]
-        got = model.table[(s >> 1) + x]
-        count[:, :running] += got & 1
-        state[:, :running] = got
+    state, count = np.repeat(root[:, None], len(size), axis=1), np.zeros((langs, len(size)), np.int64)
+    held = np.full((len(marks), langs, len(size)), -1, np.int32)
+    after = np.zeros((len(marks), langs, len(size)), np.int64)
+    alive = np.searchsorted(-size[order], -np.arange(1, (int(size.max()) if len(size) else 0) + 1), side="right")
+    for t, running in enumerate(alive.tolist()):
+        own, ended = parse.step(state[:, :running], root[:, None], start[order[:running]] + t)
+        state[:, :running] = own
+        count[:, :running] += ended
+        if t + 1 in marks:
+            held[marks.index(t + 1), :, order[:running]] = own.T
+            after[marks.index(t + 1), :, order[:running]] = count[:, :running].T
+    back = np.argsort(order)
+    state, count = state[:, back], count[:, back]
+    after = count - after  # phrases from each mark to the block's end
+
+    # again from where the block before really ends, as long as that changes
+    came = np.repeat(root[:, None], len(size), axis=1)
+    later = np.flatnonzero(k > 0)
+    while len(later):
+        lang, which = np.nonzero(came[:, later] != state[:, later - 1])
+        if not len(lang):
+            break
+        at = later[which]
+        came[lang, at] = state[lang, at - 1]
+        again(parse, root, start, size, marks, lang, at, came[lang, at], state, count, held, after)
     total = np.zeros((langs, n), np.int64)
+    last = np.cumsum(per) - 1
     for j in range(langs):
-        # the phrase that runs at a block's end counts as well
-        total[j] = np.bincount(text_of, weights=count[j] + 1, minlength=n).astype(np.int64)
+        total[j] = np.bincount(text_of, weights=count[j], minlength=n)
+        # the phrase that runs at the text's end
+        total[j][per > 0] += state[j][last[per > 0]] != root[j]
     return total.T, length, has & (length > 0)
 
 
+def again(parse: Parse, root: np.ndarray, start: np.ndarray, size: np.ndarray, marks: list[int], lang: np.ndarray, at: np.ndarray, own: np.ndarray, state: np.ndarray, count: np.ndarray, held: np.ndarray, after: np.ndarray) -> None:
+    """Parse the blocks `at` of languages `lang` from the states `own`, up to the mark where a block's state is the
+    one it had before, or to its end. Changes state, count, held and after of these blocks."""
+    ended = np.zeros(len(at), np.int64)
+    passed: list[tuple[int, np.ndarray, np.ndarray, np.ndarray]] = []
+    t = 0
+
+    def close(lang: np.ndarray, at: np.ndarray, total: np.ndarray) -> None:
+        """The blocks' counts are known: what lies between each mark passed and the end follows."""
+        count[lang, at] = total
+
+    while len(at):
+        own, more = parse.step(own, root[lang], start[at] + t)
+        ended = ended + more
+        t += 1
+        done = size[at] == t
+        if done.any():
+            state[lang[done], at[done]] = own[done]
+            close(lang[done], at[done], ended[done])
+        met = np.zeros(len(at), bool)
+        if t in marks:
+            m = marks.index(t)
+            met = ~done & (held[m, lang, at] == own)
+            close(lang[met], at[met], ended[met] + after[m, lang[met], at[met]])
+            left = ~met
+            held[m, lang[left], at[left]] = own[left]
+            passed.append((m, lang[left], at[left], ended[left]))
+        go = ~(done | met)
+        lang, at, own, ended = lang[go], at[go], own[go], ended[go]
+    for m, lang, at, ended in passed:
+        after[m, lang, at] = count[lang, at] - ended
+
+
 def predict(model: Model, texts: list[str]) -> tuple[list[str], np.ndarray]:
     """The language and score of each text."""
     if not model.languages or not texts:
@@ -213,23 +295,29 @@ def predict(model: Model, texts: list[str]) -> tuple[list[str], np.ndarray]:
     count, length, known = phrases(model, texts)
     bits = count * model.phrase_bits / np.maximum(1, length)[:, None]
     best = bits.argmin(axis=1)
-    weight = np.exp(-SHARPNESS * (bits - bits.min(axis=1, keepdims=True)) / np.maximum(bits.min(axis=1, keepdims=True), 1e-9) / 2)
+    least = np.maximum(bits.min(axis=1, keepdims=True), 1e-9)
+    weight = np.exp(-SHARPNESS * (bits - bits.min(axis=1, keepdims=True)) / least / 2)
     score = np.where(known, weight.max(axis=1) / weight.sum(axis=1), 0.0)
     return [model.languages[b] if k else UND for b, k in zip(best, known)], score
 
 
-def labelled_sample(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", most: int = SAMPLE_DOCS) -> dict[str, list[str]]:
-    """Texts by language: at most `most` a language, none of them held out."""
-    keep = ~held_out(id_col) & F.col(lang_col).isNotNull()
-    ids = sampled_ids(docs, F.col(lang_col), F.xxhash64(F.lit(4), F.col(id_col)), id_col, most, keep)
+def labelled_sample(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", most: int = SAMPLE_DOCS, longest: int = SAMPLE_LENGTH) -> dict[str, list[str]]:
+    """Whole texts by language, none of them held out: at most `most` of up to `longest` characters, or the
+    shortest one."""
+    size = F.length(text_col)
+    keep = ~held_out(id_col) & F.col(lang_col).isNotNull() & (size > 0)
+    ids, _ = sampled_ids(docs, F.col(lang_col), id_col, most, keep & (size <= longest), 4)
+    least = docs.where(keep & F.col(id_col).isNotNull()).groupBy(F.col(lang_col).alias("g")).agg(F.min(F.struct(size.alias("n"), F.col(id_col).alias("i"))).alias("m"))
+    ids |= {r.g: [r.m.i] for r in least.collect() if r.g not in ids}  # one row a language
     if not ids:
         return {}
-    rows = docs.where(F.col(id_col).isin([i for _, _, i in ids]) & F.col(text_col).isNotNull() & keep)
-    rows = rows.select(F.col(id_col).alias("i"), F.col(lang_col).alias("g"), F.substring(F.col(text_col), 1, SAMPLE_CHARS).alias("t"))
-    rows = rows.groupBy("g", "i").agg(F.min("t").alias("t"))  # ids that repeat count once
+    rows = docs.where(F.col(id_col).isin(sorted({i for own in ids.values() for i in own})) & keep)
+    rows = rows.select(F.col(id_col).alias("i"), F.col(lang_col).alias("g"), F.col(text_col).alias("t"), size.alias("n"))
+    rows = rows.groupBy("g", "i").agg(F.min(F.struct("n", "t")).alias("m"))  # ids that repeat count once
     found: dict[str, list[str]] = {}
-    for r in sorted(rows.collect(), key=lambda r: (r.g, r.i)):
-        found.setdefault(r.g, []).append(r.t)
+    for r in sorted(rows.select("g", "i", "m.t").collect(), key=lambda r: (r.g, r.i)):
+        if r.i in set(ids[r.g]):
+            found.setdefault(r.g, []).append(r.t)
     return found
 
 
@@ -252,7 +340,8 @@ def op4_langid(spark, sf_dir: str) -> DataFrame:
 
 
 def stage_langid(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: documents without letters, and those no language stands out for, go."""
+    """Pipeline stage: documents without letters (null and empty texts among them), and those no language
+    stands out for, go. Rows that repeat are each judged; all columns stay as they are."""
     shared = spark.sparkContext.broadcast(train(labelled_sample(docs)))
     at = docs.columns.index("text")
 
