@@ -1,5 +1,7 @@
 """A tolerant HTML parser that keeps what extraction needs: block elements, their attributes' tokens, and
-their text, in page order. Inline markup is no node; its text belongs to the block around it."""
+their text, in page order. Inline markup is no node; its text belongs to the block around it. Its time is linear
+in the page: every open element knows its place, so none is searched for, and a page with a quote that is never
+closed has its further tags end at the first `>`."""
 
 from __future__ import annotations
 
@@ -31,11 +33,14 @@ CLOSES = {
 #: Blocks that are never text of a page.
 NEVER = frozenset("head select button svg audio video object".split())
 
-_MARKUP = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>", re.DOTALL)
+_MARKUP = re.compile(r"<!--|<[!?]|<(/?)([a-zA-Z][^\s/>]*)")
+#: The rest of a tag up to its end, over quoted values; possessive, so it never goes back.
+_REST = re.compile(r"(?:[^>\"']|\"[^\"]*\"|'[^']*')*+")
 _ATTRIBUTE = re.compile(r"([a-zA-Z_:][-\w:.]*)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
 _TOKEN = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])|\d+")
 _NAMED = frozenset(("class", "id", "role", "itemprop", "aria-label", "rel"))
 _SPACES = re.compile(r"\s+")
+_HEADS = frozenset("h1 h2 h3 h4 h5 h6".split())
 
 
 @dataclass
@@ -67,14 +72,56 @@ def attributes(node: Node, raw: str) -> None:
             node.mark = value
 
 
+class _Open:
+    """The open elements, with the places of each kind, so that the innermost of a kind is found at once."""
+
+    def __init__(self):
+        #: (tag, node) for blocks, (tag, -1) for inline ones
+        self.stack: list[tuple[str, int]] = []
+        self.places: dict[str, list[int]] = {}
+        self.blocks: list[int] = []
+        self.links = 0
+
+    def push(self, tag: str, node: int = -1) -> None:
+        at = len(self.stack)
+        self.stack.append((tag, node))
+        self.places.setdefault(tag, []).append(at)
+        if node >= 0:
+            self.blocks.append(at)
+        elif tag == "a":
+            self.links += 1
+
+    def close_from(self, k: int) -> None:
+        """Close all elements from place k on."""
+        while len(self.stack) > k:
+            tag, node = self.stack.pop()
+            self.places[tag].pop()
+            if node >= 0:
+                self.blocks.pop()
+            elif tag == "a":
+                self.links -= 1
+
+    def innermost(self, tags: tuple[str, ...]) -> int:
+        return max((self.places[t][-1] for t in tags if self.places.get(t)), default=-1)
+
+    def within(self, tags: tuple[str, ...], barriers: tuple[str, ...]) -> int:
+        """The innermost of `tags` with none of `barriers` inside it, or -1."""
+        k = self.innermost(tags)
+        return k if k > max(0, self.innermost(barriers)) else -1
+
+    @property
+    def block(self) -> int:
+        return self.stack[self.blocks[-1]][1]
+
+
 def parse(page: str) -> list[Node]:
     """Blocks in page order; the first is the root. A node's text has single spaces and no ends."""
     nodes = [Node("html", -1, 0)]
-    #: open elements: (tag, node) for blocks, (tag, -1) for inline ones
-    stack: list[tuple[str, int]] = [("html", 0)]
-    open_at = [0]
+    open_ = _Open()
+    open_.push("html", 0)
     parts: list[str] = []
-    link_depth = linked = 0
+    linked = 0
+    lenient = False
 
     def flush() -> None:
         nonlocal linked
@@ -82,7 +129,7 @@ def parse(page: str) -> list[Node]:
             text = _SPACES.sub(" ", "".join(parts)).strip()
             parts.clear()
             if text:
-                owner = open_at[-1]
+                owner = open_.block
                 # text of a container, or after a child block, is a block of its own
                 if nodes[owner].tag in CONTAINER or nodes[owner].text or len(nodes) - 1 != owner:
                     nodes.append(Node("#text", owner, nodes[owner].depth + 1))
@@ -91,65 +138,51 @@ def parse(page: str) -> list[Node]:
                 nodes[owner].link_chars = min(linked, len(text))
         linked = 0
 
-    def pop_to(k: int) -> None:
-        """Close all elements from stack position k on."""
-        nonlocal link_depth
-        for tag, at in reversed(stack[k:]):
-            if at >= 0:
-                open_at.pop()
-            elif tag == "a":
-                link_depth -= 1
-        del stack[k:]
-
-    def find(tags: tuple[str, ...], barriers: tuple[str, ...] | frozenset[str]) -> int:
-        for k in range(len(stack) - 1, 0, -1):
-            if stack[k][0] in tags:
-                return k
-            if stack[k][0] in barriers:
-                return -1
-        return -1
-
     def add(text: str) -> None:
         nonlocal linked
         if "&" in text:
             text = html.unescape(text)
         parts.append(text)
-        if link_depth > 0:
+        if open_.links > 0:
             linked += len(text.strip())
 
     pos, end = 0, len(page)
     while pos < end:
         m = _MARKUP.search(page, pos)
         if m is None:
-            tail = page[pos:]
-            cut = re.search(r"<[/!?a-zA-Z][^>]*\Z", tail)  # a tag cut off by the page's end
-            add(tail[: cut.start()] if cut else tail)
+            add(page[pos:])
             break
         if m.start() > pos:
             add(page[pos : m.start()])
-        pos = m.end()
-        name = m[2] or m[5]
-        if name is None:
+        if m[2] is None:
+            mark = "-->" if m[0] == "<!--" else ">"
+            close = page.find(mark, m.end())
+            pos = end if close < 0 else close + len(mark)
             continue
-        if not m[0].endswith(">"):
+        stop = page.find(">", m.end()) if lenient else _REST.match(page, m.end()).end()
+        if not lenient and stop < end and page[stop] != ">":  # a quote that nothing closes
+            lenient = True
+            stop = page.find(">", m.end())
+        if stop < 0 or stop >= end:
             break  # cut off inside a tag
-        closing, tag, raw = bool(m[1] or m[4]), name.lower(), m[3] if m[2] else m[6]
+        closing, tag, raw = bool(m[1]), m[2].lower(), page[m.end() : stop]
+        pos = stop + 1
         if closing:
             if tag in BLOCK:
                 flush()
-                k = find((tag,), ())
-                if k > 0:
-                    pop_to(k)
+                k = open_.within((tag,), ())
             else:
-                k = find((tag,), BLOCK)
-                if k > 0:
-                    pop_to(k)
+                k = open_.innermost((tag,))
+                k = k if k > open_.blocks[-1] else -1
+            if k > 0:
+                open_.close_from(k)
             continue
         if tag in RAW:
-            close = re.compile(rf"</{tag}\b[^>]*>", re.IGNORECASE).search(page, pos)
-            pos = close.end() if close else end
+            close = re.compile(rf"</{tag}\b", re.IGNORECASE).search(page, pos)
+            stop = page.find(">", close.end()) if close else -1
+            pos = end if stop < 0 else stop + 1
             if tag == "textarea":
-                nodes[open_at[-1]].controls += 1
+                nodes[open_.block].controls += 1
             continue
         if tag in VOID:
             if tag == "br":
@@ -157,38 +190,37 @@ def parse(page: str) -> list[Node]:
             elif tag == "hr":
                 flush()
             elif tag == "input":
-                nodes[open_at[-1]].controls += 1
+                nodes[open_.block].controls += 1
             elif tag == "img":
-                nodes[open_at[-1]].images += 1
+                nodes[open_.block].images += 1
             continue
         if tag in BLOCK:
             flush()
             if tag == "html":
-                attributes(nodes[0], raw or "")
+                attributes(nodes[0], raw)
                 continue
-            k = find(("p",), ("table", "td", "th", "button", "object", "caption")) if tag not in ("td", "th", "tr", "li", "tbody", "thead", "tfoot", "caption") else -1
-            if k > 0:
-                pop_to(k)
+            if tag not in ("td", "th", "tr", "li", "tbody", "thead", "tfoot", "caption"):
+                k = open_.within(("p",), ("table", "td", "th", "button", "object", "caption"))
+                if k > 0:
+                    open_.close_from(k)
             if tag in CLOSES:
-                k = find(*CLOSES[tag])
+                k = open_.within(*CLOSES[tag])
                 if k > 0:
-                    pop_to(k)
-            if re.fullmatch("h[1-6]", tag) and stack[-1][0] in ("h1", "h2", "h3", "h4", "h5", "h6"):
-                pop_to(len(stack) - 1)
-            owner = open_at[-1]
+                    open_.close_from(k)
+            if tag in _HEADS and open_.stack[-1][0] in _HEADS:
+                open_.close_from(len(open_.stack) - 1)
+            owner = open_.block
             node = Node(tag, owner, nodes[owner].depth + 1)
-            if raw and raw.strip(" /"):
+            if raw.strip(" /"):
                 attributes(node, raw)
             if tag in ("button", "select"):
                 nodes[owner].controls += 1
             nodes.append(node)
-            if not (raw or "").endswith("/") or tag != "svg":
-                stack.append((tag, len(nodes) - 1))
-                open_at.append(len(nodes) - 1)
+            if not raw.endswith("/") or tag != "svg":
+                open_.push(tag, len(nodes) - 1)
         else:
-            stack.append((tag, -1))
+            open_.push(tag)
             if tag == "a":
-                link_depth += 1
-                nodes[open_at[-1]].links += 1
+                nodes[open_.block].links += 1
     flush()
     return nodes

@@ -12,8 +12,9 @@ among menus, headers, footers, sidebars, notices, adverts, forms and reader comm
 mark these up, with and without telling tags and class names.
 
 Defined cases: a null or empty page has an empty text; a page cut off in the middle of a tag, comment or
-script loses that; a page with text but no main text has an empty text; rows that repeat a page_id are each
-extracted; an empty table gives an empty result; other columns are ignored.
+script loses that; a page with text but no main text has an empty text; very long pages are parsed whole, in time
+linear in their length and nesting; rows that repeat a page_id are each extracted; an empty table gives an empty
+result; other columns are ignored.
 """
 
 from __future__ import annotations

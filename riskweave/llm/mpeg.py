@@ -5,13 +5,15 @@ variable-bitrate header frame (frame and byte counts, a table of 100 seek points
 checksum and empty side information, which decode to silence. The payload travels in the frames' data
 areas. Reading needs nothing but the bytes: it parses the tag, resynchronises on frame headers (a header
 counts if the next one or the end stands where its length says, or its checksum is right), verifies each
-frame's checksum, and gives exact durations and seek offsets.
+frame's checksum, checks the variable-bitrate header's counts and seek table against the frames, and gives
+exact durations and every frame's offset.
 
 Fixed values of the format: bitrates, sampling rates, sync word, the checksum polynomial 0x8005.
 
-Defined cases: a null text is empty, its payload 64 zero bytes; damage between frames is skipped and
-counted; rows that repeat a doc_id are each stored; an empty table gives an empty result; other columns
-are ignored.
+Defined cases: a null text is empty, its payload 64 zero bytes; a tag or header that is cut off or damaged is read
+as far as it holds, damage between frames is skipped, both are counted and nothing raises; a very long text is
+held whole, with its stored form, a few times its size; rows that repeat a doc_id are each stored; an empty table
+gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -20,7 +22,7 @@ import hashlib
 import struct
 import zlib
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 from functools import lru_cache
 
 import numpy as np
@@ -98,25 +100,32 @@ def encode(payload: bytes) -> bytes:
     frames = full + bool(rest)
     lead = frame_length(7, RATE_INDEX, 0)
     stream = lead + whole.size + len(last)
-    # frames are equally long but for the last, so seek points are known without a second pass
-    at = [min(255, (lead + (p * frames // 100) * (HEAD + ROOM[top])) * 256 // stream) for p in range(100)]
-    xing = b"Xing" + struct.pack(">III", 7, frames, stream) + bytes(at)
+    # frames are equally long but for the last, so all offsets are known without a second pass
+    at = seek_points([lead + k * (HEAD + ROOM[top]) for k in range(frames)], 0, stream)
+    xing = b"Xing" + struct.pack(">III", 7, frames, stream) + at
     first = HEADERS[7] + xing
     return tag(len(payload)) + first + bytes(lead - len(first)) + whole.tobytes() + last
 
 
 @dataclass
 class Media:
-    payload: bytes
-    frames: int
-    samples: int
-    rate: int
-    skipped: int
-    bad_checksums: int
-    vbr_frames: int | None
-    vbr_bytes: int | None
-    seek: list[int]
-    bitrates: dict[int, int]
+    payload: bytes = b""
+    #: payload bytes that the tag promises and the frames don't have
+    missing: int = 0
+    frames: int = 0
+    samples: int = 0
+    rate: int = 0
+    skipped: int = 0
+    bad_checksums: int = 0
+    #: what the variable-bitrate header says, where it has it
+    vbr_frames: int | None = None
+    vbr_bytes: int | None = None
+    vbr_seek: bytes | None = None
+    #: how many of its counts and seek points aren't what the frames say
+    vbr_wrong: int = 0
+    #: the offset of every frame that carries sound
+    seek: list[int] = field(default_factory=list)
+    bitrates: dict[int, int] = field(default_factory=dict)
 
     @property
     def duration_us(self) -> int:
@@ -138,21 +147,42 @@ def checksum_holds(data: bytes, at: int, checked: bool, side: int) -> bool:
     return checked and int.from_bytes(data[at + 4 : at + 6], "big") == crc16(data[at + 2 : at + 4] + data[at + 6 : at + 6 + side])
 
 
+def parse_tag(data: bytes) -> tuple[int, int | None]:
+    """(where the tag ends, the payload's length if a private frame says it)."""
+    if data[:3] != b"ID3" or len(data) < 10:
+        return 0, None
+    end = min(len(data), 10 + sum((b & 0x7F) << s for b, s in zip(data[6:10], (21, 14, 7, 0))))
+    at, size = 10, None
+    while at + 10 <= end and data[at : at + 4].isalnum():
+        n = int.from_bytes(data[at + 4 : at + 8], "big")
+        body = data[at + 10 : min(end, at + 10 + n)]
+        if data[at : at + 4] == b"PRIV" and body.startswith(OWNER) and len(body) == len(OWNER) + 8:
+            size = int.from_bytes(body[len(OWNER) :], "big")
+        at += 10 + n
+    return end, size
+
+
+def parse_vbr(frame: bytes, out: Media) -> None:
+    """The fields of a variable-bitrate header that begins with its name, as far as the frame holds them."""
+    flags, p = int.from_bytes(frame[4:8], "big"), 8
+    for bit, name, n in ((1, "vbr_frames", 4), (2, "vbr_bytes", 4), (4, "vbr_seek", 100)):
+        if flags & bit and p + n <= len(frame):
+            setattr(out, name, frame[p : p + n] if n == 100 else int.from_bytes(frame[p : p + n], "big"))
+            p += n
+
+
+def seek_points(offsets: list[int], first: int, stream: int) -> bytes:
+    """The 100 seek points of frames at `offsets` in a stream of so many bytes from `first` on."""
+    at = offsets or [first]
+    return bytes(min(255, (at[p * len(offsets) // 100] - first) * 256 // max(1, stream)) for p in range(100))
+
+
 def decode(data: bytes) -> Media:
-    at, size = 0, None
-    if data[:3] == b"ID3" and len(data) >= 10:
-        end = 10 + sum((b & 0x7F) << s for b, s in zip(data[6:10], (21, 14, 7, 0)))
-        at = 10
-        while at + 10 <= end and data[at : at + 4].isalnum():
-            n = struct.unpack(">I", data[at + 4 : at + 8])[0]
-            body = data[at + 10 : at + 10 + n]
-            if data[at : at + 4] == b"PRIV" and body.startswith(OWNER):
-                size = struct.unpack(">Q", body[len(OWNER) :])[0]
-            at += 10 + n
-        at = end
-    out = Media(b"", 0, 0, 0, 0, 0, None, None, [], {})
+    at, size = parse_tag(data)
+    out = Media()
     parts: list[bytes] = []
-    lead = True
+    first: int | None = None
+    end = at
     while at < len(data):
         got = parse_header(data, at)
         fits = got is not None and at + got[0] <= len(data)
@@ -167,12 +197,8 @@ def decode(data: bytes) -> Media:
         length, rate, bitrate, checked, side = got
         body = at + 4 + 2 * checked + side
         out.bad_checksums += checked and not good
-        if lead and data[body : body + 4] in (b"Xing", b"Info"):
-            flags, p = struct.unpack(">I", data[body + 4 : body + 8])[0], body + 8
-            if flags & 1:
-                out.vbr_frames, p = struct.unpack(">I", data[p : p + 4])[0], p + 4
-            if flags & 2:
-                out.vbr_bytes, p = struct.unpack(">I", data[p : p + 4])[0], p + 4
+        if first is None and data[body : body + 4] in (b"Xing", b"Info"):
+            parse_vbr(data[body : at + length], out)
         else:
             out.frames += 1
             out.samples += SAMPLES
@@ -180,20 +206,26 @@ def decode(data: bytes) -> Media:
             out.bitrates[bitrate] = out.bitrates.get(bitrate, 0) + 1
             out.seek.append(at)
             parts.append(data[body : at + length])
-        lead = False
+        first = at if first is None else first
         at += length
+        end = at
     joined = b"".join(parts)
     out.payload = joined if size is None else joined[:size]
+    out.missing = 0 if size is None else max(0, size - len(joined))
+    stream = end - (first or 0)
+    out.vbr_wrong = (out.vbr_frames not in (None, out.frames)) + (out.vbr_bytes not in (None, stream))
+    if out.vbr_seek is not None:
+        out.vbr_wrong += sum(a != b for a, b in zip(out.vbr_seek, seek_points(out.seek, first or 0, stream)))
     return out
 
 
 def feature(m: Media) -> str:
-    """Durations and seek offsets, exact: every hundredth frame's offset and the last one's."""
-    seek = m.seek[::100] + m.seek[-1:]
+    """Durations, counts and a digest of all seek offsets."""
     rates = "+".join(f"{k}x{v}" for k, v in sorted(m.bitrates.items()))
+    seek = f"{len(m.seek)}/{zlib.crc32(np.array(m.seek, '<i8').tobytes()):08x}"
     return (
-        f"frames={m.frames};samples={m.samples};rate={m.rate};duration_us={m.duration_us};kbps={rates};vbr={m.vbr_frames}/{m.vbr_bytes};"
-        f"bad={m.bad_checksums};skipped={m.skipped};seek={','.join(map(str, seek))}"
+        f"frames={m.frames};samples={m.samples};rate={m.rate};duration_us={m.duration_us};kbps={rates};vbr={m.vbr_frames}/{m.vbr_bytes}/{m.vbr_wrong};"
+        f"bad={m.bad_checksums};skipped={m.skipped};missing={m.missing};seek={seek}"
     )
 
 
@@ -214,7 +246,7 @@ def store_media(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     return narrow.mapInArrow(run, "doc_id long, n_bytes long, media binary")
 
 
-FEATURES = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, duration_us long"
+FEATURES = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, duration_us long, seek_offsets array<long>"
 
 
 def read_media(stored: DataFrame) -> DataFrame:
@@ -224,10 +256,10 @@ def read_media(stored: DataFrame) -> DataFrame:
         for batch in batches:
             rows = []
             for x in batch.column(2):
-                data = x.as_py()
+                data = x.as_py() or b""
                 m = decode(data)
-                rows.append((len(m.payload), hashlib.sha256(m.payload).hexdigest(), zlib.crc32(m.payload[-BLOCK:]), len(data), hashlib.sha256(data).hexdigest(), feature(m), m.duration_us))
-            kinds = (pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64())
+                rows.append((len(m.payload), hashlib.sha256(m.payload).hexdigest(), zlib.crc32(m.payload[-BLOCK:]), len(data), hashlib.sha256(data).hexdigest(), feature(m), m.duration_us, m.seek))
+            kinds = (pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.list_(pa.int64()))
             cols = [pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *cols], [f.split()[0] for f in FEATURES.split(", ")])
 

@@ -3,7 +3,7 @@
 The trie goes from the top-level label inwards (`org`, `example`), and from each host on through the path's
 segments. A rule's last path segment is a prefix (`/en/1` covers `/en/17`), so each path node keeps its
 endings in a small table by length. The longest matching rule decides: the deepest host first, then the
-longest path. Rules are a fixed, bounded parameter; the trie is shipped with the task.
+longest path. Rules are a bounded parameter (`MOST_RULES`); the trie is built once and broadcast.
 
 Defined cases: a null url, or one without `://`, has an empty host and path, matches nothing and gets the
 default verdict; rows that repeat a page_id are each judged; an empty table gives an empty result; an empty
@@ -31,6 +31,8 @@ RULES = (
     ("block", "com", "/de/"),
 )
 DEFAULT = "allow"
+#: A trie of so many rules stays within some 500 MB; more are refused rather than broadcast.
+MOST_RULES = 1_000_000
 _URL = re.compile(r"://([^/?#]*)([^?#]*)", re.DOTALL)
 _LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
@@ -100,9 +102,12 @@ def judge(root: _Host, host: str, path: str) -> tuple[str, str] | None:
 def filter_urls(pages: DataFrame, rules: Iterable[tuple[str, str, str]] = RULES, default: str = DEFAULT, id_col: str = "page_id", url_col: str = "url") -> DataFrame:
     """page_id, host, path, rule, verdict for every row."""
     rules = tuple(rules)
+    if len(rules) > MOST_RULES:
+        raise ValueError(f"more than {MOST_RULES} rules")
+    shared = pages.sparkSession.sparkContext.broadcast(build(rules))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        root = build(rules)
+        root = shared.value
         for batch in batches:
             parts = [split_url(u) for u in batch.column(1).to_pylist()]
             found = [judge(root, *p) for p in parts]
