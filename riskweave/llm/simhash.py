@@ -9,13 +9,15 @@ fingerprints only, so a group of any number of copies is one entry:
    program picks the thresholds with the least estimated number of candidates and probes.
 3. Each fingerprint enters its own value in the index of every probed partition, and probes all values
    within the partition's threshold. Values that hold many fingerprints are partitioned again on the
-   remaining bits, so no task compares a large bucket with itself.
-4. Candidates that share a value are verified. A bucket yields the edges of a spanning forest, not pairs.
+   remaining bits, with thresholds of their own from the same dynamic program.
+4. Candidates that share a value are verified, block by block, but for blocks that are connected already. A
+   bucket yields a tree of bounded degree for each component, not pairs.
 5. Components are found by repeated contraction of that edge table (hooking in random order, pointer jumps).
 
 Defined cases: a null text is empty; a text without words has fingerprint zero, linked like any other;
 rows that repeat a doc_id are each returned; a null doc_id takes part, but is never a component's name
-unless all its documents lack an id; an empty table gives an empty result; other columns are ignored.
+unless all its documents lack an id; very long texts are hashed whole; an empty table gives an empty result;
+other columns are ignored.
 """
 
 from __future__ import annotations
@@ -26,7 +28,7 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import materialize, plain_planning, table, text_slices
@@ -38,6 +40,11 @@ SEED = 42
 SAMPLE = 2048
 #: A bucket above this is partitioned again on its remaining bits.
 LARGE_BUCKET = 512
+#: Children of a node in the trees that stand for components, so that no node is the end of very many edges.
+ARITY = 64
+#: A fingerprint or root with more rows than this is joined apart or spread over `WAYS` tasks.
+HOT = 100_000
+WAYS = 16
 
 
 def fingerprint(text: str | None, width: int = SHINGLE, seed: int = SEED) -> int:
@@ -132,16 +139,17 @@ def thresholds(bits: np.ndarray, groups: list[list[int]], radius: int, rows: int
         # a floor for values too rare to meet in the sample: uniform bits
         of = lambda t: max(near[: t + 1].sum() / pairs, ball(len(group), t) / 2.0 ** len(group))
         cost.append([0.0] + [of(t) * rows * rows / 2 + probe_cost * rows * ball(len(group), t) for t in range(radius + 1)])
-    best: dict[int, tuple[float, list[int]]] = {0: (0.0, [])}
-    for row in cost:
-        step: dict[int, tuple[float, list[int]]] = {}
-        for used, (c, picks) in best.items():
+    # of equal costs the one with the fewest probes
+    best: dict[int, tuple[float, int, list[int]]] = {0: (0.0, 0, [])}
+    for row, group in zip(cost, groups):
+        step: dict[int, tuple[float, int, list[int]]] = {}
+        for used, (c, probes, picks) in best.items():
             for t in range(-1, radius + 1 - used):
-                key, total = used + t + 1, c + row[t + 1]
-                if key not in step or total < step[key][0]:
-                    step[key] = (total, [*picks, t])
+                key, now = used + t + 1, (c + row[t + 1], probes + ball(len(group), t))
+                if key not in step or now < step[key][:2]:
+                    step[key] = (*now, [*picks, t])
         best = step
-    return best[radius + 1][1]
+    return best[radius + 1][2]
 
 
 def masks(groups: list[list[int]], ts: list[int]) -> list[tuple[int, list[int]]]:
@@ -163,23 +171,27 @@ def signed(x: int) -> int:
 
 def _entries(fps: DataFrame, plan: list[tuple[int, list[int]]]) -> DataFrame:
     """fp, path... -> (part, value, fp, probe): own values (probe false) and neighbouring values (probe true)."""
-    structs = []
-    for k, (mask, flips) in enumerate(plan):
+    def values(k: int, mask: int, flips: list[int]) -> Column:
         own = F.col("fp").bitwiseAND(F.lit(signed(mask)))
-        structs += [F.struct(F.lit(k).alias("part"), own.bitwiseXOR(F.lit(signed(f))).alias("value"), F.lit(f != 0).alias("probe")) for f in flips]
-    return fps.select("*", F.explode(F.array(*structs)).alias("e")).select("*", "e.*").drop("e")
+        return F.transform(F.array(*[F.lit(signed(f)) for f in flips]), lambda f: F.struct(F.lit(k).alias("part"), own.bitwiseXOR(f).alias("value"), (f != 0).alias("probe")))
+
+    parts = [values(k, mask, flips) for k, (mask, flips) in enumerate(plan)]
+    return fps.select("*", F.explode(F.flatten(F.array(*parts))).alias("e")).select("*", "e.*").drop("e")
 
 
 def forest(fps: np.ndarray, probe: np.ndarray, radius: int, block: int = 1024) -> np.ndarray:
-    """Pairs that span the components of the links among `fps` in a bucket, fewer than it has members.
-    Blocks bound the memory."""
-    u, first = np.unique(fps, return_index=True)
+    """Trees that span the components of the links among `fps` in a bucket, fewer edges than it has members.
+    Blocks bound the memory; two blocks whose members are all connected aren't compared."""
+    u = np.unique(fps)
     own = np.zeros(len(u), bool)
     own[np.searchsorted(u, fps[~probe])] = True
     n = len(u)
-    label, links_ = np.arange(n), []
+    label = np.arange(n)
     for i in range(0, n, block):
         for j in range(i, n, block):
+            la, lb = label[i : i + block], label[j : j + block]
+            if la[0] == lb[0] and (la == la[0]).all() and (lb == la[0]).all():
+                continue
             a, b = u[i : i + block], u[j : j + block]
             close = np.bitwise_count(a[:, None] ^ b[None, :]) <= radius
             close &= own[i : i + block, None] | own[None, j : j + block]
@@ -187,16 +199,22 @@ def forest(fps: np.ndarray, probe: np.ndarray, radius: int, block: int = 1024) -
             x, y = x + i, y + j
             new = label[x] != label[y]
             if new.any():
-                links_.append(merge(label, x[new], y[new]))
-    if not links_:
-        return np.zeros((0, 2), np.uint64)
-    return u[np.concatenate(links_)]
+                merge(label, x[new], y[new])
+    return u[trees(label)]
+
+
+def trees(label: np.ndarray) -> np.ndarray:
+    """(child, parent) places: a tree over the members of each label, no node of which has over ARITY children."""
+    order = np.argsort(label, kind="stable")
+    sorted_ = label[order]
+    head = np.searchsorted(sorted_, sorted_)
+    place = np.arange(len(label)) - head
+    child = np.flatnonzero(place > 0)
+    return np.stack([order[child], order[head[child] + (place[child] - 1) // ARITY]], axis=1)
 
 
-def merge(label: np.ndarray, x: np.ndarray, y: np.ndarray) -> np.ndarray:
-    """Join the components of x[i] and y[i] in `label` (changed in place); returns for each old label that
-    went the pair (old label, new label): with the nodes' own labels these span the same components."""
-    old = np.unique(np.concatenate([label[x], label[y]]))
+def merge(label: np.ndarray, x: np.ndarray, y: np.ndarray) -> None:
+    """Join the components of x[i] and y[i] in `label` (changed in place)."""
     while True:
         lx, ly = label[x], label[y]
         if (lx == ly).all():
@@ -206,8 +224,22 @@ def merge(label: np.ndarray, x: np.ndarray, y: np.ndarray) -> np.ndarray:
         np.minimum.at(label, ly, least)
         while (label != label[label]).any():
             label[:] = label[label]
-    gone = old[label[old] != old]
-    return np.stack([gone, label[gone]], axis=1)
+
+
+def branched(edges: DataFrame) -> DataFrame:
+    """(a, b) links -> others with the same components, of a bounded degree within each batch: a map-side step
+    that keeps hubs from being one key with very many rows."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ends = np.stack([batch.column(0).to_numpy(), batch.column(1).to_numpy()])
+            nodes, at = np.unique(ends, return_inverse=True)
+            label, at = np.arange(len(nodes)), at.reshape(2, -1)
+            merge(label, at[0], at[1])
+            out = np.sort(nodes[trees(label)], axis=1)
+            yield pa.RecordBatch.from_arrays([pa.array(out[:, 0]), pa.array(out[:, 1])], ["a", "b"])
+
+    return edges.select("a", "b").mapInArrow(run, "a long, b long")
 
 
 def verified(entries: DataFrame, keys: list[str], radius: int) -> DataFrame:
@@ -257,8 +289,9 @@ def verified(entries: DataFrame, keys: list[str], radius: int) -> DataFrame:
 
 def links(distinct: DataFrame, radius: int = RADIUS, sample: int = SAMPLE, large: int = LARGE_BUCKET) -> DataFrame:
     """Spanning edges (a, b) among distinct fingerprints `fp` within `radius` bits of each other."""
-    spark = distinct.sparkSession
     rows = distinct.count()
+    if rows < 2:
+        return distinct.select(F.col("fp").alias("a"), F.col("fp").alias("b")).where("false")
     # bounded by `sample`: one fingerprint for each of so many hash buckets
     seen = distinct.groupBy(F.pmod(F.xxhash64("fp"), F.lit(sample)).alias("b")).agg(F.min("fp").alias("fp")).collect()
     bits = to_bits(np.array([r.fp for r in seen], np.int64).view(np.uint64)) if seen else np.zeros((0, 64), np.uint8)
@@ -268,19 +301,22 @@ def links(distinct: DataFrame, radius: int = RADIUS, sample: int = SAMPLE, large
     entries = _entries(distinct.select("fp"), first)
     counts = entries.groupBy("part", "value").agg(F.count("*").alias("n")).where(F.col("n") > large)
     # Second level: the bits outside a partition are partitioned again for its crowded values.
-    heavy = materialize(counts.select("part", "value"))
+    heavy = materialize(counts)
+    most = {r.part: r.n for r in heavy.groupBy("part").agg(F.max("n").alias("n")).collect()}  # one row a partition
     found = []
-    if heavy.isEmpty():
+    if not most:
         return verified(entries, ["part", "value"], radius)
     h = heavy.select(F.col("part").alias("hp"), F.col("value").alias("hv"))
     same = (F.col("part") == F.col("hp")) & (F.col("value") == F.col("hv"))
     found.append(verified(entries.join(h, same, "left_anti"), ["part", "value"], radius))
     crowded = entries.join(h, same, "left_semi")
     for k, (mask, _) in enumerate(first):
+        if k not in most:
+            continue
         rest = [b for b in range(64) if not mask >> b & 1]
-        # in one bucket the partition's distance is at most its threshold, so the rest may use the whole radius
+        # fingerprints of one bucket may be alike on the partition, so the rest may use the whole radius
         deep = bit_groups(bits, rest, radius + 1)
-        plan = masks(deep, [0] * (radius + 1))
+        plan = masks(deep, thresholds(bits, deep, radius, most[k]))
         sub = crowded.where(F.col("part") == k).select("fp", F.col("value").alias("outer"), F.col("probe").alias("outer_probe"))
         below = _entries(sub, plan).select(
             F.lit(k).alias("outer_part"), "outer", "part", "value", "fp", F.col("outer_probe").alias("probe")
@@ -305,7 +341,7 @@ def contracted(edges: DataFrame, most_rounds: int) -> DataFrame:
     order, shortens the paths by a pointer jump, and contracts the edges. As the order is random, descending
     chains are short and a constant share of the nodes goes each round, on paths; stars go at once. Rounds are cut off by checkpoints; nothing but counts reaches the driver.
     """
-    live = materialize(edges.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+    live = materialize(branched(edges.where("a <> b")).distinct())
     parents = []
     for turn in range(most_rounds):
         if live.isEmpty():
@@ -323,8 +359,8 @@ def contracted(edges: DataFrame, most_rounds: int) -> DataFrame:
         pa_ = hook.select(F.col("v").alias("av"), F.col("p").alias("ap"))
         pb_ = hook.select(F.col("v").alias("bv"), F.col("p").alias("bp"))
         moved = live.join(pa_, F.col("a") == F.col("av")).join(pb_, F.col("b") == F.col("bv"))
-        moved = moved.select(F.least("ap", "bp").alias("a"), F.greatest("ap", "bp").alias("b")).where("a <> b").distinct()
-        live = materialize(moved)
+        moved = moved.select(F.least("ap", "bp").alias("a"), F.greatest("ap", "bp").alias("b")).where("a <> b")
+        live = materialize(branched(moved).distinct())
     else:
         raise RuntimeError("components did not settle")
     if not parents:
@@ -339,18 +375,37 @@ def contracted(edges: DataFrame, most_rounds: int) -> DataFrame:
     return roots.join(least, F.col("root") == F.col("r")).select("node", F.col("least").alias("root"))
 
 
+def least_of_roots(nodes: DataFrame, roots: DataFrame, key: str) -> DataFrame:
+    """nodes (key, first_id), unique in `key`, and (node, root) of those with links -> (c, least_id): the least
+    first_id of each node's component. A component of very many nodes is spread over tasks."""
+    linked = nodes.join(roots, F.col(key) == F.col("node"), "left")
+    alone = linked.where("root IS NULL").select(F.col(key).alias("c"), F.col("first_id").alias("least_id"))
+    grouped = materialize(linked.where("root IS NOT NULL").select(F.col(key).alias("c"), "first_id", "root", F.pmod(F.xxhash64(key), F.lit(WAYS)).alias("way")))
+    least = grouped.groupBy("root").agg(F.min("first_id").alias("least_id"))
+    least = least.select(F.col("root").alias("r"), "least_id", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(WAYS - 1).cast("long"))).alias("w"))
+    named = grouped.join(least, (F.col("root") == F.col("r")) & (F.col("way") == F.col("w"))).select("c", "least_id")
+    return alone.unionByName(named)
+
+
+def of_each(rows: DataFrame, key: str, named: DataFrame, counts: DataFrame) -> DataFrame:
+    """Join `rows` with `named` (c, ...), unique in c, on key = c. Keys that `counts` (c, n) says have over HOT rows,
+    of which there are few, are joined by broadcast, so none of them is one task's."""
+    hot = materialize(counts.where(F.col("n") > HOT).select(F.col("c").alias("h")))
+    few = hot.count()
+    if not few or few > 1_000_000:
+        return rows.join(named, F.col(key) == F.col("c"))
+    apart = named.join(F.broadcast(hot), F.col("c") == F.col("h"), "left_semi")
+    cold = rows.join(F.broadcast(hot), F.col(key) == F.col("h"), "left_anti").join(named, F.col(key) == F.col("c"))
+    return cold.unionByName(rows.join(F.broadcast(apart), F.col(key) == F.col("c")))
+
+
 def near_duplicates(docs: DataFrame, radius: int = RADIUS, width: int = SHINGLE) -> DataFrame:
     """doc_id, fp, component_id for every row of `docs`."""
     fps = materialize(fingerprints(docs, width=width))
-    distinct = materialize(fps.groupBy("fp").agg(F.min("doc_id").alias("first_id")))
+    distinct = materialize(fps.groupBy("fp").agg(F.min("doc_id").alias("first_id"), F.count("*").alias("n")))
     roots = components(links(distinct.select("fp"), radius))
-    names = distinct.join(roots, F.col("fp") == F.col("node"), "left").select(
-        "fp", "first_id", F.coalesce("root", "fp").alias("root")
-    )
-    names = materialize(names)
-    least = names.groupBy("root").agg(F.min("first_id").alias("component_id"))
-    named = names.join(least, "root").select(F.col("fp").alias("nfp"), "component_id")
-    return fps.join(named, F.col("fp") == F.col("nfp")).select("doc_id", "fp", "component_id")
+    named = materialize(least_of_roots(distinct.select("fp", "first_id"), roots, "fp"))
+    return of_each(fps, "fp", named, distinct.select(F.col("fp").alias("c"), "n")).select("doc_id", "fp", F.col("least_id").alias("component_id"))
 
 
 def op8_simhash(spark, sf_dir: str) -> DataFrame:
@@ -367,6 +422,8 @@ STAGE_SIMILARITY = 0.8
 #: Candidates agree on all least hashes of a band: at a similarity of 0.8 with probability 1 - (1 - 0.8^5)^24 = 0.9999.
 STAGE_BANDS = 24
 STAGE_BAND_ROWS = 5
+#: A bucket above this is compared in parts first; see copies_to_drop().
+STAGE_BUCKET = 4096
 #: How many deviations beyond the mean at the threshold a candidate's distance may lie.
 STAGE_DEVIATIONS = 4
 _GOLDEN = 0x9E3779B97F4A7C15
@@ -467,11 +524,15 @@ def bucket_pairs(entries: DataFrame, radius: int, words: int = STAGE_WORDS) -> D
                 pairs = np.array(nearest_forest(fp[s : s + m], radius), np.int64).reshape(-1, 2) + s
                 yield np.stack([key[pairs[:, 0]], ids[pairs].min(axis=1), ids[pairs].max(axis=1)], axis=1)
                 continue
-            for i in range(s, s + m - 1):
-                near = np.bitwise_count(fp[i + 1 : s + m] ^ fp[i]).sum(axis=1) <= radius
-                y = i + 1 + np.flatnonzero(near & (rows[i + 1 : s + m, 2] != rows[i, 2]))
+            # rows of the largest root come last: they needn't be compared with each other
+            _, of, many = np.unique(rows[s : s + m, 2], return_inverse=True, return_counts=True)
+            order = s + np.argsort(of == many.argmax(), kind="stable")
+            own, ids_, root = fp[order], ids[order], rows[order, 2]
+            for i in range(m - int(many.max())):
+                near = np.bitwise_count(own[i + 1 :] ^ own[i]).sum(axis=1) <= radius
+                y = i + 1 + np.flatnonzero(near & (root[i + 1 :] != root[i]))
                 if len(y):
-                    yield np.stack([key[y], np.full(len(y), ids[i]), ids[y]], axis=1)
+                    yield np.stack([np.full(len(y), key[s]), np.minimum(ids_[y], ids_[i]), np.maximum(ids_[y], ids_[i])], axis=1)
 
     def out(rows: np.ndarray) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
@@ -563,35 +624,50 @@ def copies_to_drop(docs: DataFrame, radius: int | None = None, words: int = STAG
 
     narrow = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     fps = materialize(narrow.mapInArrow(run, "doc_id long, cls long, " + ", ".join(f"{n} long" for n in names + bands)))
-    classes = materialize(fps.groupBy("cls").agg(F.min("doc_id").alias("first_id"), *(F.first(n).alias(n) for n in names + bands)))
+    classes = materialize(fps.groupBy("cls").agg(F.min("doc_id").alias("first_id"), F.count("*").alias("n"), *(F.first(n).alias(n) for n in names + bands)))
     entries = classes.select("cls", *names, F.explode(F.array(*bands)).alias("k"))
     # The closest pairs that span each bucket are compared first. Where all of a bucket's are alike, the rest
     # of its pairs are linked anyway; in other buckets all pairs that aren't linked by then are compared.
-    forest_ = materialize(bucket_pairs(entries, radius, words))
+    # Very large buckets are first compared in parts, each a task's, and with the part's least class; they count
+    # as buckets with unlike pairs.
+    large = materialize(entries.groupBy("k").agg(F.count("*").alias("m")).where(F.col("m") > STAGE_BUCKET).select(F.col("k").alias("lk"), "m"))
+    if large.isEmpty():
+        forest_ = materialize(bucket_pairs(entries, radius, words))
+    else:
+        own = F.col("k") == F.col("lk")
+        parted = materialize(entries.join(large, own).withColumn("part", F.pmod(F.xxhash64("cls"), F.ceil(F.col("m") / STAGE_BUCKET))))
+        heads = parted.groupBy("k", "part").agg(F.min("cls").alias("head"))
+        heads = parted.join(heads.select("head", F.col("k").alias("hk")), (F.col("cls") == F.col("head")) & (F.col("k") == F.col("hk")))
+        within = bucket_pairs(parted.select(F.xxhash64("k", "part").alias("k"), "cls", *names), radius, words)
+        among = bucket_pairs(heads.select(F.xxhash64("k", F.lit(-1)).alias("k"), "cls", *names), radius, words)
+        forest_ = materialize(bucket_pairs(entries.join(large, own, "left_anti"), radius, words).unionByName(within).unionByName(among))
     nodes = forest_.select(F.explode(F.array("a", "b")).alias("node")).distinct()
     sets = materialize(shingle_sets(docs, nodes))
     judged = materialize(with_similarity(forest_.select("a", "b").distinct(), sets))
     edges = judged.where("alike").select("a", "b")
     roots = components(edges)
     unlike = judged.where("NOT alike").select(F.col("a").alias("ua"), F.col("b").alias("ub"))
-    if not unlike.isEmpty():
+    if not unlike.isEmpty() or not large.isEmpty():
         roots = materialize(roots)
         open_ = forest_.join(unlike, (F.col("a") == F.col("ua")) & (F.col("b") == F.col("ub")), "left_semi")
-        open_ = materialize(open_.select(F.col("k").alias("open")).distinct())
+        open_ = materialize(open_.select(F.col("k").alias("open")).union(large.select(F.col("lk").alias("open"))).distinct())
         again = entries.join(open_, F.col("k") == F.col("open"), "left_semi").join(roots, F.col("cls") == F.col("node"), "left")
         again = again.select("k", "cls", F.coalesce("root", "cls").alias("root"), *names)
         rest = bucket_pairs(again, radius, words).select("a", "b").distinct()
         rest = rest.join(unlike, (F.col("a") == F.col("ua")) & (F.col("b") == F.col("ub")), "left_anti")
-        # both ends of a pair within the radius are in its bucket's forest, so their sets are at hand
+        # both ends of a pair within the radius are in their bucket's forest, so their sets are at hand; of a
+        # large bucket the missing ones are made now
+        if not large.isEmpty():
+            rest = materialize(rest)
+            missing = rest.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(nodes, "node", "left_anti")
+            sets = materialize(sets.unionByName(shingle_sets(docs, missing)))
         more = materialize(with_similarity(rest, sets).where("alike").select("a", "b"))
         if not more.isEmpty():
             roots = components(edges.union(more))
-    named = classes.select("cls", "first_id").join(roots, F.col("cls") == F.col("node"), "left").select("cls", "first_id", F.coalesce("root", "cls").alias("root"))
-    least = named.groupBy("root").agg(F.min("first_id").alias("kept_id"))
-    # only classes whose kept document is another one, or that have more documents
-    of_class = materialize(named.join(least, "root").select(F.col("cls").alias("c"), "kept_id"))
-    drop = fps.join(of_class, F.col("cls") == F.col("c")).where(~F.col("doc_id").eqNullSafe(F.col("kept_id"))).select("doc_id")
-    kept = fps.join(of_class, F.col("cls") == F.col("c")).where(F.col("doc_id").eqNullSafe(F.col("kept_id"))).select("doc_id")
+    named = least_of_roots(classes.select("cls", "first_id"), roots, "cls").select("c", F.col("least_id").alias("kept_id"))
+    own = of_each(fps.select("doc_id", "cls"), "cls", materialize(named), classes.select(F.col("cls").alias("c"), "n"))
+    drop = own.where(~F.col("doc_id").eqNullSafe(F.col("kept_id"))).select("doc_id")
+    kept = own.where(F.col("doc_id").eqNullSafe(F.col("kept_id"))).select("doc_id")
     repeats = fps.groupBy("doc_id", "cls").agg(F.count("*").alias("n")).where(F.col("n") > 1).select("doc_id")
     return drop.join(kept, "doc_id", "left_anti").distinct(), repeats.distinct()
 
@@ -600,8 +676,10 @@ def stage_simhash(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: of each group of near copies the document with the least id stays.
 
     Near copies have a Jaccard similarity of 0.8 or more on their sets of five-word shingles, or are linked
-    by such. Candidates come from bands of least hashes and the distance of 512 fingerprint bits. Rows that repeat a doc_id stand or fall together, and of
-    equal ones among them one stays; rows without an id are copies of the least id of their group, if any.
+    by such. Candidates come from bands of least hashes and the distance of 512 fingerprint bits; each pair is
+    judged on its shingle sets. Null, empty and wordless texts are copies of each other. Rows that repeat a doc_id
+    stand or fall together, and of equal ones among them one stays; rows without an id are copies of the least id
+    of their group, if any. All columns stay as they are; an empty table stays empty.
     """
     drop, repeats = copies_to_drop(docs)
     drop = materialize(drop.select(F.col("doc_id").alias("__rw_drop")))
