@@ -2,8 +2,13 @@
 
 import hashlib
 import json
+import math
+import re
+import struct
+import time
 import zlib
 from collections import Counter, defaultdict
+from html import unescape
 
 import numpy as np
 import pytest
@@ -11,7 +16,8 @@ import xxhash
 from pyspark.sql import Row
 from pyspark.sql import functions as F
 
-from riskweave.llm import extract, langid, mixing, mpeg, packing, quality, simhash, topk, toxicity, urlfilter
+from riskweave.llm import common, extract, langid, mixing, mpeg, packing, quality, simhash, topk, toxicity, urlfilter
+from riskweave.llm.dom import parse
 from riskweave.llm.queries import ORACLES, QUERIES
 from tests.compare import compare, connect
 
@@ -86,6 +92,42 @@ def test_extract_decoding_is_consistent_and_accurate(extractor):
     assert wrong <= 9
 
 
+def annotated(html):
+    """The main text of the sample's pages as read by eye: the article's title and paragraphs, nothing around it."""
+    article = re.search(r"<article>(.*?)</article>", html, re.DOTALL)
+    parts = (" ".join(unescape(re.sub(r"<[^>]+>", " ", x)).split()) for x in re.split(r"</?(?:p|h1)>", article[1]))
+    return "\n\n".join(x for x in parts if x)
+
+
+def test_extract_query_against_annotated_pages(spark):
+    pages = {r.page_id: r for r in spark.read.parquet(f"{SF}/pages.parquet").collect()}
+    got = extract.op1_extract(spark, SF).collect()
+    assert len(got) == len(pages)
+    for r in got:
+        html = pages[r.page_id].html
+        assert r.n_chars == len(r.text) and r.url == pages[r.page_id].url
+        assert r.text == (annotated(html) if html and "<article>" in html else r.text)
+
+
+@pytest.mark.parametrize("piece", ["<div>", "<span><div></b></i>", "<p><b><i></p>", "<table><tr><td>", "<a '", "<ul><li>", "</script"])
+def test_parser_is_linear(piece):
+    def took(n):
+        began = time.perf_counter()
+        parse(piece * n)
+        return time.perf_counter() - began
+
+    took(1000)
+    assert took(40_000) < 40 * max(took(4_000), 0.002)
+
+
+def test_extract_long_and_repeated_pages(spark, extractor):
+    long = "<article><h1>Title</h1>" + "".join(f"<p>Paragraph {k}, a sentence that goes on for some words.</p>" for k in range(20_000)) + "</article>"
+    assert extract.main_texts(extractor, [long])[0].endswith("Paragraph 19999, a sentence that goes on for some words.")
+    page = "<body><nav><a href=x>Home</a></nav><article><h1>A title</h1><p>The text of this page, a whole sentence.</p></article></body>"
+    frame = spark.createDataFrame([(7, "u", page, "x"), (7, "u", page, "x")], "page_id long, url string, html string, text string")
+    assert [(r.page_id, r.text) for r in extract.extract_pages(frame).collect()] == [(7, "A title\n\nThe text of this page, a whole sentence.")] * 2
+
+
 def test_extract_decode_is_the_best_labelling(extractor):
     """Against all consistent labellings of small trees."""
     rng = np.random.default_rng(3)
@@ -165,6 +207,56 @@ def test_media_resynchronises_and_sees_damage():
     assert mpeg.decode(bytes(data)).bad_checksums == 1
 
 
+def other_reader(data):
+    """The stored form read by other means: tag, first frame's header fields, then frame after frame."""
+    assert data[:3] == b"ID3"
+    size = (data[6] << 21) + (data[7] << 14) + (data[8] << 7) + data[9]
+    length = int.from_bytes(data[10 + size - 8 : 10 + size], "big")
+    at, rates, out, offsets = 10 + size, [0, 32, 40, 48, 56, 64, 80, 96, 112, 128, 160, 192, 224, 256, 320], b"", []
+    start, vbr = at, None
+    while at < len(data):
+        assert data[at] == 0xFF and data[at + 1] == 0xFA and data[at + 3] >> 6 == 3
+        n = 144 * rates[data[at + 2] >> 4] // 48
+        crc = 0xFFFF
+        for bit in "".join(f"{b:08b}" for b in data[at + 2 : at + 4] + data[at + 6 : at + 23]):
+            crc = (crc << 1 & 0xFFFF) ^ (0x8005 if (crc >> 15) ^ int(bit) else 0)
+        assert crc == struct.unpack(">H", data[at + 4 : at + 6])[0]
+        if vbr is None:
+            vbr = struct.unpack(">4sIII100B", data[at + 23 : at + 139])
+        else:
+            offsets.append(at)
+            out += data[at + 23 : at + n]
+        at += n
+    assert at == len(data) and vbr[:4] == (b"Xing", 7, len(offsets), len(data) - start)
+    for p in range(100):
+        assert vbr[4 + p] == min(255, (offsets[p * len(offsets) // 100] - start) * 256 // (len(data) - start))
+    return out[:length], offsets
+
+
+def test_media_query_against_another_reader(spark):
+    stored = {r.doc_id: r.media for r in mpeg.store_media(spark.read.parquet(f"{SF}/documents.parquet")).collect()}
+    for r in mpeg.op3_media(spark, SF).collect():
+        payload, offsets = other_reader(stored[r.doc_id])
+        assert hashlib.sha256(payload).hexdigest() == r.payload_sha256 and zlib.crc32(payload[-64:]) == r.tail_crc32
+        assert list(r.seek_offsets) == offsets and r.duration_us == len(offsets) * 24_000 and "/0;bad=0;skipped=0;missing=0" in r.feature
+
+
+def test_media_damage_never_raises():
+    rng = np.random.default_rng(3)
+    data = mpeg.encode(mpeg.padded("some text \xff\xfa " * 120)[0])
+    for k in range(len(data)):
+        mpeg.decode(data[:k])
+    for _ in range(500):
+        hurt = bytearray(data)
+        for at in rng.integers(0, len(data), 3):
+            hurt[at] = int(rng.integers(0, 256))
+        mpeg.decode(bytes(hurt))
+    assert mpeg.decode(data[:-400]).missing > 0 and mpeg.decode(data).missing == 0
+    wrong = bytearray(data)
+    wrong[data.index(b"Xing") + 8 + 3] ^= 1  # the frame count
+    assert mpeg.decode(bytes(wrong)).vbr_wrong == 1
+
+
 def test_media_query(spark, odd, none):
     got = {r.doc_id: r for r in mpeg.read_media(mpeg.store_media(odd)).collect()}
     for i, t, _, _ in ODD:
@@ -177,7 +269,7 @@ def test_media_query(spark, odd, none):
 # --- 4: language ID -----------------------------------------------------------------------------------
 
 
-def plain_phrases(reference: str, text: str) -> int:
+def plain_phrases(reference, text):
     at = count = 0
     while at < len(text):
         n = 1
@@ -187,17 +279,49 @@ def plain_phrases(reference: str, text: str) -> int:
     return count
 
 
-def test_phrases_match_substring_search():
+def letters(text):
+    """A text as the parser reads it: folded letters, runs of other characters as one space."""
+    return re.sub(" +", " ", "".join(c.lower() if c.isalpha() else " " for c in text))
+
+
+@pytest.mark.parametrize("block", [7, 300, 2048, 10**6])
+@pytest.mark.parametrize("more", ["", "".join(map(chr, range(0x4E00, 0x4E50)))])
+def test_phrases_match_substring_search(block, more):
     rng = np.random.default_rng(4)
-    word = lambda: "".join(rng.choice(list("abcdé"), int(rng.integers(1, 6))))
+    word = lambda: "".join(rng.choice(list("abcdé" + more), int(rng.integers(1, 6))))
     text = lambda n: " ".join(word() for _ in range(n))
-    samples = {"x": [text(80)], "y": [text(80)]}
+    samples = {"x": [text(80), text(9)], "y": [text(80)]}
     model = langid.train(samples)
-    probes = [text(n) for n in (1, 3, 30, 700)]
-    count, length, known = langid.phrases(model, probes, block=10**6)
-    as_text = lambda t: "".join(map(chr, langid.symbols(model, langid.points([t])[0]) + 65))
-    for row, t in zip(count, probes):
-        assert row.tolist() == [plain_phrases(as_text(samples[k][0].lower()), as_text(t)) for k in ("x", "y")]
+    probes = [text(n) for n in (1, 3, 30, 3000)] + ["", "q", "zq a zz", "Éa", "abab" * 2500]
+    count, length, known = langid.phrases(model, probes, block=block)
+    for row, n, t in zip(count, length, probes):
+        assert n == len(letters(t)) and row.tolist() == [plain_phrases(letters("\n".join(samples[k])), letters(t)) for k in ("x", "y")]
+
+
+def test_languages_of_wide_scripts_and_none():
+    rng = np.random.default_rng(11)
+
+    def writer(first, last):
+        vocabulary = ["".join(map(chr, rng.integers(first, last, rng.integers(1, 4)))) for _ in range(300)]
+        return lambda n: "".join(rng.choice(vocabulary, n))
+
+    write = {"ja": writer(0x3041, 0x30FB), "ko": writer(0xAC00, 0xD7A4), "zh": writer(0x4E00, 0x9FA6), "zz": writer(0x4E00, 0x9FA6)}
+    model = langid.train({k: [w(2000)] for k, w in write.items()})
+    texts = [(k, w(60)) for k, w in write.items() for _ in range(20)]
+    assert np.mean([g == k for g, (k, _) in zip(langid.predict(model, [t for _, t in texts])[0], texts)]) > 0.95
+    assert langid.predict(model, ["😀🚀", "、。！", "123 ...", ""]) [0] == ["und"] * 4
+
+
+def test_language_sample_is_of_whole_rows(spark):
+    rows = [(i, f"short text number {i} " + "word " * (i % 7), "en", None) for i in range(300)] + [(1000, "lang " * 4000, "xx", None), (1001, "langer " * 4000, "xx", None)]
+    sample = langid.labelled_sample(docs_of(spark, rows), most=8)
+    texts = {t for _, t, _, _ in rows}
+    assert len(sample["en"]) == 8 and set(sample["en"]) <= texts and set(sample.get("xx", [])) <= texts and len(sample.get("xx", [])) <= 1
+
+
+def test_langid_stage_drops_what_has_no_letters(spark, odd):
+    kept = [r.doc_id for r in langid.stage_langid(spark, odd, "").collect()]
+    assert set(kept) & {1, 2, 3} == set() and 6 in kept
 
 
 def test_langid_odd(spark, odd, none):
@@ -263,15 +387,63 @@ def test_quality_held_out(spark):
 
 
 def test_quality_gradient():
-    """The hand-written gradient against differences, by what training does to the loss."""
-    good, bad = ["Some plain words in a row, nothing more. " * 20] * 20, ["### |%% | 12 $$ | " * 40] * 20
-    model = quality.train(good + bad, [1] * 20 + [0] * 20, epochs=20)
-    assert quality.score(model, good).min() > 0.8 > 0.2 > quality.score(model, bad).max()
+    """Every parameter's gradient against differences of the loss."""
+    rng = np.random.default_rng(0)
+    bags = quality.passages(["a b c d " * 40, "x | y || z " * 30, "", "one two three"] * 2, buckets=64)
+    y, p = np.array([1, 0, 1, 0, 1, 0, 0, 1.0]), quality.start(4, 64, 1)
+    p["E"], p["d"] = rng.normal(0, 0.3, p["E"].shape), np.array(0.3)
+    shape = bags.shape.astype(float)
+    _, g = quality.gradients(p, shape, bags, y)
+    for k in p:
+        for _ in range(6):
+            at = tuple(int(rng.integers(0, d)) for d in p[k].shape)
+            at = (int(rng.choice(bags.bucket)), at[1]) if k == "E" else at
+            loss = []
+            for step in (1e-6, -1e-6):
+                moved = p[k].copy()
+                moved[at] += step
+                loss.append(quality.gradients(p | {k: moved}, shape, bags, y)[0])
+            assert (loss[0] - loss[1]) / 2e-6 == pytest.approx(g[k][at], abs=1e-6)
+
+
+def plain_quality(model, text):
+    """The score of one text, passage by passage."""
+    p, words = model.weights, re.findall(r"[^ \t\n\r\x0b\x0c]+", text)
+    cut = [" ".join(words[k : k + 64]) for k in range(0, max(1, len(words)), 64)]
+    starts = [m.start() for m in re.finditer(r"[^ \t\n\r\x0b\x0c]+", text)][64::64]
+    parts = [text[a:b] for a, b in zip([0, *starts], [*starts, len(text)])]
+    assert len(parts) == len(cut)
+    h, e = [], []
+    for part in parts:
+        bag = quality.passages([part])
+        vector = np.mean([p["E"][b] for b in bag.bucket], axis=0) if len(bag.bucket) else 0
+        x = np.tanh((bag.shape[0] - model.shift) / model.scale @ p["W"] + p["b"] + vector)
+        h.append(x)
+        e.append(float(np.tanh(x @ p["V"]) * (1 / (1 + np.exp(-x @ p["U"]))) @ p["w"]))
+    a = np.exp(np.array(e) - max(e))
+    return 1 / (1 + np.exp(-(float((a / a.sum()) @ np.array(h) @ p["c"]) + float(p["d"]))))
+
+
+def test_quality_against_a_plain_score(spark):
+    docs, labels = spark.read.parquet(f"{SF}/documents.parquet"), spark.read.parquet(f"{SF}/labels.parquet")
+    sample, counts = quality.labelled_sample(docs, labels, "quality", quality.SAMPLE_DOCS)
+    assert len(sample) == sum(counts.values())  # all rows, where there are no more than the bound
+    model = quality.train([t for _, t, _ in sample], [y for _, _, y in sample], counts)
+    texts = {r.doc_id: r.text for r in docs.collect()}
+    for r in quality.op6_quality(spark, SF).collect()[:60]:
+        assert r.score == pytest.approx(plain_quality(model, texts[r.doc_id]), abs=1e-4)
+
+
+def test_quality_of_long_texts_in_pieces():
+    model = quality.train(["Good text here, it goes on. " * 9, "| $$ | ### " * 9] * 5, [1, 0] * 5, epochs=3)
+    text = "Some words, and more of them. | $ | " * 900
+    assert quality.score(model, [text, "a"], piece=1000) == pytest.approx(quality.score(model, [text, "a"]), abs=1e-5)
+    assert b"".join(quality.long_pieces(text.encode(), 1000)) == text.encode()
 
 
 def test_quality_passages_cover_the_text():
-    x, count = quality.passages(["", "a b c", "w " * 130, None or ""])
-    assert count.tolist() == [1, 1, 3, 1] and x[0].sum() == 0 and len(x) == 6
+    bags = quality.passages(["", "a b c", "w " * 130, None or ""])
+    assert bags.count.tolist() == [1, 1, 3, 1] and bags.shape[0].sum() == 0 and bags.words.tolist() == [0, 3, 64, 64, 2, 0]
 
 
 def test_scores_do_not_depend_on_batching():
@@ -288,30 +460,107 @@ def test_classifiers_odd(spark, odd, none):
         assert f(none, labels).collect() == [] and len(f(odd, labels.where("false")).collect()) == len(ODD)
 
 
-def test_toxicity_chain_learns_words_and_stems():
+def toxic_texts(n=400):
     rng = np.random.default_rng(7)
     words = ["".join(rng.choice(list("bdgklmn"), 5)) for _ in range(300)]
     text = lambda *more: " ".join([*rng.choice(words, 40), *more])
     texts, labels = [], []
-    for k in range(400):
+    for k in range(n):
         toxic = k % 4 == 0
         texts.append(text(*(["vilest"] if k % 8 else [f"zorgu{words[k % 300]}"]) * (1 + k % 3)) if toxic else text())
         labels.append(int(toxic))
-    model = toxicity.train(texts, labels)
-    p = toxicity.probabilities(model, [text("VILEST!!"), text("zorguwxyz"), text(), ""])
-    assert (p[:2, -1] > 0.5).all() and (p[2:, -1] < 0.5).all()
+    return text, texts, labels
 
 
-def test_toxicity_held_out(spark):
-    d = "/root/testdata/sf0.1"
-    docs = {r.doc_id: r.text for r in spark.read.parquet(f"{d}/documents.parquet").where("doc_id % 2 = 0").collect()}
-    rows = sorted((r.doc_id, r.toxic) for r in spark.read.parquet(f"{d}/labels.parquet").collect() if r.doc_id in docs)
-    held = [(i, y) for i, y in rows if zlib.crc32(str(i).encode()) % 4 == 2]
-    learn = [(i, y) for i, y in rows if zlib.crc32(str(i).encode()) % 4 != 2]
-    model = toxicity.train([docs[i][:8000] for i, _ in learn], [y for _, y in learn])
-    p = toxicity.probabilities(model, [docs[i] for i, _ in held])[:, -1] >= 0.5
-    y = np.array([y for _, y in held])
-    assert p[y == 1].mean() > 0.85 and p[y == 0].mean() < 0.02
+def test_toxicity_chain_learns_words_and_stems():
+    text, texts, labels = toxic_texts()
+    model = toxicity.train(texts, {"first": labels[::-1], "toxic": labels})
+    p = toxicity.probabilities(model, [text("VILEST!!"), text("zorguwxyz"), text(), ""])
+    assert p.shape == (4, 2) and (p[:2, -1] > 0.5).all() and (p[2:, -1] < 0.5).all()
+
+
+def test_toxicity_out_of_fold_against_a_plain_chain():
+    """The chain, one text and one fold at a time, from counters instead of arrays."""
+    _, texts, labels = toxic_texts(120)
+    first = [int(k % 3 == 0 or y) for k, y in enumerate(labels)]
+    targets = {"first": first, "toxic": labels}
+    counters = [toxicity.word_counts(t) for t in texts]
+
+    def fitted(rows, y, earlier):
+        sample = toxicity.Sample(texts)
+        use = np.isin(np.arange(len(texts)), rows)
+        chosen, terms = sample.choose(use, y)
+        words, term = [sample.keys[k] for k in chosen], {sample.keys[k] for k in terms}
+
+        def x(k):
+            count, hits = Counter(), 0
+            for w, n in counters[k].items():
+                for key in toxicity.keys(w):
+                    count[key] += n
+                    hits += n * (key in term)
+            return [*(math.log1p(count[w]) for w in words), math.log1p(hits), 100 * hits / max(1, counters[k].total()), *earlier[k]]
+
+        weight = np.array([sample.weight[k] for k in rows])
+        return toxicity.logistic(np.array([x(k) for k in rows]), y[rows], weight), x
+
+    earlier = [[] for _ in texts]
+    every = np.arange(len(texts))
+    y = np.array(first, float)
+    out = np.zeros(len(texts))
+    for fold in range(toxicity.FOLDS):
+        inside = every[every % toxicity.FOLDS != fold]
+        w, x = fitted(inside, y, earlier)
+        for k in every[every % toxicity.FOLDS == fold]:
+            out[k] = 1 / (1 + math.exp(-(w[0] + np.dot(w[1:], x(k)))))
+    model = toxicity.train(texts, targets)
+    w, x = fitted(every, y, earlier)
+    p_first = np.array([1 / (1 + math.exp(-(w[0] + np.dot(w[1:], x(k))))) for k in every])
+    got = toxicity.probabilities(model, texts)
+    assert got[:, 0] == pytest.approx(p_first, abs=1e-6)
+    w, x = fitted(every, np.array(labels, float), [[v] for v in out])
+    assert model.links[1].weights == pytest.approx(w, abs=1e-6)
+
+
+def test_toxicity_near_copies_share_their_weight():
+    base = "this is one long text of many words that will be copied with small changes " * 6
+    sample = toxicity.Sample([base + str(k) for k in "abcdefgh"] + ["another text without anything in common with it at all"])
+    assert sample.weight[-1] == 1 and sample.weight[:-1].sum() == pytest.approx(1)
+
+
+@pytest.mark.parametrize("sf", ["sf0.01", "sf0.1"])
+def test_toxicity_held_out(spark, sf):
+    d = f"/root/testdata/{sf}"
+    labels = {r.doc_id: r for r in spark.read.parquet(f"{d}/labels.parquet").collect()}
+    rows = [r for r in toxicity.op7_toxicity(spark, d).collect() if r.held_out and r.doc_id in labels]
+    hit = np.array([r.predicted for r in rows])
+    y = np.array([labels[r.doc_id].toxic for r in rows])
+    junk = np.array([labels[r.doc_id].quality == 0 for r in rows])
+    assert hit[y == 1].mean() > 0.85 and hit[y == 0].mean() < 0.02
+    assert auc(junk, [r.p_junk for r in rows]) > 0.5
+
+
+def test_toxicity_stage_drops_toxic_documents(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    labels = {r.doc_id: r.toxic for r in spark.read.parquet("/root/testdata/sf0.01/labels.parquet").collect()}
+    kept = {r.doc_id for r in toxicity.stage_toxicity(spark, docs, "/root/testdata/sf0.01").collect()}
+    toxic = [i for i, y in labels.items() if y]
+    assert np.mean([i in kept for i in toxic]) < 0.15 and np.mean([i in kept for i, y in labels.items() if not y]) > 0.98
+
+
+# --- shared helpers ----------------------------------------------------------------------------------------
+
+
+def test_sampled_ids_are_all_rows_up_to_the_bound(spark):
+    rows = spark.createDataFrame([(i, i % 2) for i in range(4000)], "i long, g int")
+    ids, counts = common.sampled_ids(rows, F.col("g"), "i", {0: 5000, 1: 100}, F.lit(True), 1)
+    assert counts == {0: 2000, 1: 2000} and sorted(ids[0]) == list(range(0, 4000, 2)) and len(set(ids[1])) == 100
+    assert common.sampled_ids(rows.where("false"), F.col("g"), "i", 5, F.lit(True), 1) == ({}, {})
+
+
+def test_text_chunks_cut_at_white_space():
+    text = "word and another " * 400
+    parts = list(common.text_chunks(text, 100))
+    assert "".join(parts) == text and len(parts) > 10 and all(p[0] == " " for p in parts[1:])
 
 
 # --- 8: SimHash -------------------------------------------------------------------------------------------
@@ -391,28 +640,143 @@ def test_simhash_stage(spark, none):
     assert simhash.stage_simhash(spark, none, "").collect() == []
 
 
+def brute_groups(rows):
+    """The least id of each group of texts linked by a Jaccard similarity of 0.8 on five-word shingles."""
+    texts = defaultdict(list)
+    for i, t in rows:
+        texts[t].append(i)
+    sets = []
+    for t in texts:
+        w = t.encode().lower().split()
+        sets.append({tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} if w else set())
+    label = list(range(len(sets)))
+
+    def root(x):
+        while label[x] != x:
+            x = label[x]
+        return x
+
+    for a in range(len(sets)):
+        for b in range(a):
+            union = len(sets[a] | sets[b])
+            if union == 0 or len(sets[a] & sets[b]) / union >= 0.8:
+                label[root(a)] = root(b)
+    groups = defaultdict(list)
+    for k, ids in enumerate(texts.values()):
+        groups[root(k)] += ids
+    return sorted(min(g) for g in groups.values())
+
+
+@pytest.mark.parametrize("bucket", [4096, 16])
+def test_simhash_stage_against_all_pairs(spark, monkeypatch, bucket):
+    """Clusters whose ends aren't alike, with buckets compared whole and in parts."""
+    monkeypatch.setattr(simhash, "STAGE_BUCKET", bucket)
+    rng = np.random.default_rng(5)
+    rows = []
+    for k in range(4):
+        base = [f"v{i}" for i in rng.integers(0, 10**6, 204)]
+        for _ in range(40):
+            own = list(base)
+            for at in rng.choice(200, int(rng.integers(0, 9)), replace=False):
+                own[at] = f"e{rng.integers(0, 10**6)}"
+            rows.append((len(rows), " ".join(own)))
+    got = simhash.stage_simhash(spark, spark.createDataFrame(rows, "doc_id long, text string"), "").collect()
+    assert sorted(r.doc_id for r in got) == brute_groups(rows)
+
+
+@pytest.mark.parametrize("share", [0.80, 0.85, 0.90])
+def test_simhash_stage_recall_at_planted_similarities(spark, share):
+    """Pairs whose shingle sets have just this similarity: every one is found."""
+    rng = np.random.default_rng(int(100 * share))
+    rows = []
+    for k in range(150):
+        n = 400
+        new = math.floor(n * (1 - share) / (1 + share))  # shingles that differ on each side
+        words = [f"v{i}" for i in rng.integers(0, 10**7, n + 4)]
+        rows += [(2 * k, " ".join(words)), (2 * k + 1, " ".join([*words[: n + 4 - new], *(f"x{k}-{i}" for i in range(new))]))]
+    kept = simhash.stage_simhash(spark, spark.createDataFrame(rows, "doc_id long, text string"), "").collect()
+    assert sorted(r.doc_id for r in kept) == list(range(0, 300, 2))
+
+
+def test_hot_fingerprints_are_joined_apart(spark, monkeypatch):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    docs = docs.union(docs.where("doc_id < 5").withColumn("doc_id", F.col("doc_id") + 10_000)).union(docs.where("doc_id < 3").withColumn("doc_id", F.col("doc_id") + 20_000))
+    whole = sorted(map(tuple, simhash.near_duplicates(docs).collect()))
+    monkeypatch.setattr(simhash, "HOT", 1)
+    assert sorted(map(tuple, simhash.near_duplicates(docs).collect())) == whole
+
+
+def test_trees_keep_components_and_bound_degrees():
+    label = np.array([0, 1, 0, 3, 1] + [5] * 5000)
+    edges = simhash.trees(label)
+    assert len(edges) == len(label) - 4 and (label[edges[:, 0]] == label[edges[:, 1]]).all()
+    assert max(Counter(edges[:, 1].tolist()).values()) <= simhash.ARITY and len(set(edges[:, 0].tolist())) == len(edges)
+
+
+def test_thresholds_of_nothing_probe_least():
+    bits = np.zeros((0, 64), np.uint8)
+    groups = simhash.bit_groups(bits, list(range(64)), 4)
+    assert simhash.thresholds(bits, groups, 3, 0) == [0, 0, 0, 0]
+
+
 # --- 9: top-k -------------------------------------------------------------------------------------------------
 
 
-def test_topk_against_all_pairs(spark):
+def plain_top(rows, k, every=20):
+    """(query_id, score, vec_id) lists of every query row, by all pairs of whole numbers."""
+    own = [(n, i, [math.floor(64 * x) for x in v]) for n, (i, v) in enumerate(rows) if i is not None and v and None not in v and np.isfinite(v).all()]
+    out = defaultdict(list)
+    for n, i, v in own:
+        if i % every == 0:
+            scores = sorted(((sum(a * b for a, b in zip(v, p)), j) for m, j, p in own if m != n), key=lambda s: (-s[0], s[1]))[:k]
+            out[i] += [(rank + 1, score, j) for rank, (score, j) in enumerate(scores)]
+    return {i: sorted(x) for i, x in out.items()}
+
+
+def spark_top(spark, rows, **parameters):
+    frame = spark.createDataFrame([(*r, "s") for r in rows], "vec_id long, embedding array<double>, score string")
+    got = defaultdict(list)
+    for r in topk.top_k(frame, **parameters).collect():
+        got[r.query_id].append((r.rank, r.score, r.vec_id))
+    return {i: sorted(x) for i, x in got.items()}
+
+
+@pytest.mark.parametrize("parameters", [{}, {"block": 64, "group": 16, "cell_rows": 40}])
+def test_topk_against_all_pairs(spark, parameters):
     rng = np.random.default_rng(9)
     centres = rng.normal(0, 0.4, (5, 12))
     x = [(i, [float(v) for v in centres[i % 5] + rng.normal(0, 0.1, 12)]) for i in range(700)]
-    x += [(700 + i, x[3][1]) for i in range(150)] + [(2000, None), (2020, []), (2040, [float("nan")] * 12), (2060, [None] * 12), (None, x[0][1]), (40, x[0][1])]
-    frame = spark.createDataFrame([(*r, "s") for r in x], "vec_id long, embedding array<double>, score string")
-    got = defaultdict(list)
-    for r in topk.top_k(frame, k=10, block=64, group=16).orderBy("query_id", "rank").collect():
-        got[r.query_id].append((r.score, r.vec_id))
-    own = [(i, np.floor(64 * np.array(v)).astype(int)) for i, v in x if i is not None and v and None not in v and np.isfinite(v).all()]
-    queries = {}
-    for i, v in own:
-        if i % 20 == 0:
-            queries[i] = min(queries.get(i, v.tolist()), v.tolist())
-    assert set(got) == set(queries)
-    for q, v in queries.items():
-        want = sorted(((int(np.dot(v, p)), j) for j, p in own if j != q), key=lambda s: (-s[0], s[1]))[:10]
-        assert got[q] == want
-    assert topk.top_k(frame.where("false")).collect() == []
+    # repeated rows and ids, and what takes no part
+    x += [(700 + i, x[3][1]) for i in range(150)] + [(40, x[0][1]), (40, x[1][1]), (40, x[1][1])]
+    x += [(2000, None), (2020, []), (2040, [float("nan")] * 12), (2060, [None] * 12), (None, x[0][1])]
+    assert spark_top(spark, x, k=10, **parameters) == plain_top(x, 10)
+
+
+def test_topk_odd(spark):
+    assert spark_top(spark, []) == {}
+    few = [(0, [1.0, 2.0]), (20, [0.5, -1.0]), (3, [0.0, 0.0])]
+    assert spark_top(spark, few) == plain_top(few, 20)
+
+
+def test_topk_of_large_components_is_exact(spark):
+    rng = np.random.default_rng(10)
+    x = [(i, [float(v) * 10.0 ** (i % 7) for v in rng.normal(0, 1, 12)]) for i in range(120)] + [(1000, [3e7] * 12), (1001, [3e7 + 1] * 12), (1003, [0.015625] * 12)]
+    assert spark_top(spark, x, k=10, block=16, group=4, cell_rows=10) == plain_top(x, 10)
+
+
+def test_bounds_hold_and_trees_cover():
+    rng = np.random.default_rng(11)
+    x = rng.integers(-60, 60, (900, 8)).astype(float)
+    todo = [topk.cover_tree(x, leaf=16)]
+    assert sorted(todo[0].rows.tolist()) == list(range(900))
+    q = x[:50]
+    centre, radius = q.mean(axis=0), topk.distances(q, q.mean(axis=0)).max()
+    while todo:
+        node = todo.pop()
+        assert topk.distances(x[node.rows], node.centre).max() <= node.radius
+        assert (q @ x[node.rows].T).max() <= topk.most_possible(centre, radius, node.centre, node.radius)
+        assert not node.children or sorted(np.concatenate([c.rows for c in node.children]).tolist()) == sorted(node.rows.tolist())
+        todo += node.children
 
 
 # --- 10: packing --------------------------------------------------------------------------------------------
@@ -488,20 +852,48 @@ def test_reduction_never_costs_a_sequence():
 # --- the pipeline -------------------------------------------------------------------------------------------
 
 
-def test_pipeline_stages_chain(spark, none):
+def test_pipeline_against_plain_stages(spark, none, library):
+    """Each stage's decisions made again one document at a time, the pairs of near copies by all pairs."""
     import corpus_pipeline
 
-    docs = spark.read.parquet(f"{SF}/documents.parquet")
-    names = [n for n, _ in corpus_pipeline.STAGES]
-    assert names == ["language_id", "toxicity", "simhash_near_dedup", "mixing", "best_fit_packing"]
-    rows = corpus_pipeline.run(spark, SF).collect()
-    assert {r.doc_id for r in rows} <= {r.doc_id for r in docs.select("doc_id").collect()}
-    assert max(Counter(r.sequence_id for r in rows).values()) >= 1 and all(r.length <= 2048 for r in rows)
+    assert [n for n, _ in corpus_pipeline.STAGES] == ["language_id", "toxicity", "simhash_near_dedup", "mixing", "best_fit_packing"]
     for _, stage in corpus_pipeline.STAGES:
         assert stage(spark, none, SF).collect() == []
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    model = langid.train(langid.labelled_sample(docs))
+    spoken = []
+    for r in docs.collect():
+        (lang,), (score,) = langid.predict(model, [r.text or ""])
+        if lang != "und" and score >= 1 / len(model.languages) + langid.LEAST_LEAD:
+            spoken.append(r)
+    left = docs.where(F.col("doc_id").isin([r.doc_id for r in spoken]))
+    chain = toxicity.fitted(left, spark.read.parquet(f"{SF}/labels.parquet"))
+    clean = [r for r in spoken if toxicity.probabilities(chain, [r.text])[0, -1] < toxicity.THRESHOLD]
+    kept = set(brute_groups([(r.doc_id, r.text) for r in clean]))
+    con = connect(SF)
+    rows = [r for r in clean if r.doc_id in kept]
+    con.execute("CREATE OR REPLACE TEMP TABLE kept (doc_id BIGINT, text VARCHAR, source VARCHAR)")
+    con.executemany("INSERT INTO kept VALUES (?, ?, ?)", [(r.doc_id, r.text, r.source) for r in rows])
+    cur = con.execute(re.sub(r"\bdocuments\b", "kept", mixing.OP2_SQL))
+    names = [c[0] for c in cur.description]
+    taken = {r[names.index("doc_id")]: (r[names.index("taken")], r[names.index("size")]) for r in cur.fetchall()}
+    text = {r.doc_id: r.text for r in rows}
+    want, tokens = Counter(), 0
+    for i, (t, size) in taken.items():
+        copies = -(-t // size) if size else 0
+        n = len(library.encode(text[i], add_special_tokens=False).ids) + 1
+        want[i] += copies * -(-n // 2048)
+        tokens += copies * n
+    got = corpus_pipeline.run(spark, SF).collect()
+    assert Counter(r.doc_id for r in got) == +want and sum(r.length for r in got) == tokens
+    held = defaultdict(int)
+    for r in got:
+        held[r.sequence_id] += r.length
+    assert max(held.values()) <= 2048 and len(held) <= -(-tokens // 2048) * 1.02 + 1
 
 
 def test_rows_survive_the_filters(spark, odd):
     """Clean documents stay as they are, extra columns included."""
-    out = toxicity.stage_toxicity(spark, odd, SF)
-    assert out.columns == odd.columns and isinstance(out.first(), Row)
+    for stage in (toxicity.stage_toxicity, langid.stage_langid, simhash.stage_simhash):
+        out = stage(spark, odd, SF)
+        assert out.columns == odd.columns and isinstance(out.first(), Row)
