@@ -3,7 +3,6 @@
 import numpy as np
 from pyspark.sql import functions as F
 
-from riskweave.llm import langid, simhash
 from riskweave.operators import models
 from riskweave.plans import catalogue
 from riskweave.sources import series as src
@@ -32,51 +31,5 @@ def test_omega_ct_is_the_dense_product():
         assert np.allclose(models.omega_ct(c, rho), (rho**lag) @ c.T)
 
 
-def changed(words, spots, tag):
-    """`words` with new words at isolated spots: each changes five shingles."""
-    own = list(words)
-    for i in spots:
-        own[i] = f"{tag}{i}"
-    return own
-
-
-def test_near_duplicates_are_those_of_the_exact_shingle_sets(spark):
-    rng = np.random.default_rng(8)
-    rows, expected = [], []
-    for k in range(120):
-        base = [f"v{i}" for i in rng.integers(0, 10**6, 404)]
-        # 400 shingles; 8 changes leave 360/440 = 0.818, 9 leave 355/445 = 0.798
-        n = 8 if k % 2 else 9
-        rows += [(2 * k, " ".join(base)), (2 * k + 1, " ".join(changed(base, range(10, 10 + 20 * n, 20), "x")))]
-        expected += [2 * k] if n == 8 else [2 * k, 2 * k + 1]
-    # copies of one text that are alike only through it: pairwise about 0.68
-    base = [f"u{i}" for i in range(404)]
-    rows.append((1000, " ".join(base)))
-    rows += [(1000 + c, " ".join(changed(base, range(10 + 2 * c, 170, 20), f"y{c}"))) for c in range(1, 9)]
-    expected.append(1000)
-    docs = spark.createDataFrame([(i, t, "en", "a") for i, t in rows], "doc_id long, text string, lang string, source string")
-    assert sorted(r.doc_id for r in simhash.stage_simhash(spark, docs, "").collect()) == expected
-
-
-def test_languages_above_u3000_are_told_apart():
-    rng = np.random.default_rng(11)
-
-    def writer(first, last, words):
-        vocabulary = ["".join(map(chr, rng.integers(first, last, rng.integers(1, 4)))) for _ in range(words)]
-        return lambda n: "".join(rng.choice(vocabulary, n))
-
-    write = {"ja": writer(0x3041, 0x30FB, 300), "ko": writer(0xAC00, 0xD7A4, 300), "zh": writer(0x4E00, 0x9FA6, 300), "zz": writer(0x4E00, 0x9FA6, 300), "en": lambda n: " ".join(rng.choice(["the", "of", "and", "river"], n))}
-    model = langid.train({k: [w(2000)] for k, w in write.items()})
-    texts = [(k, w(60)) for k, w in write.items() for _ in range(20)]
-    got, _ = langid.predict(model, [t for _, t in texts])
-    assert np.mean([g == k for g, (k, _) in zip(got, texts)]) > 0.95
-
-
-def test_emoji_and_wide_punctuation_have_no_language():
-    model = langid.train({"en": ["the river and the sea"], "fr": ["la mer et la rive"]})
-    assert langid.predict(model, ["\U0001f600\U0001f680", "\u3001\u3002\uff01", "\U00020000"])[0][:2] == ["und", "und"]
-    assert langid.phrases(model, ["\U0001f600", "\uff01", "\U00020000", "\u65e5"])[2].tolist() == [False, False, True, True]
-
-
 def test_acerbi_null_has_all_draws(spark):
     assert catalogue.QUERIES["acerbi_null"](spark, SF).first().n == 10_000
