@@ -138,9 +138,9 @@ def train(samples: dict[str, list[str]], dense: int = DENSE) -> Model:
     model = Model(sorted(samples), symbol, letter, width, none.astype(np.int32), none, none, none.astype(np.int32), np.zeros(0))
     parts, roots, bits, edges, targets, at = [], [], [], [], [], 0
     for lang in model.languages:
-        seq = symbols(model, texts[lang])
+        seq = symbols(model, texts.pop(lang))
         rows = suffix_automaton(seq.tolist())
-        to = np.full((len(rows), width), -1, np.int64)
+        to = np.full((len(rows), width), -1, np.int32)
         for s, row in enumerate(rows):
             for c, t in row.items():
                 if c < width:
@@ -153,7 +153,7 @@ def train(samples: dict[str, list[str]], dense: int = DENSE) -> Model:
         restart = np.where(begins, to[0] << 2 | 1, at << 2 | 2)
         entries = np.where(to >= 0, to << 2, restart[None, :])
         entries[0] = np.where(begins, to[0] << 2, at << 2 | 1)
-        parts.append(entries.astype(np.int32).ravel())
+        parts.append(entries.astype(np.int32, copy=False).ravel())
         roots.append(at)
         bits.append(np.log2(max(2, len(seq))))
         at += entries.size

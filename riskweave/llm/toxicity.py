@@ -47,6 +47,8 @@ VOCABULARY = 256
 PURE = 0.9
 #: How sure a term must be: its log odds ratio over its error.
 SURE = 2.5
+#: In how many documents of the category a word must be, copies counted once.
+LEAST = 3
 #: Lengths of the word beginnings that count besides whole words.
 STEMS = range(4, 9)
 #: Words whose features a worker remembers.
@@ -112,7 +114,7 @@ def logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = RI
         p = sigmoid(x @ w)
         step = np.linalg.solve((x * (weight * p * (1 - p))[:, None]).T @ x + np.diag(penalty), x.T @ (weight * (y - p)) - penalty * w)
         w += step
-        if np.abs(step).max() < 1e-6:
+        if np.abs(step).max() < 1e-4:
             break
     return w
 
@@ -132,24 +134,30 @@ def copies_key(words: list[str], width: int = 5) -> tuple[int, int]:
 
 
 class Sample:
-    """The training texts as rows of (key, count); keys are numbered."""
-
-    def __init__(self, texts: list[str]):
-        number: dict[str, int] = {}
-        of_word: dict[str, np.ndarray] = {}
+    """The training texts as rows of (key, count); keys are numbered. Only keys of three `marked` texts or more (all
+    texts, if none are named) get a number: no other can be chosen, and most words are rare."""
+
+    def __init__(self, texts: list[str], marked: list[bool] | None = None):
+        seen: Counter = Counter()
+        for text, on in zip(texts, marked or [True] * len(texts)):
+            if on:
+                seen.update({k for w in set(tokens(text)) for k in keys(w) if len(k) > 2})
+        number = {k: i for i, k in enumerate(k for k, n in seen.items() if n >= LEAST)}
+        of_word: dict[str, tuple[int, ...]] = {}
+        del seen
         rows, cols, counts, length, copies = [], [], [], [], []
         for i, text in enumerate(texts):
             words = tokens(text)
-            own = Counter(words)
-            for w in own:
-                if w not in of_word:
-                    of_word[w] = np.array([number.setdefault(k, len(number)) for k in keys(w)], np.int32)
-            ids = [of_word[w] for w in own]
-            sizes = list(map(len, ids))
-            found, where = np.unique(np.concatenate(ids), return_inverse=True) if ids else (np.zeros(0, np.int32), np.zeros(0, np.int64))
-            cols.append(found)
-            counts.append(np.bincount(where, np.repeat(list(own.values()), sizes), len(found)))
-            rows.append(np.full(len(found), i, np.int32))
+            own: Counter = Counter()
+            for w, n in Counter(words).items():
+                ids = of_word.get(w)
+                if ids is None:
+                    ids = of_word[w] = tuple(number[k] for k in keys(w) if k in number)
+                for k in ids:
+                    own[k] += n
+            cols.append(np.fromiter(own.keys(), np.int32, len(own)))
+            counts.append(np.fromiter(own.values(), np.int32, len(own)))
+            rows.append(np.full(len(own), i, np.int32))
             length.append(len(words))
             copies.append(copies_key(words))
         self.n, self.keys = len(texts), list(number)
@@ -157,7 +165,6 @@ class Sample:
         self.length = np.array(length)
         group = Counter(copies)
         self.weight = np.array([1 / group[c] for c in copies])
-        self.wordlike = np.array([len(k) > 2 for k in self.keys], bool)
 
     def choose(self, use: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(vocabulary, terms) as key numbers, from the rows in `use` alone."""
@@ -165,7 +172,7 @@ class Sample:
         with_ = np.bincount(self.cols, w1[self.rows], len(self.keys))
         without = np.bincount(self.cols, w0[self.rows], len(self.keys))
         n1, n0 = w1.sum(), w0.sum()
-        fine = (with_ >= max(3, 0.01 * n1)) & self.wordlike
+        fine = with_ >= max(LEAST, 0.01 * n1)
         odds = np.log((with_ + 0.5) / (n1 - with_ + 0.5)) - np.log((without + 0.5) / (n0 - without + 0.5))
         odds /= np.sqrt(1 / (with_ + 0.5) + 1 / (without + 0.5))
         sure = np.flatnonzero(fine & (np.abs(odds) >= SURE))
@@ -203,7 +210,7 @@ def train(texts: list[str], targets: dict[str, list[int | None]], counts: dict[i
     if len(set(last[~np.isnan(last)])) < 2:
         known = last[~np.isnan(last)]
         return Model(names=names, prior=float(known.mean()) if len(known) else 0.0)
-    sample = Sample(texts)
+    sample = Sample(texts, [any(t[k] for t in targets.values()) for k in range(len(texts))])
     fold = np.arange(sample.n) % FOLDS
     model, earlier = Model(names=names), np.zeros((sample.n, 0))
     for name in names:
