@@ -7,6 +7,7 @@ import argparse
 from .plans import catalogue
 from .plans.reports import markdown
 from .session import get_session
+from .sources.series import as_of
 
 
 def main() -> None:
@@ -15,7 +16,7 @@ def main() -> None:
     parser.add_argument("--data")
     parser.add_argument("--out")
     parser.add_argument("--format", default="parquet", choices=("parquet", "csv"))
-    parser.add_argument("--asof", help="keep rows with a date up to this one")
+    parser.add_argument("--asof", help="read the tables as they were on this day: fits and ranks see nothing later")
     parser.add_argument("--log-level", default="WARN")
     parser.add_argument("--list", action="store_true")
     args = parser.parse_args()
@@ -24,9 +25,8 @@ def main() -> None:
         return
     spark = get_session()
     spark.sparkContext.setLogLevel(args.log_level)
-    df = catalogue.QUERIES[args.query](spark, args.data)
-    if args.asof and "date" in df.columns:
-        df = df.where(df["date"] <= args.asof)
+    with as_of(args.asof):
+        df = catalogue.QUERIES[args.query](spark, args.data)
     if args.out:
         df.write.mode("overwrite").format(args.format).save(args.out)
     else:

@@ -61,8 +61,10 @@ def month_end_levels(series: DataFrame) -> DataFrame:
 
 def asof_join(left: DataFrame, right: DataFrame, values: list[str], keys: list[str] | None = None) -> DataFrame:
     """For each row of `left`, the last row of `right` with a date up to its own; NULL before the first.
-    On an equal date the right row is seen."""
-    keys = keys or []
+    On an equal date the right row is seen. Without keys the calendar is cut into months, which many tasks carry
+    forward; each month begins with the last value of those before it."""
+    if not keys:
+        return _asof_by_month(left, right, values)
     carried = F.struct(*values).alias("carried")
     kept = [c for c in left.columns if c not in keys and c != "date"]
     none = F.lit(None).cast(right.select(carried).schema[0].dataType)
@@ -75,6 +77,21 @@ def asof_join(left: DataFrame, right: DataFrame, values: list[str], keys: list[s
     return joined.select(*keys, "date", *[F.col(f"own.{c}").alias(c) for c in kept], *[F.col(f"carried.{v}").alias(v) for v in values])
 
 
+def _asof_by_month(left: DataFrame, right: DataFrame, values: list[str]) -> DataFrame:
+    from pyspark.sql import Window
+
+    month = F.trunc("date", "MM").alias("__month")
+    inner = asof_join(left.select("*", month), right.select("date", month, F.struct(F.lit(1).alias("__seen"), *values).alias("__v")), ["__v"], ["__month"])
+    # one row a month: what the month leaves to the next ones
+    leaves = right.groupBy(month).agg(F.max_by(F.struct(*values), "date").alias("last"))
+    months = leaves.unionByName(left.select(month).distinct(), allowMissingColumns=True).groupBy("__month").agg(F.max("last").alias("last"))
+    earlier = Window.orderBy("__month").rowsBetween(Window.unboundedPreceding, -1)
+    start = months.select(F.col("__month").alias("__m"), F.last("last", ignorenulls=True).over(earlier).alias("__before"))
+    joined = inner.join(start, F.col("__month") == F.col("__m"), "left")
+    kept = [c for c in left.columns if c != "date"]
+    return joined.select("date", *kept, *[F.when(F.col("__v.__seen").isNotNull(), F.col(f"__v.{v}")).otherwise(F.col(f"__before.{v}")).alias(v) for v in values])
+
+
 def calendar_intersection(series: DataFrame, n_series: int | None = None) -> DataFrame:
     """Dates that all series have."""
     counted = series.groupBy("date").agg(F.count_distinct("series_id").alias("n"))
@@ -91,8 +108,9 @@ def union_fill(panel: DataFrame, columns: list[str], keys: tuple[str, ...] = ("s
 
 
 def align_union(series: DataFrame, ids: list[str], name: str = "panel") -> DataFrame:
-    """Long series -> one row a date of the union calendar, one filled column a series."""
-    table = series.groupBy("date").pivot("series_id", ids).agg(F.first("value")).withColumn("series_id", F.lit(name))
+    """Long series -> one row a date of the union calendar, one filled column a series; of values that share a date
+    the least counts."""
+    table = series.groupBy("date").pivot("series_id", ids).agg(F.min("value")).withColumn("series_id", F.lit(name))
     return union_fill(table, ids)
 
 
@@ -104,6 +122,18 @@ def aggregation_weights(daily: DataFrame) -> DataFrame:
     return daily.withColumn("month", month).withColumn("weight", 1.0 / F.count("*").over(Window.partitionBy("series_id", "month")))
 
 
+def replicated(daily: DataFrame, monthly: DataFrame, column: str = "value") -> DataFrame:
+    """(series_id, month, replicated, target, error): monthly means of a daily path beside what they should be."""
+    means = daily.groupBy("series_id", F.trunc("date", "MM").alias("month")).agg(F.avg(column).alias("replicated"))
+    target = monthly.select(F.trunc("date", "MM").alias("tm"), F.col("value").alias("target"))
+    both = means.join(target, F.col("month") == F.col("tm"))
+    return both.select("series_id", "month", "replicated", "target", F.abs(F.col("replicated") - F.col("target")).alias("error"))
+
+
+def aggregation_error(daily: DataFrame, monthly: DataFrame, column: str = "value") -> DataFrame:
+    return replicated(daily, monthly, column).groupBy("series_id").agg(F.count("*").alias("months"), F.max("error").alias("max_error"))
+
+
 def common_months(high: DataFrame, low: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Days whose month the low-frequency series has, and months that have days."""
     m = F.trunc("date", "MM")

@@ -158,6 +158,20 @@ def hamilton_filter(df: DataFrame, column: str, stay: tuple[float, float], mean:
     return fold(df, [column], start, hamilton_step(stay, mean, sd), "p_stress double")
 
 
+def hamilton_states(df: DataFrame, column: str, transition: tuple[tuple[float, ...], ...], mean: tuple[float, ...], sd: tuple[float, ...], names: tuple[str, ...]) -> DataFrame:
+    """Filtered probabilities of any number of states, one column each; the chain starts from equal shares."""
+    k = len(mean)
+
+    def step(probs: tuple, row: tuple) -> tuple[tuple, tuple]:
+        prior = [sum(probs[i] * transition[i][j] for i in range(k)) for j in range(k)]
+        joint = [p * math.exp(-0.5 * ((row[0] - m) / s) ** 2) / s for p, m, s in zip(prior, mean, sd)]
+        total = sum(joint)
+        post = tuple(v / total for v in joint) if total > 0 else tuple(prior)
+        return post, post
+
+    return fold(df, [column], (1 / k,) * k, step, ", ".join(f"{n} double" for n in names))
+
+
 def kim_smoother(filtered: np.ndarray, transition: np.ndarray) -> np.ndarray:
     """Smoothed probabilities from filtered ones, both (time x state)."""
     out = filtered.copy()

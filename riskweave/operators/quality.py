@@ -7,7 +7,7 @@ import math
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.windows import over, so_far
+from ..functions.windows import over, require, so_far
 from .returns import changes, observed, simple_returns
 
 
@@ -78,6 +78,15 @@ def zero_run_bound(series: DataFrame, k: float = 3.0, floor: int = 2, least_shar
     return longest_zero_run(series).withColumn("bound", bound.cast("long")).withColumn("stale", F.col("longest") > F.col("bound"))
 
 
+def require_no_stale_zeros(series: DataFrame, longest: int | None = None) -> DataFrame:
+    """The series as they are; one whose longest run of unchanged values is beyond `longest` (else beyond what
+    independent changes would give) fails the query."""
+    found = zero_run_bound(series)
+    bound = F.lit(longest) if longest is not None else F.col("bound")
+    checked = found.withColumn("fine", F.col("longest") <= bound).select("series_id", "fine")
+    return require(series.join(checked, "series_id", "left"), F.coalesce("fine", F.lit(True)), "a run of unchanged values is too long").drop("fine")
+
+
 def mask_stale(prices: DataFrame, tolerance: float = 0.0, longest: int = 2) -> DataFrame:
     """Runs of unchanged prices longer than `longest` become NULL but for the first print."""
     d = changes(prices)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+import warnings
 
 import numpy as np
 import pandas as pd
@@ -10,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import dist
-from ..functions.windows import over
+from ..functions.windows import over, require
 from .folds import smooth_and_hold
 
 
@@ -128,6 +129,31 @@ def backtest_suite(models: DataFrame, p: float, window: int = 250, significance:
 BOOKS = ("base", "vol_only", "full_ms", "full_legacy", "conjunction")
 
 
+def annualised(df: DataFrame, column: str, periods: int = 252, name: str = "sigma_ann") -> DataFrame:
+    """A daily deviation in annual units; one that isn't positive fails the query."""
+    return require(df, F.col(column) > 0, "a daily sigma must be positive").withColumn(name, F.col(column) * math.sqrt(periods))
+
+
+def stress_of_states(df: DataFrame, column: str = "state", stress: tuple[int, ...] = (2, 3), name: str = "legacy") -> DataFrame:
+    """A regime model's numbered states as a stress flag."""
+    return df.withColumn(name, F.col(column).isin(list(stress)))
+
+
+def overlay_inputs(sigma: DataFrame, es: DataFrame, states: DataFrame, legacy: DataFrame | None = None) -> DataFrame:
+    """(series_id, date, sigma_ann, es, stressed, confirms, legacy) on the common dates. Values that are missing or not
+    positive there fail the query; without a legacy series nothing is in legacy stress, with a warning."""
+    both = sigma.select("series_id", "date", "sigma_ann").join(es.select("series_id", "date", "es"), ["series_id", "date"])
+    both = both.join(states.select("date", "stressed", "confirms"), "date")
+    fine = F.col("sigma_ann").isNotNull() & F.col("es").isNotNull() & F.col("stressed").isNotNull() & F.col("confirms").isNotNull() & ~F.isnan("sigma_ann") & ~F.isnan("es")
+    both = require(both, fine, "an overlay input is missing")
+    both = require(both, (F.col("sigma_ann") > 0) & (F.col("es") > 0), "sigma and ES must be positive")
+    if legacy is None:
+        warnings.warn("no legacy regime series: it counts as never in stress", stacklevel=2)
+        return both.withColumn("legacy", F.lit(False))
+    joined = both.join(legacy.select("date", "legacy"), "date", "left")
+    return require(joined, F.col("legacy").isNotNull(), "the legacy series lacks a date")
+
+
 def multipliers(df: DataFrame, target_vol: Column | float = 0.10, target_es: float = 0.025, kappa: Column | float = 0.5, cap: float = 1.0) -> DataFrame:
     """df (sigma_ann, es, stressed, confirms, legacy) -> m_vol, m_es and the regime multipliers. Stress
     without exogenous confirmation cuts half as much; the legacy flag knows no half cut."""
@@ -163,11 +189,45 @@ def binding(df: DataFrame) -> DataFrame:
     return df.withColumn("m_raw", raw).withColumn("binding", name)
 
 
-def apply_multiplier(weights: dict[str, float], m: float) -> dict[str, float]:
-    """Scale a fully invested portfolio; the rest is cash."""
-    if abs(sum(weights.values()) - 1) > 1e-9:
+def multiplier_at(executed: DataFrame, date: str, book: str = "full_ms") -> DataFrame:
+    """(series_id, multiplier) of a book on a date; a date that isn't in the sample fails the query."""
+    day = F.lit(date).cast("date")
+    per = executed.where(F.col("book") == book).groupBy("series_id").agg(F.max(F.when(F.col("date") == day, F.col("executed"))).alias("multiplier"))
+    return require(per, F.col("multiplier").isNotNull(), "the date is not in the overlay's sample")
+
+
+def scaled_weights(weights: dict[str, float], executed: DataFrame, date: str, book: str = "full_ms") -> DataFrame:
+    """(series_id, asset, weight) of a fully invested portfolio scaled on a date; the rest is cash."""
+    if "cash" in weights:
+        raise ValueError("cash is what the overlay adds")
+    if abs(sum(weights.values()) - 1) > 1e-8:
         raise ValueError("weights must sum to 1")
-    return {**{k: w * m for k, w in weights.items()}, "cash": 1 - m}
+    m = F.col("multiplier")
+    parts = [F.struct(F.lit(a).alias("asset"), (F.lit(float(w)) * m).alias("weight")) for a, w in weights.items()] + [F.struct(F.lit("cash").alias("asset"), (1 - m).alias("weight"))]
+    return multiplier_at(executed, date, book).select("series_id", F.explode(F.array(*parts)).alias("e")).select("series_id", "e.asset", "e.weight")
+
+
+def overlay_metrics(executed: DataFrame, alarm: float = 2.0) -> DataFrame:
+    """Performance of each book (multiplier times return), its turnover beyond the base book's, and whether that is
+    too much."""
+    from .signals import economic_metrics
+
+    per = economic_metrics(executed.withColumn("pnl", F.col("executed") * F.col("ret")), ["series_id", "book"], column="pnl", weight="executed")
+    base = F.max(F.when(F.col("book") == "base", F.col("ann_turnover"))).over(Window.partitionBy("series_id"))
+    extra = F.col("ann_turnover") - base
+    return per.withColumn("incremental_turnover", extra).withColumn("turnover_alarm", extra > alarm)
+
+
+def detection_lags(states: DataFrame, p: str = "p_stress", enter: float = 0.7) -> DataFrame:
+    """(series_id, date, lag): for each declared stress episode, how many rows before it the probability had gone
+    above `enter` for good."""
+    above = F.coalesce(F.col(p) > enter, F.lit(False))
+    began = F.col("stressed") & ~F.coalesce(F.lag("stressed").over(over()), F.lit(False))
+    marked = states.withColumn("i", F.row_number().over(over())).withColumn("began", began)
+    frame = over().rowsBetween(Window.unboundedPreceding, 0)
+    marked = marked.withColumn("below", F.max(F.when(~above, F.col("i"))).over(frame))
+    lag = F.when(above, F.col("i") - F.coalesce("below", F.lit(0)) - 1).otherwise(F.lit(-1))
+    return marked.where("began").select("series_id", "date", lag.alias("lag"))
 
 
 def regime_concordance(states: DataFrame, a: str = "ms", b: str = "legacy") -> DataFrame:

@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+from bisect import insort
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.dist import norm_ppf
-from ..functions.windows import before, full, last_rows, over, previous_rows, rolling_rank, so_far
+from ..functions.windows import full, last_rows, over, previous_rows, rolling_rank, so_far
+from .stats import icss
 
 
 def percentile_rank(series: DataFrame, window: int, least: int | None = None, column: str = "value", name: str = "rank") -> DataFrame:
@@ -33,8 +36,34 @@ def rolling_sum(series: DataFrame, window: int, column: str, name: str, least: i
     return series.withColumn(name, full(F.col(column), frame, F.sum(column).over(frame), least or window))
 
 
+def expanding_quantile(df: DataFrame, column: str, share: float, name: str, keys: list[str] | str = "series_id", include_current: bool = True, least: int = 1, order: str = "date") -> DataFrame:
+    """The percentile (linear between neighbours) of all values so far, with or without the row's own; NULL before
+    there are `least`. One pass over each key's rows with a sorted list: a percentile over an unbounded window would
+    sort the whole past anew at every row."""
+    keys = [keys] if isinstance(keys, str) else keys
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields if f.name != name) + f", `{name}` double"
+    kept = [c for c in df.columns if c != name]
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf[kept].sort_values(order, kind="stable")
+        held: list[float] = []
+        out: list[float | None] = []
+        for x in pdf[column].tolist():
+            missing = x is None or x != x
+            if include_current and not missing:
+                insort(held, x)
+            at = share * (len(held) - 1)
+            k = int(at)
+            out.append(None if len(held) < max(1, least) else held[k] + (at - k) * (held[min(k + 1, len(held) - 1)] - held[k]))
+            if not include_current and not missing:
+                insort(held, x)
+        return pdf.assign(**{name: pd.array(out, "Float64")})
+
+    return df.groupBy(*keys).applyInPandas(run, schema)
+
+
 def expanding_median(series: DataFrame, column: str, name: str = "median", keys: list[str] | str = "series_id") -> DataFrame:
-    return series.withColumn(name, F.percentile(column, F.lit(0.5)).over(so_far(keys)))
+    return expanding_quantile(series, column, 0.5, name, keys)
 
 
 def historical_var(returns: DataFrame, window: int, alpha: float) -> DataFrame:
@@ -49,9 +78,8 @@ def historical_var(returns: DataFrame, window: int, alpha: float) -> DataFrame:
 
 def filtered_var(residuals: DataFrame, alpha: float, least: int = 20) -> DataFrame:
     """-(mu + sigma * Q(z before)), the quantile of all earlier standardised residuals."""
-    frame = before()
-    q = F.percentile("z", F.lit(1 - alpha)).over(frame)
-    return residuals.withColumn("var_fhs", full(F.col("z"), frame, -(F.col("mu") + F.col("sigma") * q), least))
+    known = expanding_quantile(residuals, "z", 1 - alpha, "q", include_current=False, least=least)
+    return known.withColumn("var_fhs", -(F.col("mu") + F.col("sigma") * F.col("q"))).drop("q")
 
 
 def forward_fill(series: DataFrame, column: str) -> DataFrame:
@@ -78,21 +106,27 @@ def first_component_of_two(pair: DataFrame, a: str, b: str, window: int) -> Data
     return pair.withColumn("pc1", F.when(both & (F.count(F.when(both, 1)).over(frame) == window), score))
 
 
-def first_component(panel: DataFrame, columns: list[str], window: int, anchor: str | None = None) -> DataFrame:
-    """The same for any number of columns; the sign makes the anchor's (else the first) loading positive.
-    NULL where the current row is incomplete or fewer than `window` complete rows are in its frame."""
+def first_component(panel: DataFrame, columns: list[str], window: int, least: int | None = None, anchor: str | None = None) -> DataFrame:
+    """The same for any number of columns, from the complete ones of the last `window` rows; the sign makes the
+    anchor's (else the first) loading positive. NULL where the current row is incomplete or fewer than `least`
+    (else `window`) complete rows are in its frame."""
     lead = columns.index(anchor) if anchor else 0
+    least = window if least is None else least
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("date")
         x = pdf[columns].to_numpy(float)
+        whole = np.isfinite(x).all(axis=1)
         out = np.full(len(x), np.nan)
-        for i in range(window - 1, len(x)):
-            block = x[i - window + 1 : i + 1]
-            if np.isfinite(block).all() and (block.std(axis=0, ddof=1) > 0).all():
-                z = (block - block.mean(axis=0)) / block.std(axis=0, ddof=1)
-                load = np.linalg.svd(z, full_matrices=False)[2][0]
-                out[i] = z[-1] @ load * (1 if load[lead] >= 0 else -1)
+        for i in np.flatnonzero(whole).tolist():
+            lo = max(0, i + 1 - window)
+            block = x[lo : i + 1][whole[lo : i + 1]]
+            if len(block) < max(2, least):
+                continue
+            sd = block.std(axis=0, ddof=1)
+            z = (block - block.mean(axis=0)) / np.where(sd < 1e-12, 1.0, sd)
+            load = np.linalg.svd(z, full_matrices=False)[2][0]
+            out[i] = z[-1] @ load * (1 if load[lead] >= 0 else -1)
         return pdf[["series_id", "date"]].assign(pc1=pd.Series(out, index=pdf.index).replace({np.nan: None}).astype("Float64"))
 
     return panel.groupBy("series_id").applyInPandas(run, "series_id string, date date, pc1 double")
@@ -134,19 +168,7 @@ def icss_breaks(series: DataFrame, column: str = "ret", critical: float = 1.358,
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("date")
-        sq = pdf[column].to_numpy(float) ** 2
-        found, todo = [], [(0, len(sq))]
-        while todo:
-            lo, hi = todo.pop()
-            n, total = hi - lo, sq[lo:hi].sum()
-            if n < least or total <= 0:
-                continue
-            stat = np.sqrt(n / 2) * np.abs(np.cumsum(sq[lo:hi])[:-1] / total - np.arange(1, n) / n)
-            at = lo + 1 + int(stat.argmax())
-            if stat.max() > critical and min(at - lo, hi - at) >= least // 2:
-                found.append(at)
-                todo += [(lo, at), (at, hi)]
-        at = sorted(found)
+        at = icss(pdf[column].to_numpy(float) ** 2, critical, least)
         return pd.DataFrame({"series_id": [pdf["series_id"].iloc[0]] * len(at), "date": pdf["date"].iloc[at].to_numpy()})
 
     return series.where(F.col(column).isNotNull()).groupBy("series_id").applyInPandas(run, "series_id string, date date")

@@ -7,8 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.windows import over, rolling_rank, so_far
+from ..functions.windows import over, require, rolling_rank, so_far
 from .folds import hysteresis
+from .rolling import expanding_median
 
 Scoring = Callable[[Column, Column, Column], Column]
 
@@ -37,22 +38,34 @@ def score_history(panel: DataFrame, window: int, least: int | None = None, scori
 
 
 def explain(history: DataFrame, date: str) -> DataFrame:
-    """The last row up to `date`, one a series."""
+    """The last row up to `date`, one a series; a date beyond the sample fails the query."""
+    last = history.groupBy("series_id").agg(F.max("date").alias("last_date"))
+    history = require(history.join(last, "series_id"), F.col("last_date") >= F.lit(date).cast("date"), "the date is beyond the sample").drop("last_date")
     known = history.where(F.col("date") <= F.lit(date).cast("date"))
     newest = known.withColumn("newest", F.row_number().over(Window.partitionBy("series_id").orderBy(F.desc("date"))))
     return newest.where("newest = 1").drop("newest")
 
 
+def decomposition(history: DataFrame, date: str, window: int, proxy: str, weight_vol: float = 0.5, weight_level: float = 0.5) -> DataFrame:
+    """Everything a score on `date` is made of: the inputs, their ranks, stress and fundamental parts, state, weight,
+    the rank window and how many rows it held."""
+    counted = history.withColumn("n_obs_used", F.least(F.lit(window), F.count("*").over(so_far()) + F.lit(window - 1)))
+    return explain(counted, date).select(
+        "series_id", "date", "score", (weight_vol * F.col("p_vol") + weight_level * F.col("p_level")).alias("stress"), F.col("p_fund").alias("fundamental_rank"), "p_vol", "p_level", "p_fund",
+        "vol", "sigma", "level", "fundamental", F.lit(proxy).alias("proxy"), "active", "weight", F.lit(window).alias("window"), "n_obs_used",
+    )
+
+
 def priced_returns(df: DataFrame, base_bps: float = 3.0, k: float = 1.5, multiplier: float | Column = 1.0, keys: list[str] | str = "series_id") -> DataFrame:
     """Yesterday's weight earns today's return; trading costs base + k * sigma / its median so far, on the
     change of weight. Adds held, cost and strat_ret."""
     by = over(keys)
-    median = F.percentile("sigma", F.lit(0.5)).over(so_far(keys))
-    median = F.when(median > 0, median).otherwise(F.first("sigma").over(so_far(keys)))
+    df = expanding_median(df, "sigma", "__median", keys)
+    median = F.when(F.col("__median") > 0, F.col("__median")).otherwise(F.first("sigma").over(so_far(keys)))
     held = F.lag("weight", 1, 0.0).over(by)
     bps = base_bps + k * F.col("sigma") / median
     cost = multiplier * bps / 1e4 * F.abs(F.col("weight") - held)
-    return df.withColumn("held", held).withColumn("cost", cost).withColumn("strat_ret", F.col("held") * F.col("ret") - F.col("cost"))
+    return df.withColumn("held", held).withColumn("cost", cost).withColumn("strat_ret", F.col("held") * F.col("ret") - F.col("cost")).drop("__median")
 
 
 def cost_sensitivity(df: DataFrame, multipliers: tuple[float, ...] = (1.0, 2.0, 3.0), base_bps: float = 3.0, k: float = 1.5) -> DataFrame:

@@ -6,7 +6,7 @@ import math
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import dist
@@ -26,11 +26,23 @@ def autocorrelations(series: DataFrame, lags: int, column: str = "ret") -> DataF
     return sums.select("series_id", "n", pairs.alias("e")).select("series_id", "n", "e.lag", "e.rho")
 
 
+def chi2_sf(x: Column, df: int) -> Column:
+    """Survival function of chi-square: in closed form for even degrees of freedom, else over Arrow batches."""
+    if df % 2 == 0:
+        return dist.chi2_sf_even(x, df)
+
+    @F.pandas_udf("double")
+    def odd(values: pd.Series) -> pd.Series:
+        return values.map(lambda v: dist.chi2_sf(v, df))
+
+    return odd(x)
+
+
 def ljung_box(series: DataFrame, lags: int = 10, column: str = "ret") -> DataFrame:
     acf = autocorrelations(series, lags, column)
     q = F.max("n") * (F.max("n") + 2) * F.sum(F.col("rho") * F.col("rho") / (F.col("n") - F.col("lag")))
     out = acf.groupBy("series_id").agg(q.alias("q"))
-    return out.withColumn("p_value", dist.chi2_sf_even(F.col("q"), lags)) if lags % 2 == 0 else out
+    return out.withColumn("p_value", chi2_sf(F.col("q"), lags))
 
 
 def lag_one_correlation(series: DataFrame, column: str = "ret") -> DataFrame:
@@ -58,10 +70,11 @@ def arch_lm_one(series: DataFrame, column: str = "ret") -> DataFrame:
 
 def arch_lm(series: DataFrame, lags: int, column: str = "ret") -> DataFrame:
     """Engle's test with any number of lags, from the lagged squares' cross products."""
-    return _grouped(series, column, lambda pdf: [("lm", *_nr2(pdf[column].to_numpy(float) ** 2, lags), lags)])
+    return _grouped(series, column, lambda pdf: [("lm", *arch_nr2(pdf[column].to_numpy(float) ** 2, lags), lags)])
 
 
-def _nr2(y: np.ndarray, lags: int) -> tuple[float, float]:
+def arch_nr2(y: np.ndarray, lags: int) -> tuple[float, float]:
+    """n R2 of y on its own lags, and its chi-square p-value."""
     x = np.column_stack([np.ones(len(y) - lags), *[y[lags - k : len(y) - k] for k in range(1, lags + 1)]])
     target = y[lags:]
     e = target - x @ np.linalg.lstsq(x, target, rcond=None)[0]
@@ -82,15 +95,16 @@ def _grouped(series: DataFrame, column: str, run) -> DataFrame:
 def sign_bias(residuals: DataFrame, column: str = "z", eps: str = "eps") -> DataFrame:
     """Joint sign and size bias: z squared on the last shock's sign and signed sizes."""
 
-    def run(pdf: pd.DataFrame) -> list[tuple]:
-        z2, e = pdf[column].to_numpy(float)[1:] ** 2, pdf[eps].to_numpy(float)[:-1]
-        neg = (e < 0).astype(float)
-        x = np.column_stack([np.ones(len(e)), neg, neg * e, (1 - neg) * e])
-        res = z2 - x @ np.linalg.lstsq(x, z2, rcond=None)[0]
-        stat = len(z2) * (1 - (res @ res) / ((z2 - z2.mean()) ** 2).sum())
-        return [("sign_bias", stat, dist.chi2_sf(stat, 3), 3)]
+    return _grouped(residuals, column, lambda pdf: [("sign_bias", *sign_bias_nr2(pdf[column].to_numpy(float), pdf[eps].to_numpy(float)), 3)])
+
 
-    return _grouped(residuals, column, run)
+def sign_bias_nr2(z: np.ndarray, eps: np.ndarray) -> tuple[float, float]:
+    z2, e = z[1:] ** 2, eps[:-1]
+    neg = (e < 0).astype(float)
+    x = np.column_stack([np.ones(len(e)), neg, neg * e, (1 - neg) * e])
+    res = z2 - x @ np.linalg.lstsq(x, z2, rcond=None)[0]
+    stat = len(z2) * (1 - (res @ res) / ((z2 - z2.mean()) ** 2).sum())
+    return float(stat), dist.chi2_sf(stat, 3)
 
 
 def variance_ratio(series: DataFrame, q: int, column: str = "ret") -> DataFrame:
@@ -213,25 +227,45 @@ def kpss(x: np.ndarray) -> tuple[float, float]:
     return stat, float(np.interp(stat, (0.347, 0.463, 0.574, 0.739), (0.10, 0.05, 0.025, 0.01)))
 
 
+def icss(squared: np.ndarray, critical: float = 1.358, least: int = 30) -> list[int]:
+    """Where the variance breaks: segments are split at their largest cumulative-sum deviation until none is beyond
+    `critical`; both parts of a split must have half of `least` rows."""
+    found, todo = [], [(0, len(squared))]
+    while todo:
+        lo, hi = todo.pop()
+        n, total = hi - lo, squared[lo:hi].sum()
+        if n < least or total <= 0:
+            continue
+        stat = np.sqrt(n / 2) * np.abs(np.cumsum(squared[lo:hi])[:-1] / total - np.arange(1, n) / n)
+        at = lo + 1 + int(stat.argmax())
+        if stat.max() > critical and min(at - lo, hi - at) >= least // 2:
+            found.append(at)
+            todo += [(lo, at), (at, hi)]
+    return sorted(found)
+
+
 def ks_distance(z: DataFrame, cdf: str = "cdf") -> DataFrame:
-    """Kolmogorov distance between a column of fitted CDF values and the uniform; p from the limit law."""
+    """Kolmogorov distance between a column of fitted CDF values and the uniform, with the p-value of its limit law."""
     ranked = z.withColumn("i", F.row_number().over(Window.partitionBy("series_id").orderBy(cdf))).withColumn("n", F.count("*").over(_series()))
     gap = F.greatest(F.col("i") / F.col("n") - F.col(cdf), F.col(cdf) - (F.col("i") - 1) / F.col("n"))
-    return ranked.groupBy("series_id").agg(F.max(gap).alias("ks"), F.max("n").alias("n"))
+    out = ranked.groupBy("series_id").agg(F.max(gap).alias("ks"), F.max("n").alias("n"))
+
+    @F.pandas_udf("double")
+    def limit(x: pd.Series) -> pd.Series:
+        return x.map(dist.kolmogorov_sf)
+
+    root = F.sqrt("n")
+    return out.withColumn("p_value", limit((root + 0.12 + 0.11 / root) * F.col("ks")))
 
 
 def half_life(beta: float) -> float:
-    """ln(1/2) / ln(beta) of a stationary, positive persistence."""
+    """ln(1/2) / ln(beta) of a stationary, positive persistence; anything else raises."""
     if not 0 < beta < 1:
         raise ValueError("a half-life needs a persistence between 0 and 1")
     return math.log(0.5) / math.log(beta)
 
 
 def persistence(kind: str, alpha: float, gamma: float, beta: float) -> float:
-    """EGARCH |beta|, GJR alpha + gamma / 2 + beta, GARCH alpha + beta."""
-    return {"egarch": abs(beta), "gjr": alpha + gamma / 2 + beta, "garch": alpha + beta}[kind]
-
-
-def restarts_agree(logliks: list[float], tolerance: float = 0.01, least: int = 5) -> bool:
-    fine = [v for v in logliks if math.isfinite(v)]
-    return len(fine) >= least and max(fine) - min(fine) <= tolerance
+    """What a shock leaves to the next day's variance: |beta| of a log variance (egarch), alpha + gamma / 2 + beta of
+    a variance with two sides (gjr), alpha + beta of a symmetric one."""
+    return {"egarch": abs(beta), "gjr": alpha + gamma / 2 + beta, "symmetric": alpha + beta}[kind]

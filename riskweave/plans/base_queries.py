@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import calendar as cal
-from ..operators import folds, quality, returns, rolling, stats
+from ..operators import diagnostics, folds, quality, returns, risk, rolling, stats
 from ..sources import series as src
+from . import sql_parts as parts
 from .registry import HOUR, LVL, MON, RET, SEG, SHIP, SRET, VIX, WEEK, query, r6, rounded, sql
 
 
@@ -186,6 +187,32 @@ def aggregation_weights_month(spark, d):
     return w.groupBy("month").agg(F.count("*").alias("days"), rounded(F.sum(F.col("weight") * F.col("value"))).alias("mean"))
 
 
+@query("aggregation_error", sql(LVL, MON, "m AS (SELECT CAST(date_trunc('month', date) AS DATE) AS month, avg(value) AS rep FROM lvl GROUP BY 1)", f"SELECT 'orders' AS series_id, count(*) AS months, {r6('max(abs(rep - value))')} AS max_error FROM m JOIN mon ON mon.date = month"))
+def aggregation_error(spark, d):
+    return cal.aggregation_error(src.orders_levels(spark, d), src.monthly_levels(spark, d)).withColumn("max_error", rounded("max_error"))
+
+
+@query("calendar_slice", sql(SEG, "SELECT series_id, count(*) AS n, min(date) AS first, max(date) AS last FROM seg WHERE date BETWEEN DATE '1995-01-15' AND DATE '1996-03-31' GROUP BY 1"))
+def calendar_slice(spark, d):
+    return cal.slice_dates(src.segment_levels(spark, d), "1995-01-15", "1996-03-31").groupBy("series_id").agg(F.count("*").alias("n"), F.min("date").alias("first"), F.max("date").alias("last"))
+
+
+@query("history_gap", sql(SEG, "SELECT series_id, CAST(date_diff('day', DATE '1990-01-01', min(date)) AS INTEGER) AS gap_days FROM seg GROUP BY 1"))
+def history_gap(spark, d):
+    return quality.history_gap(src.segment_levels(spark, d), "1990-01-01")
+
+
+@query("normalised_dates", sql("h AS (SELECT event_type AS series_id, CAST(ts AS DATE) AS date, min(ts) AS ts FROM events GROUP BY 1, 2)", "SELECT series_id, date, count(*) AS n FROM h GROUP BY 1, 2"))
+def normalised_dates(spark, d):
+    daily = src.read_table(spark, d, "events").groupBy(F.col("event_type").alias("series_id"), F.to_date("ts").alias("day")).agg(F.min("ts").alias("date")).drop("day")
+    return cal.normalise_dates(daily).groupBy("series_id", "date").agg(F.count("*").alias("n"))
+
+
+@query("stress_of_states", sql(LVL, "SELECT date, day(date) % 4 IN (2, 3) AS legacy FROM lvl"))
+def stress_of_states(spark, d):
+    return risk.stress_of_states(src.orders_levels(spark, d).withColumn("state", F.dayofmonth("date") % 4)).select("date", "legacy")
+
+
 @query("month_membership", sql(LVL, MON, "low AS (SELECT * FROM mon WHERE month(date) % 2 = 1)", f"SELECT date, {r6('value')} AS value FROM lvl WHERE CAST(date_trunc('month', date) AS DATE) IN (SELECT date FROM low)"))
 def month_membership(spark, d):
     low = src.monthly_levels(spark, d).where(F.month("date") % 2 == 1)
@@ -316,11 +343,46 @@ def icss_first_break(spark, d):
     return rolling.first_break(order_returns(spark, d)).withColumn("stat", rounded("stat"))
 
 
-@query("icss_breaks")
+@query("icss_breaks", sql(SEG, SRET, *parts.breaks("br", "sret", "ret"), "nn AS (SELECT series_id, date, row_number() OVER (PARTITION BY series_id ORDER BY date) AS i FROM sret)", "SELECT nn.series_id, nn.date FROM br JOIN nn ON nn.series_id = br.series_id AND nn.i = br.loc + 1", recursive=True))
 def icss_breaks(spark, d):
     return rolling.icss_breaks(segment_returns(spark, d))
 
 
+def _checked_sql(parts_: list[str], rows: list[tuple[str, str, str]]) -> str:
+    """Verdict rows from common table expressions: (code, a relation with series_id and stat, the status)."""
+    return sql(*parts_, " UNION ALL ".join(f"SELECT series_id, '{code}' AS code, {r6('stat')} AS statistic, {status} AS status FROM {source}" for code, source, status in rows), recursive=True)
+
+
+#: Critical values of chi-square at 5 % by degrees of freedom, and of Kolmogorov's law.
+CHI2 = {2: 5.991464547107979, 3: 7.814727903251179, 5: 11.070497693516351, 10: 18.307038053275146, 20: 31.410432844230918}
+KOLMOGOROV = 1.3580986393225505
+_PRE = [
+    SEG, SRET, *parts.arch("a5", "sret", "ret", 5), *parts.arch("a10", "sret", "ret", 10), *parts.box("b10", "sret", "ret", 10), *parts.box("b20", "sret", "ret", 20), *parts.breaks("br", "sret", "ret"),
+    "r1 AS (SELECT series_id, corr(ret, p) AS stat FROM (SELECT series_id, ret, lag(ret) OVER (PARTITION BY series_id ORDER BY date) AS p FROM sret) WHERE p IS NOT NULL GROUP BY 1)",
+    "jm AS (SELECT series_id, count(*) AS n, avg(x*x) AS m2, avg(x*x*x) AS m3, avg(x*x*x*x) AS m4 FROM (SELECT series_id, ret - avg(ret) OVER (PARTITION BY series_id) AS x FROM sret) GROUP BY 1)",
+    "jb AS (SELECT series_id, n / 6.0 * (m3 * m3 / pow(m2, 3) + pow(m4 / (m2 * m2) - 3, 2) / 4) AS stat FROM jm)",
+    "cq AS (SELECT series_id, sum(ret * ret) OVER (PARTITION BY series_id ORDER BY date) / sum(ret * ret) OVER (PARTITION BY series_id) AS c, row_number() OVER (PARTITION BY series_id ORDER BY date) AS k, count(*) OVER (PARTITION BY series_id) AS t FROM sret)",
+    "cu AS (SELECT series_id, max(sqrt(t / 2.0) * abs(c - k / CAST(t AS DOUBLE))) AS stat FROM cq WHERE k < t GROUP BY 1)",
+    "ic AS (SELECT s.series_id, CAST(count(loc) AS DOUBLE) AS stat FROM (SELECT DISTINCT series_id FROM sret) s LEFT JOIN br USING (series_id) GROUP BY 1)",
+]
+_WARN_ABOVE = "CASE WHEN {} > {} THEN 'WARN' ELSE 'PASS' END"
+
+
+@query("diagnostics_pre_checked", _checked_sql(_PRE, [
+    ("A2.ARCH_LM_5", "a5", f"CASE WHEN stat > {CHI2[5]} THEN 'PASS' ELSE 'WARN' END"), ("A2.ARCH_LM_10", "a10", f"CASE WHEN stat > {CHI2[10]} THEN 'PASS' ELSE 'WARN' END"), ("A3.rho1", "r1", _WARN_ABOVE.format("abs(stat)", 0.15)),
+    ("A3.LjungBox_10", "b10", _WARN_ABOVE.format("stat", CHI2[10])), ("A3.LjungBox_20", "b20", _WARN_ABOVE.format("stat", CHI2[20])), ("A4.JarqueBera", "jb", _WARN_ABOVE.format("stat", CHI2[2])),
+    ("A5.CUSUM", "cu", _WARN_ABOVE.format("stat", KOLMOGOROV)), ("A5.ICSS", "ic", _WARN_ABOVE.format("stat", 0))]))
+def diagnostics_pre_checked(spark, d):
+    """The suite's rows that SQL can check: all but the unit-root tests."""
+    rows = diagnostics.pre_estimation(segment_returns(spark, d)).where("NOT code LIKE 'A1%'")
+    return rows.select("series_id", "code", rounded("statistic").alias("statistic"), "status")
+
+
+@query("diagnostics_pre")
+def diagnostics_pre(spark, d):
+    return diagnostics.pre_estimation(segment_returns(spark, d))
+
+
 ACF = "cx AS (SELECT series_id, date, ret - avg(ret) OVER (PARTITION BY series_id) AS x FROM sret), " + "lg AS (SELECT series_id, x, " + ", ".join(f"lag(x, {k}) OVER (PARTITION BY series_id ORDER BY date) AS x{k}" for k in range(1, 11)) + " FROM cx), " + "ac AS (SELECT series_id, count(*) AS n, " + ", ".join(f"sum(x * x{k}) / sum(x * x) AS r{k}" for k in range(1, 11)) + " FROM lg GROUP BY 1)"
 _Q = "n * (n + 2) * (" + " + ".join(f"r{k} * r{k} / (n - {k})" for k in range(1, 11)) + ")"
 
@@ -359,9 +421,9 @@ def arch_lm_q1(spark, d):
     return stats.arch_lm_one(segment_returns(spark, d)).withColumn("lm", rounded("lm"))
 
 
-@query("arch_lm_q5")
+@query("arch_lm_q5", sql(SEG, SRET, *parts.arch("lm", "sret", "ret", 5), f"SELECT series_id, {r6('stat')} AS lm FROM lm"))
 def arch_lm_q5(spark, d):
-    return stats.arch_lm(segment_returns(spark, d), 5)
+    return stats.arch_lm(segment_returns(spark, d), 5).select("series_id", rounded("stat").alias("lm"))
 
 
 @query("adf_kpss_joint")
@@ -384,11 +446,31 @@ def ewma_vol(spark, d):
     return folds.ewma_vol(segment_returns(spark, d)).select("series_id", "date", rounded("sigma").alias("sigma"))
 
 
-@query("garch_filter_fixed", sql(SEG, SRET, NUM, _recursive("v", "0.0001", "0.000002 + (0.05 + CASE WHEN f.ret < 0 THEN 0.1 ELSE 0 END) * f.ret * f.ret + 0.85 * f.v"), f"SELECT series_id, date, {r6('sqrt(v)')} AS sigma FROM f", recursive=True))
-def garch_filter_fixed(spark, d):
+@query("gjr_filter_fixed", sql(SEG, SRET, NUM, _recursive("v", "0.0001", "0.000002 + (0.05 + CASE WHEN f.ret < 0 THEN 0.1 ELSE 0 END) * f.ret * f.ret + 0.85 * f.v"), f"SELECT series_id, date, {r6('sqrt(v)')} AS sigma FROM f", recursive=True))
+def gjr_filter_fixed(spark, d):
     return folds.gjr_filter(segment_returns(spark, d), 0.000002, 0.05, 0.1, 0.85, 0.0001).select("series_id", "date", rounded("sigma").alias("sigma"))
 
 
+_ZS = "zs AS (SELECT series_id, date, ret, ret / sqrt(v) AS z FROM f)"
+_FAIL_ABOVE = "CASE WHEN {} >= {} THEN 'FAIL' ELSE 'PASS' END"
+
+
+@query("diagnostics_post_fixed", _checked_sql([SEG, SRET, NUM, _recursive("v", "0.0001", "0.000002 + (0.05 + CASE WHEN f.ret < 0 THEN 0.1 ELSE 0 END) * f.ret * f.ret + 0.85 * f.v"), _ZS,
+    *parts.box("b1", "zs", "z", 10), *parts.box("b2", "zs", "(z * z)", 10), *parts.arch("a5", "zs", "z", 5), *parts.arch("a10", "zs", "z", 10), *parts.sign_bias("sb", "zs", "z", "ret")],
+    [("B1.LjungBox_z", "b1", _FAIL_ABOVE.format("stat", CHI2[10])), ("B2.LjungBox_z2", "b2", _FAIL_ABOVE.format("stat", CHI2[10])), ("B2.ARCH_LM_5", "a5", _FAIL_ABOVE.format("stat", CHI2[5])), ("B2.ARCH_LM_10", "a10", _FAIL_ABOVE.format("stat", CHI2[10])),
+     ("B2.ARCH_LM", "a10", _FAIL_ABOVE.format("stat", CHI2[10])), ("B3.EngleNg", "sb", f"CASE WHEN stat > {CHI2[3]} THEN 'FAIL' ELSE 'PASS' END")]))
+def diagnostics_post_fixed(spark, d):
+    """The residual tests of a filter with fixed parameters."""
+    s = folds.gjr_filter(segment_returns(spark, d), 0.000002, 0.05, 0.1, 0.85, 0.0001).withColumn("z", F.col("ret") / F.col("sigma"))
+    return diagnostics.residual_checks(s, "gjr", eps="ret").select("series_id", "code", rounded("statistic").alias("statistic"), "status")
+
+
+@query("standardised_residuals", sql(SEG, SRET, NUM, _recursive("v", "ret * ret", "0.94 * f.v + 0.06 * f.ret * f.ret"), "zz AS (SELECT series_id, date, ret / sqrt(v) AS z FROM f WHERE v > 0)", f"SELECT series_id, date, {r6('z / stddev_samp(z) OVER (PARTITION BY series_id)')} AS z FROM zz", recursive=True))
+def standardised_residuals(spark, d):
+    s = folds.ewma_vol(segment_returns(spark, d)).where("sigma > 0").withColumnRenamed("ret", "eps")
+    return returns.standardised_residuals(s).select("series_id", "date", rounded("z").alias("z"))
+
+
 @query("egarch_filter_fixed", sql(SEG, SRET, NUM, _recursive("v", "-9.0", "-0.9 + 0.15 * (abs(f.ret / exp(f.v / 2)) - 0.7978845608028654) - 0.1 * f.ret / exp(f.v / 2) + 0.9 * f.v"), f"SELECT series_id, date, {r6('exp(v / 2)')} AS sigma FROM f", recursive=True))
 def egarch_filter_fixed(spark, d):
     return folds.egarch_filter(segment_returns(spark, d), -0.9, 0.15, -0.1, 0.9, -9.0).select("series_id", "date", rounded("sigma").alias("sigma"))
@@ -413,3 +495,28 @@ _START = "(0.95 * (0.03 / 0.08) + 0.03 * (1 - 0.03 / 0.08))"
 @query("hamilton_filter_fixed", sql(SEG, SRET, NUM, _recursive("p", _post(_START, "ret"), _post(_HP, "n.ret")), f"SELECT series_id, date, {r6('p')} AS p_stress FROM f", recursive=True))
 def hamilton_filter_fixed(spark, d):
     return folds.hamilton_filter(segment_returns(spark, d), "ret", (0.97, 0.95), (0.0, 0.0), (0.004, 0.012)).select("series_id", "date", rounded("p_stress").alias("p_stress"))
+
+
+_P3 = ((0.95, 0.04, 0.01), (0.05, 0.90, 0.05), (0.02, 0.08, 0.90))
+_S3 = (0.003, 0.006, 0.014)
+
+
+def _three(prior: list[str], x: str) -> list[str]:
+    like = [f"exp(-0.5 * pow({x} / {s}, 2)) / {s}" for s in _S3]
+    total = " + ".join(f"({p}) * {v}" for p, v in zip(prior, like))
+    return [f"({p}) * {v} / ({total})" for p, v in zip(prior, like)]
+
+
+def _three_sql() -> str:
+    first = [" + ".join(f"{0.3333333333333333} * {_P3[i][j]}" for i in range(3)) for j in range(3)]
+    later = [" + ".join(f"f.p{i} * {_P3[i][j]}" for i in range(3)) for j in range(3)]
+    a, b = _three(first, "ret"), _three(later, "n.ret")
+    pick = lambda x: ", ".join(f"CAST({v} AS DOUBLE) AS p{k}" for k, v in enumerate(x))
+    f = f"f AS (SELECT series_id, date, i, ret, {pick(a)} FROM nr WHERE i = 1 UNION ALL SELECT n.series_id, n.date, n.i, n.ret, {pick(b)} FROM f JOIN nr n ON n.series_id = f.series_id AND n.i = f.i + 1)"
+    return sql(SEG, SRET, NUM, f, f"SELECT series_id, date, {r6('p0')} AS calm, {r6('p1')} AS mid, {r6('p2')} AS stress FROM f", recursive=True)
+
+
+@query("hamilton_three_states", _three_sql())
+def hamilton_three_states(spark, d):
+    out = folds.hamilton_states(segment_returns(spark, d), "ret", _P3, (0.0, 0.0, 0.0), _S3, ("calm", "mid", "stress"))
+    return out.select("series_id", "date", *[rounded(c).alias(c) for c in ("calm", "mid", "stress")])

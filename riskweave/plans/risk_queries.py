@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions.windows import safe_corr
@@ -9,6 +10,7 @@ from ..operators import calendar as cal
 from ..operators import folds, returns, risk, rolling, signals, stats
 from ..sources import series as src
 from .base_queries import EPS, HYST, PAIR, VAR, _flags, _pair, _rank, episodes_frame, order_returns, segment_returns
+from . import sql_parts as parts
 from .registry import LVL, RET, SEG, SHIP, SRET, query, r6, rounded, sql
 
 
@@ -80,14 +82,29 @@ def backtest_suite_comparison(spark, d):
     return risk.backtest_suite(_models(spark, d), P).select("model", "window", "n", "x", rounded("hit_rate").alias("hit_rate"), rounded("z1").alias("z1"))
 
 
-@query("backtest_suite_verdicts")
+_SUITE = [
+    "m AS (SELECT 'hs' AS model, date, ret, hs AS var FROM var WHERE hs IS NOT NULL UNION ALL SELECT 'normal', date, ret, nv FROM var WHERE nv IS NOT NULL)",
+    "b AS (SELECT *, CASE WHEN ret < -var THEN 1 ELSE 0 END AS hit, row_number() OVER (PARTITION BY model ORDER BY date DESC) AS k FROM m)",
+    "w AS (SELECT model, 'full' AS win, date, ret, var, hit FROM b UNION ALL SELECT model, 'rolling', date, ret, var, hit FROM b WHERE k <= 250)",
+    "wl AS (SELECT *, lag(hit) OVER (PARTITION BY model, win ORDER BY date) AS p FROM w)",
+    "wc AS (SELECT model, win, CAST(count(*) AS DOUBLE) AS nn, CAST(sum(hit) AS DOUBLE) AS x, CAST(count(*) FILTER (WHERE p = 0 AND hit = 0) AS DOUBLE) AS n00, CAST(count(*) FILTER (WHERE p = 0 AND hit = 1) AS DOUBLE) AS n01, CAST(count(*) FILTER (WHERE p = 1 AND hit = 0) AS DOUBLE) AS n10, CAST(count(*) FILTER (WHERE p = 1 AND hit = 1) AS DOUBLE) AS n11, avg(ret / (1.25 * var)) FILTER (WHERE hit = 1) + 1 AS z1, sum(ret * hit / (1.25 * var)) / (count(*) * 0.05) + 1 AS z2 FROM wl GROUP BY 1, 2)",
+    f"wt AS (SELECT *, {_uc('nn', 'x')} AS uc, {_IND} AS ind, CASE WHEN x <= 4 THEN 'green' WHEN x <= 9 THEN 'yellow' ELSE 'red' END AS basel FROM wc)",
+    "wv AS (SELECT *, CASE WHEN uc > 3.841458820694124 OR exp(-(uc + ind) / 2) < 0.05 OR basel = 'red' THEN 2 WHEN basel = 'yellow' THEN 1 ELSE 0 END AS v FROM wt)",
+]
+_VERDICT = "CASE {} WHEN 2 THEN 'reject' WHEN 1 THEN 'scrutiny' ELSE 'pass' END"
+
+
+@query("backtest_suite_verdicts", sql(LVL, RET, VAR, *_SUITE, f"SELECT model, win AS \"window\", {r6('uc')} AS lr_uc, {r6('uc + ind')} AS lr_cc, {r6('z1')} AS z1, {r6('z2')} AS z2, basel, {_VERDICT.format('v')} AS verdict, {_VERDICT.format('max(v) OVER ()')} AS worst_verdict FROM wv"))
 def backtest_suite_verdicts(spark, d):
-    return risk.backtest_suite(_models(spark, d), P)
+    out = risk.backtest_suite(_models(spark, d), P)
+    return out.select("model", "window", *[rounded(c).alias(c) for c in ("lr_uc", "lr_cc", "z1", "z2")], "basel", "verdict", "worst_verdict")
 
 
-@query("dynamic_quantile")
+@query("dynamic_quantile", sql(LVL, RET, VAR, HIT, f"dl AS (SELECT series_id, hit - {P} AS h, 1.0 AS one, var, {', '.join(f'lag(hit - {P}, {k}) OVER (ORDER BY date) AS h{k}' for k in range(1, 5))} FROM hit)",
+    *parts.regression("dr", "dl", "h", ["one", "var", "h1", "h2", "h3", "h4"]), "dq AS (SELECT series_id, (total - sse) / (sse / (n - k)) AS dq, k FROM dr)",
+    f"SELECT series_id, {r6('dq')} AS dq, {r6('exp(-dq / 2) * (1 + dq / 2 + dq * dq / 8)')} AS p_value, CAST(k AS INTEGER) AS df FROM dq"))
 def dynamic_quantile(spark, d):
-    return risk.dynamic_quantile(_hits(spark, d), P)
+    return risk.dynamic_quantile(_hits(spark, d), P).select("series_id", rounded("dq").alias("dq"), rounded("p_value").alias("p_value"), "df")
 
 
 @query("acerbi_null")
@@ -153,6 +170,14 @@ def strategy_returns_costs(spark, d):
     return out.select("date", rounded("held").alias("held"), rounded(1e4 * F.col("cost")).alias("cost_bps"), rounded("strat_ret").alias("strat_ret"))
 
 
+@query("explain_decomposition", sql(LVL, SEG, SHIP, PAIR, PANEL, "ex AS (SELECT *, least(250, row_number() OVER (ORDER BY date) + 249) AS n_obs FROM dh)",
+    f"SELECT date, {r6('score')} AS score, {r6('0.5 * p_vol + 0.5 * p_level')} AS stress, {r6('p_fund')} AS p_fund, {r6('vol')} AS vol, {r6('sigma')} AS sigma, {r6('level')} AS level, {r6('fundamental')} AS fundamental, 'ratio' AS proxy, active, {r6('weight')} AS weight, 250 AS \"window\", CAST(n_obs AS BIGINT) AS n_obs_used FROM ex WHERE date <= DATE '1997-06-30' ORDER BY date DESC LIMIT 1"))
+def explain_decomposition(spark, d):
+    out = signals.decomposition(_history(spark, d), "1997-06-30", 250, "ratio")
+    figures = [rounded(c).alias(c) for c in ("score", "stress", "p_fund", "vol", "sigma", "level", "fundamental", "weight")]
+    return out.select("date", *figures, "proxy", "active", "window", F.col("n_obs_used").cast("long").alias("n_obs_used"))
+
+
 @query("cost_sensitivity", sql(LVL, SEG, SHIP, PAIR, PANEL, RET, STRAT_IN, STRAT, f"SELECT multiplier, {r6('sum(m * cost)')} AS total_cost, {r6('sum(held * ret - m * cost)')} AS total_return FROM sr, (SELECT unnest([1.0::DOUBLE, 2.0::DOUBLE, 3.0::DOUBLE]) AS multiplier), LATERAL (SELECT multiplier AS m) GROUP BY 1"))
 def cost_sensitivity(spark, d):
     out = signals.cost_sensitivity(_strategy_inputs(spark, d))
@@ -204,6 +229,42 @@ def benchmark_books(spark, d):
     return signals.economic_metrics(signals.priced_returns(stacked, keys=["book"]), ["book"])
 
 
+#: The signal on moving deviations instead of fitted volatilities.
+_RV = [
+    "rp AS (SELECT date, CASE WHEN count(ch) OVER w >= 15 THEN stddev_samp(ch) OVER w END AS vol FROM (SELECT date, value - lag(value) OVER (ORDER BY date) AS ch FROM ship) WINDOW w AS (ORDER BY date ROWS BETWEEN 59 PRECEDING AND CURRENT ROW))",
+    "rl AS (SELECT date, CASE WHEN count(ch) OVER w >= 15 THEN stddev_samp(ch) OVER w END AS sigma FROM (SELECT date, value - lag(value) OVER (ORDER BY date) AS ch FROM lvl) WINDOW w AS (ORDER BY date ROWS BETWEEN 59 PRECEDING AND CURRENT ROW))",
+    "ru AS (SELECT date, vol, lvl.value AS level, sigma, a / b AS fundamental FROM rp FULL JOIN lvl USING (date) FULL JOIN rl USING (date) FULL JOIN pair USING (date))",
+    "rf AS (SELECT date, last_value(vol IGNORE NULLS) OVER w AS vol, last_value(level IGNORE NULLS) OVER w AS level, last_value(fundamental IGNORE NULLS) OVER w AS fundamental, last_value(sigma IGNORE NULLS) OVER w AS sigma FROM ru WINDOW w AS (ORDER BY date))",
+    "rn2 AS (SELECT * FROM rf WHERE vol IS NOT NULL AND level IS NOT NULL AND fundamental IS NOT NULL AND sigma IS NOT NULL)",
+    f"rr AS (SELECT *, {_rank('vol', 250, 250)} AS p_vol, {_rank('level', 250, 250)} AS p_level, {_rank('fundamental', 250, 250)} AS p_fund FROM rn2)",
+    "rs2 AS (SELECT *, greatest(-1.0, least(1.0, (0.5 * p_vol + 0.5 * p_level) * (1 - p_fund) - (1 - (0.5 * p_vol + 0.5 * p_level)) * p_fund)) AS score FROM rr WHERE p_vol IS NOT NULL AND p_level IS NOT NULL AND p_fund IS NOT NULL)",
+    "rw AS (SELECT date, sigma, greatest(-1.0, least(1.0, 0.1 * score / sigma)) AS weight FROM rs2)",
+    "rh AS (SELECT *, coalesce(lag(weight) OVER (ORDER BY date), 0.0) AS held, quantile_cont(sigma, 0.5) OVER (ORDER BY date) AS med FROM (SELECT rw.*, ret FROM rw JOIN ret USING (date)))",
+    "mr AS (SELECT 'realised_vol' AS book, date, held * ret - (3.0 + 1.5 * sigma / med) / 1e4 * abs(weight - held) AS r, weight AS w FROM rh)",
+]
+
+
+def realised_panel(spark, d, window: int = 60, least: int = 15):
+    """The signal's inputs with moving deviations of changes in place of volatilities."""
+    moving = lambda s, name: rolling.rolling_std(returns.changes(s), window, "change", name, least).select("date", name)
+    price, level = moving(src.ship_prices(spark, d), "vol"), moving(src.orders_levels(spark, d), "sigma")
+    fund = _pair(spark, d).select("date", (F.col("a") / F.col("b")).alias("fundamental"))
+    own = src.orders_levels(spark, d).select("date", F.col("value").alias("level"))
+    joined = price.join(own, "date", "full").join(level, "date", "full").join(fund, "date", "full").withColumn("series_id", F.lit("orders"))
+    return cal.union_fill(joined, ["vol", "level", "fundamental", "sigma"])
+
+
+def realised_book(spark, d):
+    history = signals.score_history(realised_panel(spark, d), 250, scoring=_rounded_score)
+    inputs = history.join(order_returns(spark, d).select("date", "ret"), "date").withColumn("book", F.lit("realised_vol"))
+    return signals.economic_metrics(signals.priced_returns(inputs, keys=["book"]), ["book"])
+
+
+@query("realised_vol_benchmark", sql(LVL, SEG, SHIP, PAIR, RET, *_RV, _metrics_sql("mr", "book", "book")).replace(") me1 AS", "), me1 AS"))
+def realised_vol_benchmark(spark, d):
+    return _round_metrics(realised_book(spark, d), "book")
+
+
 @query("quintile_forward_returns", sql(LVL, RET, "q AS (SELECT value AS score, exp(sum(ln(1 + ret)) OVER w) - 1 AS f, count(ret) OVER w AS c FROM ret WINDOW w AS (ORDER BY date ROWS BETWEEN 1 FOLLOWING AND 5 FOLLOWING))",
     "v AS (SELECT * FROM q WHERE c = 5)", "e AS (SELECT quantile_cont(score, [0.2, 0.4, 0.6, 0.8]) AS ed FROM v)", "b AS (SELECT 1 + len(list_filter(ed, lambda x: x < score)) AS quintile, f FROM v, e)",
     f"SELECT CAST(g.q AS INTEGER) AS quintile, {r6('avg(f)')} AS mean, count(f) AS n FROM (SELECT unnest([1, 2, 3, 4, 5]) AS q) g LEFT JOIN b ON b.quintile = g.q GROUP BY 1"))
@@ -319,9 +380,10 @@ def regime_episode_leads(spark, d):
 
 def overlay_inputs(spark, d):
     sigma = rolling.rolling_std(order_returns(spark, d), 20, "ret", "s").where("s IS NOT NULL AND s > 0")
-    annual = sigma.select("series_id", "date", "ret", (F.col("s") * 252**0.5).alias("sigma_ann"), (2.5 * F.col("s")).alias("es"))
-    states = _two_regimes(spark, d).select("date", F.col("ms").alias("stressed"), "confirms", "legacy")
-    return annual.join(states, "date")
+    annual = risk.annualised(sigma, "s").withColumn("es", 2.5 * F.col("s"))
+    both = _two_regimes(spark, d)
+    inputs = risk.overlay_inputs(annual, annual, both.select("date", F.col("ms").alias("stressed"), "confirms"), both.select("date", "legacy"))
+    return inputs.join(order_returns(spark, d).select("date", "ret"), "date")
 
 
 OV_IN = "oi AS (SELECT r.date, ret, s * sqrt(252.0) AS sigma_ann, 2.5 * s AS es, rs.stressed, day(r.date) % 2 = 0 AS confirms, hy.active AS legacy FROM (SELECT date, ret, CASE WHEN count(ret) OVER w = 20 THEN stddev_samp(ret) OVER w END AS s FROM ret WINDOW w AS (ORDER BY date ROWS BETWEEN 19 PRECEDING AND CURRENT ROW)) r JOIN rs USING (date) JOIN hy USING (date) WHERE s > 0)"
@@ -343,6 +405,15 @@ def overlay_binding(spark, d):
     return risk.binding(risk.multipliers(overlay_inputs(spark, d))).select("date", rounded("m_raw").alias("m_raw"), "binding")
 
 
+@query("overlay_metrics", sql(*OVERLAY, OV_B, OV_F, "mo AS (SELECT book, date, ex * ret AS r, ex AS w FROM of JOIN om USING (date))", f"mt AS (WITH {_metrics_sql('mo', 'book', 'book')})",
+    f"SELECT *, {r6('ann_turnover - max(ann_turnover) FILTER (WHERE book = chr(98) || chr(97) || chr(115) || chr(101)) OVER ()')} AS incremental_turnover, ann_turnover - max(ann_turnover) FILTER (WHERE book = 'base') OVER () > 2 AS turnover_alarm FROM mt", recursive=True).replace("chr(98) || chr(97) || chr(115) || chr(101)", "'base'"))
+def overlay_metrics(spark, d):
+    out = risk.overlay_metrics(risk.books(risk.multipliers(overlay_inputs(spark, d))))
+    rows = _round_metrics(out, "book", "turnover_alarm")
+    base = F.max(F.when(F.col("book") == "base", F.col("ann_turnover"))).over(Window.partitionBy())  # five rows
+    return rows.withColumn("incremental_turnover", rounded(F.col("ann_turnover") - base))
+
+
 @query("overlay_backtest", sql(*OVERLAY, OV_B, OV_F, f"SELECT book, count(*) AS n, {r6('sum(ex * ret)')} AS pnl, {r6('stddev_samp(ex * ret) * sqrt(252.0)')} AS ann_vol FROM of JOIN om USING (date) GROUP BY 1", recursive=True))
 def overlay_backtest(spark, d):
     out = risk.books(risk.multipliers(overlay_inputs(spark, d))).withColumn("pnl", F.col("executed") * F.col("ret"))
@@ -367,6 +438,30 @@ def overlay_grid_sensitivity(spark, d):
     return out.groupBy("kappa", "target", "band").agg(rounded(F.sum(F.col("executed") * F.col("ret"))).alias("pnl"), rounded(F.avg("executed")).alias("mean_multiplier"))
 
 
+_CELLS = [
+    "gr AS (SELECT k AS kappa, t AS target FROM (SELECT unnest([0.25::DOUBLE, 0.5, 0.75]) AS k), (SELECT unnest([0.05::DOUBLE, 0.1, 0.15]) AS t))",
+    "gi AS (SELECT kappa, target, date, ret, least(1.0, target / sigma_ann, 0.025 / es, CASE WHEN NOT stressed THEN 1.0 WHEN confirms THEN kappa ELSE 1 - (1 - kappa) / 2 END) AS raw, row_number() OVER (PARTITION BY kappa, target ORDER BY date) AS i FROM oi, gr)",
+    "gf AS (SELECT kappa, target, date, i, ret, raw AS sm, raw AS ex FROM gi WHERE i = 1 UNION ALL SELECT n.kappa, n.target, n.date, n.i, n.ret, 0.3 * n.raw + 0.7 * f.sm, CASE WHEN abs(0.3 * n.raw + 0.7 * f.sm - f.ex) > 0.05 THEN 0.3 * n.raw + 0.7 * f.sm ELSE f.ex END FROM gf f JOIN gi n ON n.kappa = f.kappa AND n.target = f.target AND n.i = f.i + 1)",
+    "mc AS (SELECT CAST(kappa AS VARCHAR) || '|' || CAST(target AS VARCHAR) AS cell, date, ex * ret AS r, ex AS w FROM gf)",
+]
+
+
+@query("overlay_sharpe_pivot", sql(*OVERLAY, *_CELLS, f"mt AS (WITH {_metrics_sql('mc', 'cell', 'cell')})", "sp AS (SELECT CAST(split_part(cell, '|', 1) AS DOUBLE) AS kappa, split_part(cell, '|', 2) AS target, sharpe FROM mt)",
+    "SELECT kappa, max(sharpe) FILTER (WHERE target = '0.05') AS target_05, max(sharpe) FILTER (WHERE target = '0.1') AS target_10, max(sharpe) FILTER (WHERE target = '0.15') AS target_15 FROM sp GROUP BY 1", recursive=True))
+def overlay_sharpe_pivot(spark, d):
+    """Sharpe ratios of the full book by kappa and target volatility, at the usual band."""
+    cells = overlay_grid(spark, d).where("band = 0.05").withColumn("pnl", F.col("executed") * F.col("ret"))
+    per = signals.economic_metrics(cells, ["kappa", "target"], column="pnl", weight="executed")
+    table = per.groupBy("kappa").pivot("target", [0.05, 0.1, 0.15]).agg(F.max(rounded("sharpe")))
+    return table.toDF("kappa", "target_05", "target_10", "target_15")
+
+
+@query("detection_lags", sql(LVL, RET, REGIME_IN, REGIME, "dp AS (SELECT rs.i, rs.date, stressed, p > 0.7 AS above, stressed AND NOT coalesce(lag(stressed) OVER (ORDER BY rs.i), false) AS began FROM rs JOIN rn ON rn.i = rs.i)",
+    "db AS (SELECT *, coalesce(max(CASE WHEN NOT above THEN i END) OVER (ORDER BY i), 0) AS below FROM dp)", "SELECT date, CAST(CASE WHEN above THEN i - below - 1 ELSE -1 END AS INTEGER) AS lag FROM db WHERE began", recursive=True))
+def detection_lags(spark, d):
+    return risk.detection_lags(regime_states(spark, d)).select("date", "lag")
+
+
 @query("correlation_pair", sql(SEG, SRET, "p AS (SELECT x.ret AS a, y.ret AS b FROM sret x JOIN sret y ON x.date = y.date AND x.series_id = 'AUTOMOBILE' AND y.series_id = 'BUILDING')", f"SELECT {r6('corr(a, b)')} AS corr, count(*) AS n FROM p"))
 def correlation_pair(spark, d):
     r = segment_returns(spark, d)
@@ -374,7 +469,19 @@ def correlation_pair(spark, d):
     return a.join(b, "date").agg(rounded(safe_corr(F.col("a"), F.col("b"))).alias("corr"), F.count("*").alias("n"))
 
 
-@query("failure_flags")
+@query("failure_flags", sql(LVL, SEG, SHIP, PAIR, PANEL, RET, STRAT_IN, STRAT, BENCH,
+    "mi1 AS (SELECT 'orders' AS series_id, date, held * ret - cost AS r, weight AS w FROM sr)", "mi3 AS (SELECT 'orders' AS series_id, date, held * ret - 3 * cost AS r, weight AS w FROM sr)",
+    "bw AS (SELECT 'buy_hold' AS book, date, sigma, ret, 1.0::DOUBLE AS weight FROM bi UNION ALL SELECT 'level', date, sigma, ret, CASE WHEN lp > 0.85 THEN 1.0 ELSE 0.0 END FROM bi UNION ALL SELECT 'vol', date, sigma, ret, CASE WHEN vp > 0.85 THEN 1.0 ELSE 0.0 END FROM bi)",
+    "bh AS (SELECT *, coalesce(lag(weight) OVER (PARTITION BY book ORDER BY date), 0.0) AS held, quantile_cont(sigma, 0.5) OVER (PARTITION BY book ORDER BY date) AS med FROM bw)",
+    "mib AS (SELECT book, date, held * ret - (3.0 + 1.5 * sigma / med) / 1e4 * abs(weight - held) AS r, weight AS w FROM bh)",
+    f"x1 AS (WITH {_metrics_sql('mi1', 'series_id', 'series_id')})", f"x3 AS (WITH {_metrics_sql('mi3', 'series_id', 'series_id')})", f"xb AS (WITH {_metrics_sql('mib', 'book', 'book')})",
+    "fe AS (SELECT e, min(date) AS b, max(date) AS f FROM (SELECT *, sum(CASE WHEN active AND NOT coalesce(pa, false) THEN 1 ELSE 0 END) OVER (ORDER BY date) AS e FROM (SELECT dh.date, active, lag(active) OVER (ORDER BY dh.date) AS pa FROM dh JOIN ret USING (date))) WHERE active GROUP BY 1)",
+    "fn AS (SELECT count(*) FILTER (WHERE coalesce(date_diff('day', pf, b) >= 60, true)) AS n FROM (SELECT b, lag(f) OVER (ORDER BY b) AS pf FROM fe))",
+    "fq AS (SELECT date, score AS x, exp(sum(ln(1 + ret)) OVER w) - 1 AS y, count(ret) OVER w AS c FROM (SELECT dh.date, score, ret FROM dh JOIN ret USING (date)) WINDOW w AS (ORDER BY date ROWS BETWEEN 1 FOLLOWING AND 5 FOLLOWING))",
+    "fv AS (SELECT date, x, y FROM fq WHERE c = 5)", "ff AS (SELECT count(*) AS n, regr_slope(y, x) AS b, regr_intercept(y, x) AS a, avg(x) AS mx, regr_sxx(y, x) AS sxx FROM fv)",
+    "fu AS (SELECT date, y - a - b * x AS e, (x - mx) * (y - a - b * x) AS u FROM fv, ff)", f"fl2 AS (SELECT e, u, {', '.join(f'lag(u, {k}) OVER (ORDER BY date) AS u{k}' for k in range(1, _H + 1))} FROM fu)",
+    f"fs AS (SELECT {_MEAT} AS meat, sum(e * e) AS sse FROM fl2)", "ft AS (SELECT b, b / greatest(sqrt(greatest(meat, 0) / (sxx * sxx) * n / (n - 2)), sqrt(sse / (n - 2) / sxx)) AS t FROM ff, fs)",
+    "SELECT x1.series_id, x1.sharpe <= 0 AS no_reward, x1.sharpe < (SELECT max(sharpe) FROM xb) AS beaten_by_benchmark, x3.ann_return <= 0 AS not_implementable, (SELECT n FROM fn) < 5 AS too_few_episodes, abs(t) < 1.96 AS not_significant, b <= 0 AS wrong_sign, x1.max_drawdown < -0.5 AS deep_drawdown, x1.payoff_ratio < 1 AS poor_payoff FROM x1, x3, ft"))
 def failure_flags(spark, d):
     inputs = _strategy_inputs(spark, d)
     metrics = signals.economic_metrics(signals.priced_returns(inputs))

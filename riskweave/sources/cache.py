@@ -2,24 +2,28 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
 def content_hash(series: DataFrame) -> DataFrame:
-    """(series_id, sha256) of the rows rendered as text in date order. Days are hashed a month at a time, so
-    no group holds a whole history of texts."""
-    line = F.concat_ws(",", F.col("date").cast("string"), F.format_string("%.12g", "value"))
-    monthly = series.groupBy("series_id", F.trunc("date", "MM").alias("m")).agg(F.sha2(F.concat_ws("\n", F.array_sort(F.collect_list(line))), 256).alias("h"))
-    joined = F.concat_ws("\n", F.transform(F.array_sort(F.collect_list(F.struct("m", "h"))), lambda x: x["h"]))
-    return monthly.groupBy("series_id").agg(F.sha2(joined, 256).alias("content_hash"))
+    """(series_id, sha256) of the rows rendered as CSV lines `date,value` in date order, values with 12 significant
+    digits and missing ones empty."""
 
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        digest = hashlib.sha256()
+        for day, v in sorted(zip(pdf["date"].astype(str), pdf["value"])):
+            digest.update(f"{day},{'' if v is None or v != v else f'{v:.12g}'}\n".encode())
+        return pd.DataFrame({"series_id": [pdf["series_id"].iloc[0]], "content_hash": [digest.hexdigest()]})
+
+    return series.select("series_id", "date", "value").groupBy("series_id").applyInPandas(run, "series_id string, content_hash string")
 
-def fingerprint(kind: str, series_id: str, lag_days: int, frequency: str) -> str:
-    import hashlib
 
+def fingerprint(kind: str, series_id: str, lag_days: int, frequency: str) -> str:
     return hashlib.sha256(f"{kind}|{series_id}|{lag_days}|{frequency}".encode()).hexdigest()
 
 
