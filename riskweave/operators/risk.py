@@ -145,8 +145,9 @@ def overlay_inputs(sigma: DataFrame, es: DataFrame, states: DataFrame, legacy: D
     both = sigma.select("series_id", "date", "sigma_ann").join(es.select("series_id", "date", "es"), ["series_id", "date"])
     both = both.join(states.select("date", "stressed", "confirms"), "date")
     fine = F.col("sigma_ann").isNotNull() & F.col("es").isNotNull() & F.col("stressed").isNotNull() & F.col("confirms").isNotNull() & ~F.isnan("sigma_ann") & ~F.isnan("es")
-    both = require(both, fine, "an overlay input is missing")
-    both = require(both, (F.col("sigma_ann") > 0) & (F.col("es") > 0), "sigma and ES must be positive")
+    # one condition on columns of all sides, so that none of it moves below the joins and the first fault is named
+    fault = F.when(~F.coalesce(fine, F.lit(False)), "an overlay input is missing").when(~((F.col("sigma_ann") > 0) & (F.col("es") > 0)), "sigma and ES must be positive")
+    both = both.where(F.when(fault.isNull(), F.lit(True)).otherwise(F.raise_error(fault).cast("boolean")))
     if legacy is None:
         warnings.warn("no legacy regime series: it counts as never in stress", stacklevel=2)
         return both.withColumn("legacy", F.lit(False))

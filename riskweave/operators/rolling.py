@@ -169,6 +169,6 @@ def icss_breaks(series: DataFrame, column: str = "ret", critical: float = 1.358,
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("date")
         at = icss(pdf[column].to_numpy(float) ** 2, critical, least)
-        return pd.DataFrame({"series_id": [pdf["series_id"].iloc[0]] * len(at), "date": pdf["date"].iloc[at].to_numpy()})
+        return pdf[["series_id", "date"]].iloc[at]
 
     return series.where(F.col(column).isNotNull()).groupBy("series_id").applyInPandas(run, "series_id string, date date")

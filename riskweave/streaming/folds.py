@@ -44,8 +44,9 @@ def publication_window(stream: DataFrame, lag_days: int, watermark: str = "7 day
     return timed.withWatermark("available", watermark)
 
 
-def windowed_levels(stream: DataFrame, size: str = "7 days", slide: str | None = None, watermark: str = "7 days") -> DataFrame:
-    """Mean, count and last value of tumbling or sliding event-time windows."""
-    timed = stream.withColumn("ts", F.col("date").cast("timestamp")).withWatermark("ts", watermark)
+def windowed_levels(stream: DataFrame, size: str = "7 days", slide: str | None = None, watermark: str | None = "7 days", time: str = "date") -> DataFrame:
+    """Mean, count and last value of tumbling or sliding event-time windows. A stream that has its watermark already
+    (as from publication_window, on `available`) is given with `watermark` None and that column as `time`."""
+    timed = stream.withColumn("ts", F.col(time).cast("timestamp")).withWatermark("ts", watermark) if watermark else stream.withColumn("ts", F.col(time))
     frame = F.window("ts", size, slide) if slide else F.window("ts", size)
     return timed.groupBy("series_id", frame.alias("w")).agg(F.avg("value").alias("mean"), F.count("*").alias("n"), F.max_by("value", "ts").alias("last")).select("series_id", "w.start", "w.end", "mean", "n", "last")
