@@ -39,7 +39,7 @@ from pyspark.sql import functions as F
 
 from .common import held_out, sampled_ids, table, text_slices
 
-SAMPLE_DOCS = 32
+SAMPLE_DOCS = 20
 SAMPLE_LENGTH = 4_000
 #: Symbols with a column in the dense table.
 DENSE = 48

@@ -13,7 +13,8 @@ A plan is a list of slots (length, first rank, count, first sequence, offset). D
 the pieces of their length by a distributed prefix count, and look up their slot in the broadcast plan.
 
 Defined cases: a null text is empty, one end id long; a null doc_id is packed like any other; rows that
-repeat a doc_id are packed each; an empty table gives an empty result; other columns are ignored.
+repeat a doc_id are packed each; a very long text is encoded whole, its words a megabyte at a time, and cut into as
+many pieces as it needs; an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -32,13 +33,14 @@ import regex
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialize, table, text_slices
+from .common import materialize, table, text_chunks, text_slices
 
 SEQUENCE = 2048
 END_ID = 0
 TOKENIZER = "word_bpe_49k.json"
-#: Pretokens whose ids a worker remembers.
-REMEMBERED = 1_000_000
+#: Words whose ids a worker remembers, and how long they may be: some 60 MB.
+REMEMBERED = 250_000
+REMEMBERED_LENGTH = 48
 
 
 def tokenizer_path(name: str = TOKENIZER) -> str:
@@ -96,17 +98,26 @@ class WordEncoder:
     def encode(self, text: str) -> bytes:
         if not self.usual(text):
             return np.array(self.whole.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
-        known, words = self.known, text.split()
-        try:
-            return b"".join([known[w] for w in words])
-        except KeyError:
-            pass
-        if len(known) > self.remembered:
-            known.clear()
-        for w in words:
-            if w not in known:
-                known[w] = self.chunk(w)
-        return b"".join([known[w] for w in words])
+        known = self.known
+        if len(text) <= 1 << 20:
+            try:
+                return b"".join([known[w] for w in text.split()])
+            except KeyError:
+                pass
+        out = []
+        for part in text_chunks(text):
+            ids = []
+            for w in part.split():
+                got = known.get(w)
+                if got is None:
+                    got = self.chunk(w)
+                    if len(w) <= REMEMBERED_LENGTH:
+                        if len(known) >= self.remembered:
+                            known.clear()
+                        known[w] = got
+                ids.append(got)
+            out.append(b"".join(ids))
+        return b"".join(out)
 
 
 def byte_letters() -> dict[int, int]:
@@ -340,5 +351,6 @@ def op10_packing(spark, sf_dir: str) -> DataFrame:
 
 
 def stage_pack(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: every document it is given, packed."""
+    """Pipeline stage: every document it is given, packed, null texts and repeated rows among them; what it returns
+    are the pieces and their places."""
     return packed_documents(docs)

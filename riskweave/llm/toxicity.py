@@ -52,7 +52,7 @@ LEAST = 3
 #: Lengths of the word beginnings that count besides whole words.
 STEMS = range(4, 9)
 #: Words whose features a worker remembers.
-REMEMBERED = 500_000
+REMEMBERED = 200_000
 FOLDS = 5
 RIDGE = 1.0
 THRESHOLD = 0.5
