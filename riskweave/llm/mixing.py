@@ -6,7 +6,8 @@ range) tells where a source's budget ends. A target above the source's size repe
 
 Defined cases: a null text has size 0; a null source is a source of its own, the last in order; rows that
 repeat a doc_id each count; rows equal in key, id and size are interchangeable, so ties don't change the
-result as a set of rows; an empty table gives an empty result; other columns are ignored.
+result as a set of rows; very long texts are counted whole; an empty table gives an empty result; other columns are
+ignored.
 """
 
 from __future__ import annotations

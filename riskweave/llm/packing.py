@@ -41,6 +41,9 @@ TOKENIZER = "word_bpe_49k.json"
 #: Words whose ids a worker remembers, and how long they may be: some 60 MB.
 REMEMBERED = 250_000
 REMEMBERED_LENGTH = 48
+#: Chunks that a length's rows are ranked in, at least, and rows a chunk should hold at most.
+LEAST_CHUNKS = 256
+CHUNK_ROWS = 1_000_000
 
 
 def tokenizer_path(name: str = TOKENIZER) -> str:
@@ -304,7 +307,7 @@ def plan(histogram: dict[int, int], capacity: int = SEQUENCE) -> tuple[np.ndarra
     return np.array(sorted(slots), np.int64).reshape(-1, 5), told
 
 
-def ranked(sized: DataFrame, chunks: int = 256) -> DataFrame:
+def ranked(sized: DataFrame, chunks: int) -> DataFrame:
     """Adds `rank`, from 0, among the rows of equal length. Lengths are split by hash into chunks, so a
     length that holds a third of all rows is ranked by many tasks; chunk counts give each chunk's start."""
     keyed = sized.withColumn("chunk", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(chunks)).cast("int"))
@@ -339,7 +342,9 @@ def pack(cut: DataFrame, capacity: int = SEQUENCE) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*kept, pa.array(slot[:, 3] + rank - slot[:, 1]), pa.array(slot[:, 4])], [*names, "sequence_id", "offset"])
 
     schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in cut.schema.fields) + ", sequence_id long, offset long"
-    return ranked(cut).mapInArrow(run, schema)
+    # enough chunks that none of the commonest length's holds much over CHUNK_ROWS
+    chunks = max(LEAST_CHUNKS, max([0, *histogram.values()]) // CHUNK_ROWS)
+    return ranked(cut, chunks).mapInArrow(run, schema)
 
 
 def packed_documents(docs: DataFrame, path: str | None = None, capacity: int = SEQUENCE) -> DataFrame:
