@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.windows import over, require, so_far
+from ..functions.windows import over, require, short, so_far
 
 
 def slice_dates(series: DataFrame, start: str | None = None, end: str | None = None) -> DataFrame:
@@ -101,10 +101,11 @@ def calendar_intersection(series: DataFrame, n_series: int | None = None) -> Dat
     return counted.where(F.col("n") == n_series).select("date")
 
 
-def union_fill(panel: DataFrame, columns: list[str], keys: tuple[str, ...] = ("series_id",)) -> DataFrame:
-    """On a union calendar, each column's last value carried forward; rows before all have begun go."""
+def union_fill(panel: DataFrame, columns: list[str], keys: tuple[str, ...] = ("series_id",), keep: tuple[str, ...] = ()) -> DataFrame:
+    """On a union calendar, each column's last value carried forward; rows before all have begun go. Columns to
+    `keep` stay as they are."""
     filled = [F.last(c, ignorenulls=True).over(so_far(list(keys))).alias(c) for c in columns]
-    return panel.select(*keys, "date", *filled).na.drop(subset=columns)
+    return panel.select(*keys, "date", *keep, *filled).na.drop(subset=columns)
 
 
 def align_union(series: DataFrame, ids: list[str], name: str = "panel") -> DataFrame:
@@ -159,5 +160,5 @@ def lag_sensitivity(daily: DataFrame, monthly: DataFrame, lags: list[int]) -> Da
 
 
 def in_episodes(df: DataFrame, episodes: DataFrame) -> DataFrame:
-    """Rows within [start, end] of an episode; episodes are a short list."""
-    return df.join(F.broadcast(episodes), (F.col("date") >= F.col("start")) & (F.col("date") <= F.col("end")))
+    """Rows within [start, end] of an episode; episodes are a short list (more than 10,000 are refused)."""
+    return df.join(short(episodes), (F.col("date") >= F.col("start")) & (F.col("date") <= F.col("end")))

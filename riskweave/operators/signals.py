@@ -128,11 +128,15 @@ def first_value_cv(df: DataFrame, column: str, limit: float = 0.15) -> DataFrame
     return out.withColumn("unstable", F.col("cv") > limit)
 
 
-def failure_flags(metrics: DataFrame, benchmarks: DataFrame, at_triple_cost: DataFrame, episodes: DataFrame, regression: DataFrame, least_episodes: int = 5) -> DataFrame:
-    """Why a strategy shouldn't be run, one boolean a rule."""
-    best = benchmarks.agg(F.max("sharpe").alias("best_sharpe"))
+def failure_flags(metrics: DataFrame, benchmarks: DataFrame, at_triple_cost: DataFrame, episodes: DataFrame, regression: DataFrame, by_quintile: DataFrame, least_episodes: int = 5) -> DataFrame:
+    """Why a strategy shouldn't be run, one boolean a rule. Benchmarks are books, among them buy_hold and realised_vol;
+    `by_quintile` (series_id, quintile, mean) are forward returns by score."""
+    of = lambda book, column: F.max(F.when(F.col("book") == book, F.col(column)))
+    best = benchmarks.agg(F.max(F.when(F.col("book") != "realised_vol", F.col("sharpe"))).alias("best_sharpe"), of("buy_hold", "ann_return").alias("held_return"), of("realised_vol", "sharpe").alias("moving_sharpe"))  # one row
+    steps = by_quintile.where("mean IS NOT NULL").withColumn("step", F.col("mean") - F.lag("mean").over(over("series_id", "quintile")))
+    steps = steps.groupBy("series_id").agg(F.coalesce(F.min("step") < 0, F.lit(False)).alias("falls"))
     joined = metrics.crossJoin(F.broadcast(best)).join(at_triple_cost.select("series_id", F.col("ann_return").alias("return_x3")), "series_id", "left")
-    joined = joined.join(episodes.select("series_id", "n_episodes"), "series_id", "left").join(regression.select("series_id", "t_stat", "beta"), "series_id", "left")
+    joined = joined.join(episodes.select("series_id", "n_episodes"), "series_id", "left").join(regression.select("series_id", "t_stat", "beta"), "series_id", "left").join(steps, "series_id", "left")
     return joined.select(
         "series_id",
         (F.col("sharpe") <= 0).alias("no_reward"),
@@ -143,6 +147,9 @@ def failure_flags(metrics: DataFrame, benchmarks: DataFrame, at_triple_cost: Dat
         (F.coalesce("beta", F.lit(0.0)) <= 0).alias("wrong_sign"),
         (F.col("max_drawdown") < -0.5).alias("deep_drawdown"),
         (F.col("payoff_ratio") < 1).alias("poor_payoff"),
+        F.coalesce("falls", F.lit(False)).alias("quintiles_not_monotone"),
+        F.coalesce(F.col("moving_sharpe") >= F.col("sharpe"), F.lit(False)).alias("beaten_by_realised_vol"),
+        F.coalesce(F.col("ann_return") < F.col("held_return"), F.lit(False)).alias("beaten_by_buy_hold"),
     )
 
 

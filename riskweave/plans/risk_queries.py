@@ -5,11 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from ..functions.windows import safe_corr
+from ..functions.windows import over, safe_corr
 from ..operators import calendar as cal
 from ..operators import folds, returns, risk, rolling, signals, stats
 from ..sources import series as src
-from .base_queries import EPS, HYST, PAIR, VAR, _flags, _pair, _rank, episodes_frame, order_returns, segment_returns
+from .base_queries import EPS, HYST, PAIR, VAR, _flags, _rank, episodes_frame, order_returns, segment_returns
 from . import sql_parts as parts
 from .registry import LVL, RET, SEG, SHIP, SRET, query, r6, rounded, sql
 
@@ -115,14 +115,19 @@ def acerbi_null(spark, d):
 # --- signal, costs, performance -------------------------------------------------------------------------
 
 
+#: The two segments whose ratio stands for the fundamental spread.
+PAIRED = {"a": "AUTOMOBILE", "b": "BUILDING"}
+
+
 def dislocation_panel(spark, d, vol_window: int = 20):
-    """The flagship's inputs on one calendar: price volatility, level, fundamental spread, level volatility."""
+    """The flagship's inputs on one calendar: price volatility, level, fundamental spread, level volatility; and the
+    level's return on its own days. Orders are read once, and what is a window of their daily level is one."""
     price = rolling.rolling_std(returns.simple_returns(src.ship_prices(spark, d)), vol_window, "ret", "vol").select("date", "vol")
-    level = src.orders_levels(spark, d).select("date", F.col("value").alias("level"))
-    stress = rolling.rolling_std(returns.stress_returns(src.orders_levels(spark, d)), vol_window, "ret", "sigma").select("date", "sigma")
-    fund = _pair(spark, d).select("date", (F.col("a") / F.col("b")).alias("fundamental"))
-    dates = price.join(level, "date", "full").join(stress, "date", "full").join(fund, "date", "full").withColumn("series_id", F.lit("orders"))
-    return cal.union_fill(dates, ["vol", "level", "fundamental", "sigma"])
+    days = rolling.rolling_std(returns.stress_returns(src.order_days(spark, d, PAIRED)), vol_window, "ret", "sigma")
+    scaled = rounded(0.01 * F.ln(F.col("value") / F.lag("value").over(over())), 8)
+    days = days.select("date", F.col("value").alias("level"), "sigma", (F.col("a") / F.col("b")).alias("fundamental"), scaled.alias("ret"))
+    dates = price.join(days, "date", "full").withColumn("series_id", F.lit("orders"))
+    return cal.union_fill(dates, ["vol", "level", "fundamental", "sigma"], keep=("ret",))
 
 
 PANEL = ", ".join([
@@ -161,7 +166,7 @@ STRAT = "sr AS (SELECT date, ret, weight, held, (3.0 + 1.5 * sigma / med) / 1e4
 
 
 def _strategy_inputs(spark, d):
-    return _history(spark, d).join(order_returns(spark, d).select("date", "ret"), "date")
+    return _history(spark, d).where("ret IS NOT NULL")
 
 
 @query("strategy_returns_costs", sql(LVL, SEG, SHIP, PAIR, PANEL, RET, STRAT_IN, STRAT, f"SELECT date, {r6('held')} AS held, {r6('1e4 * cost')} AS cost_bps, {r6('held * ret - cost')} AS strat_ret FROM sr"))
@@ -221,7 +226,7 @@ def benchmark_metrics(spark, d):
 
 
 def benchmark_books(spark, d):
-    panel = dislocation_panel(spark, d).join(order_returns(spark, d).select("date", "ret"), "date")
+    panel = dislocation_panel(spark, d).where("ret IS NOT NULL")
     ranked = rolling.percentile_rank(rolling.percentile_rank(panel, 60, 8, "level", "lp"), 60, 8, "vol", "vp")
     above = lambda c: F.when(F.col(c) > 0.85, 1.0).otherwise(0.0)
     books = F.explode(F.array(*[F.struct(F.lit(b).alias("book"), w.alias("weight")) for b, w in (("buy_hold", F.lit(1.0)), ("level", above("lp")), ("vol", above("vp")))]))
@@ -246,17 +251,17 @@ _RV = [
 
 def realised_panel(spark, d, window: int = 60, least: int = 15):
     """The signal's inputs with moving deviations of changes in place of volatilities."""
-    moving = lambda s, name: rolling.rolling_std(returns.changes(s), window, "change", name, least).select("date", name)
-    price, level = moving(src.ship_prices(spark, d), "vol"), moving(src.orders_levels(spark, d), "sigma")
-    fund = _pair(spark, d).select("date", (F.col("a") / F.col("b")).alias("fundamental"))
-    own = src.orders_levels(spark, d).select("date", F.col("value").alias("level"))
-    joined = price.join(own, "date", "full").join(level, "date", "full").join(fund, "date", "full").withColumn("series_id", F.lit("orders"))
-    return cal.union_fill(joined, ["vol", "level", "fundamental", "sigma"])
+    price = rolling.rolling_std(returns.changes(src.ship_prices(spark, d)), window, "change", "vol", least).select("date", "vol")
+    days = rolling.rolling_std(returns.changes(src.order_days(spark, d, PAIRED)), window, "change", "sigma", least)
+    scaled = rounded(0.01 * F.ln(F.col("value") / F.lag("value").over(over())), 8)
+    days = days.select("date", F.col("value").alias("level"), "sigma", (F.col("a") / F.col("b")).alias("fundamental"), scaled.alias("ret"))
+    joined = price.join(days, "date", "full").withColumn("series_id", F.lit("orders"))
+    return cal.union_fill(joined, ["vol", "level", "fundamental", "sigma"], keep=("ret",))
 
 
 def realised_book(spark, d):
     history = signals.score_history(realised_panel(spark, d), 250, scoring=_rounded_score)
-    inputs = history.join(order_returns(spark, d).select("date", "ret"), "date").withColumn("book", F.lit("realised_vol"))
+    inputs = history.where("ret IS NOT NULL").withColumn("book", F.lit("realised_vol"))
     return signals.economic_metrics(signals.priced_returns(inputs, keys=["book"]), ["book"])
 
 
@@ -481,10 +486,12 @@ def correlation_pair(spark, d):
     "fv AS (SELECT date, x, y FROM fq WHERE c = 5)", "ff AS (SELECT count(*) AS n, regr_slope(y, x) AS b, regr_intercept(y, x) AS a, avg(x) AS mx, regr_sxx(y, x) AS sxx FROM fv)",
     "fu AS (SELECT date, y - a - b * x AS e, (x - mx) * (y - a - b * x) AS u FROM fv, ff)", f"fl2 AS (SELECT e, u, {', '.join(f'lag(u, {k}) OVER (ORDER BY date) AS u{k}' for k in range(1, _H + 1))} FROM fu)",
     f"fs AS (SELECT {_MEAT} AS meat, sum(e * e) AS sse FROM fl2)", "ft AS (SELECT b, b / greatest(sqrt(greatest(meat, 0) / (sxx * sxx) * n / (n - 2)), sqrt(sse / (n - 2) / sxx)) AS t FROM ff, fs)",
-    "SELECT x1.series_id, x1.sharpe <= 0 AS no_reward, x1.sharpe < (SELECT max(sharpe) FROM xb) AS beaten_by_benchmark, x3.ann_return <= 0 AS not_implementable, (SELECT n FROM fn) < 5 AS too_few_episodes, abs(t) < 1.96 AS not_significant, b <= 0 AS wrong_sign, x1.max_drawdown < -0.5 AS deep_drawdown, x1.payoff_ratio < 1 AS poor_payoff FROM x1, x3, ft"))
+    *_RV, f"xr AS (WITH {_metrics_sql('mr', 'book', 'book')})", "fed AS (SELECT quantile_cont(x, [0.2, 0.4, 0.6, 0.8]) AS ed FROM fv)", "fqm AS (SELECT 1 + len(list_filter(ed, lambda e: e < x)) AS quintile, avg(y) AS m FROM fv, fed GROUP BY 1)", "fst AS (SELECT m - lag(m) OVER (ORDER BY quintile) AS step FROM fqm)",
+    "SELECT x1.series_id, x1.sharpe <= 0 AS no_reward, x1.sharpe < (SELECT max(sharpe) FROM xb) AS beaten_by_benchmark, x3.ann_return <= 0 AS not_implementable, (SELECT n FROM fn) < 5 AS too_few_episodes, abs(t) < 1.96 AS not_significant, b <= 0 AS wrong_sign, x1.max_drawdown < -0.5 AS deep_drawdown, x1.payoff_ratio < 1 AS poor_payoff, (SELECT coalesce(min(step) < 0, false) FROM fst) AS quintiles_not_monotone, coalesce((SELECT max(sharpe) FROM xr) >= x1.sharpe, false) AS beaten_by_realised_vol, coalesce(x1.ann_return < (SELECT max(ann_return) FROM xb WHERE book = 'buy_hold'), false) AS beaten_by_buy_hold FROM x1, x3, ft"))
 def failure_flags(spark, d):
     inputs = _strategy_inputs(spark, d)
     metrics = signals.economic_metrics(signals.priced_returns(inputs))
     triple = signals.economic_metrics(signals.priced_returns(inputs, multiplier=3.0))
     fwd = returns.forward_returns(inputs.select("series_id", "date", "score", "ret"), 5, "fwd")
-    return signals.failure_flags(metrics, benchmark_books(spark, d), triple, rolling.independent_episodes(inputs), stats.predictive_regression(fwd, "fwd", "score", 5))
+    books = benchmark_books(spark, d).unionByName(realised_book(spark, d))
+    return signals.failure_flags(metrics, books, triple, rolling.independent_episodes(inputs), stats.predictive_regression(fwd, "fwd", "score", 5), signals.quintiles(fwd, "score", "fwd"))
