@@ -12,7 +12,6 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 #: Rows whose crc32(id as text) mod 4 is this are held out of every training set.
 HELD_OUT_REMAINDER = 2
@@ -76,12 +75,6 @@ def text_slices(batch: pa.RecordBatch, column: str, max_bytes: int = 1 << 21) ->
         start = stop
 
 
-def with_schema(df: DataFrame, drop: tuple[str, ...] = (), **fields: T.DataType) -> T.StructType:
-    """The schema of `df` without `drop`, followed by new nullable fields."""
-    kept = [f for f in df.schema.fields if f.name not in drop and f.name not in fields]
-    return T.StructType(kept + [T.StructField(k, v) for k, v in fields.items()])
-
-
 def sampled_ids(df: DataFrame, group: Column, id_col: str, most: int | dict, keep: Column, seed: int) -> tuple[dict, dict]:
     """({group: ids}, {group: eligible rows}): all ids of a group that has up to `most` eligible rows, else the
     `most` with the least hash. Two narrow scans: counts by group, then the rows whose hash lies below the
