@@ -65,6 +65,3 @@ def short(df: DataFrame, most: int = 10_000) -> DataFrame:
         raise ValueError(f"a list of more than {most} rows isn't broadcast")
     return F.broadcast(df)
 
-
-def nan_to_null(c: Column) -> Column:
-    return F.when(~F.isnan(c), c)

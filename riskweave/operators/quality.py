@@ -55,6 +55,14 @@ def validate(series: DataFrame, least: int, non_negative: bool = True, kappa: fl
     return found.select("series_id", "n_obs", "n_jumps", F.concat_ws("; ", issues).alias("issues"))
 
 
+def require_valid(series: DataFrame, least: int, non_negative: bool = True, kappa: float = 8.0, delta: float = 0.2) -> DataFrame:
+    """The series as they are; one with any issue fails the query, which names them."""
+    issues = validate(series, least, non_negative, kappa, delta).select("series_id", "issues")
+    joined = series.join(issues, "series_id")
+    fault = F.concat(F.col("series_id"), F.lit(": "), F.col("issues"))
+    return joined.where(F.when(F.col("issues") == "", F.lit(True)).otherwise(F.raise_error(fault).cast("boolean"))).drop("issues")
+
+
 def runs_of(df: DataFrame, condition) -> DataFrame:
     """Adds `run`, the length of the run of rows for which `condition` holds, 0 elsewhere, and `place` in it."""
     starts = condition & ~F.coalesce(F.lag(condition).over(over()), F.lit(False))

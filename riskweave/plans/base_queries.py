@@ -431,6 +431,16 @@ def adf_kpss_joint(spark, d):
     return stats.adf_kpss(src.segment_levels(spark, d))
 
 
+@query("kpss_statistic", sql(SEG, "ke AS (SELECT series_id, row_number() OVER w AS i, count(*) OVER (PARTITION BY series_id) AS n, value - avg(value) OVER (PARTITION BY series_id) AS e, sum(value - m) OVER w AS s FROM (SELECT *, avg(value) OVER (PARTITION BY series_id) AS m FROM seg) WINDOW w AS (PARTITION BY series_id ORDER BY date))",
+    "kl AS (SELECT series_id, any_value(n) AS n, least(CAST(ceil(12 * pow(any_value(n) / 100.0, 0.25)) AS BIGINT), any_value(n) - 1) AS lags, sum(e * e) / any_value(n) AS g0, sum(s * s) AS ss FROM ke GROUP BY 1)",
+    "kc AS (SELECT a.series_id, b.i - a.i AS k, sum(a.e * b.e) AS c FROM ke a JOIN kl ON kl.series_id = a.series_id JOIN ke b ON b.series_id = a.series_id AND b.i > a.i AND b.i <= a.i + kl.lags GROUP BY 1, 2)",
+    "kv AS (SELECT kl.series_id, any_value(ss) / pow(any_value(kl.n), 2) / (any_value(g0) + 2 * sum((1 - k / CAST(lags + 1 AS DOUBLE)) * c / kl.n)) AS stat FROM kl JOIN kc USING (series_id) GROUP BY 1)",
+    f"SELECT series_id, {r6('stat')} AS stat, {r6('CASE WHEN stat <= 0.347 THEN 0.1 WHEN stat <= 0.463 THEN 0.1 - 0.05 * (stat - 0.347) / 0.116 WHEN stat <= 0.574 THEN 0.05 - 0.025 * (stat - 0.463) / 0.111 WHEN stat <= 0.739 THEN 0.025 - 0.015 * (stat - 0.574) / 0.165 ELSE 0.01 END')} AS p_value FROM kv"))
+def kpss_statistic(spark, d):
+    out = stats.adf_kpss(src.segment_levels(spark, d)).where("test = 'kpss'")
+    return out.select("series_id", rounded("stat").alias("stat"), rounded("p_value").alias("p_value"))
+
+
 # --- folds -------------------------------------------------------------------------------------------
 
 NUM = "nr AS (SELECT *, row_number() OVER (PARTITION BY series_id ORDER BY date) AS i FROM sret)"

@@ -44,6 +44,13 @@ def publication_window(stream: DataFrame, lag_days: int, watermark: str = "7 day
     return timed.withWatermark("available", watermark)
 
 
+def session_levels(stream: DataFrame, gap: str = "3 days", watermark: str = "7 days") -> DataFrame:
+    """Mean and count of each session: rows of a series with less than `gap` between neighbours."""
+    timed = stream.withColumn("ts", F.col("date").cast("timestamp")).withWatermark("ts", watermark)
+    per = timed.groupBy("series_id", F.session_window("ts", gap).alias("w")).agg(F.avg("value").alias("mean"), F.count("*").alias("n"))
+    return per.select("series_id", "w.start", "w.end", "mean", "n")
+
+
 def windowed_levels(stream: DataFrame, size: str = "7 days", slide: str | None = None, watermark: str | None = "7 days", time: str = "date") -> DataFrame:
     """Mean, count and last value of tumbling or sliding event-time windows. A stream that has its watermark already
     (as from publication_window, on `available`) is given with `watermark` None and that column as `time`."""

@@ -131,6 +131,13 @@ def test_chow_lin_keeps_the_monthly_means():
     assert np.allclose([path[month == m].mean() for m in range(6)], y, atol=1e-8)
 
 
+def test_small_series_helpers(spark):
+    s = series(spark, [1, None, 3, 2, 5], column="value")
+    assert column(rolling.forward_fill(s, "value"), "value") == [1, 1, 3, 2, 5]
+    rho = stats.lag_one_correlation(series(spark, [1, 2, 4, 3, 5], column="ret")).first().rho1
+    assert rho == pytest.approx(np.corrcoef([1, 2, 4, 3], [2, 4, 3, 5])[0, 1])
+
+
 def test_unit_root_tests():
     rng = np.random.default_rng(2)
     noise = rng.normal(size=400)
@@ -154,7 +161,7 @@ def test_cache(spark, tmp_path):
         cache.fetch_or_stale(down, spark, path, "s", "2024-01-01", "2024-03-05", 5)
 
 
-def test_reports_and_gate(spark):
+def test_reports_and_gate(spark, tmp_path):
     assert "| series_id |" in markdown(series(spark, [1]).select("series_id"), "t")
     verdicts = lambda *rows: spark.createDataFrame(list(rows), "code string, status string")
     bad, fine = verdicts(("B2.LjungBox_z2", "FAIL")), verdicts(("A1.ADF", "FAIL"), ("B4.KS", "WARN"), ("B1.LjungBox_z", "PASS"))
@@ -168,6 +175,11 @@ def test_reports_and_gate(spark):
             if after is not None:
                 bag["after"] = after
     assert "Blocking: B2.LjungBox_z2" in reports.diagnostics_report(bad) and "<h2>Verdict</h2>" in reports.diagnostics_report(fine, True)
+    t = series(spark, [1, 2])
+    texts = [reports.backtest_report(t, t, t, t, t, t), reports.risk_report(t, t, t, t), reports.regime_report_text(t, t, t), reports.overlay_report(t, t, t)]
+    assert [x.count("## ") for x in texts] == [6, 4, 4, 3] and "look ahead" in texts[2]
+    reports.write_csv(t, str(tmp_path / "csv"))
+    assert spark.read.option("header", True).csv(str(tmp_path / "csv")).count() == 2
     assert reports.plot_data(series(spark, range(50)), "date", ["value"]).count() == 50 and reports.plot_data(series(spark, range(50)), "date", ["value"], 10).count() == 10
 
 

@@ -131,6 +131,13 @@ def test_parameter_table_and_forecast(spark):
     assert ahead[1].variance == pytest.approx(f.var[-1], rel=1e-6) and ahead[22].volatility == pytest.approx(math.sqrt(ahead[22].variance))
 
 
+def test_conditional_volatility_is_the_fits_path(spark):
+    r = egarch_path(900, 32)
+    rows = volatility.conditional_volatility(frame(spark, s=r)).orderBy("date").collect()
+    f = volatility.fit(r, Spec("egarch", "constant", "t"), errors=False)
+    assert [x.sigma for x in rows] == pytest.approx(f.sigma.tolist()) and [x.z for x in rows] == pytest.approx(f.z.tolist())
+
+
 def test_layers(spark):
     level = np.cumsum(-egarch_path(900, 13)) + 5
     walk = np.cumsum(level)
@@ -272,6 +279,12 @@ def test_two_regimes_are_recovered(spark):
     report = {r.regime: r for r in models.regime_report(df, "log_rv").collect()}
     assert report["stress"].expected_duration == pytest.approx(1 / (1 - m["trans"][1, 1])) and report["calm"].unconditional + report["stress"].unconditional == pytest.approx(1) and report["calm"].implied_rv < report["stress"].implied_rv
     day = (DAY + dt.timedelta(500)).isoformat()
+    declared = folds.anti_chattering(paths.withColumn("confirms", F.lit(True)))
+    assert models.state_lookup(declared, day).first().stressed == bool(states[500])
+    with pytest.raises(PySparkException, match="not in the sample"):
+        models.state_lookup(declared, "1999-01-01").collect()
+    flat = lambda x, *_: {"filtered": np.full((len(x), 2), 0.5), "smoothed": np.full((len(x), 2), 0.5), "trans": np.eye(2) * 0.8 + 0.1, "converged": True, "restarts": [0.0]}
+    assert models.markov_regime_fit(df, "log_rv", backend=flat).first().p_stress == 0.5
     seen, smooth = models.regime_lookup(paths, day).first(), models.regime_lookup(paths, day, "smoothed").first()
     assert seen.probability == pytest.approx(m["filtered"][500, 1]) and not seen.looks_ahead and smooth.looks_ahead
     with pytest.raises(PySparkException, match="not in the sample"):

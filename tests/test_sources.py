@@ -17,7 +17,7 @@ from riskweave.operators import quality, risk
 from riskweave.plans import catalogue
 from riskweave.sources import cache
 from riskweave.sources import series as src
-from riskweave.streaming.folds import publication_window, windowed_levels
+from riskweave.streaming.folds import publication_window, session_levels, windowed_levels
 
 SF = "/root/testdata/sf0.001"
 DAY = dt.date(2024, 1, 1)
@@ -137,6 +137,13 @@ def test_stale_zeros_raise(spark):
         quality.require_no_stale_zeros(level(spark, [1, 2, 2, 2, 2, 3]), 2).collect()
 
 
+def test_invalid_series_raise(spark):
+    fine = level(spark, np.sin(np.arange(40)) + 5)
+    assert quality.require_valid(fine, 30).count() == 40
+    with pytest.raises(PySparkException, match="too short"):
+        quality.require_valid(fine, 100).collect()
+
+
 def overlay(spark, sigma, es, stressed, legacy=None):
     days = [DAY + dt.timedelta(i) for i in range(len(sigma))]
     a = spark.createDataFrame([("s", d, v) for d, v in zip(days, sigma)], "series_id string, date date, sigma_ann double")
@@ -206,6 +213,10 @@ def test_event_time_windows(spark, tmp_path):
     whole = level(spark, range(1, 22))
     whole.coalesce(1).write.parquet(str(tmp_path / "in"))
     source = lambda: spark.readStream.schema(whole.schema).parquet(str(tmp_path / "in"))
+    q = session_levels(whole_stream := source().where("day(date) NOT BETWEEN 8 AND 12")).writeStream.format("memory").outputMode("complete").queryName("sessions").option("checkpointLocation", str(tmp_path / "sessions")).start()
+    q.processAllAvailable()
+    q.stop()
+    assert whole_stream.isStreaming and [r.n for r in spark.table("sessions").orderBy("start").collect()] == [7, 9]
     published = publication_window(source(), 5)
     assert published.isStreaming and "available" in published.columns
     for name, weekly in (("weeks", windowed_levels(source())), ("late", windowed_levels(published, watermark=None, time="available")), ("sliding", windowed_levels(source(), "7 days", "1 day"))):
