@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 #: Rows whose crc32(id as text) mod 4 is this are held out of every training set.
 HELD_OUT_REMAINDER = 2
-_SPACE = re.compile(r"\s")
+_SPACE = re.compile(r"[\x20\x09-\x0D]")
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -95,7 +95,7 @@ def sampled_ids(df: DataFrame, group: Column, id_col: str, most: int | dict, kee
 
 
 def text_chunks(text: str, size: int = 1 << 20) -> Iterator[str]:
-    """A long text in pieces of about `size` characters that end before white space, to bound the memory of
+    """A long text in pieces of about `size` characters that end before ASCII white space, to bound the memory of
     what is derived from a piece; a word is never cut."""
     if len(text) <= size:
         yield text

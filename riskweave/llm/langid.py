@@ -21,7 +21,7 @@ is learned from the shortest of them. Everything else covers all rows.
 
 Defined cases: a text that is null, empty or has no letter (emoji, punctuation, digits) is `und` with score 0;
 where no row is labelled all are `und`; equal phrase counts go to the first language by code point; rows that
-repeat a doc_id are each judged; very long texts are parsed whole; an empty table gives an empty result; other
+repeat a doc_id are each judged; very long texts are parsed whole, a chunk of bounded size at a time; an empty table gives an empty result; other
 columns are ignored.
 """
 
@@ -37,13 +37,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import held_out, sampled_ids, table, text_slices
+from .common import held_out, sampled_ids, table, text_chunks, text_slices
 
 SAMPLE_DOCS = 20
 SAMPLE_LENGTH = 4_000
 #: Symbols with a column in the dense table.
 DENSE = 48
 BLOCK = 2048
+#: Characters of a text that are parsed at once; longer texts go in chunks.
+LONG = 1 << 21
 #: Steps into a block at which a second parse is compared with the first one.
 MARKS = (32, 64, 128, 256, 512, 1024)
 UND = "und"
@@ -200,8 +202,30 @@ class Parse:
         return np.where(self.model.edges[k] == key, self.model.targets[k], -1)
 
 
-def phrases(model: Model, texts: list[str], block: int = BLOCK) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Phrases (text x language), symbols a text, and whether it has a letter."""
+def phrases(model: Model, texts: list[str], block: int = BLOCK, longest: int = LONG) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Phrases (text x language), symbols a text, and whether it has a letter. A text of over `longest` characters is
+    parsed in chunks, each from the state in which the one before it ended."""
+    langs = len(model.languages)
+    count, length, has = np.zeros((len(texts), langs), np.int64), np.zeros(len(texts), np.int64), np.zeros(len(texts), bool)
+    root = model.roots.astype(np.int32)[:, None]
+    short = [i for i, t in enumerate(texts) if len(t) <= longest]
+    if short:
+        got = parsed(model, [texts[i] for i in short], block, np.repeat(root, len(short), axis=1), np.zeros(len(short), bool))
+        count[short], length[short], has[short] = (got[0] + (got[3] != root)).T, got[1], got[2]
+    for i in set(range(len(texts))).difference(short):
+        state, gap = root, np.zeros(1, bool)
+        for chunk in text_chunks(texts[i], longest):
+            more, n, letters, state, gap = parsed(model, [chunk], block, state, gap)
+            count[i] += more[:, 0]
+            length[i] += n[0]
+            has[i] |= letters[0]
+        count[i] += (state != root)[:, 0]
+    return count, length, has & (length > 0)
+
+
+def parsed(model: Model, texts: list[str], block: int, begins: np.ndarray, after_gap: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The phrases that end within each text (language x text), its symbols, whether it has a letter, the states at its
+    end, and whether it ends in a gap, from given states (language x text) before it, and whether a gap is before it."""
     cps, sizes = points(texts)
     n = len(texts)
     sym = model.symbol[cps]
@@ -209,6 +233,11 @@ def phrases(model: Model, texts: list[str], block: int = BLOCK) -> tuple[np.ndar
     has = np.bincount(owner, weights=model.letter[cps], minlength=n) > 0
     keep = np.ones(len(sym), bool)
     keep[1:] = (sym[1:] != _GAP) | (sym[:-1] != _GAP) | (owner[1:] != owner[:-1])
+    some = np.flatnonzero(sizes)
+    first, last = (np.cumsum(sizes) - sizes)[some], np.cumsum(sizes)[some] - 1
+    keep[first] &= (sym[first] != _GAP) | ~after_gap[some]
+    ends_in_gap = after_gap.copy()
+    ends_in_gap[some] = sym[last] == _GAP
     sym, owner = sym[keep], owner[keep]
     length = np.bincount(owner, minlength=n)
     begin = np.concatenate(([0], np.cumsum(length)[:-1]))
@@ -238,21 +267,19 @@ def phrases(model: Model, texts: list[str], block: int = BLOCK) -> tuple[np.ndar
 
     # again from where the block before really ends, as long as that changes
     came = np.repeat(root[:, None], len(size), axis=1)
-    later = np.flatnonzero(k > 0)
-    while len(later):
-        lang, which = np.nonzero(came[:, later] != state[:, later - 1])
+    while len(size):
+        true = np.where(k > 0, np.roll(state, 1, axis=1), begins[:, text_of])
+        lang, at = np.nonzero(came != true)
         if not len(lang):
             break
-        at = later[which]
-        came[lang, at] = state[lang, at - 1]
+        came = true
         again(parse, root, start, size, marks, lang, at, came[lang, at], state, count, held, after)
-    total = np.zeros((langs, n), np.int64)
+    total, ends = np.zeros((langs, n), np.int64), begins.copy()
     last = np.cumsum(per) - 1
     for j in range(langs):
         total[j] = np.bincount(text_of, weights=count[j], minlength=n)
-        # the phrase that runs at the text's end
-        total[j][per > 0] += state[j][last[per > 0]] != root[j]
-    return total.T, length, has & (length > 0)
+        ends[j][per > 0] = state[j][last[per > 0]]
+    return total, length, has, ends, ends_in_gap
 
 
 def again(parse: Parse, root: np.ndarray, start: np.ndarray, size: np.ndarray, marks: list[int], lang: np.ndarray, at: np.ndarray, own: np.ndarray, state: np.ndarray, count: np.ndarray, held: np.ndarray, after: np.ndarray) -> None:

@@ -31,13 +31,15 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, plain_planning, table, text_slices
+from .common import materialize, plain_planning, table, text_chunks, text_slices
 
 RADIUS = 3
 SHINGLE = 3
 SEED = 42
 #: Distinct fingerprints on which correlations and candidate counts are estimated.
 SAMPLE = 2048
+#: Characters of a text whose words are held at once.
+LONG = 1 << 21
 #: A bucket above this is partitioned again on its remaining bits.
 LARGE_BUCKET = 512
 #: Children of a node in the trees that stand for components, so that no node is the end of very many edges.
@@ -47,29 +49,51 @@ HOT = 100_000
 WAYS = 16
 
 
-def fingerprint(text: str | None, width: int = SHINGLE, seed: int = SEED) -> int:
-    """The SimHash of one text: bit i is set if it is set in over half of the shingles' XXH64."""
-    words = (text or "").encode("utf-8", "surrogatepass").lower().split()
-    if not words:
-        return 0
+def word_runs(text: str | None, width: int) -> Iterator[list[bytes]]:
+    """A text's lower-cased words; those of a long text in runs, each of which begins with the last `width` - 1 words of
+    the one before, so that every shingle is in one run."""
+    held: list[bytes] = []
+    enough = False
+    for part in text_chunks(text or "", LONG):
+        words = held + part.encode("utf-8", "surrogatepass").lower().split()
+        if len(words) >= width:
+            enough = True
+            yield words
+            held = words[len(words) - width + 1 :]
+        else:
+            held = words
+    if held and not enough:
+        yield held
+
+
+def run_hashes(words: list[bytes], width: int, seed: int = SEED) -> np.ndarray:
+    """XXH64 of each shingle of a run; of fewer words, of them all."""
     joined = b" ".join(words)
     if len(words) <= width:
-        hashes = [xxhash.xxh64_intdigest(joined, seed)]
-    else:
-        ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1)
-        starts = np.concatenate(([0], ends[:-1])).tolist()
-        digest = xxhash.xxh64_intdigest
-        hashes = [digest(joined[a:b], seed) for a, b in zip(starts, (ends[width - 1 :] - 1).tolist())]
-    return majority(np.array(hashes, np.uint64))
+        return np.array([xxhash.xxh64_intdigest(joined, seed)], np.uint64)
+    ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1)
+    starts = np.concatenate(([0], ends[:-1])).tolist()
+    digest = xxhash.xxh64_intdigest
+    return np.array([digest(joined[a:b], seed) for a, b in zip(starts, (ends[width - 1 :] - 1).tolist())], np.uint64)
 
 
-def majority(hashes: np.ndarray) -> int:
-    """The 64 bits set in over half of the hashes; blocks bound the memory of very long texts."""
+def fingerprint(text: str | None, width: int = SHINGLE, seed: int = SEED) -> int:
+    """The SimHash of one text: bit i is set if it is set in over half of the shingles' XXH64."""
+    counts, total = np.zeros(64, np.int64), 0
+    for words in word_runs(text, width):
+        hashes = run_hashes(words, width, seed)
+        counts += bit_counts(hashes)
+        total += len(hashes)
+    return int.from_bytes(np.packbits(2 * counts > total).tobytes(), "big")
+
+
+def bit_counts(hashes: np.ndarray) -> np.ndarray:
+    """In how many hashes each bit is set, the highest bit first; blocks bound the memory."""
     counts = np.zeros(64, np.int64)
     for at in range(0, len(hashes), 1 << 14):
         block = hashes[at : at + (1 << 14)].astype(">u8")
         counts += np.unpackbits(block.view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
-    return int.from_bytes(np.packbits(2 * counts > len(hashes)).tobytes(), "big")
+    return counts
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = SHINGLE) -> DataFrame:
@@ -438,18 +462,20 @@ def spread(h: np.ndarray, k: int) -> np.ndarray:
 
 
 def shingle_hashes(text: str | None, width: int = STAGE_SHINGLE) -> tuple[np.ndarray, int]:
-    """The sorted hashes of a text's distinct shingles, and a hash of its words."""
-    found = (text or "").encode("utf-8", "surrogatepass").lower().split()
-    joined = b" ".join(found)
-    name = xxhash.xxh3_64_intdigest(joined)
-    if not found:
-        return np.zeros(0, np.uint64), name
-    if len(found) <= width:
-        return np.array([xxhash.xxh64_intdigest(joined, SEED)], np.uint64), name
-    ends = np.cumsum(np.fromiter(map(len, found), np.int64, len(found)) + 1)
-    starts = np.concatenate(([0], ends[:-1])).tolist()
-    digest = xxhash.xxh64_intdigest
-    return np.unique(np.array([digest(joined[a:b], SEED) for a, b in zip(starts, (ends[width - 1 :] - 1).tolist())], np.uint64)), name
+    """The sorted hashes of a text's distinct shingles, and the name of its class."""
+    found = [np.unique(run_hashes(words, width)) for words in word_runs(text, width)]
+    return (np.unique(np.concatenate(found)) if len(found) > 1 else found[0] if found else np.zeros(0, np.uint64)), class_of(text)
+
+
+def class_of(text: str | None) -> int:
+    """A hash of a text's lower-cased words: texts of the same words are one class."""
+    digest, first = xxhash.xxh3_64(), True
+    for part in text_chunks(text or "", LONG):
+        words = part.encode("utf-8", "surrogatepass").lower().split()
+        if words:
+            digest.update(b" ".join(words) if first else b" " + b" ".join(words))
+            first = False
+    return digest.intdigest()
 
 
 def wide_bits(hashes: np.ndarray, words: int = STAGE_WORDS) -> list[int]:
@@ -573,7 +599,7 @@ def shingle_sets(docs: DataFrame, nodes: DataFrame) -> DataFrame:
     def name(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in text_slices(batch, "text", 1 << 23):
-                names = [xxhash.xxh3_64_intdigest(b" ".join((x.as_py() or "").encode("utf-8", "surrogatepass").lower().split())) for x in part.column(0)]
+                names = [class_of(x.as_py()) for x in part.column(0)]
                 yield pa.RecordBatch.from_arrays([pa.array(np.array(names, np.uint64).view(np.int64)), part.column(0)], ["cls", "text"])
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

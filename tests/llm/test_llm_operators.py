@@ -296,6 +296,11 @@ def test_phrases_match_substring_search(block, more):
     count, length, known = langid.phrases(model, probes, block=block)
     for row, n, t in zip(count, length, probes):
         assert n == len(letters(t)) and row.tolist() == [plain_phrases(letters("\n".join(samples[k])), letters(t)) for k in ("x", "y")]
+    # long texts in chunks, with gaps at their borders
+    probes += [" . ".join(text(3) for _ in range(300)) + " , "]
+    whole = langid.phrases(model, probes, block=block)
+    for a, b in zip(whole, langid.phrases(model, probes, block=block, longest=50)):
+        assert (a == b).all()
 
 
 def test_languages_of_wide_scripts_and_none():
@@ -607,6 +612,16 @@ def test_simhash_documents(spark, odd, none):
     assert simhash.near_duplicates(none).collect() == []
 
 
+def test_long_texts_are_hashed_in_runs(monkeypatch):
+    rng = np.random.default_rng(12)
+    texts = [" ".join(f"W{v}" for v in rng.integers(0, 300, n)) for n in (1, 2, 3, 4, 5, 6, 40, 900)] + ["", "  ", "x" * 500, "a\u2003b \x85c " * 60]
+    whole = [(simhash.fingerprint(t), *simhash.shingle_hashes(t)) for t in texts]
+    monkeypatch.setattr(simhash, "LONG", 20)
+    for t, (fp, hashes, name) in zip(texts, whole):
+        got = simhash.shingle_hashes(t)
+        assert (simhash.fingerprint(t), got[1]) == (fp, name) and (got[0] == hashes).all() and fp == plain_fingerprint(t)
+
+
 def test_thresholds_obey_the_pigeonhole():
     rng = np.random.default_rng(1)
     bits = (rng.random((500, 64)) < np.where(np.arange(64) < 16, 0.02, 0.5)).astype(np.uint8)
