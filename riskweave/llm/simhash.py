@@ -448,6 +448,8 @@ STAGE_BANDS = 24
 STAGE_BAND_ROWS = 5
 #: A bucket above this is compared in parts first; see copies_to_drop().
 STAGE_BUCKET = 4096
+#: Classes that a task remembers to have passed on.
+REMEMBERED = 100_000
 #: How many deviations beyond the mean at the threshold a candidate's distance may lie.
 STAGE_DEVIATIONS = 4
 _GOLDEN = 0x9E3779B97F4A7C15
@@ -597,10 +599,17 @@ def shingle_sets(docs: DataFrame, nodes: DataFrame) -> DataFrame:
     """(node, s): the sorted shingle hashes of each class in `nodes` (column `node`), from one of its texts."""
 
     def name(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """A task passes on one text of a class, so that a text with very many copies is few rows; of what it has
+        passed on it remembers a bounded number of classes at a time."""
+        seen: set[int] = set()
         for batch in batches:
             for part in text_slices(batch, "text", 1 << 23):
                 names = [class_of(x.as_py()) for x in part.column(0)]
-                yield pa.RecordBatch.from_arrays([pa.array(np.array(names, np.uint64).view(np.int64)), part.column(0)], ["cls", "text"])
+                if len(seen) > REMEMBERED:
+                    seen.clear()
+                fresh = [k for k, c in enumerate(names) if not (c in seen or seen.add(c))]
+                kept = np.array([names[k] for k in fresh], np.uint64).view(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(kept), part.column(0).take(pa.array(fresh, pa.int64()))], ["cls", "text"])
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
