@@ -38,8 +38,8 @@ from .common import materialize, table, text_chunks, text_slices
 SEQUENCE = 2048
 END_ID = 0
 TOKENIZER = "word_bpe_49k.json"
-#: Words whose ids a worker remembers, and how long they may be: some 60 MB.
-REMEMBERED = 250_000
+#: Words whose ids a worker remembers, and how long they may be: some 170 MB.
+REMEMBERED = 800_000
 REMEMBERED_LENGTH = 48
 #: Chunks that a length's rows are ranked in, at least, and rows a chunk should hold at most.
 LEAST_CHUNKS = 256
@@ -83,7 +83,8 @@ class WordEncoder:
     def chunk(self, word: str) -> bytes:
         """Little-endian 32-bit ids of what stands between white space."""
         if word.isalpha() and word.isascii():
-            return array("I", self.pretoken(word.lower())).tobytes()
+            # letters that stand for themselves at the byte level
+            return array("I", [t.id for t in self.model.tokenize(word.lower())]).tobytes()
         ids: list[int] = []
         for piece in self.pretokens.findall(unicodedata.normalize("NFC", word).lower()):
             ids += self.pretoken(piece)
@@ -101,26 +102,22 @@ class WordEncoder:
     def encode(self, text: str) -> bytes:
         if not self.usual(text):
             return np.array(self.whole.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+        return b"".join([self.words(part.split()) for part in text_chunks(text)])
+
+    def words(self, words: list[str]) -> bytes:
+        """The ids of words in a row. What is remembered is bounded in number and length."""
         known = self.known
-        if len(text) <= 1 << 20:
-            try:
-                return b"".join([known[w] for w in text.split()])
-            except KeyError:
-                pass
-        out = []
-        for part in text_chunks(text):
-            ids = []
-            for w in part.split():
-                got = known.get(w)
-                if got is None:
-                    got = self.chunk(w)
-                    if len(w) <= REMEMBERED_LENGTH:
-                        if len(known) >= self.remembered:
-                            known.clear()
-                        known[w] = got
-                ids.append(got)
-            out.append(b"".join(ids))
-        return b"".join(out)
+        try:
+            return b"".join([known[w] for w in words])
+        except KeyError:
+            pass
+        if len(known) > self.remembered:
+            known.clear()
+        long = {}
+        for w in words:
+            if w not in known:
+                (known if len(w) <= REMEMBERED_LENGTH else long)[w] = self.chunk(w)
+        return b"".join([known[w] for w in words] if not long else [known[w] if w in known else long[w] for w in words])
 
 
 def byte_letters() -> dict[int, int]:
