@@ -530,16 +530,22 @@ def conditional_volatility(returns: DataFrame, spec: Spec = Spec("egarch", "cons
 
 # --- GJR: a cascade of densities ---------------------------------------------------------------------------
 
+# The densities tried, with or without asymmetry, and what makes a fit unusable. The mean is bounded in
+# itself and in sample deviations, the AR coefficient in itself, the median sigma in sample deviations.
 CASCADE = (("skewt", True), ("t", True), ("t", False), ("normal", True))
+MEAN_BOUND, MEAN_DEVIATIONS = 0.5, 25.0
+AR_BOUND = 0.99
+SIGMA_DEVIATIONS = (1e-6, 200.0)
 GJR = "series_id string, status string, mean string, density string, asymmetric boolean, n int, const double, phi double, omega double, alpha double, gamma double, beta double, nu double, lam double, loglik double, persistence double, candidates int, sigma_next double"
 
 
 def usable(f: Fit, r: np.ndarray) -> bool:
-    """Whether a fit's mean, variance and path are of the data's size."""
+    """Whether a fit is finite and its mean, variance and path are of the data's size."""
+    if not (math.isfinite(f.loglik) and np.isfinite([*f.params.values(), *f.var]).all() and f.var.min() > 0 and f["omega"] > 0):
+        return False
     sd = float(r.std(ddof=1)) or 1e-8
-    path = f.sigma
-    sound = np.isfinite(list(f.params.values())).all() and math.isfinite(f.loglik) and np.isfinite(path).all() and (path > 0).all()
-    return bool(sound and f["omega"] > 0 and abs(f["const"]) <= max(0.5, 25 * sd) and abs(f["phi"]) < 0.99 and 1e-6 * sd <= np.median(path) <= 200 * sd)
+    middle = float(np.median(f.sigma)) / sd
+    return SIGMA_DEVIATIONS[0] <= middle <= SIGMA_DEVIATIONS[1] and abs(f["phi"]) < AR_BOUND and abs(f["const"]) <= max(MEAN_BOUND, MEAN_DEVIATIONS * sd)
 
 
 def gjr_cascade(r: np.ndarray, errors: bool = False) -> tuple[Fit | None, int]:
