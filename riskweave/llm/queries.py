@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import extract, langid, mixing, mpeg, packing, quality, simhash, topk, toxicity, urlfilter
+from . import decontaminate, extract, langid, mixing, mpeg, packing, prefixtrie, quality, simhash, topk, toxicity, urlfilter, variants
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_extract": extract.op1_extract,
@@ -19,10 +19,16 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_simhash": simhash.op8_simhash,
     "op9_topk": topk.op9_topk,
     "op10_packing": packing.op10_packing,
+    "op11_variants": variants.op11_variants,
+    "op12_decontaminate": decontaminate.op12_decontaminate,
+    "op13_prefixtrie": prefixtrie.op13_prefixtrie,
 }
 
 ORACLES: dict[str, str] = {
     "op2_mixing": mixing.OP2_SQL,
     "op5_urlfilter": urlfilter.OP5_SQL,
     "op9_topk": topk.OP9_SQL,
+    "op11_variants": variants.OP11_SQL,
+    "op12_decontaminate": decontaminate.OP12_SQL,
+    "op13_prefixtrie": prefixtrie.OP13_SQL,
 }
