@@ -1,7 +1,8 @@
-"""Path-dependent folds: state machines and recursive filters along a series.
+"""Path-dependent folds along a series, one series a task.
 
-Each series is one group: `applyInPandas` runs the series in parallel and each of them in linear time. A step
-is a plain function (state, row) -> (state, outputs), which the streaming variants reuse.
+`applyInPandas` runs the series in parallel and each of them in linear time; this is for steps that don't compose
+(a threshold on the state itself, an exponential of it). The filters whose steps do compose are in `scans` and split a
+series; their plain steps are here. A step is a function (state, row) -> (state, outputs), which streaming reuses.
 """
 
 from __future__ import annotations
@@ -16,6 +17,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.windows import so_far
+from .scans import anti_chattering, arma_residuals, ewma_vol, gjr_filter, hamilton_filter, hamilton_states
+
+__all__ = ["anti_chattering", "arma_residuals", "ewma_vol", "gjr_filter", "hamilton_filter", "hamilton_states"]
 
 Step = Callable[[Any, tuple], tuple[Any, tuple]]
 
@@ -65,10 +69,6 @@ def confirmed_step(enter: float, leave: float, confirm: int, dwell: int, partial
     return step
 
 
-def anti_chattering(df: DataFrame, p: str = "p_stress", confirms: str = "confirms", enter: float = 0.7, leave: float = 0.3, confirm: int = 2, dwell: int = 5, partial: float = 0.5) -> DataFrame:
-    return fold(df, [p, confirms], (False, dwell, 0, 0), confirmed_step(enter, leave, confirm, dwell, partial), "stressed boolean, days_in int, derisk double")
-
-
 def smoothing_step(alpha: float) -> Step:
     """Exponential smoothing of row[0], executed only when it has moved more than row[1] from what is held."""
 
@@ -97,11 +97,6 @@ def ewma_step(decay: float) -> Step:
     return step
 
 
-def ewma_vol(returns: DataFrame, decay: float = 0.94, first_var: float | None = None, keys: list[str] | None = None) -> DataFrame:
-    start = first_var if first_var is not None else (lambda pdf: float(pdf["ret"].iloc[0]) ** 2)
-    return fold(returns, ["ret"], start, ewma_step(decay), "sigma double", keys)
-
-
 def gjr_step(omega: float, alpha: float, gamma: float, beta: float) -> Step:
     def step(var: float, row: tuple) -> tuple[float, tuple]:
         e = row[0]
@@ -110,10 +105,6 @@ def gjr_step(omega: float, alpha: float, gamma: float, beta: float) -> Step:
     return step
 
 
-def gjr_filter(residuals: DataFrame, omega: float, alpha: float, gamma: float, beta: float, first_var: float, column: str = "ret") -> DataFrame:
-    return fold(residuals, [column], first_var, gjr_step(omega, alpha, gamma, beta), "sigma double")
-
-
 def egarch_step(omega: float, alpha: float, gamma: float, beta: float, mean_abs: float) -> Step:
     def step(log_var: float, row: tuple) -> tuple[float, tuple]:
         sigma = math.exp(log_var / 2)
@@ -127,15 +118,13 @@ def egarch_filter(residuals: DataFrame, omega: float, alpha: float, gamma: float
     return fold(residuals, [column], first_log_var, egarch_step(omega, alpha, gamma, beta, mean_abs), "sigma double")
 
 
-def arma_residuals(returns: DataFrame, const: float, phi: float, theta: float, column: str = "ret") -> DataFrame:
-    """e_t = r_t - c - phi r_{t-1} - theta e_{t-1}; the first row has neither lag."""
-
+def arma_step(const: float, phi: float, theta: float) -> Step:
     def step(state: tuple | None, row: tuple) -> tuple[tuple, tuple]:
         r = row[0]
         e = r - const - (phi * state[0] + theta * state[1] if state else 0.0)
         return (r, e), (e,)
 
-    return fold(returns, [column], None, step, "eps double")
+    return step
 
 
 def hamilton_step(stay: tuple[float, ...], mean: tuple[float, ...], sd: tuple[float, ...]) -> Step:
@@ -153,25 +142,6 @@ def hamilton_step(stay: tuple[float, ...], mean: tuple[float, ...], sd: tuple[fl
     return step
 
 
-def hamilton_filter(df: DataFrame, column: str, stay: tuple[float, float], mean: tuple[float, float], sd: tuple[float, float]) -> DataFrame:
-    start = (1 - stay[0]) / (2 - stay[0] - stay[1])
-    return fold(df, [column], start, hamilton_step(stay, mean, sd), "p_stress double")
-
-
-def hamilton_states(df: DataFrame, column: str, transition: tuple[tuple[float, ...], ...], mean: tuple[float, ...], sd: tuple[float, ...], names: tuple[str, ...]) -> DataFrame:
-    """Filtered probabilities of any number of states, one column each; the chain starts from equal shares."""
-    k = len(mean)
-
-    def step(probs: tuple, row: tuple) -> tuple[tuple, tuple]:
-        prior = [sum(probs[i] * transition[i][j] for i in range(k)) for j in range(k)]
-        joint = [p * math.exp(-0.5 * ((row[0] - m) / s) ** 2) / s for p, m, s in zip(prior, mean, sd)]
-        total = sum(joint)
-        post = tuple(v / total for v in joint) if total > 0 else tuple(prior)
-        return post, post
-
-    return fold(df, [column], (1 / k,) * k, step, ", ".join(f"{n} double" for n in names))
-
-
 def kim_smoother(filtered: np.ndarray, transition: np.ndarray) -> np.ndarray:
     """Smoothed probabilities from filtered ones, both (time x state)."""
     out = filtered.copy()

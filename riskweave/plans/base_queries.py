@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import calendar as cal
-from ..operators import diagnostics, folds, quality, returns, risk, rolling, stats
+from ..operators import diagnostics, folds, quality, returns, risk, rolling, scans, stats
 from ..sources import series as src
 from . import sql_parts as parts
 from .registry import HOUR, LVL, MON, RET, SEG, SHIP, SRET, VIX, WEEK, query, r6, rounded, sql
@@ -526,6 +526,23 @@ def _three_sql() -> str:
     return sql(SEG, SRET, NUM, f, f"SELECT series_id, date, {r6('p0')} AS calm, {r6('p1')} AS mid, {r6('p2')} AS stress FROM f", recursive=True)
 
 
+def _smooth_sql() -> str:
+    first = [" + ".join(f"{0.3333333333333333} * {_P3[i][j]}" for i in range(3)) for j in range(3)]
+    later = [" + ".join(f"f.p{i} * {_P3[i][j]}" for i in range(3)) for j in range(3)]
+    pick = lambda x, c: ", ".join(f"CAST({v} AS DOUBLE) AS {c}{k}" for k, v in enumerate(x))
+    f = f"f AS (SELECT series_id, date, i, ret, {pick(_three(first, 'ret'), 'p')} FROM nr WHERE i = 1 UNION ALL SELECT n.series_id, n.date, n.i, n.ret, {pick(_three(later, 'n.ret'), 'p')} FROM f JOIN nr n ON n.series_id = f.series_id AND n.i = f.i + 1)"
+    prior = [" + ".join(f"p.p{i} * {_P3[i][j]}" for i in range(3)) for j in range(3)]
+    smooth = [f"p.p{i} * (" + " + ".join(f"{_P3[i][j]} * s.s{j} / ({prior[j]})" for j in range(3)) + ")" for i in range(3)]
+    s = f"s AS (SELECT series_id, date, i, {pick(['p0', 'p1', 'p2'], 's')} FROM f WHERE i = (SELECT max(i) FROM nr WHERE nr.series_id = f.series_id) UNION ALL SELECT p.series_id, p.date, p.i, {pick(smooth, 's')} FROM s JOIN f p ON p.series_id = s.series_id AND p.i = s.i - 1)"
+    return sql(SEG, SRET, NUM, f, s, f"SELECT series_id, date, {r6('s0')} AS calm, {r6('s1')} AS mid, {r6('s2')} AS stress FROM s", recursive=True)
+
+
+@query("kim_smoother", _smooth_sql())
+def kim_smoother(spark, d):
+    out = scans.kim_smoother(segment_returns(spark, d), "ret", _P3, (0.0, 0.0, 0.0), _S3, ("calm", "mid", "stress"))
+    return out.select("series_id", "date", *[rounded(c).alias(c) for c in ("calm", "mid", "stress")])
+
+
 @query("hamilton_three_states", _three_sql())
 def hamilton_three_states(spark, d):
     out = folds.hamilton_states(segment_returns(spark, d), "ret", _P3, (0.0, 0.0, 0.0), _S3, ("calm", "mid", "stress"))
