@@ -36,14 +36,6 @@ def full(value: Column, frame: WindowSpec, result: Column, least: int) -> Column
     return F.when(F.count(value).over(frame) >= least, result)
 
 
-def rolling_rank(value: Column, window: int, least: int | None = None, keys: list[str] | str = KEY, order: str = DATE) -> Column:
-    """Causal percentile rank: the share of the frame's values up to the current one. NULL where the
-    current value is NULL or the frame holds fewer than `least`."""
-    held = F.collect_list(value).over(last_rows(window, keys, order))
-    rank = F.size(F.filter(held, lambda x: x <= value)) / F.size(held)
-    return F.when(value.isNotNull() & (F.size(held) >= (least or window)), rank)
-
-
 def island_ids(df: DataFrame, starts: Column, name: str = "island", keys: list[str] | str = KEY, order: str = DATE) -> DataFrame:
     """Number the runs of rows: a run begins where `starts` is true."""
     return df.withColumn(name, F.sum(F.when(starts, 1).otherwise(0)).over(so_far(keys, order)))

@@ -2,28 +2,27 @@
 
 from __future__ import annotations
 
-from bisect import insort
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.dist import norm_ppf
-from ..functions.windows import full, last_rows, over, previous_rows, rolling_rank, so_far
+from ..functions.windows import full, last_rows, over, so_far
+from .blocks import expanding_quantile, moving_quantile, rolling_ranks
 from .stats import icss
 
 
 def percentile_rank(series: DataFrame, window: int, least: int | None = None, column: str = "value", name: str = "rank") -> DataFrame:
-    return series.withColumn(name, rolling_rank(F.col(column), window, least))
+    return rolling_ranks(series, {name: column}, window, least)
 
 
 def exogenous_confirm(series: DataFrame, window: int, least: int, quantile: float, column: str = "value") -> DataFrame:
     """True where the causal rank reaches `quantile`; false where the window is short or constant."""
     frame = last_rows(window)
     moved = F.max(column).over(frame) - F.min(column).over(frame) >= 1e-15
-    rank = rolling_rank(F.col(column), window, least)
-    return series.withColumn("confirms", F.coalesce(moved & (rank >= quantile), F.lit(False)))
+    ranked = rolling_ranks(series, {"__rank": column}, window, least)
+    return ranked.withColumn("confirms", F.coalesce(moved & (F.col("__rank") >= quantile), F.lit(False))).drop("__rank")
 
 
 def rolling_std(series: DataFrame, window: int, column: str, name: str = "sigma", least: int | None = None) -> DataFrame:
@@ -36,32 +35,6 @@ def rolling_sum(series: DataFrame, window: int, column: str, name: str, least: i
     return series.withColumn(name, full(F.col(column), frame, F.sum(column).over(frame), least or window))
 
 
-def expanding_quantile(df: DataFrame, column: str, share: float, name: str, keys: list[str] | str = "series_id", include_current: bool = True, least: int = 1, order: str = "date") -> DataFrame:
-    """The percentile (linear between neighbours) of all values so far, with or without the row's own; NULL before
-    there are `least`. One pass over each key's rows with a sorted list: a percentile over an unbounded window would
-    sort the whole past anew at every row."""
-    keys = [keys] if isinstance(keys, str) else keys
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields if f.name != name) + f", `{name}` double"
-    kept = [c for c in df.columns if c != name]
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf[kept].sort_values(order, kind="stable")
-        held: list[float] = []
-        out: list[float | None] = []
-        for x in pdf[column].tolist():
-            missing = x is None or x != x
-            if include_current and not missing:
-                insort(held, x)
-            at = share * (len(held) - 1)
-            k = int(at)
-            out.append(None if len(held) < max(1, least) else held[k] + (at - k) * (held[min(k + 1, len(held) - 1)] - held[k]))
-            if not include_current and not missing:
-                insort(held, x)
-        return pdf.assign(**{name: pd.array(out, "Float64")})
-
-    return df.groupBy(*keys).applyInPandas(run, schema)
-
-
 def expanding_median(series: DataFrame, column: str, name: str = "median", keys: list[str] | str = "series_id") -> DataFrame:
     return expanding_quantile(series, column, 0.5, name, keys)
 
@@ -69,11 +42,9 @@ def expanding_median(series: DataFrame, column: str, name: str = "median", keys:
 def historical_var(returns: DataFrame, window: int, alpha: float) -> DataFrame:
     """-quantile(1 - alpha) of the previous `window` returns, and the normal counterpart; both NULL until
     the frame is full."""
-    frame = previous_rows(window)
-    q = -F.percentile("ret", F.lit(1 - alpha)).over(frame)
-    normal = -(F.avg("ret").over(frame) + norm_ppf(1 - alpha) * F.stddev_samp("ret").over(frame))
-    r = F.col("ret")
-    return returns.withColumn("var_hs", full(r, frame, q, window)).withColumn("var_normal", full(r, frame, normal, window))
+    q = moving_quantile(returns, "ret", window, 1 - alpha, "__q")
+    normal = -(F.col("__q_mean") + norm_ppf(1 - alpha) * F.col("__q_sd"))
+    return q.withColumn("var_hs", -F.col("__q")).withColumn("var_normal", normal).drop("__q", "__q_mean", "__q_sd")
 
 
 def filtered_var(residuals: DataFrame, alpha: float, least: int = 20) -> DataFrame:

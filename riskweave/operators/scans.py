@@ -3,7 +3,7 @@
 A step whose state enters it affinely, linearly or through a finite table is a map from state to state, and maps
 compose. A series is cut into chunks of time; every chunk's rows are composed into one map, the maps are composed along
 the series in two levels (`FAN` chunks, then the rest), and each chunk is replayed from its true first state. All of it
-is Column expressions; a chunk's rows, a series' maps and `FAN` maps are what a task holds at once.
+is SQL expressions over arrays, written as text; a chunk's rows, a series' maps and `FAN` maps are what a task holds.
 
 Defined cases, for all filters here: a row without its input leaves the state as it is; rows without a date come last;
 rows that tie in date are taken in order of their columns; a null key is a series of its own; other columns pass
@@ -14,10 +14,13 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from dataclasses import dataclass
+from itertools import count
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.lineage import written
+
 #: Days of a chunk. A daily series has as many rows in it at most.
 WIDTH = 512
 #: Chunks whose maps are composed together.
@@ -25,48 +28,71 @@ FAN = 64
 #: Rows whose results are gathered in one array before arrays are put together.
 _SLICE = 128
 _LAST = 1 << 40
+_names = count()
+
+
+def _fresh() -> str:
+    return f"v{next(_names)}"
 
 
-def let(value: Column, body: Callable[[Column], Column]) -> Column:
+def let(value: str, body: Callable[[str], str]) -> str:
     """`body` of a value that is computed once."""
-    return F.element_at(F.transform(F.array(value), body), 1)
+    v = _fresh()
+    return f"element_at(transform(array({value}), {v} -> {body(v)}), 1)"
+
+
+def num(x: float) -> str:
+    return f"({float(x)!r}D)"
+
+
+def field(row: str, column: str) -> str:
+    return f"{row}.`{column}`"
+
+
+def struct(**fields: str) -> str:
+    return "struct(" + ", ".join(f"{v} AS `{k}`" for k, v in fields.items()) + ")"
+
+
+def array(items: list[str]) -> str:
+    return "array(" + ", ".join(items) + ")"
+
+
+def absent(x: str) -> str:
+    return f"({x} IS NULL OR isnan({x}))"
 
 
 @dataclass(frozen=True)
 class Scan:
-    """`lift` makes a row's map; `compose` joins a map and the one after it; `apply` sends a state through a map;
-    `step` and `out` are the filter itself: the next state, and the outputs from (state, row, next state)."""
+    """SQL of a filter. `lift` makes a row's map; `compose` joins a map and the one after it; `apply` sends a state
+    through a map; `step` and `out` are the filter itself: the next state, and a struct of outputs from (state, row, next
+    state)."""
 
-    lift: Callable[[Column], Column]
-    compose: Callable[[Column, Column], Column]
-    apply: Callable[[Column, Column], Column]
-    step: Callable[[Column, Column], Column]
-    out: Callable[[Column, Column, Column], Column]
+    lift: Callable[[str], str]
+    compose: Callable[[str, str], str]
+    apply: Callable[[str, str], str]
+    step: Callable[[str, str], str]
+    out: Callable[[str, str, str], str]
 
 
-def _composed(maps: Column, scan: Scan) -> Column:
-    return F.aggregate(F.slice(maps, 2, F.greatest(F.size(maps) - 1, F.lit(0))), F.element_at(maps, 1), scan.compose)
+def _composed(items: str, scan: Scan, lift: Callable[[str], str]) -> str:
+    """The map of all items, in order."""
+    m, x = _fresh(), _fresh()
+    return f"aggregate(slice({items}, 2, greatest(size({items}) - 1, 0)), {lift(f'element_at({items}, 1)')}, ({m}, {x}) -> {let(lift(x), lambda n: scan.compose(m, n))})"
 
 
-def _visited(items: Column, start: Column, visit: Callable[[Column, Column], Column], kind: str) -> Column:
+def _visited(items: str, start: str, visit: Callable[[str, str], str], kind: str) -> str:
     """The outputs of `visit`, (state, item) -> struct(state, out), along an array. Results are gathered in slices: adding
     to one long array would copy it for every row."""
 
-    def inner(part: Column, state: Column) -> Column:
-        empty = F.array().cast(f"array<{kind}>")
-        return F.aggregate(
-            part,
-            F.struct(state.alias("state"), empty.alias("outs")),
-            lambda acc, x: let(visit(acc["state"], x), lambda r: F.struct(r["state"].alias("state"), F.concat(acc["outs"], F.array(r["out"])).alias("outs"))),
-        )
-
-    parts = F.transform(F.sequence(F.lit(0), F.floor((F.size(items) - 1) / _SLICE).cast("int")), lambda k: F.slice(items, k * _SLICE + 1, F.lit(_SLICE)))
-    whole = F.aggregate(
-        parts,
-        F.struct(start.alias("state"), F.array().cast(f"array<array<{kind}>>").alias("outs")),
-        lambda acc, part: let(inner(part, acc["state"]), lambda r: F.struct(r["state"].alias("state"), F.concat(acc["outs"], F.array(r["outs"])).alias("outs"))),
-    )
-    return F.flatten(whole["outs"])
+    def gathered(over: str, state: str, empty: str, each: Callable[[str, str], str], out: str) -> str:
+        acc, x = _fresh(), _fresh()
+        body = let(each(f"{acc}.state", x), lambda r: struct(state=f"{r}.state", outs=f"concat({acc}.outs, array({r}.{out}))"))
+        return f"aggregate({over}, {struct(state=state, outs=f'CAST(array() AS {empty})')}, ({acc}, {x}) -> {body})"
+
+    k = _fresh()
+    parts = f"transform(sequence(0, CAST(floor((size({items}) - 1) / {_SLICE}) AS INT)), {k} -> slice({items}, {k} * {_SLICE} + 1, {_SLICE}))"
+    inner = lambda state, part: gathered(part, state, f"array<{kind}>", visit, "out")
+    return f"flatten({gathered(parts, start, f'array<array<{kind}>>', inner, 'outs')}.outs)"
 
 
 def chunk_of(df: DataFrame, order: str, width: int = WIDTH) -> Column:
@@ -78,162 +104,127 @@ def chunk_of(df: DataFrame, order: str, width: int = WIDTH) -> Column:
 
 
 def run(
-    df: DataFrame, scan: Scan, start: Callable[[Column], Column], outputs: str, keys: list[str] | None = None, order: str = "date", chunk: Column | None = None, width: int = WIDTH, backward: bool = False
+    df: DataFrame, scan: Scan, start: Callable[[str], str], outputs: str, keys: list[str] | None = None, order: str = "date", chunk: Column | None = None, width: int = WIDTH, backward: bool = False
 ) -> DataFrame:
     """Add the columns of `outputs` ("name type, ...", the fields of `scan.out`). `start` is the first state, from the
     series' first row. `chunk` may be any column that never falls along a series. `backward` runs from the last row."""
     keys = keys or ["series_id"]
     chunk = F.coalesce(chunk_of(df, order, width) if chunk is None else chunk, F.lit(_LAST))
-    in_order = (lambda a: F.reverse(F.array_sort(a))) if backward else F.array_sort
+    sort = "reverse(array_sort({}))" if backward else "array_sort({})"
     # The keys as one struct: it is never null, and joins and groups of it share their partitioning.
     rows = df.select(F.struct(*keys).alias("__key"), (-chunk if backward else chunk).alias("__chunk"), F.struct(F.col(order).alias("__order"), F.struct(*df.columns).alias("__row")).alias("__item"))
     names = [o.strip().rsplit(" ", 1) for o in outputs.split(",")]
-    kind = "struct<" + ", ".join(f"{n}: {t}" for n, t in names) + ">"
+    kind = "struct<" + ", ".join(f"`{n}`: {t}" for n, t in names) + ">"
 
-    chunks = rows.groupBy("__key", "__chunk").agg(F.transform(in_order(F.collect_list("__item")), lambda x: x["__row"]).alias("__rows"))
-    maps = chunks.select("__key", "__chunk", _composed(F.transform("__rows", scan.lift), scan).alias("map"), F.element_at("__rows", 1).alias("first"))
+    # Written once: the chunks are read for their maps, which are composed on two levels, and for the replay.
+    chunks = written(rows.groupBy("__key", "__chunk").agg(F.expr(f"transform({sort.format('collect_list(__item)')}, x -> x.__row) AS __rows")))
+    maps = chunks.selectExpr("__key", "__chunk", f"{_composed('__rows', scan, scan.lift)} AS map", "element_at(__rows, 1) AS first")
     fans = (
-        maps.withColumn("__fan", F.floor(F.col("__chunk") / FAN))
-        .groupBy("__key", "__fan")
-        .agg(F.sort_array(F.collect_list(F.struct(F.col("__chunk").alias("at"), "map", "first"))).alias("__parts"))
-        .withColumn("map", _composed(F.transform("__parts", lambda p: p["map"]), scan))
+        maps.groupBy("__key", F.expr(f"floor(__chunk / {FAN}) AS __fan"))
+        .agg(F.expr("sort_array(collect_list(struct(__chunk AS at, map, first))) AS __parts"))
+        .selectExpr("__key", "__fan", "__parts", f"{_composed('__parts', scan, lambda p: f'{p}.map')} AS map")
     )
-    whole = fans.groupBy("__key").agg(F.sort_array(F.collect_list(F.struct(F.col("__fan").alias("at"), "map", F.element_at("__parts", 1)["first"].alias("first")))).alias("__fans"))
-
-    first = start(F.element_at("__fans", 1)["first"])
-    state = whole.select(first.alias("s")).schema[0].dataType.simpleString()
-    begin = f"struct<at: bigint, state: {state}>"
-    visit = lambda s, part: F.struct(scan.apply(part["map"], s).alias("state"), F.struct(part["at"].alias("at"), s.alias("state")).alias("out"))
-    of_fans = whole.select("__key", F.explode(_visited(F.col("__fans"), first, visit, begin)).alias("b")).select("__key", F.col("b.at").alias("__fan"), F.col("b.state").alias("__state"))
-    of_chunks = (
-        fans.select("__key", "__fan", "__parts")
-        .join(of_fans.hint("shuffle_hash"), ["__key", "__fan"])
-        .select("__key", F.explode(_visited(F.col("__parts"), F.col("__state"), visit, begin)).alias("b"))
-        .select("__key", F.col("b.at").alias("__chunk"), F.col("b.state").alias("__state"))
-    )
-    replay = lambda s, row: let(scan.step(s, row), lambda n: F.struct(n.alias("state"), scan.out(s, row, n).alias("out")))
-    # Hashed, not broadcast: the chunks stay where they are, dealt by key and chunk.
-    done = chunks.join(of_chunks.hint("shuffle_hash"), ["__key", "__chunk"]).select(F.explode(F.arrays_zip(F.col("__rows").alias("row"), _visited(F.col("__rows"), F.col("__state"), replay, kind).alias("out"))).alias("x"))
-    return done.select(*[F.col("x.row").getField(c).alias(c) for c in df.columns if c not in {n for n, _ in names}], *[F.col("x.out").getField(n).alias(n) for n, _ in names])
+    whole = fans.groupBy("__key").agg(F.expr("sort_array(collect_list(struct(__fan AS at, map, element_at(__parts, 1).first AS first))) AS __fans"))
+    whole = whole.selectExpr("__key", "__fans", f"{start('element_at(__fans, 1).first')} AS __first")
+
+    begin = f"struct<at: bigint, state: {whole.schema['__first'].dataType.simpleString()}>"
+    visit = lambda s, part: struct(state=scan.apply(f"{part}.map", s), out=struct(at=f"{part}.at", state=s))
+    of_fans = whole.selectExpr("__key", f"inline({_visited('__fans', '__first', visit, begin)}) AS (__fan, __state)")
+    # Hashed, not broadcast: chunks and fans stay where they are, dealt by key and number.
+    of_chunks = fans.join(of_fans.hint("shuffle_hash"), ["__key", "__fan"]).selectExpr("__key", f"inline({_visited('__parts', '__state', visit, begin)}) AS (__chunk, __state)")
+    replay = lambda s, row: let(scan.step(s, row), lambda n: struct(state=n, out=scan.out(s, row, n)))
+    done = chunks.join(of_chunks.hint("shuffle_hash"), ["__key", "__chunk"]).selectExpr(f"inline(arrays_zip(__rows, {_visited('__rows', '__state', replay, kind)})) AS (__row, __out)")
+    new = {n for n, _ in names}
+    return done.selectExpr(*[f"{field('__row', c)} AS `{c}`" for c in df.columns if c not in new], *[f"{field('__out', n)} AS `{n}`" for n, _ in names])
 
 
 # --- affine states -------------------------------------------------------------------------------------------
 
 
-def affine(multiply: Callable[[Column], Column], add: Callable[[Column], Column], missing: Callable[[Column], Column], out: Callable[[Column, Column, Column], Column]) -> Scan:
+def affine(multiply: Callable[[str], str], add: Callable[[str], str], missing: Callable[[str], str], out: Callable[[str, str, str], str]) -> Scan:
     """A number s that becomes multiply(row) * s + add(row), and stays where a row is `missing`."""
-    lift = lambda row: F.when(missing(row), F.struct(F.lit(1.0).alias("a"), F.lit(0.0).alias("b"))).otherwise(F.struct(multiply(row).alias("a"), add(row).alias("b")))
     return Scan(
-        lift,
-        lambda m, n: F.struct((m["a"] * n["a"]).alias("a"), (n["a"] * m["b"] + n["b"]).alias("b")),
-        lambda m, s: m["a"] * s + m["b"],
-        lambda s, row: F.when(missing(row), s).otherwise(multiply(row) * s + add(row)),
+        lambda row: f"if({missing(row)}, {struct(a='1D', b='0D')}, {struct(a=multiply(row), b=add(row))})",
+        lambda m, n: struct(a=f"{m}.a * {n}.a", b=f"{n}.a * {m}.b + {n}.b"),
+        lambda m, s: f"{m}.a * {s} + {m}.b",
+        lambda s, row: f"if({missing(row)}, {s}, {multiply(row)} * {s} + {add(row)})",
         out,
     )
 
 
-def _absent(x: Column) -> Column:
-    return x.isNull() | F.isnan(x)
-
-
-def _volatility(state: Column, row: Column, after: Column) -> Column:
-    return F.struct(F.sqrt(state).alias("sigma"))
+def _volatility(state: str, row: str, after: str) -> str:
+    return struct(sigma=f"sqrt({state})")
 
 
 def ewma_vol(returns: DataFrame, decay: float = 0.94, first_var: float | None = None, keys: list[str] | None = None, **how) -> DataFrame:
     """Exponentially weighted volatility before each row's return. The variance starts from `first_var`, else from the
     square of the first return (zero if that is missing)."""
-    scan = affine(lambda r: F.lit(decay), lambda r: F.lit(1 - decay) * r["ret"] * r["ret"], lambda r: _absent(r["ret"]), _volatility)
-    start = (lambda r: F.lit(float(first_var))) if first_var is not None else (lambda r: F.when(_absent(r["ret"]), 0.0).otherwise(r["ret"] * r["ret"]))
+    ret = lambda row: field(row, "ret")
+    scan = affine(lambda r: num(decay), lambda r: f"{num(1 - decay)} * {ret(r)} * {ret(r)}", lambda r: absent(ret(r)), _volatility)
+    start = lambda r: num(first_var) if first_var is not None else f"if({absent(ret(r))}, 0D, {ret(r)} * {ret(r)})"
     return run(returns, scan, start, "sigma double", keys, **how)
 
 
 def gjr_filter(residuals: DataFrame, omega: float, alpha: float, gamma: float, beta: float, first_var: float, column: str = "ret", **how) -> DataFrame:
     """Volatility of a GJR recursion with given parameters: the variance is affine in itself, given the residual."""
-    add = lambda r: F.lit(float(omega)) + F.when(r[column] < 0, float(alpha + gamma)).otherwise(float(alpha)) * r[column] * r[column]
-    scan = affine(lambda r: F.lit(float(beta)), add, lambda r: _absent(r[column]), _volatility)
-    return run(residuals, scan, lambda r: F.lit(float(first_var)), "sigma double", **how)
+    e = lambda row: field(row, column)
+    add = lambda r: f"({num(omega)} + if({e(r)} < 0, {num(alpha + gamma)}, {num(alpha)}) * {e(r)} * {e(r)})"
+    scan = affine(lambda r: num(beta), add, lambda r: absent(e(r)), _volatility)
+    return run(residuals, scan, lambda r: num(first_var), "sigma double", **how)
 
 
 def arma_residuals(returns: DataFrame, const: float, phi: float, theta: float, column: str = "ret", **how) -> DataFrame:
-    """e_t = r_t - c - phi r_{t-1} - theta e_{t-1}, the first row without lags. A chunk's map takes (r, e) to the last return
-    and k + p r + q e."""
-    same = F.struct(F.lit(None).cast("double").alias("r"), F.lit(0.0).alias("k"), F.lit(0.0).alias("p"), F.lit(1.0).alias("q"))
-    missing = lambda row: _absent(row[column])
-    value = lambda row: row[column].cast("double")
-    lift = lambda row: F.when(missing(row), same).otherwise(F.struct(value(row).alias("r"), (value(row) - const).alias("k"), F.lit(-float(phi)).alias("p"), F.lit(-float(theta)).alias("q")))
-
-    def compose(m: Column, n: Column) -> Column:
-        # Without a return of its own the first map hands on what came before it, so its r stays a multiple of r.
-        moved = m["r"].isNotNull()
-        return F.struct(
-            F.coalesce(n["r"], m["r"]).alias("r"),
-            (n["k"] + F.when(moved, n["p"] * m["r"]).otherwise(0.0) + n["q"] * m["k"]).alias("k"),
-            (F.when(moved, 0.0).otherwise(n["p"]) + n["q"] * m["p"]).alias("p"),
-            (n["q"] * m["q"]).alias("q"),
-        )
-
-    pair = lambda r, e: F.struct(r.alias("r"), e.alias("e"))
-    apply = lambda m, s: pair(F.coalesce(m["r"], s["r"]), m["k"] + m["p"] * s["r"] + m["q"] * s["e"])
-    step = lambda s, row: F.when(missing(row), s).otherwise(pair(value(row), value(row) - const - phi * s["r"] - theta * s["e"]))
-    out = lambda s, row, n: F.struct(F.when(~missing(row), n["e"]).alias("eps"))
-    return run(returns, Scan(lift, compose, apply, step, out), lambda r: pair(F.lit(0.0), F.lit(0.0)), "eps double", **how)
+    """e_t = r_t - c - phi r_{t-1} - theta e_{t-1}, the first row without lags. A chunk's map takes (r, e) to its last return
+    and k + p r + q e; without a return of its own it hands r on."""
+    value = lambda row: f"CAST({field(row, column)} AS DOUBLE)"
+    missing = lambda row: absent(field(row, column))
+    same = struct(r="CAST(NULL AS DOUBLE)", k="0D", p="0D", q="1D")
+    own = lambda row: struct(r=value(row), k=f"{value(row)} - {num(const)}", p=num(-phi), q=num(-theta))
+    compose = lambda m, n: struct(
+        r=f"coalesce({n}.r, {m}.r)", k=f"{n}.k + coalesce({n}.p * {m}.r, 0D) + {n}.q * {m}.k", p=f"if({m}.r IS NULL, {n}.p, 0D) + {n}.q * {m}.p", q=f"{n}.q * {m}.q"
+    )
+    scan = Scan(
+        lambda row: f"if({missing(row)}, {same}, {own(row)})",
+        compose,
+        lambda m, s: struct(r=f"coalesce({m}.r, {s}.r)", e=f"{m}.k + {m}.p * {s}.r + {m}.q * {s}.e"),
+        lambda s, row: f"if({missing(row)}, {s}, {struct(r=value(row), e=f'{value(row)} - {num(const)} - {num(phi)} * {s}.r - {num(theta)} * {s}.e')})",
+        lambda s, row, n: struct(eps=f"if({missing(row)}, NULL, {n}.e)"),
+    )
+    return run(returns, scan, lambda r: struct(r="0D", e="0D"), "eps double", **how)
 
 
 # --- regime probabilities ------------------------------------------------------------------------------------
 
 
-def _densities(x: Column, mean: tuple[float, ...], sd: tuple[float, ...]) -> Column:
-    """Normal densities of each state over the largest of them: none of these underflows together."""
-    logs = [-0.5 * ((x - m) / s) * ((x - m) / s) - F.log(F.lit(float(s))) for m, s in zip(mean, sd)]
-    return let(F.array(*logs), lambda ls: F.transform(ls, lambda v: F.exp(v - F.array_max(ls))))
-
-
-def _matrix(x: Column, transition: tuple[tuple[float, ...], ...], mean: tuple[float, ...], sd: tuple[float, ...]) -> Column:
-    """The row-major matrix of a row: move, then weigh by the densities; the identity where the value is missing."""
+def _matrix(x: str, transition: tuple[tuple[float, ...], ...], mean: tuple[float, ...], sd: tuple[float, ...]) -> str:
+    """The row-major matrix of a row: move, then weigh by the normal densities over the largest of them, so that they
+    don't underflow together; the identity where the value is missing."""
     k = len(mean)
-    unit = F.array(*[F.lit(float(i == j)) for i in range(k) for j in range(k)])
-    moved = let(_densities(x, mean, sd), lambda d: F.array(*[F.lit(float(transition[i][j])) * d[j] for i in range(k) for j in range(k)]))
-    return F.when(_absent(x), unit).otherwise(moved)
+    unit = array([num(i == j) for i in range(k) for j in range(k)])
+    logs = array([f"-0.5D * pow(({x} - {num(m)}) / {num(s)}, 2) - ln({num(s)})" for m, s in zip(mean, sd)])
+    e = _fresh()
+    density = lambda v: f"transform({v}, {e} -> exp({e} - array_max({v})))"
+    moved = let(let(logs, density), lambda d: array([f"{num(transition[i][j])} * {d}[{j}]" for i in range(k) for j in range(k)]))
+    return f"if({absent(x)}, {unit}, {moved})"
 
 
-def _scaled(m: Column) -> Column:
-    """Divided by the sum, so that long products neither vanish nor overflow. All are nonnegative."""
-    return let(m, lambda v: let(F.aggregate(v, F.lit(0.0), lambda a, b: a + b), lambda t: F.transform(v, lambda e: F.try_divide(e, t))))
+def _scaled(cells: list[str]) -> str:
+    """An array over its sum, so that long products neither vanish nor overflow. All cells are nonnegative."""
+    e = _fresh()
+    total = lambda v: " + ".join(f"{v}[{j}]" for j in range(len(cells)))
+    return let(array(cells), lambda v: let(total(v), lambda t: f"transform({v}, {e} -> try_divide({e}, {t}))"))
 
 
-def _product(k: int) -> Callable[[Column, Column], Column]:
-    def product(a: Column, b: Column) -> Column:
-        cells = []
-        for i in range(k):
-            for j in range(k):
-                cell = a[i * k] * b[j]
-                for m in range(1, k):
-                    cell = cell + a[i * k + m] * b[m * k + j]
-                cells.append(cell)
-        return _scaled(F.array(*cells))
+def _product(a: str, b: str, k: int) -> str:
+    return _scaled([" + ".join(f"{a}[{i * k + m}] * {b}[{m * k + j}]" for m in range(k)) for i in range(k) for j in range(k)])
 
-    return product
 
+def _row_times(v: str, m: str, k: int) -> str:
+    return _scaled([" + ".join(f"{v}[{i}] * {m}[{i * k + j}]" for i in range(k)) for j in range(k)])
 
-def _row_times(v: Column, m: Column, k: int) -> Column:
-    cells = []
-    for j in range(k):
-        cell = v[0] * m[j]
-        for i in range(1, k):
-            cell = cell + v[i] * m[i * k + j]
-        cells.append(cell)
-    return _scaled(F.array(*cells))
 
-
-def _times_column(m: Column, v: Column, k: int) -> Column:
-    cells = []
-    for i in range(k):
-        cell = m[i * k] * v[0]
-        for j in range(1, k):
-            cell = cell + m[i * k + j] * v[j]
-        cells.append(cell)
-    return _scaled(F.array(*cells))
+def _times_column(m: str, v: str, k: int) -> str:
+    return _scaled([" + ".join(f"{m}[{i * k + j}] * {v}[{j}]" for j in range(k)) for i in range(k)])
 
 
 def hamilton_states(df: DataFrame, column: str, transition: tuple[tuple[float, ...], ...], mean: tuple[float, ...], sd: tuple[float, ...], names: tuple[str, ...], first: tuple[float, ...] | None = None, **how) -> DataFrame:
@@ -241,12 +232,15 @@ def hamilton_states(df: DataFrame, column: str, transition: tuple[tuple[float, .
     `first` before the first row, else from equal shares. A row's map is the transition matrix weighed by the densities;
     maps compose as scaled matrix products."""
     k = len(mean)
-    matrix = lambda row: _matrix(row[column].cast("double"), transition, mean, sd)
-    step = lambda s, row: let(matrix(row), lambda m: _row_times(s, m, k))
-    out = lambda s, row, n: F.struct(*[n[j].alias(name) for j, name in enumerate(names)])
-    start = lambda r: F.array(*[F.lit(float(p)) for p in first or (1 / k,) * k])
-    scan = Scan(matrix, _product(k), lambda m, s: _row_times(s, m, k), step, out)
-    return run(df, scan, start, ", ".join(f"{n} double" for n in names), **how)
+    matrix = lambda row: _matrix(f"CAST({field(row, column)} AS DOUBLE)", transition, mean, sd)
+    scan = Scan(
+        matrix,
+        lambda m, n: _product(m, n, k),
+        lambda m, s: _row_times(s, m, k),
+        lambda s, row: let(matrix(row), lambda m: _row_times(s, m, k)),
+        lambda s, row, n: struct(**{name: f"{n}[{j}]" for j, name in enumerate(names)}),
+    )
+    return run(df, scan, lambda r: array([num(p) for p in first or (1 / k,) * k]), ", ".join(f"{n} double" for n in names), **how)
 
 
 def stationary(stay: tuple[float, float]) -> tuple[float, float]:
@@ -254,13 +248,10 @@ def stationary(stay: tuple[float, float]) -> tuple[float, float]:
     return 1 - stress, stress
 
 
-def _two(stay: tuple[float, float]) -> tuple[tuple[float, float], tuple[float, float]]:
-    return (stay[0], 1 - stay[0]), (1 - stay[1], stay[1])
-
-
 def hamilton_filter(df: DataFrame, column: str, stay: tuple[float, float], mean: tuple[float, float], sd: tuple[float, float], **how) -> DataFrame:
     """Filtered probability of the second of two states, from the chain's stationary shares."""
-    return hamilton_states(df, column, _two(stay), mean, sd, ("__calm", "p_stress"), stationary(stay), **how).drop("__calm")
+    two = (stay[0], 1 - stay[0]), (1 - stay[1], stay[1])
+    return hamilton_states(df, column, two, mean, sd, ("__calm", "p_stress"), stationary(stay), **how).drop("__calm")
 
 
 def kim_smoother(df: DataFrame, column: str, transition: tuple[tuple[float, ...], ...], mean: tuple[float, ...], sd: tuple[float, ...], names: tuple[str, ...], first: tuple[float, ...] | None = None, **how) -> DataFrame:
@@ -268,12 +259,15 @@ def kim_smoother(df: DataFrame, column: str, transition: tuple[tuple[float, ...]
     second scan carries backward with the same matrices."""
     k = len(mean)
     filtered = hamilton_states(df, column, transition, mean, sd, tuple(f"__f{j}" for j in range(k)), first, **how)
-    matrix = lambda row: _matrix(row[column].cast("double"), transition, mean, sd)
-    product = _product(k)
-    step = lambda s, row: let(matrix(row), lambda m: _times_column(m, s, k))
-    out = lambda s, row, n: let(_scaled(F.array(*[row[f"__f{j}"] * s[j] for j in range(k)])), lambda p: F.struct(*[p[j].alias(name) for j, name in enumerate(names)]))
-    scan = Scan(matrix, lambda m, n: product(n, m), lambda m, s: _times_column(m, s, k), step, out)
-    smooth = run(filtered, scan, lambda r: F.array(*[F.lit(1.0)] * k), ", ".join(f"{n} double" for n in names), backward=True, **how)
+    matrix = lambda row: _matrix(f"CAST({field(row, column)} AS DOUBLE)", transition, mean, sd)
+    scan = Scan(
+        matrix,
+        lambda m, n: _product(n, m, k),
+        lambda m, s: _times_column(m, s, k),
+        lambda s, row: let(matrix(row), lambda m: _times_column(m, s, k)),
+        lambda s, row, n: let(_scaled([f"{field(row, f'__f{j}')} * {s}[{j}]" for j in range(k)]), lambda p: struct(**{name: f"{p}[{j}]" for j, name in enumerate(names)})),
+    )
+    smooth = run(filtered, scan, lambda r: array(["1D"] * k), ", ".join(f"{n} double" for n in names), backward=True, **how)
     return smooth.drop(*[f"__f{j}" for j in range(k)])
 
 
@@ -307,37 +301,34 @@ def anti_chattering(
     if leave > enter:
         raise ValueError("the thresholds overlap")
     size, following, turns = _machine(confirm, dwell)
-    # A symbol and a state lead to 2 * state + turned.
-    table = F.expr("array(" + ", ".join(str(2 * f + t) for f, t in zip(following, turns)) + ")")
+    # By symbol and state: 2 * next state + whether it turned.
+    table = array([str(2 * f + t) for f, t in zip(following, turns)])
 
-    def symbol(row: Column) -> Column:
-        x = row[p].cast("double")
-        return F.when(_absent(x), F.raise_error(F.lit("a regime probability is missing")).cast("int")).when(x > enter, 1).when(x < leave, 2).otherwise(0)
+    def symbol(row: str) -> str:
+        x = field(row, p)
+        return f"CASE WHEN {absent(x)} THEN CAST(raise_error('a regime probability is missing') AS INT) WHEN {x} > {num(enter)} THEN 1 WHEN {x} < {num(leave)} THEN 2 ELSE 0 END"
 
     # A map: n, its rows, and for each state `since * size + state`.
-    def moved(entry: Column, sign: Column) -> Column:
-        before, since = entry % size, F.floor(entry / size)
-        return let(F.element_at(table, (sign * size + before + 1).cast("int")), lambda t: F.when(t % 2 == 1, 1).when(since > 0, since + 1).otherwise(0) * size + F.floor(t / 2))
-
-    def lift(row: Column) -> Column:
-        ends = let(symbol(row), lambda sign: F.transform(F.sequence(F.lit(0).cast("long"), F.lit(size - 1).cast("long")), lambda s: moved(s, sign).cast("long")))
-        return F.struct(F.lit(1).cast("long").alias("n"), ends.alias("ends"))
-
-    def compose(m: Column, n: Column) -> Column:
-        def through(entry: Column) -> Column:
-            before, since = entry % size, F.floor(entry / size)
-            return let(F.element_at(n["ends"], (before + 1).cast("int")), lambda t: F.when(t >= size, t).otherwise(F.when(since > 0, since + n["n"]).otherwise(0) * size + t).cast("long"))
-
-        return F.struct((m["n"] + n["n"]).alias("n"), F.transform(m["ends"], through).alias("ends"))
-
-    at = lambda code, days: F.struct(code.cast("long").alias("code"), days.cast("long").alias("days"))
-    apply = lambda m, s: let(F.element_at(m["ends"], (s["code"] + 1).cast("int")), lambda t: at(t % size, F.when(t >= size, F.floor(t / size)).otherwise(s["days"] + m["n"])))
-    step = lambda s, row: let(F.element_at(table, (symbol(row) * size + s["code"] + 1).cast("int")), lambda t: at(F.floor(t / 2), F.when(t % 2 == 1, 1).otherwise(s["days"] + 1)))
-    stressed = lambda n: n["code"] >= size // 2
-
-    def out(s: Column, row: Column, n: Column) -> Column:
-        weight = F.when(~stressed(n), 0.0).when(F.coalesce(row[confirms], F.lit(False)), 1.0).otherwise(float(partial))
-        return F.struct(stressed(n).alias("stressed"), n["days"].cast("int").alias("days_in"), weight.alias("derisk"))
-
+    def lift(row: str) -> str:
+        e = _fresh()
+        entry = lambda t: f"CAST(if({t} % 2 = 1, {size}, 0) + {t} DIV 2 AS BIGINT)"
+        ends = let(symbol(row), lambda sign: f"transform(slice({table}, {sign} * {size} + 1, {size}), {e} -> {entry(e)})")
+        return struct(n="1L", ends=ends)
+
+    def compose(m: str, n: str) -> str:
+        e = _fresh()
+        entry = lambda t: f"if({t} >= {size}, {t}, if({e} >= {size}, {e} DIV {size} + {n}.n, 0) * {size} + {t})"
+        through = let(f"element_at({n}.ends, CAST({e} % {size} AS INT) + 1)", entry)
+        return struct(n=f"{m}.n + {n}.n", ends=f"transform({m}.ends, {e} -> {through})")
+
+    at = lambda code, days: struct(code=f"CAST({code} AS BIGINT)", days=f"CAST({days} AS BIGINT)")
+    stressed = lambda n: f"({n}.code >= {size // 2})"
+    scan = Scan(
+        lift,
+        compose,
+        lambda m, s: let(f"element_at({m}.ends, CAST({s}.code AS INT) + 1)", lambda t: at(f"{t} % {size}", f"if({t} >= {size}, {t} DIV {size}, {s}.days + {m}.n)")),
+        lambda s, row: let(f"element_at({table}, CAST(({symbol(row)}) * {size} + {s}.code AS INT) + 1)", lambda t: at(f"{t} DIV 2", f"if({t} % 2 = 1, 1, {s}.days + 1)")),
+        lambda s, row, n: struct(stressed=stressed(n), days_in=f"CAST({n}.days AS INT)", derisk=f"CASE WHEN NOT {stressed(n)} THEN 0D WHEN {field(row, confirms)} THEN 1D ELSE {num(partial)} END"),
+    )
     calm = dwell * (2 * confirm + 1) + confirm
-    return run(df, Scan(lift, compose, apply, step, out), lambda r: at(F.lit(calm), F.lit(dwell)), "stressed boolean, days_in int, derisk double", **how)
+    return run(df, scan, lambda r: at(str(calm), str(dwell)), "stressed boolean, days_in int, derisk double", **how)

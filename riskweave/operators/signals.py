@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.windows import over, require, rolling_rank, so_far
+from ..functions.windows import over, require, so_far
+from .blocks import rolling_ranks
 from .folds import hysteresis
 from .rolling import expanding_median
 
@@ -26,11 +27,11 @@ def bilinear_score(weight_vol: float = 0.5, weight_level: float = 0.5) -> Scorin
 
 
 def score_history(panel: DataFrame, window: int, least: int | None = None, scoring: Scoring | None = None, on: float = 0.6, off: float = 0.3, k: float = 0.1, cap: float = 1.0, min_sigma: float = 1e-8, size_only_when_active: bool = False) -> DataFrame:
-    """panel (series_id, date, vol, level, fundamental, sigma) -> the same with ranks, score, state, weight.
-    Rows without all three ranks go; a sigma below `min_sigma` fails the query."""
+    """panel (series_id, date, vol, level, fundamental, sigma) -> the same with ranks, the rows that their window held
+    (n_obs_used), score, state, weight. Rows without all three ranks go; a sigma below `min_sigma` fails the query."""
     scoring = scoring or bilinear_score()
     ranks = {"p_vol": "vol", "p_level": "level", "p_fund": "fundamental"}
-    ranked = panel.select("*", *[rolling_rank(F.col(c), window, least).alias(r) for r, c in ranks.items()]).na.drop(subset=list(ranks))
+    ranked = rolling_ranks(panel, ranks, window, least, rows_used="n_obs_used").na.drop(subset=list(ranks))
     scored = hysteresis(ranked.withColumn("score", scoring(*[F.col(r) for r in ranks])), "score", on, off)
     sigma = F.when(F.col("sigma") >= min_sigma, F.col("sigma")).otherwise(F.raise_error(F.lit("sigma is too small to size a position")).cast("double"))
     weight = F.greatest(F.lit(-cap), F.least(F.lit(cap), k * F.col("score") / sigma))
@@ -49,8 +50,7 @@ def explain(history: DataFrame, date: str) -> DataFrame:
 def decomposition(history: DataFrame, date: str, window: int, proxy: str, weight_vol: float = 0.5, weight_level: float = 0.5) -> DataFrame:
     """Everything a score on `date` is made of: the inputs, their ranks, stress and fundamental parts, state, weight,
     the rank window and how many rows it held."""
-    counted = history.withColumn("n_obs_used", F.least(F.lit(window), F.count("*").over(so_far()) + F.lit(window - 1)))
-    return explain(counted, date).select(
+    return explain(history, date).select(
         "series_id", "date", "score", (weight_vol * F.col("p_vol") + weight_level * F.col("p_level")).alias("stress"), F.col("p_fund").alias("fundamental_rank"), "p_vol", "p_level", "p_fund",
         "vol", "sigma", "level", "fundamental", F.lit(proxy).alias("proxy"), "active", "weight", F.lit(window).alias("window"), "n_obs_used",
     )

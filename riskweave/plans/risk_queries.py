@@ -6,6 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions.windows import over, safe_corr
+from ..functions.lineage import written
 from ..operators import calendar as cal
 from ..operators import folds, returns, risk, rolling, signals, stats
 from ..sources import series as src
@@ -175,7 +176,7 @@ def strategy_returns_costs(spark, d):
     return out.select("date", rounded("held").alias("held"), rounded(1e4 * F.col("cost")).alias("cost_bps"), rounded("strat_ret").alias("strat_ret"))
 
 
-@query("explain_decomposition", sql(LVL, SEG, SHIP, PAIR, PANEL, "ex AS (SELECT *, least(250, row_number() OVER (ORDER BY date) + 249) AS n_obs FROM dh)",
+@query("explain_decomposition", sql(LVL, SEG, SHIP, PAIR, PANEL, "no AS (SELECT date, least(250, row_number() OVER (ORDER BY date)) AS n_obs FROM pn)", "ex AS (SELECT * FROM dh JOIN no USING (date))",
     f"SELECT date, {r6('score')} AS score, {r6('0.5 * p_vol + 0.5 * p_level')} AS stress, {r6('p_fund')} AS p_fund, {r6('vol')} AS vol, {r6('sigma')} AS sigma, {r6('level')} AS level, {r6('fundamental')} AS fundamental, 'ratio' AS proxy, active, {r6('weight')} AS weight, 250 AS \"window\", CAST(n_obs AS BIGINT) AS n_obs_used FROM ex WHERE date <= DATE '1997-06-30' ORDER BY date DESC LIMIT 1"))
 def explain_decomposition(spark, d):
     out = signals.decomposition(_history(spark, d), "1997-06-30", 250, "ratio")
@@ -489,7 +490,7 @@ def correlation_pair(spark, d):
     *_RV, f"xr AS (WITH {_metrics_sql('mr', 'book', 'book')})", "fed AS (SELECT quantile_cont(x, [0.2, 0.4, 0.6, 0.8]) AS ed FROM fv)", "fqm AS (SELECT 1 + len(list_filter(ed, lambda e: e < x)) AS quintile, avg(y) AS m FROM fv, fed GROUP BY 1)", "fst AS (SELECT m - lag(m) OVER (ORDER BY quintile) AS step FROM fqm)",
     "SELECT x1.series_id, x1.sharpe <= 0 AS no_reward, x1.sharpe < (SELECT max(sharpe) FROM xb) AS beaten_by_benchmark, x3.ann_return <= 0 AS not_implementable, (SELECT n FROM fn) < 5 AS too_few_episodes, abs(t) < 1.96 AS not_significant, b <= 0 AS wrong_sign, x1.max_drawdown < -0.5 AS deep_drawdown, x1.payoff_ratio < 1 AS poor_payoff, (SELECT coalesce(min(step) < 0, false) FROM fst) AS quintiles_not_monotone, coalesce((SELECT max(sharpe) FROM xr) >= x1.sharpe, false) AS beaten_by_realised_vol, coalesce(x1.ann_return < (SELECT max(ann_return) FROM xb WHERE book = 'buy_hold'), false) AS beaten_by_buy_hold FROM x1, x3, ft"))
 def failure_flags(spark, d):
-    inputs = _strategy_inputs(spark, d)
+    inputs = written(_strategy_inputs(spark, d))
     metrics = signals.economic_metrics(signals.priced_returns(inputs))
     triple = signals.economic_metrics(signals.priced_returns(inputs, multiplier=3.0))
     fwd = returns.forward_returns(inputs.select("series_id", "date", "score", "ret"), 5, "fwd")
