@@ -49,11 +49,3 @@ def safe_corr(a: Column, b: Column) -> Column:
 def require(df: DataFrame, ok: Column, message: str) -> DataFrame:
     """Fail the query, with `message`, at the first row where `ok` isn't true."""
     return df.where(F.when(F.coalesce(ok, F.lit(False)), F.lit(True)).otherwise(F.raise_error(F.lit(message)).cast("boolean")))
-
-
-def short(df: DataFrame, most: int = 10_000) -> DataFrame:
-    """`df`, marked for broadcast; one of more than `most` rows is refused."""
-    if df.limit(most + 1).count() > most:
-        raise ValueError(f"a list of more than {most} rows isn't broadcast")
-    return F.broadcast(df)
-

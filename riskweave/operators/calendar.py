@@ -9,7 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.windows import over, require, short, so_far
+from ..functions.windows import over, require, so_far
+from .scans import chunk_of
 
 
 def slice_dates(series: DataFrame, start: str | None = None, end: str | None = None) -> DataFrame:
@@ -159,6 +160,21 @@ def lag_sensitivity(daily: DataFrame, monthly: DataFrame, lags: list[int]) -> Da
     return asof_join(left, right, ["asof_value"], keys=["lag"])
 
 
+def interval_join(rows: DataFrame, intervals: DataFrame, at: str = "date", start: str = "start", end: str = "end", keys: list[str] | None = None, days: int = 64) -> DataFrame:
+    """Every row with every interval that it lies in, both ends included; intervals may overlap and be any number. `keys`
+    must agree too. Time is cut into bins of `days`, an interval stands in all that it touches, and the join is one on
+    bins with an exact check after: a row meets only intervals of its bin. Rows without a time, intervals without an end
+    and those that end before they start match nothing. A column of both sides that isn't a key keeps the rows' value."""
+    keys = keys or []
+    bin_of = lambda df, c: chunk_of(df, c, days)
+    kept = [c for c in intervals.columns if c in keys or c not in rows.columns]
+    spans = intervals.where(F.col(start) <= F.col(end)).withColumn("__bin", F.explode(F.sequence(bin_of(intervals, start), bin_of(intervals, end))))
+    bounds = [F.col(start).alias("__start"), F.col(end).alias("__end")]
+    both = rows.withColumn("__bin", bin_of(rows, at)).join(spans.select(*kept, *bounds, "__bin"), [*keys, "__bin"])
+    found = both.where((F.col(at) >= F.col("__start")) & (F.col(at) <= F.col("__end")))
+    return found.select(*rows.columns, *[c for c in kept if c not in keys])
+
+
 def in_episodes(df: DataFrame, episodes: DataFrame) -> DataFrame:
-    """Rows within [start, end] of an episode; episodes are a short list (more than 10,000 are refused)."""
-    return df.join(short(episodes), (F.col("date") >= F.col("start")) & (F.col("date") <= F.col("end")))
+    """Rows within [start, end] of an episode, with the episode's columns."""
+    return interval_join(df, episodes)

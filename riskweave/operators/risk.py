@@ -11,7 +11,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import dist
-from ..functions.windows import over, require, short
+from ..functions.windows import over, require
+from .calendar import interval_join
 from .folds import smooth_and_hold
 
 
@@ -240,7 +241,7 @@ def regime_concordance(states: DataFrame, a: str = "ms", b: str = "legacy") -> D
 def episode_leads(states: DataFrame, episodes: DataFrame, a: str = "ms", b: str = "legacy") -> DataFrame:
     """For each episode the first day of either flag and the lead of the first one, in rows."""
     numbered = states.withColumn("i", F.row_number().over(over()))
-    own = numbered.join(short(episodes), (F.col("date") >= F.col("start")) & (F.col("date") <= F.col("end")))
+    own = interval_join(numbered, episodes)
     out = own.groupBy("episode").agg(F.min(F.when(F.col(a), F.col("i"))).alias("ia"), F.min(F.when(F.col(b), F.col("i"))).alias("ib"), F.min(F.when(F.col(a), F.col("date"))).alias("first_a"), F.min(F.when(F.col(b), F.col("date"))).alias("first_b"))
     return out.select("episode", "first_a", "first_b", (F.col("ib") - F.col("ia")).alias("lead_rows"), F.when(F.col("ia") < F.col("ib"), a).when(F.col("ib") < F.col("ia"), b).alias("leader"))
 

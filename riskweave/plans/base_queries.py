@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import calendar as cal
-from ..operators import diagnostics, folds, quality, returns, risk, rolling, scans, stats
+from ..operators import diagnostics, folds, panels, quality, returns, risk, rolling, scans, stats
 from ..sources import series as src
 from . import sql_parts as parts
 from .registry import HOUR, LVL, MON, RET, SEG, SHIP, SRET, VIX, WEEK, query, r6, rounded, sql
@@ -233,6 +233,27 @@ def episode_interval_stats(spark, d):
     return inside.groupBy("episode").agg(F.count("*").alias("n"), rounded(F.avg("value")).alias("mean"), rounded(F.max("value")).alias("top"))
 
 
+@query("interval_join_overlapping", sql(LVL, "iv AS (SELECT o_orderkey, CAST(o_orderdate AS DATE) AS s, CAST(o_orderdate AS DATE) + 1 + CAST(o_custkey % 90 AS INTEGER) AS e FROM orders WHERE o_orderpriority = '1-URGENT')",
+    f"SELECT o_orderkey, count(*) AS n, {r6('avg(value)')} AS mean, {r6('max(value)')} AS top FROM iv JOIN lvl ON date BETWEEN s AND e GROUP BY 1"))
+def interval_join_overlapping(spark, d):
+    """The price level over the weeks after each urgent order: as many overlapping intervals as there are such orders."""
+    orders = spark.read.parquet(f"{d}/orders.parquet").where("o_orderpriority = '1-URGENT'")
+    day = F.to_date("o_orderdate")
+    intervals = orders.select("o_orderkey", day.alias("start"), F.date_add(day, (1 + F.col("o_custkey") % 90).cast("int")).alias("end"))
+    inside = cal.interval_join(src.orders_levels(spark, d), intervals)
+    return inside.groupBy("o_orderkey").agg(F.count("*").alias("n"), rounded(F.avg("value")).alias("mean"), rounded(F.max("value")).alias("top"))
+
+
+@query("supplier_correlations", sql("sm AS (SELECT CAST(l_suppkey AS VARCHAR) AS series_id, CAST(date_trunc('month', l_shipdate) AS DATE) AS date, round(avg(l_extendedprice) + 3e-8, 4) AS value FROM lineitem GROUP BY 1, 2)",
+    f"SELECT x.series_id AS a, y.series_id AS b, count(*) AS n, {r6('corr(x.value, y.value)')} AS corr FROM sm x JOIN sm y ON x.date = y.date AND x.series_id < y.series_id GROUP BY 1, 2 HAVING count(*) >= 24"))
+def supplier_correlations(spark, d):
+    """Correlations of all suppliers' monthly mean prices."""
+    lines = spark.read.parquet(f"{d}/lineitem.parquet")
+    monthly = lines.groupBy(F.col("l_suppkey").cast("string").alias("series_id"), F.to_date(F.date_trunc("month", "l_shipdate")).alias("date")).agg(F.round(F.avg("l_extendedprice") + 3e-8, 4).alias("value"))
+    out = panels.correlations(monthly, least=24)
+    return out.select("a", "b", "n", rounded("corr").alias("corr"))
+
+
 def _rank(col: str, w: int, least: int, part: str = "") -> str:
     f = f"({part} ORDER BY date ROWS BETWEEN {w - 1} PRECEDING AND CURRENT ROW)"
     held = f"list({col}) FILTER (WHERE {col} IS NOT NULL) OVER {f}"
