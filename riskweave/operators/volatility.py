@@ -530,22 +530,20 @@ def conditional_volatility(returns: DataFrame, spec: Spec = Spec("egarch", "cons
 
 # --- GJR: a cascade of densities ---------------------------------------------------------------------------
 
-# The densities tried, with or without asymmetry, and what makes a fit unusable. The mean is bounded in
-# itself and in sample deviations, the AR coefficient in itself, the median sigma in sample deviations.
+# The densities tried, with or without asymmetry.
 CASCADE = (("skewt", True), ("t", True), ("t", False), ("normal", True))
-MEAN_BOUND, MEAN_DEVIATIONS = 0.5, 25.0
-AR_BOUND = 0.99
-SIGMA_DEVIATIONS = (1e-6, 200.0)
 GJR = "series_id string, status string, mean string, density string, asymmetric boolean, n int, const double, phi double, omega double, alpha double, gamma double, beta double, nu double, lam double, loglik double, persistence double, candidates int, sigma_next double"
 
 
 def usable(f: Fit, r: np.ndarray) -> bool:
-    """Whether a fit is finite and its mean, variance and path are of the data's size."""
-    if not (math.isfinite(f.loglik) and np.isfinite([*f.params.values(), *f.var]).all() and f.var.min() > 0 and f["omega"] > 0):
+    """Whether the search ended, everything is finite, the level that the mean returns to lies among the data (between
+    the first and the last percentile) and the usual volatility among the sizes of the data's moves."""
+    if not (f.converged and np.isfinite([f.loglik, f.persistence, *f.params.values(), *f.sigma]).all()):
         return False
-    sd = float(r.std(ddof=1)) or 1e-8
-    middle = float(np.median(f.sigma)) / sd
-    return SIGMA_DEVIATIONS[0] <= middle <= SIGMA_DEVIATIONS[1] and abs(f["phi"]) < AR_BOUND and abs(f["const"]) <= max(MEAN_BOUND, MEAN_DEVIATIONS * sd)
+    level = f["const"] / (1 - f["phi"]) if f["phi"] < 1 else math.inf
+    low, high = np.quantile(r, (0.01, 0.99))
+    moves = np.abs(r - np.median(r))
+    return low <= level <= high and moves.min() < np.median(f.sigma) < moves.max()
 
 
 def gjr_cascade(r: np.ndarray, errors: bool = False) -> tuple[Fit | None, int]:
