@@ -34,14 +34,19 @@ BUCKETS = 256
 _FINE = 16
 
 
-def positioned(df: DataFrame, keys: list[str], order: str = "date", name: str = "__pos") -> DataFrame:
-    """Number the rows along each series, from 0."""
+def positioned(df: DataFrame, keys: list[str], order: str = "date", name: str = "__pos", sums: dict[str, str] | None = None) -> DataFrame:
+    """Number the rows along each series, from 0; `sums`, {new column: column}, adds sums so far."""
+    sums = sums or {}
     rows = df.withColumn("__key", F.struct(*keys)).withColumn("__stretch", F.coalesce(chunk_of(df, order), F.lit(_LAST)))
     before = Window.partitionBy("__key").orderBy("__stretch").rowsBetween(Window.unboundedPreceding, -1)
-    counts = rows.groupBy("__key", "__stretch").agg(F.count("*").alias("__n")).select("__key", "__stretch", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__before"))
-    inside = F.row_number().over(Window.partitionBy("__key", "__stretch").orderBy(F.col(order).asc_nulls_last())) - 1
-    placed = rows.withColumn("__inside", inside).join(counts.hint("shuffle_hash"), ["__key", "__stretch"])
-    return placed.withColumn(name, F.col("__before") + F.col("__inside")).drop("__key", "__stretch", "__before", "__inside")
+    counts = rows.groupBy("__key", "__stretch").agg(F.count("*").alias("__n"), *[F.sum(c).alias(f"__s{k}") for k, c in enumerate(sums.values())])
+    earlier = [F.coalesce(F.sum(c).over(before), F.lit(0)).alias(f"{c}_before") for c in ("__n", *(f"__s{k}" for k in range(len(sums))))]
+    inside = Window.partitionBy("__key", "__stretch").orderBy(F.col(order).asc_nulls_last())
+    so_far = inside.rowsBetween(Window.unboundedPreceding, 0)
+    placed = rows.select("*", (F.row_number().over(inside) - 1).alias("__inside"), *[F.sum(c).over(so_far).alias(f"__c{k}") for k, c in enumerate(sums.values())])
+    placed = placed.join(counts.select("__key", "__stretch", *earlier).hint("shuffle_hash"), ["__key", "__stretch"])
+    totals = [(F.col(f"__s{k}_before") + F.col(f"__c{k}")).alias(c) for k, c in enumerate(sums)]
+    return placed.select(*[c for c in df.columns if c not in sums], (F.col("__n_before") + F.col("__inside")).alias(name), *totals)
 
 
 def _schema(df: DataFrame, outputs: str) -> str:

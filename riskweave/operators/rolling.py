@@ -3,14 +3,14 @@
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.dist import norm_ppf
+from ..functions.lineage import written
 from ..functions.windows import full, last_rows, over, so_far
-from .blocks import expanding_quantile, moving_quantile, rolling_ranks
-from .stats import icss
+from .blocks import ROWS, by_block, expanding_quantile, floats, moving_quantile, positioned, rolling_ranks
 
 
 def percentile_rank(series: DataFrame, window: int, least: int | None = None, column: str = "value", name: str = "rank") -> DataFrame:
@@ -77,30 +77,33 @@ def first_component_of_two(pair: DataFrame, a: str, b: str, window: int) -> Data
     return pair.withColumn("pc1", F.when(both & (F.count(F.when(both, 1)).over(frame) == window), score))
 
 
-def first_component(panel: DataFrame, columns: list[str], window: int, least: int | None = None, anchor: str | None = None) -> DataFrame:
+def first_component(panel: DataFrame, columns: list[str], window: int, least: int | None = None, anchor: str | None = None, rows: int = ROWS) -> DataFrame:
     """The same for any number of columns, from the complete ones of the last `window` rows; the sign makes the
     anchor's (else the first) loading positive. NULL where the current row is incomplete or fewer than `least`
-    (else `window`) complete rows are in its frame."""
+    (else `window`) complete rows are in its frame. The products of all pairs of columns are running sums over a block of
+    rows, so a row costs the same whatever the window."""
     lead = columns.index(anchor) if anchor else 0
-    least = window if least is None else least
+    least = max(2, window if least is None else least)
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("date")
-        x = pdf[columns].to_numpy(float)
+    def scores(table: pa.Table, _: int) -> list[pa.Array]:
+        x = np.stack([floats(table, c) for c in columns], axis=1)
         whole = np.isfinite(x).all(axis=1)
+        y = np.where(whole[:, None], x - x[whole].mean(axis=0) if whole.any() else 0.0, 0.0)
+        sums = lambda v: np.concatenate([np.zeros((1, *v.shape[1:])), np.cumsum(v, axis=0)])
+        i = np.arange(len(x))
+        at = i[whole & (sums(whole)[i + 1] - sums(whole)[np.maximum(0, i + 1 - window)] >= least)]
+        lo = np.maximum(0, at + 1 - window)
+        n, s, ss = (c[at + 1] - c[lo] for c in (sums(whole), sums(y), sums(y[:, :, None] * y[:, None, :])))
+        mean = s / n[:, None]
+        cov = (ss - n[:, None, None] * mean[:, :, None] * mean[:, None, :]) / (n[:, None, None] - 1)
+        sd = np.sqrt(np.maximum(np.einsum("ijj->ij", cov), 0.0))
+        sd = np.where(sd < 1e-12, 1.0, sd)
+        load = np.linalg.eigh(cov / (sd[:, :, None] * sd[:, None, :]))[1][:, :, -1]
         out = np.full(len(x), np.nan)
-        for i in np.flatnonzero(whole).tolist():
-            lo = max(0, i + 1 - window)
-            block = x[lo : i + 1][whole[lo : i + 1]]
-            if len(block) < max(2, least):
-                continue
-            sd = block.std(axis=0, ddof=1)
-            z = (block - block.mean(axis=0)) / np.where(sd < 1e-12, 1.0, sd)
-            load = np.linalg.svd(z, full_matrices=False)[2][0]
-            out[i] = z[-1] @ load * (1 if load[lead] >= 0 else -1)
-        return pdf[["series_id", "date"]].assign(pc1=pd.Series(out, index=pdf.index).replace({np.nan: None}).astype("Float64"))
+        out[at] = ((y[at] - mean) / sd * load).sum(axis=1) * np.where(load[:, lead] >= 0, 1, -1)
+        return [pa.array(out, pa.float64(), mask=np.isnan(out))]
 
-    return panel.groupBy("series_id").applyInPandas(run, "series_id string, date date, pc1 double")
+    return by_block(panel, window - 1, scores, "pc1 double", rows=rows).select("series_id", "date", "pc1")
 
 
 def episodes(flags: DataFrame, active: str = "active") -> DataFrame:
@@ -135,11 +138,30 @@ def first_break(series: DataFrame, column: str = "ret", critical: float = 1.358)
 
 
 def icss_breaks(series: DataFrame, column: str = "ret", critical: float = 1.358, least: int = 30) -> DataFrame:
-    """All break dates of the iterated search, one series a task; segments are searched until none splits."""
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("date")
-        at = icss(pdf[column].to_numpy(float) ** 2, critical, least)
-        return pdf[["series_id", "date"]].iloc[at]
-
-    return series.where(F.col(column).isNotNull()).groupBy("series_id").applyInPandas(run, "series_id string, date date")
+    """All break dates of the iterated search: segments are split at their largest deviation of the cumulative sum of
+    squares until none is beyond `critical` or a part would be shorter than half of `least`. A round splits all segments of
+    all series at once: sums so far are known for every row, so a segment's largest deviation is one aggregation over its
+    rows, which many tasks share, and rows of segments that don't split leave. The rounds are as many as splits are nested.
+    Rows without a value don't count; of equal deviations the first one splits."""
+    squares = series.where(F.col(column).isNotNull()).select("series_id", "date", (F.col(column) * F.col(column)).alias("sq"))
+    placed = positioned(squares, ["series_id"], sums={"c": "sq"}).select(F.struct("series_id").alias("key"), "date", (F.col("__pos") + 1).alias("i"), "c")
+    base = written(placed)
+    whole = base.groupBy("key").agg(F.max("i").alias("hi"), F.max("c").alias("c_hi")).select("key", F.lit(0).cast("long").alias("lo"), "hi", F.lit(0.0).alias("c_lo"), "c_hi")
+    rows, segments, found = base.withColumn("lo", F.lit(0).cast("long")), whole, []
+    share = (F.col("c") - F.col("c_lo")) / (F.col("c_hi") - F.col("c_lo")) - (F.col("i") - F.col("lo")) / (F.col("hi") - F.col("lo"))
+    half = least // 2
+    while True:
+        inside = rows.join(segments, ["key", "lo"]).where((F.col("hi") - F.col("lo") >= least) & (F.col("c_hi") > F.col("c_lo")) & (F.col("i") < F.col("hi")))
+        best = inside.groupBy("key", "lo", "hi", "c_lo", "c_hi").agg(F.max(F.struct(F.abs(share).alias("d"), (-F.col("i")).alias("j"), "c")).alias("b"))
+        loc = -F.col("b.j")
+        beyond = (F.sqrt((F.col("hi") - F.col("lo")) / 2) * F.col("b.d") > critical) & (F.least(loc - F.col("lo"), F.col("hi") - loc) >= half)
+        split = written(best.where(beyond).select("key", "lo", "hi", "c_lo", "c_hi", loc.alias("loc"), F.col("b.c").alias("c_loc")))
+        if split.isEmpty():
+            break
+        found.append(split.select("key", (F.col("loc") + 1).alias("i")))
+        rows = written(rows.join(split.select("key", "lo", "loc"), ["key", "lo"]).select("key", "date", "i", "c", F.when(F.col("i") > F.col("loc"), F.col("loc")).otherwise(F.col("lo")).alias("lo")))
+        segments = split.select("key", "lo", F.col("loc").alias("hi"), "c_lo", F.col("c_loc").alias("c_hi")).unionByName(split.select("key", F.col("loc").alias("lo"), "hi", F.col("c_loc").alias("c_lo"), "c_hi"))
+    out = base.limit(0).select("key", "i")
+    for breaks in found:
+        out = out.unionByName(breaks)
+    return base.join(out, ["key", "i"]).select("key.series_id", "date")

@@ -219,6 +219,7 @@ def month_membership(spark, d):
     return cal.common_months(src.orders_levels(spark, d), low)[0].select("date", rounded("value").alias("value"))
 
 
+SEGMENTS = ["AUTOMOBILE", "BUILDING", "FURNITURE", "HOUSEHOLD", "MACHINERY"]
 EPISODES = [("first", "1995-03-01", "1995-09-30"), ("second", "1996-06-15", "1997-01-15"), ("third", "1998-02-01", "1998-12-31")]
 EPS = "ep(episode, s, e) AS (VALUES ('first', DATE '1995-03-01', DATE '1995-09-30'), ('second', DATE '1996-06-15', DATE '1997-01-15'), ('third', DATE '1998-02-01', DATE '1998-12-31'))"
 
@@ -351,6 +352,14 @@ def rolling_pc1(spark, d):
     return rolling.first_component_of_two(pair, "a", "b", 60).select("date", rounded("pc1").alias("pc1"))
 
 
+@query("rolling_pc1_panel")
+def rolling_pc1_panel(spark, d):
+    """First component of all five segments' changes, 60 rows a window."""
+    wide = segment_returns(spark, d).groupBy("date").agg(*[F.max(F.when(F.col("series_id") == s, F.col("ret"))).alias(s) for s in SEGMENTS])
+    out = rolling.first_component(wide.withColumn("series_id", F.lit("segments")), SEGMENTS, 60, 40)
+    return out.select("date", rounded("pc1").alias("pc1"))
+
+
 CUS = "cu AS (SELECT date, sum(ret * ret) OVER (ORDER BY date) / sum(ret * ret) OVER () - row_number() OVER (ORDER BY date) / CAST(count(*) OVER () AS DOUBLE) AS cusum, row_number() OVER (ORDER BY date) AS k, count(*) OVER () AS t FROM ret)"
 
 
