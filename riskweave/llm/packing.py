@@ -201,107 +201,140 @@ class Supply:
         return rank
 
 
-def dominating(supply: Supply, capacity: int) -> tuple[int, ...] | None:
-    """The companions of the largest remaining length in a set that dominates all other feasible sets
-    with it, or None if none is proven to."""
-    big = supply.sizes[-1]
-    room = capacity - big
-    best = supply.at_most(room, (big,))
+def dominating(supply: Supply, capacity: int, size: int) -> tuple[int, ...] | None:
+    """The companions of a remaining length in a set that dominates all other feasible sets with it, or None if none is
+    proven to. It holds for any length, whatever longer ones remain: another set's companions can be swapped against these."""
+    room = capacity - size
+    best = supply.at_most(room, (size,))
     if best is None:
         return ()
     if best == room:  # an exact fill by one piece: any other companions could be swapped against it
         return (best,)
-    low = supply.smallest(3, (big,))
+    low = supply.smallest(3, (size,))
     if len(low) < 2 or low[0] + low[1] > room:  # one companion at most: the largest one
         return (best,)
     if len(low) < 3 or sum(low) > room:  # two companions at most
-        top_pair = 0
         for a in supply.sizes:
             if a > room:
                 break
-            b = supply.at_most(min(room - a, a), (big, a))
-            if b is not None:
-                top_pair = max(top_pair, a + b)
-        if top_pair <= best:  # every feasible pair fits in the place of the one piece
+            b = supply.at_most(min(room - a, a), (size, a))
+            if b is not None and a + b > best:
+                break
+        else:
+            a = room + 1
+        if a > room:  # every feasible pair fits in the place of the one piece
             return (best,)
-        first = supply.at_most(room - low[0], (big,))
-        second = supply.at_most(room - first, (big, first)) if first is not None else None
+        first = supply.at_most(room - low[0], (size,))
+        second = supply.at_most(room - first, (size, first)) if first is not None else None
         if second is not None and first == best and second == low[0]:
             # the largest companion of all together with the only length that can join any
-            others = supply.at_most(room - low[0], (big, low[0]))
-            if supply.at_most(room // 2, (big, low[0])) is None and others == first:
+            others = supply.at_most(room - low[0], (size, low[0]))
+            if supply.at_most(room // 2, (size, low[0])) is None and others == first:
                 return (first, second)
     return None
 
 
-def plan(histogram: dict[int, int], capacity: int = SEQUENCE) -> tuple[np.ndarray, dict[str, int]]:
-    """Slots (length, first rank, count, first sequence, offset) and what the plan came to."""
-    supply = Supply(histogram)
-    slots: list[tuple[int, int, int, int, int]] = []
-    sequences = 0
-    while supply.sizes:
-        big = supply.sizes[-1]
-        mates = dominating(supply, capacity)
+class Plan:
+    """Slots (length, first rank, count, first sequence, offset) as they are filled."""
+
+    def __init__(self, histogram: dict[int, int], capacity: int):
+        self.supply, self.capacity = Supply(histogram), capacity
+        self.slots: list[tuple[int, int, int, int, int]] = []
+        self.sequences = 0
+
+    def fix(self, size: int) -> bool:
+        """Fill sequences with a length and what dominates with it, as often as there is enough of both."""
+        mates = dominating(self.supply, self.capacity, size)
         if mates is None:
-            break
-        parts = (big, *mates)
-        times = min(supply.left[s] // parts.count(s) for s in parts)
-        if mates and mates != (capacity - big,):
-            # not exact: what dominates may change as soon as a length runs out, which `times` reaches at the earliest
-            times = max(1, times)
-        offset = 0
+            return False
+        parts, offset = (size, *mates), 0
+        times = min(self.supply.left[s] // parts.count(s) for s in parts)
         for s in dict.fromkeys(parts):
             for _ in range(parts.count(s)):
-                slots.append((s, supply.take(s, times), times, sequences, offset))
+                self.slots.append((s, self.supply.take(s, times), times, self.sequences, offset))
                 offset += s
-        sequences += times
-    reduced = sequences
-    # best fit, decreasing: groups of equally filled sequences by their room
-    rooms: dict[int, list[tuple[int, int]]] = {}
-    order: list[int] = []
-
-    def put(room: int, first: int, count: int) -> None:
-        if room not in rooms:
-            rooms[room] = []
-            insort(order, room)
-        rooms[room].append((first, count))
-
-    while supply.sizes:
-        size = supply.sizes[-1]
-        count = supply.left[size]
-        at = bisect_left(order, size)
-        if at == len(order):
-            fit = capacity // size
-            opened = (count + fit - 1) // fit
-            first, sequences = sequences, sequences + opened
-            put(capacity, first, opened)
-            continue
-        room = order[at]
-        first, held = rooms[room].pop()
-        if not rooms[room]:
-            del rooms[room]
-            order.pop(at)
-        # best fit fills a sequence with this length as long as it fits before it takes the next one
-        fit = room // size
-        full, rest = divmod(count, fit)
-        full = min(full, held)
-        if full:
-            for k in range(fit):
-                slots.append((size, supply.take(size, full), full, first, capacity - room + k * size))
-            if room - fit * size:
-                put(room - fit * size, first, full)
-            first, held = first + full, held - full
-            if held:
-                put(room, first, held)
-        else:
-            slots += [(size, supply.take(size, 1), 1, first, capacity - room + k * size) for k in range(rest)]
-            if room - rest * size:
-                put(room - rest * size, first, 1)
-            if held > 1:
-                put(room, first + 1, held - 1)
-    total = sum(s * n for s, n in histogram.items())
-    told = {"sequences": sequences, "fixed_by_reduction": reduced, "at_least": -(-total // capacity)}
-    return np.array(sorted(slots), np.int64).reshape(-1, 5), told
+        self.sequences += times
+        return True
+
+    def reduce(self) -> None:
+        """Fix sets of any length, the longest first, until no length has one. What is fixed leaves fewer companions for the
+        others, so lengths are tried again."""
+        moved = True
+        while moved:
+            moved = False
+            for size in reversed(list(self.supply.sizes)):
+                while self.supply.left.get(size) and self.fix(size):
+                    moved = True
+
+    def reduce_longest(self) -> None:
+        """Fix sets of the longest length only, up to the first one without."""
+        while self.supply.sizes and self.fix(self.supply.sizes[-1]):
+            pass
+
+    def best_fit(self) -> None:
+        """Best fit, decreasing: groups of equally filled sequences by their room."""
+        supply, slots, capacity = self.supply, self.slots, self.capacity
+        rooms: dict[int, list[tuple[int, int]]] = {}
+        order: list[int] = []
+
+        def put(room: int, first: int, count: int) -> None:
+            if room not in rooms:
+                rooms[room] = []
+                insort(order, room)
+            rooms[room].append((first, count))
+
+        while supply.sizes:
+            size = supply.sizes[-1]
+            count = supply.left[size]
+            at = bisect_left(order, size)
+            if at == len(order):
+                fit = capacity // size
+                opened = (count + fit - 1) // fit
+                first, self.sequences = self.sequences, self.sequences + opened
+                put(capacity, first, opened)
+                continue
+            room = order[at]
+            first, held = rooms[room].pop()
+            if not rooms[room]:
+                del rooms[room]
+                order.pop(at)
+            # best fit fills a sequence with this length as long as it fits before it takes the next one
+            fit = room // size
+            full, rest = divmod(count, fit)
+            full = min(full, held)
+            if full:
+                for k in range(fit):
+                    slots.append((size, supply.take(size, full), full, first, capacity - room + k * size))
+                if room - fit * size:
+                    put(room - fit * size, first, full)
+                first, held = first + full, held - full
+                if held:
+                    put(room, first, held)
+            else:
+                slots += [(size, supply.take(size, 1), 1, first, capacity - room + k * size) for k in range(rest)]
+                if room - rest * size:
+                    put(room - rest * size, first, 1)
+                if held > 1:
+                    put(room, first + 1, held - 1)
+
+
+def plan(histogram: dict[int, int], capacity: int = SEQUENCE) -> tuple[np.ndarray, dict[str, int]]:
+    """Slots (length, first rank, count, first sequence, offset) and what the plan came to. The reduction keeps an optimum,
+    but best fit may do worse on what it leaves than on more; so where the bound isn't reached a reduction that stops at
+    the first longest length without a dominating set is tried too, and the shorter plan counts."""
+    at_least = -(-sum(s * n for s, n in histogram.items()) // capacity)
+    best, fixed = None, 0
+    for reduction in (Plan.reduce, Plan.reduce_longest):
+        made = Plan(histogram, capacity)
+        reduction(made)
+        reduced = made.sequences
+        made.best_fit()
+        if best is None or made.sequences < best.sequences:
+            best, fixed = made, reduced
+        if best.sequences == at_least:
+            break
+    told = {"sequences": best.sequences, "fixed_by_reduction": fixed, "at_least": at_least}
+    return np.array(sorted(best.slots), np.int64).reshape(-1, 5), told
 
 
 def ranked(sized: DataFrame, chunks: int) -> DataFrame:
