@@ -16,8 +16,8 @@ which is mostly after a few phrases; this is repeated until no block's beginning
 parse of the whole text.
 
 Bound: the labelled sample has up to `SAMPLE_DOCS` whole documents a language, chosen by hash of the id among
-rows that are not held out and have at most `SAMPLE_LENGTH` characters; a language that has only longer ones
-is learned from the shortest of them. Everything else covers all rows.
+rows that are not held out, as many of them as fit into `SAMPLE_CHARS` in that order; a language of which none
+fits is learned from its shortest one. Everything else covers all rows.
 
 Defined cases: a text that is null, empty or has no letter (emoji, punctuation, digits) is `und` with score 0;
 where no row is labelled all are `und`; equal phrase counts go to the first language by code point; rows that
@@ -39,8 +39,9 @@ from pyspark.sql import functions as F
 
 from .common import held_out, sampled_ids, table, text_chunks, text_slices
 
-SAMPLE_DOCS = 20
-SAMPLE_LENGTH = 4_000
+#: Documents that a language is learned from at most, and their characters in all.
+SAMPLE_DOCS = 40
+SAMPLE_CHARS = 80_000
 #: Symbols with a column in the dense table.
 DENSE = 48
 BLOCK = 2048
@@ -328,14 +329,26 @@ def predict(model: Model, texts: list[str]) -> tuple[list[str], np.ndarray]:
     return [model.languages[b] if k else UND for b, k in zip(best, known)], score
 
 
-def labelled_sample(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", most: int = SAMPLE_DOCS, longest: int = SAMPLE_LENGTH) -> dict[str, list[str]]:
-    """Whole texts by language, none of them held out: at most `most` of up to `longest` characters, or the
-    shortest one."""
+def labelled_sample(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", most: int = SAMPLE_DOCS, chars: int = SAMPLE_CHARS) -> dict[str, list[str]]:
+    """Whole texts by language, none of them held out: of `most` documents chosen by hash of the id, long or short, those
+    that fit into `chars` characters in that order; where none does, the language's shortest one."""
     size = F.length(text_col)
     keep = ~held_out(id_col) & F.col(lang_col).isNotNull() & (size > 0)
-    ids, _ = sampled_ids(docs, F.col(lang_col), id_col, most, keep & (size <= longest), 4)
-    least = docs.where(keep & F.col(id_col).isNotNull()).groupBy(F.col(lang_col).alias("g")).agg(F.min(F.struct(size.alias("n"), F.col(id_col).alias("i"))).alias("m"))
-    ids |= {r.g: [r.m.i] for r in least.collect() if r.g not in ids}  # one row a language
+    ids, _ = sampled_ids(docs, F.col(lang_col), id_col, most, keep, 4)
+    picked = sorted({i for own in ids.values() for i in own})
+    own_size = docs.where(F.col(id_col).isin(picked) & keep).groupBy(F.col(lang_col).alias("g"), F.col(id_col).alias("i")).agg(F.min(size).alias("n"))
+    sizes = {(r.g, r.i): r.n for r in own_size.collect()}
+    for g, own in ids.items():
+        left, fit = chars, []
+        for i in own:
+            if sizes[g, i] <= left:
+                left -= sizes[g, i]
+                fit.append(i)
+        ids[g] = fit
+    short = [g for g, own in ids.items() if not own]
+    if short:
+        least = docs.where(keep & F.col(id_col).isNotNull() & F.col(lang_col).isin(short)).groupBy(F.col(lang_col).alias("g")).agg(F.min(F.struct(size.alias("n"), F.col(id_col).alias("i"))).alias("m"))
+        ids |= {r.g: [r.m.i] for r in least.collect()}  # one row a language
     if not ids:
         return {}
     rows = docs.where(F.col(id_col).isin(sorted({i for own in ids.values() for i in own})) & keep)
