@@ -94,6 +94,26 @@ def sampled_ids(df: DataFrame, group: Column, id_col: str, most: int | dict, kee
     return {g: [i for _, i in sorted(ids)[: bound[g]]] for g, ids in found.items()}, counts
 
 
+def sampled_texts(docs: DataFrame, ids: dict, id_col: str, text_col: str, most_bytes: int) -> dict:
+    """{id: text} of a sample, {group: ids}: ids that repeat count once, with the least text. A group's texts are taken in
+    the order of its ids while they fit its part of `most_bytes`; one that doesn't is left out whole, and the rest are
+    looked at further. The sample's rows are written once and their sizes looked at before any text is fetched."""
+    picked = [i for own in ids.values() for i in own]
+    if not picked:
+        return {}
+    rows = docs.where(F.col(id_col).isin(picked) & F.col(text_col).isNotNull()).groupBy(F.col(id_col).alias("i")).agg(F.min(F.col(text_col)).alias("t"))
+    rows = materialize(rows)
+    sizes = {r.i: r.n for r in rows.select("i", F.octet_length("t").alias("n")).collect()}
+    chosen = []
+    for own in ids.values():
+        left = most_bytes * len(own) // len(picked)
+        for i in own:
+            if i in sizes and sizes[i] <= left:
+                left -= sizes[i]
+                chosen.append(i)
+    return {r.i: r.t for r in rows.where(F.col("i").isin(chosen)).collect()} if chosen else {}
+
+
 def text_chunks(text: str, size: int = 1 << 20) -> Iterator[str]:
     """A long text in pieces of about `size` characters that end before ASCII white space, to bound the memory of
     what is derived from a piece; a word is never cut."""

@@ -6,7 +6,7 @@ word lengths, repetition). Gated attention, softmax of w . (tanh(V h) * sigmoid(
 weighted sum of encodings is scored by a logistic unit. Only documents have labels; the attention learns which
 passages carry them. Trained here by gradient descent, end to end.
 
-Bound: up to `SAMPLE_DOCS` labelled documents a class, chosen by hash of the id among rows that are not held out;
+Bound: up to `SAMPLE_DOCS` labelled documents a class, of `SAMPLE_BYTES` in all, chosen by hash of the id among rows that are not held out;
 training sees all passages of their whole texts. The classes' shares among all labelled rows correct the
 intercept, so that scores mean the same where the bound bites and where it doesn't.
 
@@ -27,10 +27,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import held_out, sampled_ids, table, text_slices
+from .common import held_out, sampled_ids, sampled_texts, table, text_slices
 
 PASSAGE_WORDS = 64
 SAMPLE_DOCS = 1024
+#: Bytes of text that training takes to the driver.
+SAMPLE_BYTES = 64 << 20
 HIDDEN = 16
 BUCKETS = 4096
 EPOCHS = 40
@@ -299,16 +301,13 @@ def score(model: Model, texts: list[str], piece: int = PIECE) -> np.ndarray:
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, most: int | dict[int, int], id_col: str = "doc_id", text_col: str = "text") -> tuple[list[tuple[int, str, int]], dict[int, int]]:
-    """((id, whole text, label) of up to `most` documents for each value of `label`, none of them held out; how many
-    rows have each value). Ids are picked from the narrow labels table, so the texts are read once, for those."""
+    """((id, whole text, label) of up to `most` documents for each value of `label`, none of them held out, of
+    `SAMPLE_BYTES` in all; how many rows have each value). Ids are picked from the narrow labels table, so the texts are
+    read once, for those."""
     known = labels.where(F.col(label).isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.min((F.col(label) > 0).cast("int")).alias("y"))
     ids, counts = sampled_ids(known, F.col("y"), "doc_id", most, ~held_out("doc_id"), 6)
     of = {i: y for y, own in ids.items() for i in own}
-    if not of:
-        return [], counts
-    rows = docs.where(F.col(id_col).isin(list(of)) & F.col(text_col).isNotNull())
-    rows = rows.groupBy(F.col(id_col).alias("i")).agg(F.min(F.col(text_col)).alias("t"))
-    return sorted((r.i, r.t, of[r.i]) for r in rows.collect()), counts
+    return sorted((i, t, of[i]) for i, t in sampled_texts(docs, ids, id_col, text_col, SAMPLE_BYTES).items()), counts
 
 
 def score_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:

@@ -11,10 +11,11 @@ annotates `quality` and `toxic` and no kinds of toxicity, so the chain is `junk`
 label columns takes a longer chain through `categories`.
 
 Near copies share their weight in training (rows whose two least hashes of five-word shingles agree), so one text
-copied many times makes none of its words a term; no row is left out.
+copied many times makes none of its words a term; no row is left out. They share a fold too: an out-of-fold
+probability comes from a model that has seen no copy of the text.
 
-Bounds: up to `SAMPLE_TOXIC` toxic and `SAMPLE_OTHER` other whole documents, chosen by hash of the id among rows
-that are not held out. The classes' shares among all labelled rows correct the last intercept. Whole texts are
+Bounds: up to `SAMPLE_TOXIC` toxic and `SAMPLE_OTHER` other whole documents, of `SAMPLE_BYTES` in all, chosen by hash of
+the id among rows that are not held out. The classes' shares among all labelled rows correct the last intercept. Whole texts are
 scored, long ones piece by piece.
 
 Defined cases: a null text is empty; a text without any feature gets the models' intercepts; where fewer than two
@@ -36,12 +37,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import held_out, sampled_ids, table, text_chunks, text_slices
+from .common import held_out, sampled_ids, sampled_texts, table, text_chunks, text_slices
 
 #: (category, label column, values that count as it); the last one is the verdict.
 CATEGORIES = (("junk", "quality", (0,)), ("toxic", "toxic", (1,)))
 SAMPLE_TOXIC = 1024
 SAMPLE_OTHER = 3072
+#: Bytes of text that training takes to the driver.
+SAMPLE_BYTES = 64 << 20
 #: Words a category's linear model sees, and what share of a term's documents must be of the category.
 VOCABULARY = 256
 PURE = 0.9
@@ -51,8 +54,8 @@ SURE = 2.5
 LEAST = 3
 #: Lengths of the word beginnings that count besides whole words.
 STEMS = range(4, 9)
-#: Words whose features a worker remembers.
-REMEMBERED = 200_000
+#: Words whose features a worker remembers, and how long these are at most.
+REMEMBERED, REMEMBERED_LENGTH = 200_000, 40
 FOLDS = 5
 RIDGE = 1.0
 THRESHOLD = 0.5
@@ -165,6 +168,8 @@ class Sample:
         self.length = np.array(length)
         group = Counter(copies)
         self.weight = np.array([1 / group[c] for c in copies])
+        number = {c: k for k, c in enumerate(dict.fromkeys(copies))}
+        self.fold = np.array([number[c] for c in copies]) % FOLDS
 
     def choose(self, use: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(vocabulary, terms) as key numbers, from the rows in `use` alone."""
@@ -203,7 +208,7 @@ def finished(x: np.ndarray, length: np.ndarray) -> np.ndarray:
 
 def train(texts: list[str], targets: dict[str, list[int | None]], counts: dict[int, int] | None = None) -> Model:
     """`targets`: a label (1, 0 or None) of every text for each category, in the chain's order. `texts` are in a
-    fixed order; folds are dealt in turn. `counts`: labelled rows by class of the last category in the whole table."""
+    fixed order; folds are dealt in turn to groups of near copies. `counts`: labelled rows by class of the last category in the whole table."""
     names = tuple(targets)
     ys = {c: np.array([np.nan if v is None else float(v) for v in t]) for c, t in targets.items()}
     last = ys[names[-1]]
@@ -211,8 +216,7 @@ def train(texts: list[str], targets: dict[str, list[int | None]], counts: dict[i
         known = last[~np.isnan(last)]
         return Model(names=names, prior=float(known.mean()) if len(known) else 0.0)
     sample = Sample(texts, [any(t[k] for t in targets.values()) for k in range(len(texts))])
-    fold = np.arange(sample.n) % FOLDS
-    model, earlier = Model(names=names), np.zeros((sample.n, 0))
+    model, earlier, fold = Model(names=names), np.zeros((sample.n, 0)), sample.fold
     for name in names:
         y = ys[name]
         has = ~np.isnan(y)
@@ -277,7 +281,9 @@ def probabilities(model: Model, texts: list[str]) -> np.ndarray:
         for word, n in found.items():
             got = known.get(word)
             if got is None:
-                got = known[word] = of_word(model, word)
+                got = of_word(model, word)
+                if len(word) <= REMEMBERED_LENGTH:
+                    known[word] = got
             for c in got:
                 row[c] += n
     out, at = np.zeros((len(texts), 0)), 0
@@ -300,8 +306,7 @@ def fitted(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     if not picked:
         return Model(names=tuple(names), prior=0.0)
     marked = {r.doc_id: r for r in known.where(F.col("doc_id").isin(picked)).collect()}
-    rows = docs.where(F.col(id_col).isin(picked) & F.col(text_col).isNotNull()).groupBy(F.col(id_col).alias("i")).agg(F.min(F.col(text_col)).alias("t"))
-    sample = sorted((r.i, r.t) for r in rows.collect())
+    sample = sorted(sampled_texts(docs, ids, id_col, text_col, SAMPLE_BYTES).items())
     return train([t for _, t in sample], {c: [marked[i][c] for i, _ in sample] for c in names}, counts)
 
 
