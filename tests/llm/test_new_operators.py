@@ -239,3 +239,55 @@ def test_trie_of_odd_tables(spark):
     assert found_trie(spark, one) == plain_trie(one)
     copies = [(c, t, "user", f"same {t}") for c in range(1000, 1100) for t in range(3)]
     assert found_trie(spark, copies) == plain_trie(copies)
+
+
+# ---- training samples and packing
+
+
+def test_near_copies_share_a_fold():
+    from riskweave.llm import toxicity
+
+    draw = random.Random(4)
+    vocabulary = ["".join(draw.choice("abcdefghij") for _ in range(6)) for _ in range(400)]
+    texts, group = [], []
+    for g in range(40):
+        words = [draw.choice(vocabulary) for _ in range(80)]
+        for _ in range(draw.randint(1, 4)):
+            texts.append(" ".join(words) + (" " + draw.choice(vocabulary) if draw.random() < 0.3 else ""))
+            group.append(g)
+    sample = toxicity.Sample(texts)
+    folds = {}
+    for text, g, fold in zip(texts, group, sample.fold):
+        folds.setdefault((g, toxicity.copies_key(toxicity.tokens(text))), set()).add(int(fold))
+    assert all(len(f) == 1 for f in folds.values()) and len(set(sample.fold.tolist())) == toxicity.FOLDS
+    spread = Counter(len({int(f) for h, f in zip(group, sample.fold) if h == g}) for g in range(40))
+    assert spread[1] >= 36  # a near copy whose least hashes changed may be elsewhere
+
+
+def test_sampled_texts_stay_within_bytes(spark):
+    from riskweave.llm.common import sampled_texts
+
+    docs = docs_of(spark, [(k, "x" * (100 if k % 5 else 5000)) for k in range(40)] + [(1, "a" * 90), (99, None)])
+    got = sampled_texts(docs, {0: list(range(20)), 1: list(range(20, 40))}, "doc_id", "text", 4000)
+    assert sum(map(len, got.values())) <= 4000 and len(got) > 25 and got[1] == "a" * 90 and 0 not in got
+    assert sampled_texts(docs, {0: list(range(40))}, "doc_id", "text", 1 << 30).keys() == set(range(40))
+    assert sampled_texts(docs, {}, "doc_id", "text", 10) == {}
+
+
+def test_reduction_fixes_pairs_of_any_length():
+    from riskweave.llm import packing
+
+    lengths = np.random.default_rng(0).integers(200, 1200, 20_000)
+    slots, told = packing.plan(Counter(lengths.tolist()), 2048)
+    assert told["fixed_by_reduction"] >= 3000 and told["sequences"] <= 6870
+    draw = random.Random(1)
+    for _ in range(200):
+        c = draw.randint(6, 40)
+        items = Counter(draw.randint(1, c) for _ in range(draw.randint(1, 40)))
+        slots, told = packing.plan(items, c)
+        filled, used = Counter(), Counter()
+        for size, rank, count, first, offset in slots.tolist():
+            used[size] += count
+            for k in range(first, first + count):
+                filled[k] += size
+        assert used == items and max(filled.values()) <= c and len(filled) == told["sequences"] >= told["at_least"]
