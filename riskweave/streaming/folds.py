@@ -1,5 +1,5 @@
-"""The folds on unbounded input: each series keeps its fold state in the state store, rows are folded in event
-order within a micro-batch, and late rows are the watermark's business upstream."""
+"""The folds on input that comes in order: each series keeps its fold state in the state store. Rows that come out of order
+are for `ordered`, which waits for the watermark."""
 
 from __future__ import annotations
 
@@ -15,22 +15,25 @@ from ..operators.folds import Step
 
 
 def stream_fold(stream: DataFrame, inputs: list[str], start: Any, step: Step, outputs: str, order: str = "date") -> DataFrame:
-    """The streaming counterpart of `fold`: (series_id, date, inputs..., outputs...). The state is JSON, so
-    it must be numbers, booleans, strings, lists of them, or None."""
+    """The streaming counterpart of `fold`: (series_id, date, inputs..., outputs...), without delay. The state is JSON, so
+    it must be numbers, booleans, strings, lists of them, or None. Rows may be in any order within a micro-batch; one
+    that comes before what was folded already is an error."""
     names = [o.split()[0] for o in outputs.split(",")]
     fields = {f.name: f.dataType.simpleString() for f in stream.schema.fields}
     columns = ["series_id", order, *inputs]
     schema = ", ".join(f"`{c}` {fields[c]}" for c in columns) + ", " + outputs
 
     def run(key: tuple, frames: Iterator[pd.DataFrame], store) -> Iterator[pd.DataFrame]:
-        state = json.loads(store.get[0]) if store.exists else start
+        state, last = json.loads(store.get[0]) if store.exists else (start, None)
         pdf = pd.concat(list(frames)).sort_values(order, kind="stable")[columns]
+        if last is not None and str(pdf[order].iloc[0]) < last:
+            raise ValueError(f"{key[0]}: a row of {pdf[order].iloc[0]} comes after one of {last}; ordered_fold takes rows in any order")
         rows = []
         for values in zip(*(pdf[c].tolist() for c in inputs)):
             state = tuple(state) if isinstance(state, list) else state
             state, out = step(state, values)
             rows.append(out)
-        store.update((json.dumps(state),))
+        store.update((json.dumps((state, str(pdf[order].iloc[-1]))),))
         for k, name in enumerate(names):
             pdf[name] = [r[k] for r in rows]
         yield pdf
