@@ -79,7 +79,7 @@ def tcopula_var(spark, d):
     return models.tcopula_var(segment_returns(spark, d), WEIGHTS, horizon=5, least=500)
 
 
-@query("var_es_draws", sql(SEG, SRET, "a AS (SELECT unnest([0.975::DOUBLE, 0.99]) AS alpha)", "q AS (SELECT series_id, alpha, quantile_cont(ret, CASE WHEN alpha = 0.975 THEN 0.025 ELSE 0.01 END) AS q FROM sret, a WHERE alpha = 0.975 GROUP BY 1, 2 UNION ALL SELECT series_id, 0.99, quantile_cont(ret, 0.01) FROM sret GROUP BY 1)".replace("CASE WHEN alpha = 0.975 THEN 0.025 ELSE 0.01 END", "0.025"),
+@query("var_es_draws", sql(SEG, SRET, "q AS (SELECT series_id, 0.975::DOUBLE AS alpha, quantile_cont(ret, 0.025) AS q FROM sret GROUP BY 1 UNION ALL SELECT series_id, 0.99, quantile_cont(ret, 0.01) FROM sret GROUP BY 1)",
     f"SELECT s.series_id, q.alpha, {r6('-any_value(q.q)')} AS var, {r6('-avg(ret) FILTER (WHERE ret <= q.q)')} AS es FROM sret s JOIN q USING (series_id) GROUP BY 1, 2"))
 def var_es_draws(spark, d):
     """VaR and ES of draws: the returns themselves."""

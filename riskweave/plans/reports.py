@@ -20,11 +20,14 @@ def markdown(df: DataFrame, title: str, most: int = 200) -> str:
 
 
 def html(df: DataFrame, title: str, most: int = 200) -> str:
+    """The same as HTML; longer results are cut with a note."""
     from html import escape
 
+    rows = df.limit(most + 1).collect()
     head = "".join(f"<th>{escape(c)}</th>" for c in df.columns)
-    body = "".join("<tr>" + "".join(f"<td>{escape('' if v is None else str(v))}</td>" for v in r) + "</tr>" for r in df.limit(most).collect())
-    return f"<h2>{escape(title)}</h2><table><tr>{head}</tr>{body}</table>"
+    body = "".join("<tr>" + "".join(f"<td>{escape('' if v is None else str(v))}</td>" for v in r) + "</tr>" for r in rows[:most])
+    note = f"<p>(first {most} rows)</p>" if len(rows) > most else ""
+    return f"<h2>{escape(title)}</h2><table><tr>{head}</tr>{body}</table>{note}"
 
 
 def write_csv(df: DataFrame, path: str) -> None:

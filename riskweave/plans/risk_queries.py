@@ -210,7 +210,7 @@ def _round_metrics(df, *keys):
     return df.select(*keys, *[rounded(c).alias(c) for c in _METRICS], "max_drawdown_duration")
 
 
-@query("economic_metrics", sql(LVL, SEG, SHIP, PAIR, PANEL, RET, STRAT_IN, STRAT, "mi AS (SELECT 'orders' AS series_id, date, held * ret - cost AS r, weight AS w FROM sr)", _metrics_sql("mi", "series_id", "series_id").replace("me1 AS", "me1 AS", 1)).replace(", me1 AS", ", me1 AS").replace(") me1 AS", "), me1 AS"))
+@query("economic_metrics", sql(LVL, SEG, SHIP, PAIR, PANEL, RET, STRAT_IN, STRAT, "mi AS (SELECT 'orders' AS series_id, date, held * ret - cost AS r, weight AS w FROM sr)", f"mx AS (WITH {_metrics_sql('mi', 'series_id', 'series_id')})", "SELECT * FROM mx"))
 def economic_metrics(spark, d):
     return _round_metrics(signals.economic_metrics(signals.priced_returns(_strategy_inputs(spark, d))), "series_id")
 
@@ -221,7 +221,7 @@ BENCH = f"bi AS (SELECT pn.date, sigma, ret, {_rank('level', 60, 8)} AS lp, {_ra
 @query("benchmark_metrics", sql(LVL, SEG, SHIP, PAIR, PANEL, RET, BENCH,
     "bw AS (SELECT 'buy_hold' AS book, date, sigma, ret, 1.0::DOUBLE AS weight FROM bi UNION ALL SELECT 'level', date, sigma, ret, CASE WHEN lp > 0.85 THEN 1.0 ELSE 0.0 END FROM bi UNION ALL SELECT 'vol', date, sigma, ret, CASE WHEN vp > 0.85 THEN 1.0 ELSE 0.0 END FROM bi)",
     "bh AS (SELECT *, coalesce(lag(weight) OVER (PARTITION BY book ORDER BY date), 0.0) AS held, quantile_cont(sigma, 0.5) OVER (PARTITION BY book ORDER BY date) AS med FROM bw)",
-    "mi AS (SELECT book, date, held * ret - (3.0 + 1.5 * sigma / med) / 1e4 * abs(weight - held) AS r, weight AS w FROM bh)", _metrics_sql("mi", "book", "book")).replace(") me1 AS", "), me1 AS"))
+    "mi AS (SELECT book, date, held * ret - (3.0 + 1.5 * sigma / med) / 1e4 * abs(weight - held) AS r, weight AS w FROM bh)", f"mx AS (WITH {_metrics_sql('mi', 'book', 'book')})", "SELECT * FROM mx"))
 def benchmark_metrics(spark, d):
     return _round_metrics(benchmark_books(spark, d), "book")
 
@@ -266,7 +266,7 @@ def realised_book(spark, d):
     return signals.economic_metrics(signals.priced_returns(inputs, keys=["book"]), ["book"])
 
 
-@query("realised_vol_benchmark", sql(LVL, SEG, SHIP, PAIR, RET, *_RV, _metrics_sql("mr", "book", "book")).replace(") me1 AS", "), me1 AS"))
+@query("realised_vol_benchmark", sql(LVL, SEG, SHIP, PAIR, RET, *_RV, f"mx AS (WITH {_metrics_sql('mr', 'book', 'book')})", "SELECT * FROM mx"))
 def realised_vol_benchmark(spark, d):
     return _round_metrics(realised_book(spark, d), "book")
 
@@ -412,7 +412,7 @@ def overlay_binding(spark, d):
 
 
 @query("overlay_metrics", sql(*OVERLAY, OV_B, OV_F, "mo AS (SELECT book, date, ex * ret AS r, ex AS w FROM of JOIN om USING (date))", f"mt AS (WITH {_metrics_sql('mo', 'book', 'book')})",
-    f"SELECT *, {r6('ann_turnover - max(ann_turnover) FILTER (WHERE book = chr(98) || chr(97) || chr(115) || chr(101)) OVER ()')} AS incremental_turnover, ann_turnover - max(ann_turnover) FILTER (WHERE book = 'base') OVER () > 2 AS turnover_alarm FROM mt", recursive=True).replace("chr(98) || chr(97) || chr(115) || chr(101)", "'base'"))
+    f"SELECT *, {r6("ann_turnover - max(ann_turnover) FILTER (WHERE book = 'base') OVER ()")} AS incremental_turnover, ann_turnover - max(ann_turnover) FILTER (WHERE book = 'base') OVER () > 2 AS turnover_alarm FROM mt", recursive=True))
 def overlay_metrics(spark, d):
     out = risk.overlay_metrics(risk.books(risk.multipliers(overlay_inputs(spark, d))))
     rows = _round_metrics(out, "book", "turnover_alarm")

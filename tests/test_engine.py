@@ -161,6 +161,17 @@ def test_cache(spark, tmp_path):
         cache.fetch_or_stale(down, spark, path, "s", "2024-01-01", "2024-03-05", 5)
 
 
+def test_html_says_where_it_is_cut(spark):
+    df = spark.range(5)
+    assert reports.html(df, "t", 3).count("<tr>") == 4 and "first 3 rows" in reports.html(df, "t", 3) and "first" not in reports.html(df, "t", 5)
+
+
+def test_rows_used_are_those_of_the_window(spark):
+    df = series(spark, [1.0, None, 3.0, 2.0]).withColumnRenamed("value", "vol").withColumns({"level": F.lit(1.0) * F.dayofmonth("date"), "fundamental": F.lit(2.0) * F.dayofmonth("date"), "sigma": F.lit(1.0)})
+    h = signals.score_history(df, 3, 1).orderBy("date").collect()
+    assert [r.n_obs_used for r in h] == [1, 3, 3] and [r.p_vol for r in h] == pytest.approx([1, 1, 0.5])
+
+
 def test_reports_and_gate(spark, tmp_path):
     assert "| series_id |" in markdown(series(spark, [1]).select("series_id"), "t")
     verdicts = lambda *rows: spark.createDataFrame(list(rows), "code string, status string")

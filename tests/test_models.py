@@ -308,6 +308,17 @@ def test_two_regimes_are_recovered(spark):
         models.markov_regime_fit(df.limit(100), "log_rv").collect()
 
 
+def test_denton_meets_the_means_with_the_least_change():
+    draw = np.random.default_rng(33)
+    indicator, c = draw.normal(size=60).cumsum(), np.kron(np.eye(6), np.full(10, 0.1))
+    y = c @ indicator + draw.normal(size=6)
+    out = models.denton(y, indicator, c)
+    rough = lambda x: float((np.diff(x - indicator) ** 2).sum())
+    assert c @ out == pytest.approx(y, abs=1e-6)
+    free = np.linalg.svd(c)[2][6:]  # directions that leave the means as they are
+    assert all(rough(out + 1e-2 * v) >= rough(out) - 1e-9 and rough(out - 1e-2 * v) >= rough(out) - 1e-9 for v in free)
+
+
 def test_three_regimes_and_their_validity():
     x, _ = regimes(1500, 27, (0.97, 0.95, 0.95), (-3.0, -1.5, 0.0), (0.2, 0.2, 0.3))
     m = models.fit_markov(x, 3)
