@@ -14,6 +14,7 @@ from ..functions import dist
 from ..functions.windows import over, require
 from .calendar import interval_join
 from .folds import smooth_and_hold
+from .stats import least_squares
 
 
 def hits(df: DataFrame, var: str = "var", ret: str = "ret") -> DataFrame:
@@ -92,21 +93,27 @@ def acerbi_null(n: int, p: float, draws: int, seed: int, spark, chunk: int = 500
 
 def dynamic_quantile(hit: DataFrame, p: float, lags: int = 4, var: str = "var") -> DataFrame:
     """Wald test that hits are unpredictable from a constant, the VaR and their own lags."""
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("date")
-        h, v = pdf["hit"].to_numpy(float) - p, pdf[var].to_numpy(float)
-        x = np.column_stack([np.ones(len(h) - lags), v[lags:], *[h[lags - k : len(h) - k] for k in range(1, lags + 1)]])
-        y = h[lags:]
-        if len(y) <= x.shape[1]:
-            return pd.DataFrame({"series_id": [], "dq": [], "p_value": [], "df": []})
-        gram = x.T @ x
-        beta = np.linalg.pinv(gram) @ x.T @ y
-        e = y - x @ beta
-        stat = float(beta @ gram @ beta / (e @ e / (len(y) - x.shape[1])))
-        return pd.DataFrame({"series_id": [pdf["series_id"].iloc[0]], "dq": [stat], "p_value": [dist.chi2_sf(stat, x.shape[1])], "df": [x.shape[1]]})
-
-    return hit.groupBy("series_id").applyInPandas(run, "series_id string, dq double, p_value double, df int")
+    h = F.col("hit") - F.lit(float(p))
+    names = [f"h{k}" for k in range(1, lags + 1)]
+    rows = hit.select("series_id", h.alias("h"), F.lit(1.0).alias("one"), F.col(var).alias("v"), *[F.lag(h, k).over(over()).alias(n) for k, n in enumerate(names, 1)])
+    df = lags + 2
+
+    def wald(n: int, beta: np.ndarray, explained: float, residual: float, total: float) -> tuple | None:
+        if n <= df:
+            return None
+        stat = explained / (residual / (n - df)) if residual > 0 else math.inf
+        return stat, dist.chi2_sf(stat, df), df
+
+    return least_squares(rows, "h", ["one", "v", *names], wald, "dq double, p_value double, df int")
+
+
+def state_transitions(states: DataFrame, state: str = "state", order: str = "date", key: str = "series_id") -> DataFrame:
+    """(key, from_state, to_state, n, p) of any number of states: how often a row's state follows another's, and its share
+    of what follows that one. Pairs that don't occur have no row; missing states are skipped."""
+    by = Window.partitionBy(key).orderBy(order)
+    known = states.where(F.col(state).isNotNull()).select(key, F.lag(state).over(by).alias("from_state"), F.col(state).alias("to_state"))
+    counts = known.where("from_state IS NOT NULL").groupBy(key, "from_state", "to_state").agg(F.count("*").alias("n"))
+    return counts.withColumn("p", F.col("n") / F.sum("n").over(Window.partitionBy(key, "from_state")))
 
 
 def backtest_suite(models: DataFrame, p: float, window: int = 250, significance: float = 0.05) -> DataFrame:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -68,9 +69,59 @@ def arch_lm_one(series: DataFrame, column: str = "ret") -> DataFrame:
     return both.groupBy("series_id").agg(F.count("*").alias("n"), (F.count("*") * r * r).alias("lm"))
 
 
+def least_squares(rows: DataFrame, y: str, xs: list[str], result: Callable[[int, np.ndarray, float, float, float], tuple | None], schema: str, key: str = "series_id") -> DataFrame:
+    """A regression of `y` on the columns `xs` for each key: the sums of products are one aggregation, which many tasks share
+    before a key's few numbers meet, and the normal equations, scaled to a unit diagonal, are solved for a key at a time.
+    `result` makes the columns of `schema` after the key from (rows, coefficients, explained and residual and total sum of
+    squares, the last about the mean), or None for no row. Rows with a missing value don't count."""
+    names = [*xs, y]
+    whole = F.lit(True)
+    for c in names:
+        whole &= F.col(c).isNotNull()
+    pairs = [(i, j) for i in range(len(names)) for j in range(i, len(names))]
+    sums = [F.sum(F.col(names[i]).cast("double") * F.col(names[j])).alias(f"p{i}_{j}") for i, j in pairs]
+    grams = rows.where(whole).groupBy(key).agg(F.count("*").alias("n"), F.sum(F.col(y).cast("double")).alias("total"), *sums)
+
+    def solve(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        columns = [key, *(f.split()[0] for f in schema.split(", "))]
+        for pdf in batches:
+            out = []
+            for r in pdf.itertuples(index=False):
+                g = np.zeros((len(names), len(names)))
+                for i, j in pairs:
+                    g[i, j] = g[j, i] = getattr(r, f"p{i}_{j}")
+                scale = np.sqrt(np.where(np.diag(g) > 0, np.diag(g), 1.0))[:-1]
+                gram, cross, squares = g[:-1, :-1] / np.outer(scale, scale), g[:-1, -1] / scale, g[-1, -1]
+                beta = np.linalg.pinv(gram, hermitian=True) @ cross
+                explained = float(beta @ gram @ beta)
+                residual = squares - 2 * float(beta @ cross) + explained
+                got = result(int(r.n), beta / scale, explained, residual, squares - r.total**2 / r.n)
+                if got is not None:
+                    out.append((getattr(r, key), *got))
+            yield pd.DataFrame(out, columns=columns)
+
+    return grams.mapInPandas(solve, f"{key} {dict(rows.dtypes)[key]}, {schema}")
+
+
+_TEST = "test string, stat double, p_value double, df int"
+
+
+def _share_explained(name: str, df: int) -> Callable:
+    """n R2 and its chi-square p-value."""
+
+    def result(n: int, beta: np.ndarray, explained: float, residual: float, total: float) -> tuple:
+        stat = n * (1 - residual / total) if total > 0 else float("nan")
+        return name, stat, dist.chi2_sf(stat, df), df
+
+    return result
+
+
 def arch_lm(series: DataFrame, lags: int, column: str = "ret") -> DataFrame:
     """Engle's test with any number of lags, from the lagged squares' cross products."""
-    return _grouped(series, column, lambda pdf: [("lm", *arch_nr2(pdf[column].to_numpy(float) ** 2, lags), lags)])
+    xs = [f"x{k}" for k in range(1, lags + 1)]
+    sq = series.where(F.col(column).isNotNull()).select("series_id", "date", F.lit(1.0).alias("one"), (F.col(column) * F.col(column)).alias("y"))
+    lagged = sq.select("*", *[F.lag("y", k).over(over()).alias(x) for k, x in enumerate(xs, 1)])
+    return least_squares(lagged, "y", ["one", *xs], _share_explained("lm", lags), _TEST)
 
 
 def arch_nr2(y: np.ndarray, lags: int) -> tuple[float, float]:
@@ -89,13 +140,15 @@ def _grouped(series: DataFrame, column: str, run) -> DataFrame:
         rows = run(pdf) if len(pdf) else []
         return pd.DataFrame([(pdf["series_id"].iloc[0], *r) for r in rows], columns=["series_id", "test", "stat", "p_value", "df"])
 
-    return series.groupBy("series_id").applyInPandas(each, "series_id string, test string, stat double, p_value double, df int")
+    return series.groupBy("series_id").applyInPandas(each, "series_id string, " + _TEST)
 
 
 def sign_bias(residuals: DataFrame, column: str = "z", eps: str = "eps") -> DataFrame:
     """Joint sign and size bias: z squared on the last shock's sign and signed sizes."""
-
-    return _grouped(residuals, column, lambda pdf: [("sign_bias", *sign_bias_nr2(pdf[column].to_numpy(float), pdf[eps].to_numpy(float)), 3)])
+    last = residuals.where(F.col(column).isNotNull()).select("series_id", (F.col(column) * F.col(column)).alias("y"), F.lag(eps).over(over()).alias("e"))
+    neg = F.when(F.col("e") < 0, 1.0).when(F.col("e").isNotNull(), 0.0)
+    rows = last.select("series_id", "y", F.lit(1.0).alias("one"), neg.alias("neg"), (neg * F.col("e")).alias("low"), ((1 - neg) * F.col("e")).alias("high"))
+    return least_squares(rows, "y", ["one", "neg", "low", "high"], _share_explained("sign_bias", 3), _TEST)
 
 
 def sign_bias_nr2(z: np.ndarray, eps: np.ndarray) -> tuple[float, float]:

@@ -354,6 +354,15 @@ def regime_transition_stats(spark, d):
     return out.select("n", "n_transitions", rounded("per_year").alias("per_year"), "n_episodes", rounded("mean_duration").alias("mean_duration"), "partial_days", "full_days")
 
 
+@query("state_transitions", sql(SEG, SRET, "ts AS (SELECT series_id, date, CASE WHEN ret < -0.003 THEN 'fall' WHEN ret < 0 THEN 'slip' WHEN ret < 0.003 THEN 'gain' ELSE 'jump' END AS s FROM sret)", "tp AS (SELECT series_id, lag(s) OVER (PARTITION BY series_id ORDER BY date) AS from_state, s AS to_state FROM ts)",
+    f"SELECT series_id, from_state, to_state, count(*) AS n, {r6('count(*) / CAST(sum(count(*)) OVER (PARTITION BY series_id, from_state) AS DOUBLE)')} AS p FROM tp WHERE from_state IS NOT NULL GROUP BY 1, 2, 3"))
+def state_transitions(spark, d):
+    """How four states of the segments' changes follow each other."""
+    x = F.col("ret")
+    states = segment_returns(spark, d).withColumn("state", F.when(x < -0.003, "fall").when(x < 0, "slip").when(x < 0.003, "gain").otherwise("jump"))
+    return risk.state_transitions(states).withColumn("p", rounded("p"))
+
+
 @query("regime_transition_matrix", sql(LVL, RET, REGIME_IN, REGIME, "rt AS (SELECT stressed AS s, lag(stressed) OVER (ORDER BY i) AS pv FROM rs)", "pm AS (SELECT count(*) FILTER (WHERE NOT pv AND NOT s) / CAST(count(*) FILTER (WHERE NOT pv) AS DOUBLE) AS p00, count(*) FILTER (WHERE pv AND s) / CAST(count(*) FILTER (WHERE pv) AS DOUBLE) AS p11 FROM rt)",
     f"SELECT {r6('p00')} AS p00, {r6('p11')} AS p11, {r6('1 / (1 - p00)')} AS calm_duration, {r6('1 / (1 - p11)')} AS stress_duration, {r6('(1 - p00) / (2 - p00 - p11)')} AS stationary_stress FROM pm", recursive=True))
 def regime_transition_matrix(spark, d):
