@@ -18,11 +18,6 @@ def last_rows(n: int, keys: list[str] | str = KEY, order: str = DATE) -> WindowS
     return over(keys, order).rowsBetween(-(n - 1), 0)
 
 
-def previous_rows(n: int, keys: list[str] | str = KEY, order: str = DATE) -> WindowSpec:
-    """The n rows before the current one."""
-    return over(keys, order).rowsBetween(-n, -1)
-
-
 def so_far(keys: list[str] | str = KEY, order: str = DATE) -> WindowSpec:
     return over(keys, order).rowsBetween(Window.unboundedPreceding, 0)
 
