@@ -320,7 +320,7 @@ def test_languages_of_wide_scripts_and_none():
 def test_language_sample_is_of_whole_rows(spark):
     rows = [(i, f"short text number {i} " + "word " * (i % 7), "en", None) for i in range(300)]
     rows += [(i, "lang " * 4000, "xx", None) for i in range(1000, 1012)] + [(i, "longer " * n, "yy", None) for i, n in zip(range(2000, 2008), (30_000, 20_000) * 4)]
-    sample = langid.labelled_sample(docs_of(spark, rows), most=8)
+    sample = langid.labelled_sample(docs_of(spark, rows), most=8, chars=80_000)
     texts = {t for _, t, _, _ in rows}
     assert len(sample["en"]) == 8 and set(sample["en"]) <= texts
     assert sample["xx"] == ["lang " * 4000] * 4  # long texts count like others, as many as fit
