@@ -41,7 +41,7 @@ from .common import held_out, sampled_ids, table, text_chunks, text_slices
 
 #: Documents that a language is learned from at most, and their characters in all.
 SAMPLE_DOCS = 40
-SAMPLE_CHARS = 80_000
+SAMPLE_CHARS = 40_000
 #: Symbols with a column in the dense table.
 DENSE = 48
 BLOCK = 2048
