@@ -399,12 +399,13 @@ def contracted(edges: DataFrame, most_rounds: int) -> DataFrame:
     return roots.join(least, F.col("root") == F.col("r")).select("node", F.col("least").alias("root"))
 
 
-def least_of_roots(nodes: DataFrame, roots: DataFrame, key: str) -> DataFrame:
+def least_of_roots(nodes: DataFrame, roots: DataFrame, key: str, name: str | None = None) -> DataFrame:
     """nodes (key, first_id), unique in `key`, and (node, root) of those with links -> (c, least_id): the least
-    first_id of each node's component. A component of very many nodes is spread over tasks."""
+    first_id of each node's component; c is the key, or the column `name`. A component of very many nodes is spread over tasks."""
+    c = F.col(name or key).alias("c")
     linked = nodes.join(roots, F.col(key) == F.col("node"), "left")
-    alone = linked.where("root IS NULL").select(F.col(key).alias("c"), F.col("first_id").alias("least_id"))
-    grouped = materialize(linked.where("root IS NOT NULL").select(F.col(key).alias("c"), "first_id", "root", F.pmod(F.xxhash64(key), F.lit(WAYS)).alias("way")))
+    alone = linked.where("root IS NULL").select(c, F.col("first_id").alias("least_id"))
+    grouped = materialize(linked.where("root IS NOT NULL").select(c, "first_id", "root", F.pmod(F.xxhash64(key), F.lit(WAYS)).alias("way")))
     least = grouped.groupBy("root").agg(F.min("first_id").alias("least_id"))
     least = least.select(F.col("root").alias("r"), "least_id", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(WAYS - 1).cast("long"))).alias("w"))
     named = grouped.join(least, (F.col("root") == F.col("r")) & (F.col("way") == F.col("w"))).select("c", "least_id")
@@ -446,7 +447,7 @@ STAGE_SIMILARITY = 0.8
 #: Candidates agree on all least hashes of a band: at a similarity of 0.8 with probability 1 - (1 - 0.8^5)^24 = 0.9999.
 STAGE_BANDS = 24
 STAGE_BAND_ROWS = 5
-#: A bucket above this is compared in parts first; see copies_to_drop().
+#: A bucket above this is compared in parts first; see copies_to_drop(). Later comparisons deal buckets in parts of this size.
 STAGE_BUCKET = 4096
 #: Classes that a task remembers to have passed on.
 REMEMBERED = 100_000
@@ -463,21 +464,21 @@ def spread(h: np.ndarray, k: int) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def shingle_hashes(text: str | None, width: int = STAGE_SHINGLE) -> tuple[np.ndarray, int]:
+def shingle_hashes(text: str | None, width: int = STAGE_SHINGLE) -> tuple[np.ndarray, bytes]:
     """The sorted hashes of a text's distinct shingles, and the name of its class."""
     found = [np.unique(run_hashes(words, width)) for words in word_runs(text, width)]
     return (np.unique(np.concatenate(found)) if len(found) > 1 else found[0] if found else np.zeros(0, np.uint64)), class_of(text)
 
 
-def class_of(text: str | None) -> int:
-    """A hash of a text's lower-cased words: texts of the same words are one class."""
-    digest, first = xxhash.xxh3_64(), True
+def class_of(text: str | None) -> bytes:
+    """128 bits of a text's lower-cased words: texts of the same words are one class."""
+    digest, first = xxhash.xxh3_128(), True
     for part in text_chunks(text or "", LONG):
         words = part.encode("utf-8", "surrogatepass").lower().split()
         if words:
             digest.update(b" ".join(words) if first else b" " + b" ".join(words))
             first = False
-    return digest.intdigest()
+    return digest.digest()
 
 
 def wide_bits(hashes: np.ndarray, words: int = STAGE_WORDS) -> list[int]:
@@ -530,86 +531,124 @@ def nearest_forest(fp: np.ndarray, radius: int) -> list[tuple[int, int]]:
     return found
 
 
+def whole_keys(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[np.ndarray]:
+    """Batches sorted by their first column as arrays of `width` columns, cut where that column changes."""
+    left: np.ndarray | None = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        now = np.stack([batch.column(i).to_numpy() for i in range(width)], axis=1)
+        if left is not None:
+            now = np.concatenate((left, now))
+        # the last key may go on in the next batch
+        cut = int(np.searchsorted(now[:, 0], now[-1, 0], side="left"))
+        left = now[cut:]
+        if cut:
+            yield now[:cut]
+    if left is not None:
+        yield left
+
+
+def gathered(found: Iterator[np.ndarray], names: list[str], rows: int = 1 << 16) -> Iterator[pa.RecordBatch]:
+    """Arrays with these columns as batches of about so many rows."""
+    held, size = [], 0
+    for some in found:
+        held.append(some)
+        size += len(some)
+        if size > rows:
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in np.concatenate(held).T], names)
+            held, size = [], 0
+    if size:
+        yield pa.RecordBatch.from_arrays([pa.array(c) for c in np.concatenate(held).T], names)
+
+
+def runs(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where each run of equal keys begins, and its length."""
+    head = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
+    return head, np.diff(np.concatenate((head, [len(key)])))
+
+
 def bucket_pairs(entries: DataFrame, radius: int, words: int = STAGE_WORDS) -> DataFrame:
-    """(k, a, b) with a < b: pairs within `radius` bits in each bucket k. Where `entries` (k, cls, w0...) has
-    no column `root`, those of a forest of the closest pairs; otherwise all pairs whose roots differ."""
+    """(k, a, b) with a < b: a forest of the closest pairs within `radius` bits in each bucket k of `entries`
+    (k, cls, w0...)."""
     names = [f"w{k}" for k in range(words)]
-    rooted = "root" in entries.columns
-    rows = entries.select("k", "cls", *(["root"] if rooted else []), *names).repartition("k").sortWithinPartitions("k", "cls")
-    lead = 3 if rooted else 2
+    rows = entries.select("k", "cls", *names).repartition("k").sortWithinPartitions("k", "cls")
 
     def within(rows: np.ndarray) -> Iterator[np.ndarray]:
-        key, ids, fp = rows[:, 0], rows[:, 1], np.ascontiguousarray(rows[:, lead:]).view(np.uint64)
-        head = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
-        size = np.diff(np.concatenate((head, [len(rows)])))
-        if not rooted:
-            x = head[size == 2]
-            x = x[np.bitwise_count(fp[x] ^ fp[x + 1]).sum(axis=1) <= radius]
-            yield np.stack([key[x], ids[x], ids[x + 1]], axis=1)
-        several = size > (1 if rooted else 2)
-        for s, m in zip(head[several].tolist(), size[several].tolist()):
-            if not rooted:
-                pairs = np.array(nearest_forest(fp[s : s + m], radius), np.int64).reshape(-1, 2) + s
-                yield np.stack([key[pairs[:, 0]], ids[pairs].min(axis=1), ids[pairs].max(axis=1)], axis=1)
-                continue
-            # rows of the largest root come last: they needn't be compared with each other
-            _, of, many = np.unique(rows[s : s + m, 2], return_inverse=True, return_counts=True)
-            order = s + np.argsort(of == many.argmax(), kind="stable")
-            own, ids_, root = fp[order], ids[order], rows[order, 2]
-            for i in range(m - int(many.max())):
-                near = np.bitwise_count(own[i + 1 :] ^ own[i]).sum(axis=1) <= radius
-                y = i + 1 + np.flatnonzero(near & (root[i + 1 :] != root[i]))
-                if len(y):
-                    yield np.stack([np.full(len(y), key[s]), np.minimum(ids_[y], ids_[i]), np.maximum(ids_[y], ids_[i])], axis=1)
-
-    def out(rows: np.ndarray) -> Iterator[pa.RecordBatch]:
-        held, size = [], 0
-        for found in within(rows):
-            held.append(found)
-            size += len(found)
-            if size > 1 << 16:
-                yield batch_of(held)
-                held, size = [], 0
-        if size:
-            yield batch_of(held)
-
-    def batch_of(held: list[np.ndarray]) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(c) for c in np.concatenate(held).T], ["k", "a", "b"])
+        key, ids, fp = rows[:, 0], rows[:, 1], np.ascontiguousarray(rows[:, 2:]).view(np.uint64)
+        head, size = runs(key)
+        x = head[size == 2]
+        x = x[np.bitwise_count(fp[x] ^ fp[x + 1]).sum(axis=1) <= radius]
+        yield np.stack([key[x], ids[x], ids[x + 1]], axis=1)
+        for s, m in zip(head[size > 2].tolist(), size[size > 2].tolist()):
+            pairs = np.array(nearest_forest(fp[s : s + m], radius), np.int64).reshape(-1, 2) + s
+            yield np.stack([key[pairs[:, 0]], ids[pairs].min(axis=1), ids[pairs].max(axis=1)], axis=1)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        left: np.ndarray | None = None
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            now = np.stack([batch.column(i).to_numpy() for i in range(lead + words)], axis=1)
-            if left is not None:
-                now = np.concatenate((left, now))
-            # the last bucket may go on in the next batch
-            cut = int(np.searchsorted(now[:, 0], now[-1, 0], side="left"))
-            left = now[cut:]
-            if cut:
-                yield from out(now[:cut])
-        if left is not None:
-            yield from out(left)
+        for part in whole_keys(batches, 2 + words):
+            yield from gathered(within(part), ["k", "a", "b"])
 
     return rows.mapInArrow(run, "k long, a long, b long")
 
 
+def crossing_pairs(entries: DataFrame, radius: int, words: int = STAGE_WORDS) -> DataFrame:
+    """(a, b) with a < b: all pairs within `radius` bits that share a bucket k of `entries` (k, cls, root, w0...)
+    and whose roots differ.
+
+    Rows of a bucket's largest root needn't be compared with each other: only the others, its strays, meet all
+    rows. Strays are dealt over groups and all rows over blocks, each of about STAGE_BUCKET rows, and a task
+    holds one meeting of a group and a block at a time, however large the bucket.
+    """
+    names = [f"w{k}" for k in range(words)]
+    of_root = entries.groupBy("k", "root").agg(F.count("*").alias("n"))
+    sizes = of_root.groupBy("k").agg(F.sum("n").alias("n"), F.max(F.struct("n", "root")).alias("top"))
+    parts = lambda n: F.ceil(n / F.lit(STAGE_BUCKET)).cast("long")
+    sizes = materialize(sizes.where("n > top.n").select(F.col("k").alias("c"), "n", F.col("top.root").alias("main"), parts(F.col("n") - F.col("top.n")).alias("groups"), parts(F.col("n")).alias("blocks")))
+    rows = of_each(entries, "k", sizes.drop("n"), sizes.select("c", "n"))
+    stray = F.col("root") != F.col("main")
+    rows = rows.withColumn("stray", stray.cast("long")).withColumn("group", F.pmod(F.xxhash64(F.lit(1), "cls"), "groups")).withColumn("block", F.pmod(F.xxhash64(F.lit(2), "cls"), "blocks"))
+    every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
+    own = ["stray", "cls", "root", *names]
+    asking = rows.where("stray = 1").select("k", "group", every("blocks").alias("block"), F.lit(0).cast("long").alias("side"), *own)
+    asked = rows.select("k", every("groups").alias("group"), "block", F.lit(1).cast("long").alias("side"), *own)
+    met = asking.unionByName(asked).select(F.xxhash64("k", "group", "block").alias("key"), "side", *own)
+    met = met.repartition("key").sortWithinPartitions("key", "side")
+
+    def within(rows: np.ndarray) -> Iterator[np.ndarray]:
+        side, stray, ids, root = rows[:, 1], rows[:, 2], rows[:, 3], rows[:, 4]
+        fp = np.ascontiguousarray(rows[:, 5:]).view(np.uint64)
+        for s, m in zip(*(x.tolist() for x in runs(rows[:, 0]))):
+            middle, end = s + int(m - side[s : s + m].sum()), s + m
+            for i in range(s, middle):
+                # two strays meet twice
+                near = (root[middle:end] != root[i]) & ((stray[middle:end] == 0) | (ids[middle:end] > ids[i]))
+                y = middle + np.flatnonzero(near)
+                y = y[np.bitwise_count(fp[y] ^ fp[i]).sum(axis=1) <= radius]
+                if len(y):
+                    yield np.stack([np.minimum(ids[y], ids[i]), np.maximum(ids[y], ids[i])], axis=1)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in whole_keys(batches, 5 + words):
+            yield from gathered(within(part), ["a", "b"])
+
+    return met.mapInArrow(run, "a long, b long")
+
+
 def shingle_sets(docs: DataFrame, nodes: DataFrame) -> DataFrame:
-    """(node, s): the sorted shingle hashes of each class in `nodes` (column `node`), from one of its texts."""
+    """(node, s): the sorted shingle hashes of each class in `nodes` (node, name), from one of its texts."""
 
     def name(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """A task passes on one text of a class, so that a text with very many copies is few rows; of what it has
         passed on it remembers a bounded number of classes at a time."""
-        seen: set[int] = set()
+        seen: set[bytes] = set()
         for batch in batches:
             for part in text_slices(batch, "text", 1 << 23):
                 names = [class_of(x.as_py()) for x in part.column(0)]
                 if len(seen) > REMEMBERED:
                     seen.clear()
                 fresh = [k for k, c in enumerate(names) if not (c in seen or seen.add(c))]
-                kept = np.array([names[k] for k in fresh], np.uint64).view(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(kept), part.column(0).take(pa.array(fresh, pa.int64()))], ["cls", "text"])
+                kept = pa.array([names[k] for k in fresh], pa.binary())
+                yield pa.RecordBatch.from_arrays([kept, part.column(0).take(pa.array(fresh, pa.int64()))], ["cls", "text"])
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -617,8 +656,8 @@ def shingle_sets(docs: DataFrame, nodes: DataFrame) -> DataFrame:
                 found = [shingle_hashes(x.as_py())[0].tobytes() for x in part.column(1)]
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(found, pa.binary())], ["node", "s"])
 
-    texts = docs.select("text").mapInArrow(name, "cls long, text string").join(nodes, F.col("cls") == F.col("node"), "left_semi")
-    return texts.groupBy("cls").agg(F.first("text").alias("text")).mapInArrow(sets, "node long, s binary")
+    texts = docs.select("text").mapInArrow(name, "cls binary, text string").join(nodes, F.col("cls") == F.col("name"))
+    return texts.groupBy("node").agg(F.first("text").alias("text")).mapInArrow(sets, "node long, s binary")
 
 
 def with_similarity(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -654,12 +693,16 @@ def copies_to_drop(docs: DataFrame, radius: int | None = None, words: int = STAG
         for batch in batches:
             for part in text_slices(batch, "text", 1 << 23):
                 got = [shingle_hashes(x.as_py()) for x in part.column(1)]
-                values = np.array([[name, *wide_bits(h, words), *band_keys(h)] for h, name in got], np.uint64).view(np.int64)
-                yield pa.RecordBatch.from_arrays([part.column(0), *(pa.array(c) for c in values.T)], ["doc_id", "cls", *names, *bands])
+                values = np.array([[*wide_bits(h, words), *band_keys(h)] for h, _ in got], np.uint64).view(np.int64)
+                called = pa.array([name for _, name in got], pa.binary())
+                yield pa.RecordBatch.from_arrays([part.column(0), called, *(pa.array(c) for c in values.T)], ["doc_id", "name", *names, *bands])
 
     narrow = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    fps = materialize(narrow.mapInArrow(run, "doc_id long, cls long, " + ", ".join(f"{n} long" for n in names + bands)))
-    classes = materialize(fps.groupBy("cls").agg(F.min("doc_id").alias("first_id"), F.count("*").alias("n"), *(F.first(n).alias(n) for n in names + bands)))
+    fps = materialize(narrow.mapInArrow(run, "doc_id long, name binary, " + ", ".join(f"{n} long" for n in names + bands)))
+    # classes are told by 128 bits; from here on each has a number
+    classes = fps.groupBy("name").agg(F.min("doc_id").alias("first_id"), F.count("*").alias("n"), *(F.first(n).alias(n) for n in names + bands))
+    classes = materialize(classes.withColumn("cls", F.monotonically_increasing_id()))
+    called = classes.select("name", F.col("cls").alias("called"))
     entries = classes.select("cls", *names, F.explode(F.array(*bands)).alias("k"))
     # The closest pairs that span each bucket are compared first. Where all of a bucket's are alike, the rest
     # of its pairs are linked anyway; in other buckets all pairs that aren't linked by then are compared.
@@ -677,7 +720,7 @@ def copies_to_drop(docs: DataFrame, radius: int | None = None, words: int = STAG
         among = bucket_pairs(heads.select(F.xxhash64("k", F.lit(-1)).alias("k"), "cls", *names), radius, words)
         forest_ = materialize(bucket_pairs(entries.join(large, own, "left_anti"), radius, words).unionByName(within).unionByName(among))
     nodes = forest_.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    sets = materialize(shingle_sets(docs, nodes))
+    sets = materialize(shingle_sets(docs, nodes.join(called, F.col("node") == F.col("called"))))
     judged = materialize(with_similarity(forest_.select("a", "b").distinct(), sets))
     edges = judged.where("alike").select("a", "b")
     roots = components(edges)
@@ -688,22 +731,22 @@ def copies_to_drop(docs: DataFrame, radius: int | None = None, words: int = STAG
         open_ = materialize(open_.select(F.col("k").alias("open")).union(large.select(F.col("lk").alias("open"))).distinct())
         again = entries.join(open_, F.col("k") == F.col("open"), "left_semi").join(roots, F.col("cls") == F.col("node"), "left")
         again = again.select("k", "cls", F.coalesce("root", "cls").alias("root"), *names)
-        rest = bucket_pairs(again, radius, words).select("a", "b").distinct()
+        rest = crossing_pairs(again, radius, words).distinct()
         rest = rest.join(unlike, (F.col("a") == F.col("ua")) & (F.col("b") == F.col("ub")), "left_anti")
         # both ends of a pair within the radius are in their bucket's forest, so their sets are at hand; of a
         # large bucket the missing ones are made now
         if not large.isEmpty():
             rest = materialize(rest)
             missing = rest.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(nodes, "node", "left_anti")
-            sets = materialize(sets.unionByName(shingle_sets(docs, missing)))
+            sets = materialize(sets.unionByName(shingle_sets(docs, missing.join(called, F.col("node") == F.col("called")))))
         more = materialize(with_similarity(rest, sets).where("alike").select("a", "b"))
         if not more.isEmpty():
             roots = components(edges.union(more))
-    named = least_of_roots(classes.select("cls", "first_id"), roots, "cls").select("c", F.col("least_id").alias("kept_id"))
-    own = of_each(fps.select("doc_id", "cls"), "cls", materialize(named), classes.select(F.col("cls").alias("c"), "n"))
+    named = least_of_roots(classes.select("cls", "name", "first_id"), roots, "cls", "name").select("c", F.col("least_id").alias("kept_id"))
+    own = of_each(fps.select("doc_id", "name"), "name", materialize(named), classes.select(F.col("name").alias("c"), "n"))
     drop = own.where(~F.col("doc_id").eqNullSafe(F.col("kept_id"))).select("doc_id")
     kept = own.where(F.col("doc_id").eqNullSafe(F.col("kept_id"))).select("doc_id")
-    repeats = fps.groupBy("doc_id", "cls").agg(F.count("*").alias("n")).where(F.col("n") > 1).select("doc_id")
+    repeats = fps.groupBy("doc_id", "name").agg(F.count("*").alias("n")).where(F.col("n") > 1).select("doc_id")
     return drop.join(kept, "doc_id", "left_anti").distinct(), repeats.distinct()
 
 

@@ -29,3 +29,48 @@ def test_near_duplicates_are_those_of_the_exact_shingle_sets(spark):
     expected.append(1000)
     docs = spark.createDataFrame([(i, t, "en", "a") for i, t in rows], "doc_id long, text string, lang string, source string")
     assert sorted(r.doc_id for r in simhash.stage_simhash(spark, docs, "").collect()) == expected
+
+
+def bits_apart(a, b):
+    return sum((x ^ y).bit_count() for x, y in zip(a, b))
+
+
+def test_crossing_pairs_of_a_large_bucket_are_all_pairs_of_unlike_roots(spark, monkeypatch):
+    """One bucket with most rows, most of them of one root, small ones, and one that is linked throughout."""
+    monkeypatch.setattr(simhash, "STAGE_BUCKET", 32)
+    monkeypatch.setattr(simhash, "HOT", 100)
+    rng = np.random.default_rng(21)
+    rows = []
+    for k, n in ((7, 500), (-3, 2), (8, 40), (9, 1), (10, 60)):
+        centre = rng.integers(-(2**63), 2**63, 2)
+        for i in range(n):
+            own = centre ^ (np.int64(1) << rng.integers(0, 60, 2)) ^ (np.int64(1) << rng.integers(0, 60, 2))
+            root = 0 if k == 10 or (k == 7 and i % 5) else int(rng.integers(0, 30))
+            rows.append((k, 1000 * k + i, root, *(int(x) for x in own)))
+    expected = set()
+    for x in rows:
+        for y in rows:
+            if x[0] == y[0] and x[1] < y[1] and x[2] != y[2] and bits_apart(x[3:], y[3:]) <= 7:
+                expected.add((x[1], y[1]))
+    entries = spark.createDataFrame(rows, "k long, cls long, root long, w0 long, w1 long")
+    got = [tuple(r) for r in simhash.crossing_pairs(entries, 7, 2).collect()]
+    assert set(got) == expected and len(expected) > 1000
+    # two strays of one bucket may meet in both of their groups, but each pair is reported once for each bucket
+    assert len(got) == len(set(got))
+
+
+def test_a_bucket_is_never_one_task(spark, monkeypatch):
+    """However large a bucket, what is compared at a time is one group and one block."""
+    monkeypatch.setattr(simhash, "STAGE_BUCKET", 64)
+    n = 4000
+    bucket = spark.range(n).selectExpr("1L AS k", "id AS cls", "id % 7 AS root", "id AS w0")
+    plan = simhash.crossing_pairs(bucket, 0, 1)._jdf.queryExecution().analyzed()
+    met = plan.child() if plan.nodeName() == "MapInArrow" else plan.children().head()
+    rows = spark._jvm.org.apache.spark.sql.classic.Dataset.ofRows(spark._jsparkSession, met)
+    most = max(r.getLong(1) for r in rows.groupBy("key", spark._jvm.PythonUtils.toSeq([])).count().collect())
+    assert most <= 4 * 64
+
+
+def test_classes_are_named_by_128_bits_of_their_words():
+    assert simhash.class_of("A b\n c") == simhash.class_of("a  B c ") != simhash.class_of("ab c")
+    assert len(simhash.class_of(None)) == 16 and simhash.class_of(None) == simhash.class_of(" \t")
