@@ -65,6 +65,52 @@ def test_correlations_of_odd_panels(spark):
     got = panels.correlations(spark.createDataFrame(twice, schema)).first()
     assert got.n == 4 and got["corr"] == pytest.approx(np.corrcoef(np.arange(4) + 1, np.arange(4) ** 2)[0, 1])
 
+def shuffled_rows(df):
+    """Rows that the exchanges of a plan that has run have written."""
+    plan, total, todo = df._jdf.queryExecution().executedPlan(), 0, []
+    todo.append(plan)
+    while todo:
+        node = todo.pop()
+        if node.nodeName() == "AdaptiveSparkPlan":
+            todo.append(node.executedPlan())
+            continue
+        if node.nodeName().endswith("QueryStage"):
+            todo.append(node.plan())
+        if node.nodeName() == "Exchange":
+            total += node.metrics().apply("shuffleRecordsWritten").value()
+        children = node.children()
+        todo += [children.apply(k) for k in range(children.size())]
+    return total
+
+
+def test_correlations_shuffle_series_and_not_pairs(spark):
+    """300 series over 30 days have 44,850 pairs; only what the panel's own 9,000 rows make crosses the network."""
+    df = spark.range(9000).selectExpr("concat('s', id % 300) AS series_id", "date_add(DATE'2003-01-01', CAST(id / 300 AS INT)) AS date", "CAST(hash(id) AS DOUBLE) AS value")
+    out = panels.correlations(df, series=16, days=8)
+    assert len(out.collect()) == 300 * 299 // 2
+    assert shuffled_rows(out) < 300 * 299 // 2
+
+
+@pytest.mark.parametrize("cells, series", [(1, 4), (1, 64), (1 << 22, 4)])
+def test_correlations_by_chunks_of_days_and_by_tiles(spark, monkeypatch, cells, series):
+    """Series that begin and end in different chunks of days, compared chunk by chunk and all days at once."""
+    monkeypatch.setattr(panels, "CELLS", cells)
+    x = panel_of(4, 40, 100)
+    for k in range(40):
+        x[: k, k], x[100 - 2 * (k % 9) :, k] = np.nan, np.nan
+    rows = [(f"s{k}", DAY + dt.timedelta(days=t), float(v)) for t, line in enumerate(x) for k, v in enumerate(line) if not np.isnan(v)]
+    got = panels.correlations(spark.createDataFrame(rows, "series_id string, date date, value double"), least=25, series=series, days=7).collect()
+    found = {(r.a, r.b): (r.n, r.corr) for r in got}
+    expected = {}
+    for a in range(40):
+        for b in range(a + 1, 40):
+            both = ~np.isnan(x[:, a]) & ~np.isnan(x[:, b])
+            if both.sum() >= 25:
+                expected[tuple(sorted((f"s{a}", f"s{b}")))] = (both.sum(), None if a == 0 else np.corrcoef(x[both, a], x[both, b])[0, 1])
+    assert len(got) == len(found) and found.keys() == expected.keys() and len(expected) > 300
+    for pair, (n, corr) in expected.items():
+        assert found[pair][0] == n and found[pair][1] == (None if corr is None else pytest.approx(corr, abs=1e-7))
+
 
 @pytest.mark.parametrize("rows", [16, 4096])
 def test_component_of_many_columns_is_that_of_svd(spark, rows):
