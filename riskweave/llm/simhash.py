@@ -399,6 +399,16 @@ def contracted(edges: DataFrame, most_rounds: int) -> DataFrame:
     return roots.join(least, F.col("root") == F.col("r")).select("node", F.col("least").alias("root"))
 
 
+def joined(roots: DataFrame, links: DataFrame) -> DataFrame:
+    """(node, root) after `links` (a, b) between roots, or nodes that had no link so far."""
+    if links.isEmpty():
+        return roots
+    later = materialize(components(links))
+    own = later.select(F.col("node").alias("ln"), F.col("root").alias("lr"))
+    known = roots.join(own, F.col("root") == F.col("ln"), "left").select("node", F.coalesce("lr", "root").alias("root"))
+    return known.unionByName(later.join(roots.select("node"), "node", "left_anti").select("node", "root"))
+
+
 def least_of_roots(nodes: DataFrame, roots: DataFrame, key: str, name: str | None = None) -> DataFrame:
     """nodes (key, first_id), unique in `key`, and (node, root) of those with links -> (c, least_id): the least
     first_id of each node's component; c is the key, or the column `name`. A component of very many nodes is spread over tasks."""
@@ -449,6 +459,8 @@ STAGE_BANDS = 24
 STAGE_BAND_ROWS = 5
 #: A bucket above this is compared in parts first; see copies_to_drop(). Later comparisons deal buckets in parts of this size.
 STAGE_BUCKET = 4096
+#: Bytes of shingle sets on a side of a meeting.
+STAGE_BYTES = 1 << 25
 #: Classes that a task remembers to have passed on.
 REMEMBERED = 100_000
 #: How many deviations beyond the mean at the threshold a candidate's distance may lie.
@@ -591,47 +603,146 @@ def bucket_pairs(entries: DataFrame, radius: int, words: int = STAGE_WORDS) -> D
     return rows.mapInArrow(run, "k long, a long, b long")
 
 
-def crossing_pairs(entries: DataFrame, radius: int, words: int = STAGE_WORDS) -> DataFrame:
-    """(a, b) with a < b: all pairs within `radius` bits that share a bucket k of `entries` (k, cls, root, w0...)
-    and whose roots differ.
+def meetings(entries: DataFrame, words: int, sets: DataFrame | None = None) -> DataFrame:
+    """The rows of `entries` (k, cls, root, w0...) that have to meet, by the `key` of their meeting; with `sets` (node, s)
+    also their shingle sets, whose sizes in bytes are then the column m of `entries`.
 
     Rows of a bucket's largest root needn't be compared with each other: only the others, its strays, meet all
-    rows. Strays are dealt over groups and all rows over blocks, each of about STAGE_BUCKET rows, and a task
-    holds one meeting of a group and a block at a time, however large the bucket.
+    rows. Strays are dealt over groups and all rows over blocks, each of about STAGE_BUCKET rows and STAGE_BYTES of
+    sets, and a task holds one meeting of a group and a block at a time, however large the bucket.
     """
     names = [f"w{k}" for k in range(words)]
-    of_root = entries.groupBy("k", "root").agg(F.count("*").alias("n"))
-    sizes = of_root.groupBy("k").agg(F.sum("n").alias("n"), F.max(F.struct("n", "root")).alias("top"))
-    parts = lambda n: F.ceil(n / F.lit(STAGE_BUCKET)).cast("long")
-    sizes = materialize(sizes.where("n > top.n").select(F.col("k").alias("c"), "n", F.col("top.root").alias("main"), parts(F.col("n") - F.col("top.n")).alias("groups"), parts(F.col("n")).alias("blocks")))
+    bytes_ = F.lit(0) if sets is None else F.col("m")
+    of_root = entries.groupBy("k", "root").agg(F.count("*").alias("n"), F.sum(bytes_).alias("m"))
+    sizes = of_root.groupBy("k").agg(F.sum("n").alias("n"), F.sum("m").alias("m"), F.max(F.struct("n", "root", "m")).alias("top"))
+    parts = lambda n, m: F.ceil(F.greatest(n / F.lit(STAGE_BUCKET), m / F.lit(STAGE_BYTES))).cast("long")
+    sizes = sizes.where("n > top.n").select(F.col("k").alias("c"), "n", F.col("top.root").alias("main"), parts(F.col("n") - F.col("top.n"), F.col("m") - F.col("top.m")).alias("groups"), parts(F.col("n"), F.col("m")).alias("blocks"))
+    sizes = materialize(sizes)
     rows = of_each(entries, "k", sizes.drop("n"), sizes.select("c", "n"))
+    if sets is not None:
+        rows = rows.join(sets.select(F.col("node").alias("of"), "s"), F.col("cls") == F.col("of"))
     stray = F.col("root") != F.col("main")
     rows = rows.withColumn("stray", stray.cast("long")).withColumn("group", F.pmod(F.xxhash64(F.lit(1), "cls"), "groups")).withColumn("block", F.pmod(F.xxhash64(F.lit(2), "cls"), "blocks"))
     every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
-    own = ["stray", "cls", "root", *names]
+    own = ["stray", "cls", "root", *names, *(["s"] if sets is not None else [])]
     asking = rows.where("stray = 1").select("k", "group", every("blocks").alias("block"), F.lit(0).cast("long").alias("side"), *own)
     asked = rows.select("k", every("groups").alias("group"), "block", F.lit(1).cast("long").alias("side"), *own)
     met = asking.unionByName(asked).select(F.xxhash64("k", "group", "block").alias("key"), "side", *own)
-    met = met.repartition("key").sortWithinPartitions("key", "side")
+    return met.repartition("key").sortWithinPartitions("key", "side")
+
+
+def crossing_pairs(entries: DataFrame, radius: int, words: int = STAGE_WORDS, ends: bool = False) -> DataFrame:
+    """(a, b) with a < b: all pairs within `radius` bits that share a bucket k of `entries` (k, cls, root, w0...)
+    and whose roots differ. With `ends` not the pairs, whose number may be the square of a bucket's rows, but (node):
+    the classes that are in any, once for each meeting."""
 
     def within(rows: np.ndarray) -> Iterator[np.ndarray]:
         side, stray, ids, root = rows[:, 1], rows[:, 2], rows[:, 3], rows[:, 4]
         fp = np.ascontiguousarray(rows[:, 5:]).view(np.uint64)
         for s, m in zip(*(x.tolist() for x in runs(rows[:, 0]))):
             middle, end = s + int(m - side[s : s + m].sum()), s + m
+            paired = np.zeros(m, bool)
             for i in range(s, middle):
                 # two strays meet twice
                 near = (root[middle:end] != root[i]) & ((stray[middle:end] == 0) | (ids[middle:end] > ids[i]))
                 y = middle + np.flatnonzero(near)
                 y = y[np.bitwise_count(fp[y] ^ fp[i]).sum(axis=1) <= radius]
-                if len(y):
+                if len(y) and ends:
+                    paired[y - s] = paired[i - s] = True
+                elif len(y):
                     yield np.stack([np.minimum(ids[y], ids[i]), np.maximum(ids[y], ids[i])], axis=1)
+            if paired.any():
+                yield np.unique(ids[s:end][paired])[:, None]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in whole_keys(batches, 5 + words):
-            yield from gathered(within(part), ["a", "b"])
+            yield from gathered(within(part), ["node"] if ends else ["a", "b"])
+
+    return meetings(entries, words).mapInArrow(run, "node long" if ends else "a long, b long")
+
+
+def crossing_links(entries: DataFrame, sets: DataFrame, radius: int, words: int = STAGE_WORDS) -> DataFrame:
+    """(a, b): trees over the roots of `entries` (k, cls, root, m, w0...) that are linked by two rows of a bucket k within
+    `radius` bits whose shingle sets, in `sets` (node, s), are alike.
+
+    A meeting compares the sets itself and returns fewer links than it has roots, so that a bucket of near copies none
+    of which are alike makes no rows."""
+
+    def within(rows: pa.Table) -> np.ndarray:
+        side, ids, root = (rows[c].to_numpy() for c in ("side", "cls", "root"))
+        fp = np.stack([rows[f"w{k}"].to_numpy() for k in range(words)], axis=1).view(np.uint64)
+        sets = [np.frombuffer(x.as_buffer(), np.uint64) for x in rows["s"]]
+        roots, at = np.unique(root, return_inverse=True)
+        label, asking, asked = np.arange(len(roots)), np.flatnonzero(side == 0), np.flatnonzero(side == 1)
+        for p in range(0, len(asking), 256):
+            for q in range(0, len(asked), 1024):
+                x, y = asking[p : p + 256], asked[q : q + 1024]
+                near = label[at[x]][:, None] != label[at[y]][None, :]
+                if not near.any():
+                    continue
+                bits = np.zeros(near.shape, np.int32)
+                for k in range(words):
+                    bits += np.bitwise_count(fp[x, k][:, None] ^ fp[y, k][None, :])
+                near &= bits <= radius
+                u, w = np.flatnonzero(near.any(axis=1)), np.flatnonzero(near.any(axis=0))
+                if not len(u):
+                    continue
+                near = near[np.ix_(u, w)]
+                i, j = np.nonzero(near & alike_sets([sets[k] for k in x[u]], [sets[k] for k in y[w]], near))
+                if len(i):
+                    merge(label, at[x[u[i]]], at[y[w[j]]])
+        return roots[trees(label)]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from gathered((found for rows in tables_by_key(batches) if len(found := within(rows))), ["a", "b"])
 
-    return met.mapInArrow(run, "a long, b long")
+    return meetings(entries, words, sets).mapInArrow(run, "a long, b long")
+
+
+def tables_by_key(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """Batches sorted by their first column, a table for each of its values."""
+    held: list[pa.RecordBatch] = []
+    last = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        key = batch.column(0).to_numpy()
+        for s, n in zip(*(x.tolist() for x in runs(key))):
+            if held and key[s] != last:
+                yield pa.Table.from_batches(held)
+                held = []
+            held.append(batch.slice(s, n))
+            last = key[s]
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+def alike_sets(left: list[np.ndarray], right: list[np.ndarray], near: np.ndarray, width: int = 2048) -> np.ndarray:
+    """Whether the Jaccard similarity of left[i] and right[j] is STAGE_SIMILARITY or more, for the pairs marked in `near` at
+    least. Few pairs are compared one by one; many as products of 0/1 matrices over `width` shingles at a time."""
+    if near.sum() <= 4 * sum(near.shape):
+        out = np.zeros(near.shape, bool)
+        for i, j in zip(*np.nonzero(near)):
+            out[i, j] = jaccard(left[i], right[j]) >= STAGE_SIMILARITY
+        return out
+    sizes = [np.array([len(x) for x in side], np.int64) for side in (left, right)]
+    of = [np.repeat(np.arange(len(n)), n) for n in sizes]
+    flat = [np.concatenate(side) for side in (left, right)]
+    shared = np.intersect1d(*flat)
+    common = np.zeros(near.shape)
+    place = [np.searchsorted(shared, x) for x in flat]
+    here = [(k < len(shared)) & (shared[np.minimum(k, len(shared) - 1)] == x) if len(shared) else np.zeros(len(x), bool) for k, x in zip(place, flat)]
+    of, place = [x[h] for x, h in zip(of, here)], [x[h] for x, h in zip(place, here)]
+    for start in range(0, len(shared), width):
+        cells = []
+        for x, k, n in zip(of, place, near.shape):
+            own = (k >= start) & (k < start + width)
+            one = np.zeros((n, min(width, len(shared) - start)), np.float32)
+            one[x[own], k[own] - start] = 1
+            cells.append(one)
+        common += cells[0] @ cells[1].T
+    union = sizes[0][:, None] + sizes[1][None, :] - common
+    return np.where(union > 0, common / np.maximum(union, 1), 1.0) >= STAGE_SIMILARITY
 
 
 def shingle_sets(docs: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -709,39 +820,37 @@ def copies_to_drop(docs: DataFrame, radius: int | None = None, words: int = STAG
     # Very large buckets are first compared in parts, each a task's, and with the part's least class; they count
     # as buckets with unlike pairs.
     large = materialize(entries.groupBy("k").agg(F.count("*").alias("m")).where(F.col("m") > STAGE_BUCKET).select(F.col("k").alias("lk"), "m"))
-    if large.isEmpty():
-        forest_ = materialize(bucket_pairs(entries, radius, words))
-    else:
-        own = F.col("k") == F.col("lk")
+    any_large = not large.isEmpty()
+    own = F.col("k") == F.col("lk")
+    small = materialize(bucket_pairs(entries.join(large, own, "left_anti") if any_large else entries, radius, words))
+    forest_ = small
+    if any_large:
         parted = materialize(entries.join(large, own).withColumn("part", F.pmod(F.xxhash64("cls"), F.ceil(F.col("m") / STAGE_BUCKET))))
         heads = parted.groupBy("k", "part").agg(F.min("cls").alias("head"))
         heads = parted.join(heads.select("head", F.col("k").alias("hk")), (F.col("cls") == F.col("head")) & (F.col("k") == F.col("hk")))
         within = bucket_pairs(parted.select(F.xxhash64("k", "part").alias("k"), "cls", *names), radius, words)
         among = bucket_pairs(heads.select(F.xxhash64("k", F.lit(-1)).alias("k"), "cls", *names), radius, words)
-        forest_ = materialize(bucket_pairs(entries.join(large, own, "left_anti"), radius, words).unionByName(within).unionByName(among))
+        forest_ = small.unionByName(materialize(within.unionByName(among)))
     nodes = forest_.select(F.explode(F.array("a", "b")).alias("node")).distinct()
     sets = materialize(shingle_sets(docs, nodes.join(called, F.col("node") == F.col("called"))))
     judged = materialize(with_similarity(forest_.select("a", "b").distinct(), sets))
-    edges = judged.where("alike").select("a", "b")
-    roots = components(edges)
+    roots = components(judged.where("alike").select("a", "b"))
     unlike = judged.where("NOT alike").select(F.col("a").alias("ua"), F.col("b").alias("ub"))
-    if not unlike.isEmpty() or not large.isEmpty():
+    if any_large or not unlike.isEmpty():
         roots = materialize(roots)
-        open_ = forest_.join(unlike, (F.col("a") == F.col("ua")) & (F.col("b") == F.col("ub")), "left_semi")
-        open_ = materialize(open_.select(F.col("k").alias("open")).union(large.select(F.col("lk").alias("open"))).distinct())
-        again = entries.join(open_, F.col("k") == F.col("open"), "left_semi").join(roots, F.col("cls") == F.col("node"), "left")
-        again = again.select("k", "cls", F.coalesce("root", "cls").alias("root"), *names)
-        rest = crossing_pairs(again, radius, words).distinct()
-        rest = rest.join(unlike, (F.col("a") == F.col("ua")) & (F.col("b") == F.col("ub")), "left_anti")
-        # both ends of a pair within the radius are in their bucket's forest, so their sets are at hand; of a
-        # large bucket the missing ones are made now
-        if not large.isEmpty():
-            rest = materialize(rest)
-            missing = rest.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(nodes, "node", "left_anti")
+        rooted = lambda rows: rows.join(classes.select(F.col("cls").alias("own"), *names), F.col("cls") == F.col("own")).join(roots, F.col("cls") == F.col("node"), "left").select("k", "cls", F.coalesce("root", "cls").alias("root"), *names)
+        open_ = small.join(unlike, (F.col("a") == F.col("ua")) & (F.col("b") == F.col("ub")), "left_semi").select(F.col("k").alias("open")).distinct()
+        # both ends of a pair within the radius are in their bucket's forest, so other rows of it needn't meet; of a
+        # large bucket those that have such a pair are found first, and the sets that aren't at hand are made
+        again = small.join(open_, F.col("k") == F.col("open"), "left_semi").select("k", F.explode(F.array("a", "b")).alias("cls")).distinct()
+        if any_large:
+            crowd = parted.select("k", "cls")
+            ends = materialize(crossing_pairs(rooted(crowd), radius, words, ends=True).distinct())
+            again = again.unionByName(crowd.join(ends, F.col("cls") == F.col("node"), "left_semi"))
+            missing = ends.join(nodes, "node", "left_anti")
             sets = materialize(sets.unionByName(shingle_sets(docs, missing.join(called, F.col("node") == F.col("called")))))
-        more = materialize(with_similarity(rest, sets).where("alike").select("a", "b"))
-        if not more.isEmpty():
-            roots = components(edges.union(more))
+        again = rooted(again).join(sets.select("node", F.octet_length("s").alias("m")), F.col("cls") == F.col("node")).drop("node")
+        roots = joined(roots, materialize(crossing_links(again, sets, radius, words)))
     named = least_of_roots(classes.select("cls", "name", "first_id"), roots, "cls", "name").select("c", F.col("least_id").alias("kept_id"))
     own = of_each(fps.select("doc_id", "name"), "name", materialize(named), classes.select(F.col("name").alias("c"), "n"))
     drop = own.where(~F.col("doc_id").eqNullSafe(F.col("kept_id"))).select("doc_id")

@@ -1,6 +1,7 @@
 """Near copies are told by exact shingle sets."""
 
 import numpy as np
+import pytest
 
 from riskweave.llm import simhash
 
@@ -74,3 +75,57 @@ def test_a_bucket_is_never_one_task(spark, monkeypatch):
 def test_classes_are_named_by_128_bits_of_their_words():
     assert simhash.class_of("A b\n c") == simhash.class_of("a  B c ") != simhash.class_of("ab c")
     assert len(simhash.class_of(None)) == 16 and simhash.class_of(None) == simhash.class_of(" \t")
+
+
+def near_but_unlike(n, seed):
+    """Copies of one text each with four isolated changes of its own: 180 of 220 shingles of the text are kept, and two copies have 160 to 170 of 220 to 240 in common."""
+    rng = np.random.default_rng(seed)
+    base = [f"u{i}" for i in range(204)]
+    return [" ".join(changed(base, sorted(rng.choice(np.arange(5, 195, 10), 4, replace=False)), f"y{c}-")) for c in range(n)]
+
+
+def entries_of(spark, texts):
+    """One bucket with all texts, every one a root of its own, and their sets."""
+    got = [simhash.shingle_hashes(t)[0] for t in texts]
+    rows = [(1, i, i, 8 * len(h), *(simhash.signed(w) for w in simhash.wide_bits(h))) for i, h in enumerate(got)]
+    schema = "k long, cls long, root long, m long, " + ", ".join(f"w{k} long" for k in range(simhash.STAGE_WORDS))
+    return spark.createDataFrame(rows, schema), spark.createDataFrame([(i, bytearray(h.tobytes())) for i, h in enumerate(got)], "node long, s binary"), got
+
+
+def test_a_bucket_of_unlike_near_copies_makes_no_rows(spark):
+    entries, sets, got = entries_of(spark, near_but_unlike(300, 3))
+    radius = simhash.stage_radius()
+    # so many pairs lie within the radius that they would be written, were they not compared where they meet
+    assert simhash.crossing_pairs(entries.drop("m"), radius).count() > 20_000
+    alike = {(a, b) for a in range(300) for b in range(a) if simhash.jaccard(got[a], got[b]) >= 0.8}
+    assert len(alike) < 300
+    assert simhash.crossing_links(entries, sets, radius).count() <= len(alike)
+
+
+@pytest.mark.parametrize("size, some", [(4096, 1 << 25), (16, 1 << 25), (4096, 30_000)])
+def test_crossing_links_join_what_all_pairs_join(spark, monkeypatch, size, some):
+    monkeypatch.setattr(simhash, "STAGE_BUCKET", size)
+    monkeypatch.setattr(simhash, "STAGE_BYTES", some)
+    rng = np.random.default_rng(12)
+    base = [[f"{c}{i}" for i in range(204)] for c in "uv"]
+    texts = [" ".join(changed(base[c % 2], sorted(rng.choice(np.arange(5, 195, 10), int(rng.integers(1, 5)), replace=False)), f"y{rng.integers(0, 9)}-")) for c in range(120)]
+    texts = sorted(set(texts))
+    entries, sets, got = entries_of(spark, texts)
+    label = np.arange(len(texts))
+    pairs = [(a, b) for a in range(len(texts)) for b in range(a) if simhash.jaccard(got[a], got[b]) >= 0.8]
+    simhash.merge(label, *np.array(pairs).T)
+    found = [tuple(r) for r in simhash.crossing_links(entries, sets, simhash.stage_radius()).collect()]
+    mine = np.arange(len(texts))
+    simhash.merge(mine, *np.array(found).T)
+    assert (mine == label).all() and 2 <= len(set(label.tolist())) < len(texts)
+
+
+def test_alike_sets_by_products_and_one_by_one():
+    rng = np.random.default_rng(4)
+    draw = lambda: [np.unique(rng.choice(60, int(n), replace=False)).astype(np.uint64) for n in rng.integers(0, 60, 40)]
+    left, right = draw() + [np.zeros(0, np.uint64), np.arange(60, dtype=np.uint64)], draw() + [np.zeros(0, np.uint64), np.arange(50, dtype=np.uint64)]
+    expected = np.array([[simhash.jaccard(x, y) >= 0.8 for y in right] for x in left])
+    whole = np.ones(expected.shape, bool)
+    assert (simhash.alike_sets(left, right, whole, width=7) == expected).all() and expected.sum() > 5
+    few = rng.random(expected.shape) < 0.05
+    assert (simhash.alike_sets(left, right, few)[few] == expected[few]).all()
