@@ -28,7 +28,7 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import materialize, plain_planning, table, text_chunks, text_slices
@@ -203,14 +203,15 @@ def _entries(fps: DataFrame, plan: list[tuple[int, list[int]]]) -> DataFrame:
     return fps.select("*", F.explode(F.flatten(F.array(*parts))).alias("e")).select("*", "e.*").drop("e")
 
 
-def forest(fps: np.ndarray, probe: np.ndarray, radius: int, block: int = 1024) -> np.ndarray:
+def forest(fps: np.ndarray, probe: np.ndarray, radius: int, block: int = 1024, real: bool = False) -> np.ndarray:
     """Trees that span the components of the links among `fps` in a bucket, fewer edges than it has members.
-    Blocks bound the memory; two blocks whose members are all connected aren't compared."""
+    Blocks bound the memory; two blocks whose members are all connected aren't compared. Trees are of a bounded degree, or
+    with `real` made of links themselves."""
     u = np.unique(fps)
     own = np.zeros(len(u), bool)
     own[np.searchsorted(u, fps[~probe])] = True
     n = len(u)
-    label = np.arange(n)
+    label, found = np.arange(n), [np.zeros((0, 2), np.int64)]
     for i in range(0, n, block):
         for j in range(i, n, block):
             la, lb = label[i : i + block], label[j : j + block]
@@ -222,9 +223,23 @@ def forest(fps: np.ndarray, probe: np.ndarray, radius: int, block: int = 1024) -
             x, y = np.nonzero(close)
             x, y = x + i, y + j
             new = label[x] != label[y]
-            if new.any():
+            if new.any() and real:
+                found.append(spanning(label, x[new], y[new]))
+            elif new.any():
                 merge(label, x[new], y[new])
-    return u[trees(label)]
+    return u[np.concatenate(found) if real else trees(label)]
+
+
+def spanning(label: np.ndarray, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Those of the links x[i], y[i] that are enough to join the components of `label` (changed in place)."""
+    found = []
+    while (apart := label[x] != label[y]).any():
+        x, y = x[apart], y[apart]
+        # each label is joined to a lesser one by one link, so there are no circles
+        one = np.unique(np.maximum(label[x], label[y]), return_index=True)[1]
+        found.append(np.stack([x[one], y[one]], axis=1))
+        merge(label, x[one], y[one])
+    return np.concatenate(found)
 
 
 def trees(label: np.ndarray) -> np.ndarray:
@@ -266,7 +281,7 @@ def branched(edges: DataFrame) -> DataFrame:
     return edges.select("a", "b").mapInArrow(run, "a long, b long")
 
 
-def verified(entries: DataFrame, keys: list[str], radius: int) -> DataFrame:
+def verified(entries: DataFrame, keys: list[str], radius: int, real: bool = False) -> DataFrame:
     """(a, b): links within each bucket, as spanning forests. A bucket's rows are streamed in key order,
     so a task holds one bucket at a time."""
     rows = entries.select(F.xxhash64(*keys).alias("k"), *keys, "fp", "probe").repartition("k").sortWithinPartitions("k", *keys)
@@ -305,14 +320,15 @@ def verified(entries: DataFrame, keys: list[str], radius: int) -> DataFrame:
     def close_bucket(held: list[tuple[np.ndarray, np.ndarray]]) -> list[np.ndarray]:
         if len(held) == 1 and len(held[0][0]) == 1:
             return []
-        found = forest(np.concatenate([h[0] for h in held]), np.concatenate([h[1] for h in held]), radius)
+        found = forest(np.concatenate([h[0] for h in held]), np.concatenate([h[1] for h in held]), radius, real=real)
         return [found] if len(found) else []
 
     return rows.mapInArrow(run, "a long, b long")
 
 
-def links(distinct: DataFrame, radius: int = RADIUS, sample: int = SAMPLE, large: int = LARGE_BUCKET) -> DataFrame:
-    """Spanning edges (a, b) among distinct fingerprints `fp` within `radius` bits of each other."""
+def links(distinct: DataFrame, radius: int = RADIUS, sample: int = SAMPLE, large: int = LARGE_BUCKET, real: bool = False) -> DataFrame:
+    """Spanning edges (a, b) among distinct fingerprints `fp` within `radius` bits of each other; with `real` each edge is of
+    two such fingerprints, else trees of a bounded degree join the same ones."""
     rows = distinct.count()
     if rows < 2:
         return distinct.select(F.col("fp").alias("a"), F.col("fp").alias("b")).where("false")
@@ -329,10 +345,10 @@ def links(distinct: DataFrame, radius: int = RADIUS, sample: int = SAMPLE, large
     most = {r.part: r.n for r in heavy.groupBy("part").agg(F.max("n").alias("n")).collect()}  # one row a partition
     found = []
     if not most:
-        return verified(entries, ["part", "value"], radius)
+        return verified(entries, ["part", "value"], radius, real)
     h = heavy.select(F.col("part").alias("hp"), F.col("value").alias("hv"))
     same = (F.col("part") == F.col("hp")) & (F.col("value") == F.col("hv"))
-    found.append(verified(entries.join(h, same, "left_anti"), ["part", "value"], radius))
+    found.append(verified(entries.join(h, same, "left_anti"), ["part", "value"], radius, real))
     crowded = entries.join(h, same, "left_semi")
     for k, (mask, _) in enumerate(first):
         if k not in most:
@@ -347,7 +363,7 @@ def links(distinct: DataFrame, radius: int = RADIUS, sample: int = SAMPLE, large
         )
         plans.append(below)
     for below in plans:
-        found.append(verified(below, ["outer_part", "outer", "part", "value"], radius))
+        found.append(verified(below, ["outer_part", "outer", "part", "value"], radius, real))
     out = found[0]
     for f in found[1:]:
         out = out.union(f)
@@ -399,6 +415,24 @@ def contracted(edges: DataFrame, most_rounds: int) -> DataFrame:
     return roots.join(least, F.col("root") == F.col("r")).select("node", F.col("least").alias("root"))
 
 
+def fingerprint_pairs(fps: DataFrame) -> DataFrame:
+    """(a, b) with a < b: links that span the components of the classes in `fps` (cls, fp) whose fingerprints differ in
+    RADIUS bits or fewer. Classes of one fingerprint are a chain, so that none is in very many links."""
+    distinct = materialize(fps.groupBy("fp").agg(F.min("cls").alias("first")))
+    ends = [distinct.select(F.col("fp").alias(f"fp_{c}"), F.col("first").alias(f"cls_{c}")) for c in "ab"]
+    found = links(distinct.select("fp"), real=True).where("a <> b").distinct()
+    found = found.join(ends[0], F.col("a") == F.col("fp_a")).join(ends[1], F.col("b") == F.col("fp_b"))
+    chain = fps.select("cls", F.lag("cls").over(Window.partitionBy("fp").orderBy("cls")).alias("before")).where("before IS NOT NULL")
+    return found.select(F.least("cls_a", "cls_b").alias("a"), F.greatest("cls_a", "cls_b").alias("b")).unionByName(chain.select(F.col("before").alias("a"), F.col("cls").alias("b"))).distinct()
+
+
+def of_roots(pairs: DataFrame, roots: DataFrame) -> DataFrame:
+    """(a, b, ra, rb): pairs with the roots of both ends, themselves where they have no link."""
+    own = [roots.select(F.col("node").alias(f"n{c}"), F.col("root").alias(f"r{c}")) for c in "ab"]
+    both = pairs.join(own[0], F.col("a") == F.col("na"), "left").join(own[1], F.col("b") == F.col("nb"), "left")
+    return both.select("a", "b", F.coalesce("ra", "a").alias("ra"), F.coalesce("rb", "b").alias("rb"))
+
+
 def joined(roots: DataFrame, links: DataFrame) -> DataFrame:
     """(node, root) after `links` (a, b) between roots, or nodes that had no link so far."""
     if links.isEmpty():
@@ -460,7 +494,7 @@ STAGE_BAND_ROWS = 5
 #: A bucket above this is compared in parts first; see copies_to_drop(). Later comparisons deal buckets in parts of this size.
 STAGE_BUCKET = 4096
 #: Bytes of shingle sets on a side of a meeting.
-STAGE_BYTES = 1 << 25
+STAGE_BYTES = 1 << 24
 #: Classes that a task remembers to have passed on.
 REMEMBERED = 100_000
 #: How many deviations beyond the mean at the threshold a candidate's distance may lie.
@@ -753,7 +787,7 @@ def shingle_sets(docs: DataFrame, nodes: DataFrame) -> DataFrame:
         passed on it remembers a bounded number of classes at a time."""
         seen: set[bytes] = set()
         for batch in batches:
-            for part in text_slices(batch, "text", 1 << 23):
+            for part in text_slices(batch, "text", 1 << 21):
                 names = [class_of(x.as_py()) for x in part.column(0)]
                 if len(seen) > REMEMBERED:
                     seen.clear()
@@ -802,7 +836,7 @@ def copies_to_drop(docs: DataFrame, radius: int | None = None, words: int = STAG
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in text_slices(batch, "text", 1 << 23):
+            for part in text_slices(batch, "text", 1 << 21):
                 got = [shingle_hashes(x.as_py()) for x in part.column(1)]
                 values = np.array([[*wide_bits(h, words), *band_keys(h)] for h, _ in got], np.uint64).view(np.int64)
                 called = pa.array([name for _, name in got], pa.binary())
@@ -815,6 +849,10 @@ def copies_to_drop(docs: DataFrame, radius: int | None = None, words: int = STAG
     classes = materialize(classes.withColumn("cls", F.monotonically_increasing_id()))
     called = classes.select("name", F.col("cls").alias("called"))
     entries = classes.select("cls", *names, F.explode(F.array(*bands)).alias("k"))
+    # SimHash first: fingerprints within RADIUS bits by the generalised pigeonhole principle, as in op8_simhash, each
+    # link judged on the shingle sets. Copies at the least similarity differ in about ten bits, more than pigeonholes can
+    # find; so bands look for what is still apart.
+    close = materialize(fingerprint_pairs(classes.select("cls", F.col("w0").alias("fp"))))
     # The closest pairs that span each bucket are compared first. Where all of a bucket's are alike, the rest
     # of its pairs are linked anyway; in other buckets all pairs that aren't linked by then are compared.
     # Very large buckets are first compared in parts, each a task's, and with the part's least class; they count
@@ -831,10 +869,12 @@ def copies_to_drop(docs: DataFrame, radius: int | None = None, words: int = STAG
         within = bucket_pairs(parted.select(F.xxhash64("k", "part").alias("k"), "cls", *names), radius, words)
         among = bucket_pairs(heads.select(F.xxhash64("k", F.lit(-1)).alias("k"), "cls", *names), radius, words)
         forest_ = small.unionByName(materialize(within.unionByName(among)))
-    nodes = forest_.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    nodes = forest_.select("a", "b").unionByName(close).select(F.explode(F.array("a", "b")).alias("node")).distinct()
     sets = materialize(shingle_sets(docs, nodes.join(called, F.col("node") == F.col("called"))))
-    judged = materialize(with_similarity(forest_.select("a", "b").distinct(), sets))
-    roots = components(judged.where("alike").select("a", "b"))
+    roots = materialize(components(with_similarity(close, sets).where("alike").select("a", "b")))
+    apart = materialize(of_roots(forest_.select("a", "b").distinct(), roots).where("ra <> rb"))
+    judged = materialize(with_similarity(apart.select("a", "b"), sets))
+    roots = joined(roots, materialize(judged.where("alike").join(apart, ["a", "b"]).select(F.col("ra").alias("a"), F.col("rb").alias("b"))))
     unlike = judged.where("NOT alike").select(F.col("a").alias("ua"), F.col("b").alias("ub"))
     if any_large or not unlike.isEmpty():
         roots = materialize(roots)
@@ -863,7 +903,8 @@ def stage_simhash(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: of each group of near copies the document with the least id stays.
 
     Near copies have a Jaccard similarity of 0.8 or more on their sets of five-word shingles, or are linked
-    by such. Candidates come from bands of least hashes and the distance of 512 fingerprint bits; each pair is
+    by such. SimHash fingerprints within RADIUS bits are found first, by the generalised pigeonhole principle; what
+    they leave apart is looked for in bands of least hashes, within a distance of 512 fingerprint bits. Each pair is
     judged on its shingle sets. Null, empty and wordless texts are copies of each other. Rows that repeat a doc_id
     stand or fall together, and of equal ones among them one stays; rows without an id are copies of the least id
     of their group, if any. All columns stay as they are; an empty table stays empty.

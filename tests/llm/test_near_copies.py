@@ -129,3 +129,32 @@ def test_alike_sets_by_products_and_one_by_one():
     assert (simhash.alike_sets(left, right, whole, width=7) == expected).all() and expected.sum() > 5
     few = rng.random(expected.shape) < 0.05
     assert (simhash.alike_sets(left, right, few)[few] == expected[few]).all()
+
+
+def test_fingerprint_pairs_span_what_lies_within_the_radius(spark):
+    rng = np.random.default_rng(6)
+    rows = []
+    for k, centre in enumerate(rng.integers(-(2**63), 2**63, 12)):
+        for i in range(30):
+            fp = int(centre)
+            for bit in rng.integers(0, 62, int(rng.integers(0, 3))):
+                fp ^= 1 << int(bit)
+            rows.append((100 * k + i, fp))
+    got = [tuple(r) for r in simhash.fingerprint_pairs(spark.createDataFrame(rows, "cls long, fp long")).collect()]
+    of = dict(rows)
+    assert all(a < b and (of[a] ^ of[b]).bit_count() <= simhash.RADIUS for a, b in got)
+    place = {c: k for k, c in enumerate(of)}
+    mine, label = np.arange(len(of)), np.arange(len(of))
+    simhash.merge(mine, *np.array([(place[a], place[b]) for a, b in got]).T)
+    pairs = [(place[a], place[b]) for a in of for b in of if a < b and bits_apart([of[a]], [of[b]]) <= simhash.RADIUS]
+    simhash.merge(label, *np.array(pairs).T)
+    assert (mine == label).all()
+
+
+def test_the_stage_links_by_simhash_pigeonholes(spark, monkeypatch):
+    """Near copies are found by their fingerprints alone: here the bands' buckets have no pairs at all."""
+    base = [f"u{i}" for i in range(1000)]
+    rows = [(0, " ".join(base)), (1, " ".join(changed(base, [500], "x"))), (2, " ".join(f"z{i}" for i in range(1000)))]
+    monkeypatch.setattr(simhash, "bucket_pairs", lambda entries, *_: entries.selectExpr("k", "cls AS a", "cls AS b").where("false"))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted(r.doc_id for r in simhash.stage_simhash(spark, docs, "").collect()) == [0, 2]
