@@ -801,8 +801,9 @@ def shingle_sets(docs: DataFrame, nodes: DataFrame) -> DataFrame:
                 found = [shingle_hashes(x.as_py())[0].tobytes() for x in part.column(1)]
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(found, pa.binary())], ["node", "s"])
 
-    texts = docs.select("text").mapInArrow(name, "cls binary, text string").join(nodes, F.col("cls") == F.col("name"))
-    return texts.groupBy("node").agg(F.first("text").alias("text")).mapInArrow(sets, "node long, s binary")
+    # texts are streamed past a hash table of the nodes, and grouped where the join has put them: they are dealt once
+    texts = docs.select("text").mapInArrow(name, "cls binary, text string").join(nodes.hint("shuffle_hash"), F.col("cls") == F.col("name"))
+    return texts.groupBy("cls", "node").agg(F.first("text").alias("text")).select("node", "text").mapInArrow(sets, "node long, s binary")
 
 
 def with_similarity(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -871,7 +872,9 @@ def copies_to_drop(docs: DataFrame, radius: int | None = None, words: int = STAG
         forest_ = small.unionByName(materialize(within.unionByName(among)))
     nodes = forest_.select("a", "b").unionByName(close).select(F.explode(F.array("a", "b")).alias("node")).distinct()
     sets = materialize(shingle_sets(docs, nodes.join(called, F.col("node") == F.col("called"))))
-    roots = materialize(components(with_similarity(close, sets).where("alike").select("a", "b")))
+    # written first: a second Python step in the same tasks would double an executor's Python workers, which it then keeps
+    linked = materialize(with_similarity(close, sets).where("alike").select("a", "b"))
+    roots = materialize(components(linked))
     apart = materialize(of_roots(forest_.select("a", "b").distinct(), roots).where("ra <> rb"))
     judged = materialize(with_similarity(apart.select("a", "b"), sets))
     roots = joined(roots, materialize(judged.where("alike").join(apart, ["a", "b"]).select(F.col("ra").alias("a"), F.col("rb").alias("b"))))
@@ -911,7 +914,8 @@ def stage_simhash(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """
     drop, repeats = copies_to_drop(docs)
     drop = materialize(drop.select(F.col("doc_id").alias("__rw_drop")))
-    kept = docs.join(drop, F.col("doc_id").eqNullSafe(F.col("__rw_drop")), "left_anti")
+    # whole texts are streamed past a hash table of the ids, not sorted
+    kept = docs.join(drop.hint("shuffle_hash"), F.col("doc_id").eqNullSafe(F.col("__rw_drop")), "left_anti")
     repeats = materialize(repeats.select(F.col("doc_id").alias("__rw_again")))
     if repeats.isEmpty():
         return kept

@@ -1,5 +1,7 @@
 """Near copies are told by exact shingle sets."""
 
+import re
+
 import numpy as np
 import pytest
 
@@ -158,3 +160,40 @@ def test_the_stage_links_by_simhash_pigeonholes(spark, monkeypatch):
     monkeypatch.setattr(simhash, "bucket_pairs", lambda entries, *_: entries.selectExpr("k", "cls AS a", "cls AS b").where("false"))
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     assert sorted(r.doc_id for r in simhash.stage_simhash(spark, docs, "").collect()) == [0, 2]
+
+
+def python_steps(plan):
+    """The most Python steps on a path of a plan's text that has no exchange."""
+    most, above = 0, {}  # steps above and at each depth
+    for line in plan.splitlines():
+        depth = len(re.match(r"[ :+|-]*", line).group())
+        steps = max(((d, n) for d, n in above.items() if d < depth), default=(0, 0))[1]
+        steps = 0 if "Exchange" in line else steps + ("MapInArrow" in line)
+        above = {d: n for d, n in above.items() if d < depth} | {depth: steps}
+        most = max(most, steps)
+    return most
+
+
+@pytest.mark.parametrize("size", [4096, 8])
+def test_a_task_of_the_stage_has_one_python_step(spark, monkeypatch, size):
+    """Two in a row are two Python workers a core, and an executor keeps as many until it ends."""
+    steps, write = [], simhash.materialize
+
+    def materialize(df):
+        steps.append(python_steps(df._jdf.queryExecution().executedPlan().toString()))
+        return write(df)
+
+    monkeypatch.setattr(simhash, "STAGE_BUCKET", size)
+    monkeypatch.setattr(simhash, "materialize", materialize)
+    rng = np.random.default_rng(4)
+    rows = []
+    for k in range(3):
+        base = [f"v{i}" for i in rng.integers(0, 10**6, 404)]
+        # fourteen changes leave 330/470 = 0.70, one leaves 395/405 = 0.975
+        rows += [" ".join(changed(base, range(10, 10 + 20 * 14, 20), f"x{c}")) for c in range(12)]
+        rows += [" ".join(base), " ".join(changed(base, [200], "y"))]
+    docs = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")
+    kept = simhash.stage_simhash(spark, docs, "")
+    steps.append(python_steps(kept._jdf.queryExecution().executedPlan().toString()))
+    assert kept.count() == 39
+    assert max(steps) == 1
