@@ -40,13 +40,21 @@ SEED = 42
 SAMPLE = 2048
 #: Characters of a text whose words are held at once.
 LONG = 1 << 21
+#: Bytes of texts whose shingles are hashed together.
+TOGETHER = 1 << 19
 #: A bucket above this is partitioned again on its remaining bits.
 LARGE_BUCKET = 512
+#: Buckets up to this are compared together.
+SMALL_BUCKET = 128
 #: Children of a node in the trees that stand for components, so that no node is the end of very many edges.
 ARITY = 64
 #: A fingerprint or root with more rows than this is joined apart or spread over `WAYS` tasks.
 HOT = 100_000
 WAYS = 16
+#: The constants of XXH64.
+_XXH = [np.uint64(x) for x in (0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x85EBCA77C2B2AE63, 0x27D4EB2F165667C5)]
+#: A-Z as lower-case letters, white space as spaces.
+_PLAIN = bytes(32 if 9 <= b <= 13 else b + 32 if 65 <= b <= 90 else b for b in range(256))
 
 
 def word_runs(text: str | None, width: int) -> Iterator[list[bytes]]:
@@ -96,14 +104,95 @@ def bit_counts(hashes: np.ndarray) -> np.ndarray:
     return counts
 
 
+def plain_words(text: str) -> bytes:
+    """A text's lower-cased words, one space between them."""
+    plain = text.encode("utf-8", "surrogatepass").translate(_PLAIN)
+    return b" ".join(plain.split()) if b"  " in plain else plain.strip(b" ")
+
+
+def rotated(x: np.ndarray, by: int) -> np.ndarray:
+    return (x << np.uint64(by)) | (x >> np.uint64(64 - by))
+
+
+def piece_hashes(data: bytes, starts: np.ndarray, lengths: np.ndarray, seed: int = SEED) -> np.ndarray:
+    """XXH64 of the pieces of `data` that begin at `starts`; eight bytes follow the last one. Pieces of one length are hashed
+    together, those of 32 bytes or more, which are few among shingles, one by one."""
+    words = np.ndarray(len(data) - 7, "<u8", data, strides=(1,)).astype(np.uint64)
+    out = np.empty(len(starts), np.uint64)
+    order = np.argsort(np.minimum(lengths, 32).astype(np.uint8), kind="stable")
+    bounds = np.searchsorted(lengths[order], np.arange(33)).tolist()
+    for i in order[bounds[32] :].tolist():
+        out[i] = xxhash.xxh64_intdigest(data[starts[i] : starts[i] + lengths[i]], seed)
+    for n in range(32):
+        rows = order[bounds[n] : bounds[n + 1]]
+        if not len(rows):
+            continue
+        at = starts[rows]
+        h = np.full(len(rows), (seed + int(_XXH[4]) + n) % (1 << 64), np.uint64)
+        for _ in range(n // 8):
+            h = rotated(h ^ rotated(words[at] * _XXH[1], 31) * _XXH[0], 27) * _XXH[0] + _XXH[3]
+            at = at + 8
+        rest = words[at]
+        if n & 4:
+            h = rotated(h ^ (rest & np.uint64(0xFFFFFFFF)) * _XXH[0], 23) * _XXH[1] + _XXH[2]
+            rest = rest >> np.uint64(32)
+        for _ in range(n & 3):
+            h = rotated(h ^ (rest & np.uint64(0xFF)) * _XXH[4], 11) * _XXH[0]
+            rest = rest >> np.uint64(8)
+        h = (h ^ (h >> np.uint64(33))) * _XXH[1]
+        h = (h ^ (h >> np.uint64(29))) * _XXH[2]
+        out[rows] = h ^ (h >> np.uint64(32))
+    return out
+
+
+def set_bits(hashes: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """How often each bit, the lowest first, is set in each run of `hashes`; `first` has the runs' places. The bytes of a word
+    count a bit of up to 255 hashes each."""
+    place = np.arange(len(hashes)) - np.repeat(first, np.diff(np.append(first, len(hashes))))
+    parts = np.flatnonzero(place % 255 == 0)
+    ones = np.uint64(0x0101010101010101)
+    sums = [np.add.reduceat((hashes >> np.uint64(j)) & ones, parts).astype("<u8").view(np.uint8).reshape(-1, 8) for j in range(8)]
+    return np.add.reduceat(np.stack(sums, axis=2).reshape(-1, 64).astype(np.int64), np.searchsorted(parts, first), axis=0)
+
+
+def many_fingerprints(texts: list[str | None], width: int = SHINGLE, seed: int = SEED) -> np.ndarray:
+    """fingerprint() of each text, their shingles hashed together."""
+    out = np.zeros(len(texts), np.uint64)
+    which, plain = [], []
+    for k, text in enumerate(texts):
+        if text and len(text) > LONG:
+            out[k] = fingerprint(text, width, seed)
+        elif text and (words := plain_words(text)):
+            which.append(k)
+            plain.append(words)
+    if not plain:
+        return out
+    data = b" ".join(plain) + b" " * 8
+    # a word ends at each space, up to the last text's
+    size = np.cumsum(np.fromiter(map(len, plain), np.int64, len(plain)) + 1)
+    ends = np.flatnonzero(np.frombuffer(data, np.uint8, int(size[-1])) == 32)
+    starts = np.append(0, ends[:-1] + 1)
+    after = np.searchsorted(ends, size)  # the first word after each text
+    count = np.diff(np.append(0, after))
+    word = np.arange(len(ends))
+    last = np.minimum(word + width, np.repeat(after, count)) - 1
+    # a text has a shingle at each word that `width` words begin at, or at its first
+    heads = (word + width <= np.repeat(after, count)) | (word == np.repeat(after - count, count))
+    hashes = piece_hashes(data, starts[heads], (ends[last] - starts)[heads], seed)
+    shingles = np.maximum(1, count - width + 1)
+    bits = 2 * set_bits(hashes, np.cumsum(shingles) - shingles) > shingles[:, None]
+    out[which] = np.packbits(bits, axis=1, bitorder="little").view("<u8")[:, 0]
+    return out
+
+
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = SHINGLE) -> DataFrame:
     """doc_id, fp (the 64 bits as a signed long) for every row."""
     narrow = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in text_slices(batch, "text", 1 << 23):
-                fps = np.array([fingerprint(x.as_py(), width) for x in part.column(1)], np.uint64).view(np.int64)
+            for part in text_slices(batch, "text", TOGETHER):
+                fps = many_fingerprints(part.column(1).to_pylist(), width).view(np.int64)
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(fps)], ["doc_id", "fp"])
 
     return narrow.mapInArrow(run, "doc_id long, fp long")
@@ -281,6 +370,31 @@ def branched(edges: DataFrame) -> DataFrame:
     return edges.select("a", "b").mapInArrow(run, "a long, b long")
 
 
+def closed_buckets(fps: np.ndarray, probe: np.ndarray, starts: np.ndarray, radius: int, real: bool) -> list[np.ndarray]:
+    """forest() of each bucket that begins at `starts`, but for the last, which may go on. The small ones are compared
+    together, each row with the next one of its bucket, then with the one after that, and so on."""
+    size = np.diff(starts)
+    large = size > SMALL_BUCKET
+    found = [forest(fps[s : s + n], probe[s : s + n], radius, real=real) for s, n in zip(starts[:-1][large].tolist(), size[large].tolist())]
+    first, end = starts[0], starts[-1]
+    fps, own = fps[first:end], ~probe[first:end]
+    behind = np.where(np.repeat(large, size), 0, np.repeat(starts[1:] - first, size) - np.arange(1, len(fps) + 1))
+    links, at, step = [np.zeros((2, 0), np.int64)], np.flatnonzero(behind), 1
+    while len(at):
+        near = (np.bitwise_count(fps[at] ^ fps[at + step]) <= radius) & (own[at] | own[at + step])
+        links.append(np.stack([at[near], at[near] + step]))
+        step += 1
+        at = at[behind[at] >= step]
+    x, y = np.concatenate(links, axis=1)
+    label = np.arange(len(fps))
+    if len(x) and real:
+        found.append(fps[spanning(label, x, y)])
+    elif len(x):
+        merge(label, x, y)
+        found.append(fps[trees(label)])
+    return [f for f in found if len(f)]
+
+
 def verified(entries: DataFrame, keys: list[str], radius: int, real: bool = False) -> DataFrame:
     """(a, b): links within each bucket, as spanning forests. A bucket's rows are streamed in key order,
     so a task holds one bucket at a time."""
@@ -288,11 +402,7 @@ def verified(entries: DataFrame, keys: list[str], radius: int, real: bool = Fals
     width = len(keys)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def out(edges: list[np.ndarray]) -> pa.RecordBatch:
-            e = np.concatenate(edges).view(np.int64)
-            return pa.RecordBatch.from_arrays([pa.array(e[:, 0]), pa.array(e[:, 1])], ["a", "b"])
-
-        held: list[tuple[np.ndarray, np.ndarray]] = []
+        held: list[tuple[np.ndarray, np.ndarray]] = []  # of the bucket that may go on in the next batch
         last: tuple | None = None
         for batch in batches:
             if not batch.num_rows:
@@ -303,20 +413,28 @@ def verified(entries: DataFrame, keys: list[str], radius: int, real: bool = Fals
             change = np.zeros(len(fps), bool)
             for c in cols:
                 change[1:] |= c[1:] != c[:-1]
-            starts = [0, *np.nonzero(change)[0].tolist()]
+            starts = np.append(0, np.flatnonzero(change))
             edges: list[np.ndarray] = []
-            for s, e in zip(starts, [*starts[1:], len(fps)]):
-                key = tuple(c[s] for c in cols)
-                if held and key != last:
+            if held:
+                if last == tuple(c[0] for c in cols):
+                    end = starts[1] if len(starts) > 1 else len(fps)
+                    held.append((fps[:end], probe[:end]))
+                    starts = starts[1:]
+                if len(starts):
                     edges += close_bucket(held)
-                    held = []
-                held.append((fps[s:e], probe[s:e]))
-                last = key
+            if len(starts):
+                edges += closed_buckets(fps, probe, starts, radius, real)
+                held = [(fps[starts[-1] :], probe[starts[-1] :])]
+            last = tuple(c[-1] for c in cols)
             if edges:
                 yield out(edges)
         if held and (edges := close_bucket(held)):
             yield out(edges)
 
+    def out(edges: list[np.ndarray]) -> pa.RecordBatch:
+        e = np.concatenate(edges).view(np.int64)
+        return pa.RecordBatch.from_arrays([pa.array(e[:, 0]), pa.array(e[:, 1])], ["a", "b"])
+
     def close_bucket(held: list[tuple[np.ndarray, np.ndarray]]) -> list[np.ndarray]:
         if len(held) == 1 and len(held[0][0]) == 1:
             return []
@@ -326,15 +444,21 @@ def verified(entries: DataFrame, keys: list[str], radius: int, real: bool = Fals
     return rows.mapInArrow(run, "a long, b long")
 
 
+def sampled(distinct: DataFrame, sample: int) -> np.ndarray:
+    """One fingerprint for each of `sample` hash buckets, the one with the least of another hash there. The least fingerprint
+    itself would have ever more leading bits alike as the table grows, and those partitions would seem crowded."""
+    bucket = F.pmod(F.xxhash64("fp"), F.lit(sample)).alias("b")
+    seen = distinct.groupBy(bucket).agg(F.min_by("fp", F.xxhash64(F.lit(SEED), "fp")).alias("fp")).collect()
+    return np.array([r.fp for r in seen], np.int64).view(np.uint64)
+
+
 def links(distinct: DataFrame, radius: int = RADIUS, sample: int = SAMPLE, large: int = LARGE_BUCKET, real: bool = False) -> DataFrame:
     """Spanning edges (a, b) among distinct fingerprints `fp` within `radius` bits of each other; with `real` each edge is of
     two such fingerprints, else trees of a bounded degree join the same ones."""
     rows = distinct.count()
     if rows < 2:
         return distinct.select(F.col("fp").alias("a"), F.col("fp").alias("b")).where("false")
-    # bounded by `sample`: one fingerprint for each of so many hash buckets
-    seen = distinct.groupBy(F.pmod(F.xxhash64("fp"), F.lit(sample)).alias("b")).agg(F.min("fp").alias("fp")).collect()
-    bits = to_bits(np.array([r.fp for r in seen], np.int64).view(np.uint64)) if seen else np.zeros((0, 64), np.uint8)
+    bits = to_bits(sampled(distinct, sample))
     plans, free = [], list(range(64))
     groups = bit_groups(bits, free, radius + 1)
     first = masks(groups, thresholds(bits, groups, radius, rows))

@@ -625,6 +625,49 @@ def test_long_texts_are_hashed_in_runs(monkeypatch):
         assert (simhash.fingerprint(t), got[1]) == (fp, name) and (got[0] == hashes).all() and fp == plain_fingerprint(t)
 
 
+def test_many_fingerprints_are_those_of_each_text(monkeypatch):
+    rng = np.random.default_rng(3)
+    made = ["".join(rng.choice(list("aBc\u00e9\u20ac\U0001f600"), n)) for n in range(1, 40)]
+    texts = [" ".join(rng.choice(made, n)) for n in (1, 2, 3, 4, 5, 254, 255, 256, 257, 258, 600)] + [f"{w} x\t\n {w}" for w in made]
+    texts += [None, "", " \t", "A", " a\x0bb\x0c", "x" * 500, "a\u2003b \x85c\x00 " * 60, *[t for _, t, _, _ in ODD]]
+    want = [plain_fingerprint(t) for t in texts]
+    assert simhash.many_fingerprints(texts).tolist() == want and [int(simhash.many_fingerprints([t])[0]) for t in texts] == want
+    monkeypatch.setattr(simhash, "LONG", 100)
+    assert simhash.many_fingerprints(texts).tolist() == want
+    assert simhash.many_fingerprints([]).tolist() == []
+
+
+def test_the_sample_of_fingerprints_is_of_all_values(spark, monkeypatch):
+    """A sample of the least fingerprints has its leading bits alike; their partitions seemed crowded, so others were probed
+    within one bit, and all of their values had so many entries that they were partitioned again."""
+    seen, groups = [], simhash.bit_groups
+    monkeypatch.setattr(simhash, "bit_groups", lambda bits, *rest: seen.append(bits) or groups(bits, *rest))
+    frame = spark.range(300_000).selectExpr("xxhash64(id) AS fp")
+    simhash.links(frame, sample=1024)
+    assert abs(seen[0].mean(axis=0) - 0.5).max() < 0.1
+    assert simhash.thresholds(seen[0], groups(seen[0], list(range(64)), 4), 3, 3_000_000) == [0, 0, 0, 0]
+
+
+@pytest.mark.parametrize("small", [0, 3, 128])
+@pytest.mark.parametrize("real", [False, True])
+def test_buckets_compared_together_have_the_same_components(spark, monkeypatch, small, real):
+    monkeypatch.setattr(simhash, "SMALL_BUCKET", small)
+    rng = np.random.default_rng(5)
+    keys = np.sort(rng.integers(0, 400, 3000))
+    fps = rng.integers(0, 2**63, 400, dtype=np.uint64)[keys] ^ (np.uint64(1) << rng.integers(0, 64, 3000).astype(np.uint64)) ^ (np.uint64(1) << rng.integers(0, 64, 3000).astype(np.uint64))
+    keys[keys > 390], probe = 390, rng.random(3000) < 0.3
+    starts = np.append(0, np.flatnonzero(np.diff(keys)) + 1)
+    got = simhash.closed_buckets(fps, probe, starts, 3, real)
+    want = [simhash.forest(fps[a:b], probe[a:b], 3) for a, b in zip(starts[:-1], starts[1:])]
+    nodes, labels = np.unique(fps), []
+    for edges in (np.concatenate(got), np.concatenate(want)):
+        label = np.arange(len(nodes))
+        simhash.merge(label, *np.searchsorted(nodes, edges).T)
+        labels.append(label)
+    assert (labels[0] == labels[1]).all() and len(np.unique(labels[0])) < len(nodes)
+    assert not real or (np.bitwise_count(np.bitwise_xor(*np.concatenate(got).T)) <= 3).all()
+
+
 def test_thresholds_obey_the_pigeonhole():
     rng = np.random.default_rng(1)
     bits = (rng.random((500, 64)) < np.where(np.arange(64) < 16, 0.02, 0.5)).astype(np.uint8)
